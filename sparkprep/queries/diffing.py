@@ -1 +1,68 @@
-"""placeholder"""
+"""Diff queries (D1-D5): original vs cleaned table keyed by row id."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..fixtures import clean_events, table
+from ..operators.diff import column_summary, deleted_rows, updated_cells
+from ..plans.cleaning import CleanSpec, run_cleaning
+from ..plans.features import FeatureSpec, run_features
+from .cleaning import CLEAN_RUN_SPEC, CLEAN_RUN_SQL
+from .features import FEATURE_RUN_SPEC
+from . import query
+
+
+def _cleaned(spark, sf):
+    original = clean_events(spark, sf)
+    return original, run_cleaning(original, CleanSpec(**CLEAN_RUN_SPEC)).output
+
+
+@query("diff_deleted_rows", CLEAN_RUN_SQL + """
+SELECT c.row_id FROM clean_events c ANTI JOIN o ON c.row_id = o.row_id""")
+def q_diff_deleted_rows(spark, sf):
+    original, cleaned = _cleaned(spark, sf)
+    return deleted_rows(original, cleaned, "row_id")
+
+
+@query("diff_updated_cells", CLEAN_RUN_SQL + """,
+j AS (SELECT c.row_id, c.event_id AS a1, o.event_id AS b1, c.user_id AS a2, o.user_id AS b2,
+             c.event_type AS a3, o.event_type AS b3, c.value AS a4, o.value AS b4
+      FROM clean_events c JOIN o ON c.row_id = o.row_id)
+SELECT row_id, 'event_id' AS "column" FROM j WHERE a1 IS DISTINCT FROM b1
+UNION ALL SELECT row_id, 'user_id' FROM j WHERE a2 IS DISTINCT FROM b2
+UNION ALL SELECT row_id, 'event_type' FROM j WHERE a3 IS DISTINCT FROM b3
+UNION ALL SELECT row_id, 'value' FROM j WHERE a4 IS DISTINCT FROM b4""")
+def q_diff_updated_cells(spark, sf):
+    original, cleaned = _cleaned(spark, sf)
+    return updated_cells(original, cleaned, "row_id")
+
+
+@query("diff_updated_cells_scaled", """
+WITH s AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS sd FROM customer)
+SELECT c_custkey AS row_id, 'c_acctbal' AS "column" FROM customer, s
+WHERE c_acctbal IS DISTINCT FROM (c_acctbal - m) / sd""")
+def q_diff_updated_cells_scaled(spark, sf):
+    from ..operators import Scaling
+    df = table(spark, sf, "customer")
+    return updated_cells(df, Scaling(["c_acctbal"], "standard").fit(df).transform(df), "c_custkey")
+
+
+@query("diff_column_sets", """
+WITH a AS (SELECT column_name FROM (DESCRIBE SELECT c_nationkey, c_acctbal, c_mktsegment, c_custkey FROM customer)),
+b AS (SELECT column_name FROM (DESCRIBE PIVOT (SELECT c_custkey, c_nationkey, c_acctbal, 0 AS c_acctbal_binned,
+        'c_mktsegment_' || c_mktsegment AS k FROM customer) ON k USING count(*)
+        GROUP BY c_custkey, c_nationkey, c_acctbal, c_acctbal_binned))
+SELECT column_name AS "column", 'added' AS status FROM b WHERE column_name NOT IN (SELECT column_name FROM a)
+UNION ALL SELECT column_name, 'removed' FROM a WHERE column_name NOT IN (SELECT column_name FROM b)
+UNION ALL SELECT column_name, 'kept' FROM a WHERE column_name IN (SELECT column_name FROM b)""")
+def q_diff_column_sets(spark, sf):
+    df = table(spark, sf, "customer").drop("c_name")
+    res = run_features(df, FeatureSpec.from_dicts(FEATURE_RUN_SPEC))
+    s = res.columns
+    rows = ([(c, "added") for c in s["added_columns"]] + [(c, "removed") for c in s["removed_columns"]]
+            + [(c, "kept") for c in s["original_columns"] if c not in s["removed_columns"]])
+    return spark.createDataFrame(rows, "column string, status string")
+
+
+__all__ = ["F", "column_summary"]
