@@ -1 +1,169 @@
-"""placeholder"""
+"""Model queries (M1-M28): exact oracles for splits, codes and metrics;
+rows-only checks for seed/solver-dependent training and prediction."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from ..fixtures import table
+from ..ml.encode import apply_codes, fit_train_codes
+from ..ml.metrics import classification_metrics, confusion_table, regression_metrics, residuals, roc_auc
+from ..ml.predict import load_model, predict
+from ..ml.split import hash_split, stratified_split
+from ..ml.train import run_training, save_training
+from ..session import ensure_checkpoint_dir
+from ..sources.registry import list_models
+from . import query, r6
+
+MD5_BUCKET = "(('0x' || substr(md5(CAST({k} AS VARCHAR) || '42'), 1, 8))::BIGINT % 10000)"
+MD5_HASH = "('0x' || substr(md5(CAST({k} AS VARCHAR) || '42'), 1, 15))::BIGINT"
+
+
+def _labeled_docs(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
+    return docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("hash_split", f"SELECT doc_id, {MD5_BUCKET.format(k='doc_id')} < 2000 AS is_test FROM documents")
+def q_hash_split(spark, sf):
+    return hash_split(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.2)
+
+
+@query("stratified_split", f"""
+SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {MD5_HASH.format(k='doc_id')}, doc_id) - 1
+  < CAST(floor(0.2 * count(*) OVER (PARTITION BY quality) + 0.5) AS BIGINT) AS is_test FROM labels""")
+def q_stratified_split(spark, sf):
+    return stratified_split(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "quality", 0.2)
+
+
+@query("train_only_encode", f"""
+WITH s AS (SELECT doc_id, lang, source, {MD5_BUCKET.format(k='doc_id')} < 2000 AS is_test FROM documents),
+l AS (SELECT lang AS v, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS BIGINT) AS code
+      FROM (SELECT DISTINCT coalesce(lang, 'missing') AS lang FROM s WHERE NOT is_test)),
+r AS (SELECT source AS v, CAST(dense_rank() OVER (ORDER BY source) - 1 AS BIGINT) AS code
+      FROM (SELECT DISTINCT coalesce(source, 'missing') AS source FROM s WHERE NOT is_test))
+SELECT s.doc_id, s.is_test, coalesce(l.code, -1) AS lang, coalesce(r.code, -1) AS source
+FROM s LEFT JOIN l ON coalesce(s.lang, 'missing') = l.v LEFT JOIN r ON coalesce(s.source, 'missing') = r.v""")
+def q_train_only_encode(spark, sf):
+    s = hash_split(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id", 0.2)
+    d = fit_train_codes(s.where(~F.col("is_test")), ["lang", "source"])
+    return apply_codes(s, d)
+
+
+@query("linreg_one_feature", """
+SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem""")
+def q_linreg_one_feature(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    vec = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li)
+    m = LinearRegression(featuresCol="features", labelCol="l_extendedprice", regParam=0.0, solver="normal").fit(vec)
+    return spark.range(1).select(F.round(F.lit(float(m.coefficients[0])), 4).alias("slope"),
+                                 F.round(F.lit(float(m.intercept)), 4).alias("intercept"))
+
+
+CONF_SQL = """
+WITH lab AS (SELECT quality AS v FROM labels UNION SELECT toxic FROM labels),
+g AS (SELECT a.v AS actual, p.v AS predicted FROM lab a, lab p),
+c AS (SELECT quality AS actual, toxic AS predicted, count(*) AS n FROM labels GROUP BY ALL),
+m AS (SELECT g.actual, g.predicted, CAST(coalesce(c.n, 0) AS BIGINT) AS count FROM g LEFT JOIN c USING (actual, predicted))"""
+
+
+@query("confusion_matrix", CONF_SQL + "\nSELECT * FROM m")
+def q_confusion_matrix(spark, sf):
+    return confusion_table(table(spark, sf, "labels"), "quality", "toxic")
+
+
+@query("weighted_prf", CONF_SQL + """,
+per AS (SELECT actual AS c, sum(count) AS support, sum(count) FILTER (WHERE actual = predicted) AS tp FROM m GROUP BY 1),
+pp AS (SELECT predicted AS c, sum(count) AS pn FROM m GROUP BY 1),
+x AS (SELECT coalesce(support, 0) AS support, coalesce(tp, 0) AS tp, coalesce(pn, 0) AS pn FROM per FULL JOIN pp USING (c)),
+y AS (SELECT support, tp, CASE WHEN pn > 0 THEN tp / pn ELSE 0 END AS p,
+             CASE WHEN support > 0 THEN tp / support ELSE 0 END AS r FROM x)
+SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(sum(p * support) / sum(support), 6) AS precision,
+       round(sum(r * support) / sum(support), 6) AS recall,
+       round(sum(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END * support) / sum(support), 6) AS f1_score FROM y""")
+def q_weighted_prf(spark, sf):
+    m = classification_metrics(confusion_table(table(spark, sf, "labels"), "quality", "toxic"))
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
+
+
+@query("auc_exact", """
+WITH d AS (SELECT l.quality AS y, CAST(d.n_chars AS DOUBLE) AS s FROM documents d JOIN labels l USING (doc_id)),
+r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM d)
+SELECT round((sum(rk) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+  / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y <> 1)), 6) AS roc_auc FROM r""")
+def q_auc_exact(spark, sf):
+    d = _labeled_docs(spark, sf)
+    return roc_auc(d, "quality", "n_chars", 1).select(r6(F.col("roc_auc")).alias("roc_auc"))
+
+
+REG_PRED = "(l.l_quantity * p.p_retailprice)"
+
+
+def _reg_frame(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    return li.join(part, "l_partkey").withColumn("yhat", F.col("l_quantity") * F.col("p_retailprice"))
+
+
+@query("regression_metrics", f"""
+WITH j AS (SELECT l.l_extendedprice AS y, {REG_PRED} AS yhat FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+s AS (SELECT count(*) AS n, avg(abs(y - yhat)) AS mae, avg((y - yhat) * (y - yhat)) AS mse, var_pop(y) AS vy FROM j)
+SELECT round(mae, 4) AS mae, round(mse, 4) AS mse, round(sqrt(mse), 4) AS rmse, round(1 - mse / vy, 6) AS r2_score,
+       round(CASE WHEN n > 2 THEN 1 - (mse / vy) * (n - 1) / (n - 2) ELSE 1 - mse / vy END, 6) AS adjusted_r2 FROM s""")
+def q_regression_metrics(spark, sf):
+    m = regression_metrics(_reg_frame(spark, sf), "l_extendedprice", "yhat", p=1)
+    return m.select(*[F.round(F.col(c), 4).alias(c) for c in ("mae", "mse", "rmse")],
+                    r6(F.col("r2_score")).alias("r2_score"), r6(F.col("adjusted_r2")).alias("adjusted_r2"))
+
+
+@query("residuals", f"""
+SELECT l.l_orderkey, l.l_linenumber, round(l.l_extendedprice - {REG_PRED}, 6) AS residual
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey ORDER BY l.l_orderkey, l.l_linenumber LIMIT 1000""")
+def q_residuals(spark, sf):
+    r = residuals(_reg_frame(spark, sf), ["l_orderkey", "l_linenumber"], "l_extendedprice", "yhat", 1000)
+    return r.withColumn("residual", r6(F.col("residual")))
+
+
+@query("train_automl")
+def q_train_automl(spark, sf):
+    res = run_training(_labeled_docs(spark, sf), "quality", "doc_id")
+    return res.results_frame(spark).withColumn("is_best", F.col("model") == F.lit(res.best_model)) \
+        .select("model", "status", "is_best")
+
+
+@query("train_regression")
+def q_train_regression(spark, sf):
+    li = table(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_key"), "l_quantity", "l_discount", "l_tax",
+        "l_returnflag", "l_extendedprice")
+    res = run_training(li, "l_extendedprice", "row_key", ["linear_regression", "ridge", "lasso"])
+    return res.results_frame(spark).select("model", "status")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    res = run_training(_labeled_docs(spark, sf), "quality", "doc_id", ["random_forest"])
+    rows = res.results[0].get("feature_importance", [])
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
+@query("predict_batch")
+def q_predict_batch(spark, sf):
+    res = run_training(_labeled_docs(spark, sf), "quality", "doc_id", ["logistic_regression"])
+    root = save_training(res, f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex[:8]}")
+    saved = load_model(spark, root)
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
+    return predict(saved, docs).select("doc_id", "predicted_class", F.round("confidence", 4).alias("confidence"))
+
+
+@query("model_registry")
+def q_model_registry(spark, sf):
+    base = f"{ensure_checkpoint_dir(spark)}/registry-{uuid.uuid4().hex[:8]}"
+    res = run_training(_labeled_docs(spark, sf), "quality", "doc_id", ["logistic_regression"])
+    save_training(res, base)
+    return list_models(spark, base).select("problem_type", "target_column", "best_model")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def list_models(spark: SparkSession, results_dir: str) -> DataFrame:
-    df = spark.read.json(f"{results_dir.rstrip('/')}/*_results.json", multiLine=True)
+    df = spark.read.json(f"{results_dir.rstrip('/')}/*/*_results.json", multiLine=False)
     return df.select("model_id", F.col("_metadata.file_name").alias("file"), "problem_type", "target_column",
                      "best_model", "created_at", *[c for c in ("metrics", "filename") if c in df.columns])
 
