@@ -1 +1,86 @@
-"""placeholder"""
+"""Source/sink queries (S1-S16): round trips through every supported format,
+written to a run-specific folder under the shared checkpoint directory."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..fixtures import table
+from ..session import ensure_checkpoint_dir
+from ..sources.readers import ingest_to_parquet, load_table
+from ..sources.sinks import export_csv, write_json_arrays, write_stage, write_verified
+from . import query
+
+CUSTOMER_SQL = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+
+
+def _scratch(spark, what: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex[:10]}"
+
+
+@query("parquet_read", CUSTOMER_SQL)
+def q_parquet_read(spark, sf):
+    return load_table(spark, f"{sf}/customer.parquet")
+
+
+@query("csv_roundtrip", CUSTOMER_SQL)
+def q_csv_roundtrip(spark, sf):
+    path = _scratch(spark, "export") + "/customer.csv"
+    export_csv(table(spark, sf, "customer").withColumn("_orig_idx", F.col("c_custkey")), path)
+    return load_table(spark, path)
+
+
+@query("tsv_ingest", CUSTOMER_SQL)
+def q_tsv_ingest(spark, sf):
+    path = _scratch(spark, "tsv") + "/customer.tsv"
+    table(spark, sf, "customer").write.option("header", True).option("sep", "\t").csv(path)
+    target = _scratch(spark, "ingest") + "/customer.parquet"
+    ingest_to_parquet(spark, path, target)
+    return spark.read.parquet(target)
+
+
+@query("json_array_ingest", CUSTOMER_SQL)
+def q_json_array_ingest(spark, sf):
+    path = _scratch(spark, "jsonarr") + "/customer.json"
+    write_json_arrays(table(spark, sf, "customer"), path)
+    return load_table(spark, path).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+@query("jsonl_ingest", "SELECT event_id, user_id, event_type, value, props FROM events")
+def q_jsonl_ingest(spark, sf):
+    path = _scratch(spark, "jsonl") + "/events.jsonl"
+    table(spark, sf, "events").drop("ts").write.json(path)
+    target = _scratch(spark, "ingest") + "/events.parquet"
+    ingest_to_parquet(spark, path, target)
+    return spark.read.parquet(target).select("event_id", "user_id", "event_type", "value", "props")
+
+
+@query("unknown_extension_as_csv", CUSTOMER_SQL)
+def q_unknown_extension_as_csv(spark, sf):
+    path = _scratch(spark, "raw") + "/customer.dat"
+    table(spark, sf, "customer").write.option("header", True).csv(path)
+    target = _scratch(spark, "ingest") + "/customer.parquet"
+    ingest_to_parquet(spark, path, target)
+    return spark.read.parquet(target)
+
+
+@query("stage_write_verified", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def q_stage_write_verified(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    info = write_stage(df, _scratch(spark, "stages"), f"{sf}/orders.parquet", "cleaned")
+    return spark.read.parquet(info["path"])
+
+
+@query("nested_to_parquet", """
+SELECT o_orderkey, '{"k":' || CAST(o_orderkey AS VARCHAR) || ',"s":"' || o_orderstatus || '"}' AS nested,
+       round(o_totalprice, 2) AS price FROM orders""")
+def q_nested_to_parquet(spark, sf):
+    from ..sources.readers import json_safe
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s")).alias("nested"),
+        F.round("o_totalprice", 2).cast("decimal(14,2)").alias("price"))
+    path = _scratch(spark, "nested") + "/orders.parquet"
+    write_verified(json_safe(o), path)
+    return spark.read.parquet(path)

@@ -37,3 +37,26 @@ def export_csv(df: DataFrame, path: str) -> str:
     out = df.drop(ROW_ID) if ROW_ID in df.columns else df
     out.write.mode("overwrite").option("header", True).csv(path)
     return path
+
+
+def write_json_arrays(df: DataFrame, path: str) -> str:
+    """Write every partition as one JSON array of records (the layout a
+    ``multiLine`` JSON reader expects), without gathering rows anywhere."""
+    import pandas as pd
+
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("j"))
+
+    def wrap(batches):
+        first = True
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            body = pdf["j"].tolist()
+            out = [("[" if first else ",") + body[0]] + ["," + x for x in body[1:]]
+            first = False
+            yield pd.DataFrame({"value": out})
+        if not first:
+            yield pd.DataFrame({"value": ["]"]})
+
+    lines.mapInPandas(wrap, "value string").write.mode("overwrite").text(path)
+    return path
