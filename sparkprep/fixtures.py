@@ -15,8 +15,15 @@ from pyspark.sql import functions as F
 from .functions.missing import EMPTY_SHAPES, MISSING_WORDS, STRIP_CHARS, standardize_missing
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Parquet table; the DataFrame (listing + footer schema) is reused per session."""
+    key = (id(spark._jsparkSession), f"{sf_dir}/{name}.parquet")
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(key[1])
+    return _TABLES[key]
 
 
 def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
