@@ -115,7 +115,8 @@ def feature_importance(model: PipelineModel, feats: list[str]) -> list[tuple[str
 def select_best(results: list[dict], order: list[str]) -> tuple[str | None, list[str]]:
     ok = [r for r in results if r["status"] == "completed" and r.get("score") is not None]
     if not ok:
-        raise RuntimeError("no model trained successfully")
+        errors = "; ".join(f"{r['model']}: {r.get('error')}" for r in results)
+        raise RuntimeError(f"no model trained successfully ({errors})")
     best = sorted(ok, key=lambda r: (-r["score"], order.index(r["model"])))[0]
     warn = [f"Suspiciously high score ({best['score']:.4f}) for {best['model']}: check for target leakage"] \
         if best["score"] >= SUSPICIOUS else []

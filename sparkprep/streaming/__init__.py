@@ -1,0 +1,3 @@
+from .scoring import replay_stream, start_scoring
+
+__all__ = ["replay_stream", "start_scoring"]
