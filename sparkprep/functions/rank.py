@@ -10,9 +10,8 @@ a literal array indexed by partition id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
@@ -50,28 +49,19 @@ def with_global_index(df: DataFrame, order_cols, index_col: str = "_idx",
 def with_running_total(df: DataFrame, order_cols, value_col: str, out_col: str,
                        num_partitions: int | None = None) -> DataFrame:
     """Add the inclusive running sum of ``value_col`` in the order ``order_cols``
-    (order must be total). Within-partition sums run in Arrow batches."""
+    (order must be total). Within a range partition the sum is a window over
+    that partition only (balanced by the range sampling), plus the partition's
+    offset from the per-partition totals."""
     n = _num_parts(df, num_partitions)
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id()))
     ranged = cut_lineage(ranged)
     sizes = {r["_pid"]: r["s"] for r in
              ranged.groupBy("_pid").agg(F.sum(value_col).alias("s")).collect()}
-    offsets = _offsets(sizes, n)
-    out_schema = T.StructType(ranged.schema.fields + [T.StructField(out_col, T.DoubleType())])
-
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if carry is None:
-                carry = float(offsets[int(pdf["_pid"].iloc[0])])
-            cum = pdf[value_col].astype("float64").fillna(0.0).cumsum() + carry
-            carry = float(cum.iloc[-1])
-            yield pdf.assign(**{out_col: cum})
-
-    return ranged.mapInPandas(run, out_schema).drop("_pid")
+    offs = F.array(*[F.lit(float(o)) for o in _offsets(sizes, n)])
+    w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = F.sum(F.coalesce(F.col(value_col).cast("double"), F.lit(0.0))).over(w)
+    return ranged.withColumn(out_col, F.element_at(offs, F.col("_pid") + 1) + local).drop("_pid")
 
 
 def dense_codes(values: DataFrame, value_col: str, code_col: str = "code",
