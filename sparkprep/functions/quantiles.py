@@ -8,6 +8,9 @@ column. Instead:
 1. one aggregate pass: count, min, max and a ``percentile_approx`` bracket
    around every wanted rank (rank error <= n/accuracy);
 2. one pass that counts rows below and inside every bracket (verifies it);
+   when the approximation's rank-error bound keeps a bracket small (about
+   6n/accuracy values), the same pass also collects the values strictly
+   inside it -- end-point values are only counted -- and the rank is read off;
 3. brackets that still hold too many rows are narrowed by a bounded histogram
    (``groupBy(bucket)`` over the bracket, filters pushed to the scan) with the
    exact count/min/max of each bucket;
@@ -83,31 +86,52 @@ def exact_quantiles(df: DataFrame, columns, probs, *, max_collect: int = 50_000,
                                  "gmax": first[f"mx{i}"], "below": None, "inside": None,
                                  "value": None, "small": n <= max_collect}
 
-    # pass 2: verify brackets (skipped for small columns: bracket = whole column)
+    # pass 2: verify brackets (skipped for small columns: bracket = whole column).
+    # When the approximation's rank-error bound keeps the values strictly inside
+    # a bracket below ``max_collect``, the same scan also collects them; values
+    # equal to an end point are only counted (a hot value is never collected).
     pending = [key for key, s in state.items() if not s["small"]]
     for key in [k for k, s in state.items() if s["small"]]:
         s = state[key]
         s.update(below=0, inside=s["n"], bmin=s["gmin"], bmax=s["gmax"])
     if pending:
-        aggs = []
-        for j, (c, k) in enumerate(pending):
-            s, x = state[(c, k)], xs[c]
+        aggs, slot = [], {}
+        for key in pending:  # one set of aggregates per distinct (column, bracket)
+            s, c = state[key], key[0]
+            g = (c, s["lo"], s["hi"])
+            s["combined"] = 6.0 * s["n"] / accuracy + 2 <= max_collect
+            if g in slot:
+                continue
+            j = slot[g] = len(slot)
+            x = xs[c]
             inside = (x >= s["lo"]) & (x <= s["hi"])
             aggs += [F.count(F.when(x < s["lo"], 1)).alias(f"b{j}"),
                      F.count(F.when(inside, 1)).alias(f"i{j}"),
                      F.min(F.when(inside, x)).alias(f"l{j}"),
                      F.max(F.when(inside, x)).alias(f"h{j}")]
+            if s["combined"]:
+                strict = (x > s["lo"]) & (x < s["hi"])
+                aggs += [F.count(F.when(x == s["lo"], 1)).alias(f"el{j}"),
+                         F.sort_array(F.collect_list(F.when(strict, x))).alias(f"v{j}")]
         row = df.agg(*aggs).collect()[0]
-        for j, key in enumerate(pending):
+        for key in pending:
             s = state[key]
+            j = slot[(key[0], s["lo"], s["hi"])]
             below, inside = row[f"b{j}"], row[f"i{j}"]
             if below <= key[1] < below + inside:
                 s.update(below=below, inside=inside, bmin=row[f"l{j}"], bmax=row[f"h{j}"])
+                if s["combined"]:
+                    r = key[1] - below
+                    n_lo, mid = row[f"el{j}"], row[f"v{j}"]
+                    s["value"] = (s["lo"] if r < n_lo else mid[r - n_lo] if r - n_lo < len(mid)
+                                  else s["hi"])
             else:  # approximate bracket missed: restart from the whole column
                 s.update(below=0, inside=s["n"], bmin=s["gmin"], bmax=s["gmax"])
 
     # pass 3: narrow big brackets with bounded histograms
     for key, s in state.items():
+        if s["value"] is not None:
+            continue
         c, k = key
         rounds = 0
         while s["bmin"] != s["bmax"] and s["inside"] > max_collect and rounds < max_rounds:

@@ -148,7 +148,7 @@ def run_training(df: DataFrame, target: str, key: str, models: list[str] | None
                                 "feature_importance": feature_importance(model, feats)})
                 fitted[name] = model
             except Exception as e:  # noqa: BLE001 - recorded, the run goes on
-                results.append({"model": name, "status": "failed", "error": str(e)[:500],
+                results.append({"model": name, "status": "failed", "error": str(e)[:6000],
                                 "training_time": time.time() - t0})
         best, warn = select_best(results, chosen)
         return TrainingResult(ptype, target, feats, results, best, warnings + warn, fitted, dictionaries, classes)

@@ -11,9 +11,9 @@ from sparkprep.functions.rank import dense_codes, with_global_index, with_runnin
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
 
-def _check(spark, values, max_collect):
+def _check(spark, values, max_collect, accuracy=10_000):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    got = exact_quantiles(df, ["x"], PROBS, max_collect=max_collect, buckets=16)["x"]
+    got = exact_quantiles(df, ["x"], PROBS, max_collect=max_collect, buckets=16, accuracy=accuracy)["x"]
     want = np.quantile(np.asarray(values, dtype=float), PROBS)
     assert np.allclose(got, want, rtol=0, atol=1e-9)
 
@@ -21,7 +21,8 @@ def _check(spark, values, max_collect):
 def test_histogram_path_with_hot_value(spark):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(0, 10, 4000), np.full(2000, 3.25), rng.exponential(5, 1000)])
-    _check(spark, vals.tolist(), max_collect=50)
+    _check(spark, vals.tolist(), max_collect=50, accuracy=100)   # histogram narrowing
+    _check(spark, vals.tolist(), max_collect=50)                 # one-pass bracket collect
 
 
 def test_small_path(spark):
@@ -32,6 +33,7 @@ def test_small_path(spark):
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=300))
 def test_property(spark, values):
     _check(spark, values, max_collect=20)
+    _check(spark, values, max_collect=5, accuracy=50)
 
 
 def test_all_null_column(spark):
