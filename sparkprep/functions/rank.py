@@ -31,9 +31,10 @@ def _offsets(sizes: dict[int, float], n: int) -> list:
 
 
 def with_global_index(df: DataFrame, order_cols, index_col: str = "_idx",
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, with_count: bool = False):
     """Add the 0-based position of every row in the order ``order_cols``.
-    The order must be total (unique keys) for a deterministic numbering."""
+    The order must be total (unique keys) for a deterministic numbering.
+    ``with_count=True`` also returns the row count (known from the partition sizes)."""
     n = _num_parts(df, num_partitions)
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
@@ -42,8 +43,8 @@ def with_global_index(df: DataFrame, order_cols, index_col: str = "_idx",
     sizes = {r["_pid"]: r["c"] for r in ranged.groupBy("_pid").agg(F.count("*").alias("c")).collect()}
     offs = F.array(*[F.lit(o).cast("long") for o in _offsets(sizes, n)])
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (ranged.withColumn(index_col, F.element_at(offs, F.col("_pid") + 1) + local)
-            .drop("_pid", "_mid"))
+    out = ranged.withColumn(index_col, F.element_at(offs, F.col("_pid") + 1) + local).drop("_pid", "_mid")
+    return (out, int(sum(sizes.values()))) if with_count else out
 
 
 def with_running_total(df: DataFrame, order_cols, value_col: str, out_col: str,
@@ -65,11 +66,12 @@ def with_running_total(df: DataFrame, order_cols, value_col: str, out_col: str,
 
 
 def dense_codes(values: DataFrame, value_col: str, code_col: str = "code",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, with_count: bool = False):
     """Dictionary ``(value, code)``: code = 0-based position of the distinct
-    value in ascending order (a global dense rank)."""
+    value in ascending order (a global dense rank). The table is backed by the
+    checkpointed ranged frame, so its content is fixed."""
     distinct = values.select(value_col).distinct()
-    return with_global_index(distinct, [value_col], code_col, num_partitions)
+    return with_global_index(distinct, [value_col], code_col, num_partitions, with_count)
 
 
 __all__ = ["with_global_index", "with_running_total", "dense_codes"]

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.rank import dense_codes
 from ..operators.encode import BROADCAST_ROWS, INLINE_DICT, distinct_sets
-from ..session import cut_lineage
 
 MISSING_TEXT = "missing"
 
@@ -22,8 +21,8 @@ def fit_train_codes(train: DataFrame, columns) -> dict:
         if small[c] is not None:
             out[c] = {"codes": {v: i for i, v in enumerate(small[c])}}
         else:
-            t = cut_lineage(dense_codes(keyed.select(F.col(c).alias("value")), "value", "code"))
-            out[c] = {"table": t, "size": t.count()}
+            t, size = dense_codes(keyed.select(F.col(c).alias("value")), "value", "code", with_count=True)
+            out[c] = {"table": t, "size": size}
     return out
 
 

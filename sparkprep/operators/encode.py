@@ -127,8 +127,8 @@ class Encoding:
                 label[c] = {"codes": {v: i for i, v in enumerate(small[c])}}
             else:
                 values = df.select(F.coalesce(F.col(c), F.lit(NULL_TEXT)).alias("value"))
-                t = cut_lineage(dense_codes(values, "value", "code"))
-                label[c] = {"size": t.count()}
+                t, size = dense_codes(values, "value", "code", with_count=True)
+                label[c] = {"size": size}
                 tables[f"label_{c}"] = t
             details.setdefault(c, "label encoded")
         target = {}
@@ -139,13 +139,14 @@ class Encoding:
                     details[c] = "target encoding skipped (no target column)"
             else:
                 for c in by_method["target"]:
-                    means = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")) \
-                        .agg(F.avg(F.col(tc).cast("double")).alias("mean"))
+                    # one aggregation, written to the shared checkpoint folder, then counted there
+                    means = cut_lineage(df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value"))
+                                        .agg(F.avg(F.col(tc).cast("double")).alias("mean")))
                     n = means.count()
                     if n <= INLINE_DICT:
                         target[c] = {"means": [[r["value"], r["mean"]] for r in means.orderBy("value").collect()]}
                     else:
-                        tables[f"target_{c}"] = cut_lineage(means)
+                        tables[f"target_{c}"] = means
                         target[c] = {"size": n}
                     details[c] = "target encoded (simplified)"
         return FittedEncoding({"onehot": onehot, "label": label, "target": target},
