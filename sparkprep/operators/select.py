@@ -1,9 +1,12 @@
 """Correlation filter, variance threshold and PCA.
 
-The correlation filter's statistics are one aggregate with a pairwise-complete
-Pearson expression per column pair (k(k-1)/2 small buffers, no data moved);
-the decision table is itself a lazy DataFrame (``correlation_pairs``) so it
-can be checked against SQL. PCA uses ``pyspark.ml`` on centred columns.
+The correlation filter's statistics are aggregates with a pairwise-complete
+Pearson expression per column pair (small fixed buffers, no data moved),
+batched at 256 pairs per job so wide tables do not build one giant plan; with
+40+ null-free columns a single distributed Gramian (``pyspark.ml.stat``)
+replaces the pair aggregates. The decision table is a DataFrame
+(``correlation_pairs``) so it can be checked against SQL. PCA uses
+``pyspark.ml`` on centred columns.
 """
 
 from __future__ import annotations
@@ -25,16 +28,48 @@ def selection_columns(df: DataFrame, columns) -> list[str]:
     return [c for c in columns if c in types and is_numeric_or_bool(types[c])]
 
 
+PAIRS_PER_JOB = 256    # bounds the aggregate expressions per job (3 buffers per pair)
+GRAMIAN_MIN_COLUMNS = 40
+
+
+def _pairs_frame(df: DataFrame, pairs) -> DataFrame:
+    x = lambda c: F.col(c).cast("double")
+    stats = df.agg(*[F.abs(pairwise_corr(x(a), x(b))).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)])
+    stack = ", ".join(f"'{a}', '{b}', `_p{i}`" for i, (a, b) in enumerate(pairs))
+    return stats.selectExpr(f"stack({len(pairs)}, {stack}) as (col_a, col_b, abs_corr)")
+
+
+def _gramian_frame(df: DataFrame, columns) -> DataFrame:
+    """Null-free columns: one distributed Gramian (``pyspark.ml.stat.Correlation``);
+    the k x k matrix is the only thing collected. Constant columns give NULL."""
+    import math
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    vec = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(
+        df.select(*[F.col(c).cast("double").alias(c) for c in columns])).select("_v")
+    m = Correlation.corr(vec, "_v").collect()[0][0].toArray()
+    rows = [(a, b, None if math.isnan(m[i][j]) else abs(float(m[i][j])))
+            for i, a in enumerate(columns) for j, b in enumerate(columns) if j > i]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, abs_corr double")
+
+
 def correlation_pairs(df: DataFrame, columns, threshold: float) -> DataFrame:
-    """Long table ``(col_a, col_b, abs_corr, exceeds)`` for every pair a before b."""
+    """Long table ``(col_a, col_b, abs_corr, exceeds)`` for every pair a before b
+    (pairwise-complete Pearson; NULL where a column is constant)."""
+    columns = list(columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, abs_corr double, exceeds boolean")
-    x = lambda c: F.col(c).cast("double")
-    stats = df.agg(*[F.abs(pairwise_corr(x(a), x(b))).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)])
-    stack = ", ".join(f"'{a}', '{b}', `_p{i}`" for i, (a, b) in enumerate(pairs))
-    return (stats.selectExpr(f"stack({len(pairs)}, {stack}) as (col_a, col_b, abs_corr)")
-            .withColumn("exceeds", F.coalesce(F.col("abs_corr") > F.lit(float(threshold)), F.lit(False))))
+    if len(columns) >= GRAMIAN_MIN_COLUMNS:
+        nulls = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(columns)]).collect()[0]
+        out = _gramian_frame(df, columns) if not any(nulls) else None
+    else:
+        out = None
+    if out is None:
+        for k in range(0, len(pairs), PAIRS_PER_JOB):
+            part = _pairs_frame(df, pairs[k:k + PAIRS_PER_JOB])
+            out = part if out is None else out.unionByName(part)
+    return out.withColumn("exceeds", F.coalesce(F.col("abs_corr") > F.lit(float(threshold)), F.lit(False)))
 
 
 def correlation_decisions(df: DataFrame, columns, threshold: float) -> DataFrame:

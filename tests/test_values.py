@@ -128,3 +128,21 @@ def test_variance_threshold_moves_kept_to_end(spark):
     df = spark.createDataFrame([(1.0, 0.0, 5.0, "x"), (2.0, 0.0, 7.0, "y")], "a double, z double, b double, s string")
     f = FeatureSelection([], "variance_threshold", threshold=0.0).fit(df)
     assert f.transform(df).columns == ["s", "a", "b"]
+
+
+def test_correlation_paths_agree(spark):
+    import numpy as np
+    from sparkprep.operators import select as S
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(300, 3))
+    data = np.column_stack([base, base[:, 0] * 2 + rng.normal(scale=0.01, size=300), np.ones(300)])
+    cols = [f"c{i}" for i in range(data.shape[1])]
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in data], ", ".join(f"{c} double" for c in cols))
+    small = {(r["col_a"], r["col_b"]): r["abs_corr"] for r in S._pairs_frame(df, [(a, b) for i, a in enumerate(cols)
+                                                                                 for b in cols[i + 1:]]).collect()}
+    gram = {(r["col_a"], r["col_b"]): r["abs_corr"] for r in S._gramian_frame(df, cols).collect()}
+    assert small.keys() == gram.keys()
+    for k in small:
+        assert (small[k] is None) == (gram[k] is None)
+        if small[k] is not None:
+            assert abs(small[k] - gram[k]) < 1e-9
