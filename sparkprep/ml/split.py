@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.rank import with_global_index
 
 SEED = 42
+MAX_STRATA = 10_000  # class counts and quotas are kept as literals
 
 
 def split_bucket(key: Column, seed: int = SEED) -> Column:
@@ -37,7 +38,11 @@ def hash_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = SEED
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = SEED) -> DataFrame:
     """Inside each class the first ``round(test_size * n_class)`` rows by hash are test rows."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # <= classes
+    per_class = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    top = per_class.limit(MAX_STRATA + 1).collect()  # one row per class, checked before use
+    if len(top) > MAX_STRATA:
+        raise ValueError(f"stratified split supports at most {MAX_STRATA} classes")
+    counts = {r[label]: r["n"] for r in top}
     keys = sorted(counts, key=lambda v: (v is None, v))
     start, acc = {}, 0
     for k in keys:
