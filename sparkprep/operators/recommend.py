@@ -382,3 +382,43 @@ def training_recommendations(df: DataFrame, target: str) -> dict:
     return {"target_analysis": ta.collect()[0].asDict(), "problem_type": row["problem_type"],
             "recommended_models": [r.asDict() for r in models.orderBy("rank").collect()],
             "n_samples": row["total_samples"], "n_features": n_features}
+
+
+# ---------------------------------------------------------------- R13
+STEP_RULES = ("scaling", "encoding", "binning", "polynomial", "datetime_decomposition", "feature_selection")
+
+
+def column_eligibility(df: DataFrame) -> DataFrame:
+    """Per (column, step) whether the column suits the step, why, and the
+    suggested method (encoding: one-hot up to 100 distinct values, else label)."""
+    from ..functions.types import is_datetime as _is_dt
+    from .profile import column_profile
+    kinds = {f.name: ("numeric" if is_numeric(f.dataType) else "datetime" if _is_dt(f.dataType) else "other")
+             for f in df.schema.fields}
+    kind = F.element_at(F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), F.lit(v))]), F.col("column"))
+    prof = column_profile(df).select("column", "null_count", "distinct_count", kind.alias("kind"))
+    num, dt = F.col("kind") == "numeric", F.col("kind") == "datetime"
+    nulls = F.col("null_count").cast("string")
+    rules = {
+        "scaling": (num, F.when(~num, F.lit("Cannot scale non-numeric columns"))
+                    .when(F.col("null_count") > 0, F.concat(F.lit("Numeric column ("), nulls, F.lit(" nulls) - good for scaling")))
+                    .otherwise(F.lit("Numeric column - good for scaling")), F.lit("standard")),
+        "encoding": (~num & ~dt, F.when(num, F.lit("Already numeric - no encoding needed"))
+                     .when(dt, F.lit("Use DateTime Decomposition instead"))
+                     .when(F.col("null_count") > 0, F.concat(F.lit("Categorical/Text column ("), nulls,
+                                                            F.lit(" nulls) - good for encoding")))
+                     .otherwise(F.lit("Categorical/Text column - good for encoding")),
+                     F.when(F.col("distinct_count") <= 100, F.lit("one-hot")).otherwise(F.lit("label"))),
+        "binning": (num, F.when(~num, F.lit("Cannot bin non-numeric columns"))
+                    .otherwise(F.lit("Numeric column - good for binning")), F.lit("equal-width")),
+        "polynomial": (num, F.when(~num, F.lit("Cannot create polynomial features from non-numeric columns"))
+                       .otherwise(F.lit("Numeric column - good for polynomial expansion")), F.lit(None).cast("string")),
+        "datetime_decomposition": (dt, F.when(~dt, F.lit("Only datetime columns can be decomposed"))
+                                   .otherwise(F.lit("DateTime column - good for decomposition")),
+                                   F.lit(None).cast("string")),
+        "feature_selection": (num, F.when(~num, F.lit("Feature selection works best on numeric features"))
+                              .otherwise(F.lit("Numeric feature - good for selection")), F.lit(None).cast("string")),
+    }
+    arr = F.array(*[F.struct(F.lit(step).alias("step"), valid.alias("is_valid"), why.alias("reason"),
+                             sug.alias("suggestion")) for step, (valid, why, sug) in rules.items()])
+    return prof.select("column", F.explode(arr).alias("r")).select("column", "r.*")

@@ -341,3 +341,43 @@ def q_model_recommendations(spark, sf):
             .select(F.lit(c).alias("target"), "*")
         out = m if out is None else out.unionByName(m)
     return out
+
+
+def _eligibility_sql(tb: str, src: str) -> str:
+    parts = []
+    for c, t in SCHEMAS[tb]:
+        kind = "numeric" if t in NUMERIC_TYPES else "datetime" if t.startswith("timestamp") else "other"
+        parts.append(f"SELECT '{c}' AS \"column\", '{kind}' AS kind, count(*) FILTER (WHERE {c} IS NULL) AS nulls, "
+                     f"count(DISTINCT {c}) AS d FROM {src}")
+    body = "\nUNION ALL ".join(parts)
+    num, dt = "kind = 'numeric'", "kind = 'datetime'"
+    rows = [
+        ("scaling", num, f"CASE WHEN NOT {num} THEN 'Cannot scale non-numeric columns' WHEN nulls > 0 THEN "
+         "'Numeric column (' || nulls || ' nulls) - good for scaling' ELSE 'Numeric column - good for scaling' END",
+         "'standard'"),
+        ("encoding", f"NOT {num} AND NOT {dt}", f"CASE WHEN {num} THEN 'Already numeric - no encoding needed' "
+         f"WHEN {dt} THEN 'Use DateTime Decomposition instead' WHEN nulls > 0 THEN 'Categorical/Text column (' || "
+         "nulls || ' nulls) - good for encoding' ELSE 'Categorical/Text column - good for encoding' END",
+         "CASE WHEN d <= 100 THEN 'one-hot' ELSE 'label' END"),
+        ("binning", num, f"CASE WHEN NOT {num} THEN 'Cannot bin non-numeric columns' ELSE "
+         "'Numeric column - good for binning' END", "'equal-width'"),
+        ("polynomial", num, f"CASE WHEN NOT {num} THEN 'Cannot create polynomial features from non-numeric columns' "
+         "ELSE 'Numeric column - good for polynomial expansion' END", "NULL"),
+        ("datetime_decomposition", dt, f"CASE WHEN NOT {dt} THEN 'Only datetime columns can be decomposed' ELSE "
+         "'DateTime column - good for decomposition' END", "NULL"),
+        ("feature_selection", num, f"CASE WHEN NOT {num} THEN 'Feature selection works best on numeric features' "
+         "ELSE 'Numeric feature - good for selection' END", "NULL"),
+    ]
+    sel = "\nUNION ALL ".join(f"SELECT \"column\", '{st}' AS step, {v} AS is_valid, {why} AS reason, "
+                              f"CAST({sug} AS VARCHAR) AS suggestion FROM p" for st, v, why, sug in rows)
+    return f"p AS ({body})\n{sel}"
+
+
+@query("column_eligibility", W + ",\n" + _eligibility_sql("clean_events", "clean_events").replace("p AS (", "p AS (", 1))
+def q_column_eligibility(spark, sf):
+    return R.column_eligibility(_source(spark, sf, "clean_events"))
+
+
+@query("column_eligibility_orders", "WITH " + _eligibility_sql("orders", "orders"))
+def q_column_eligibility_orders(spark, sf):
+    return R.column_eligibility(table(spark, sf, "orders"))
