@@ -7,14 +7,14 @@ column. Instead:
 
 1. one aggregate pass: count, min, max and a ``percentile_approx`` bracket
    around every wanted rank (rank error <= n/accuracy);
-2. one pass that counts rows below and inside every bracket (verifies it);
-   when the approximation's rank-error bound keeps a bracket small (about
-   6n/accuracy values), the same pass also collects the values strictly
-   inside it -- end-point values are only counted -- and the rank is read off;
+2. one count pass verifies every bracket (rows below, inside, and equal to
+   each end point); a rank that falls on an end point -- e.g. a value that
+   holds a third of all rows -- is resolved from counts alone;
 3. brackets that still hold too many rows are narrowed by a bounded histogram
    (``groupBy(bucket)`` over the bracket, filters pushed to the scan) with the
    exact count/min/max of each bucket;
-4. one pass collects the few values left in each bracket (size checked first)
+4. one pass collects the few values left in each bracket (size counted first;
+   rows outside every bracket are filtered before the collecting aggregate)
    and the order statistics are read off exactly.
 
 Only fixed-size results reach the driver: counts, at most ``buckets`` rows per
@@ -86,51 +86,47 @@ def exact_quantiles(df: DataFrame, columns, probs, *, max_collect: int = 50_000,
                                  "gmax": first[f"mx{i}"], "below": None, "inside": None,
                                  "value": None, "small": n <= max_collect}
 
-    # pass 2: verify brackets (skipped for small columns: bracket = whole column).
-    # When the approximation's rank-error bound keeps the values strictly inside
-    # a bracket below ``max_collect``, the same scan also collects them; values
-    # equal to an end point are only counted (a hot value is never collected).
+    # pass 2: one codegen-friendly count pass verifies every bracket: rows below,
+    # inside, min/max inside, and rows equal to each end point. A rank that lands
+    # on an end point (e.g. a value holding a third of the rows) resolves here.
     pending = [key for key, s in state.items() if not s["small"]]
     for key in [k for k, s in state.items() if s["small"]]:
         s = state[key]
-        s.update(below=0, inside=s["n"], bmin=s["gmin"], bmax=s["gmax"])
+        s.update(below=0, inside=s["n"], bmin=s["gmin"], bmax=s["gmax"], strict=False)
     if pending:
         aggs, slot = [], {}
         for key in pending:  # one set of aggregates per distinct (column, bracket)
             s, c = state[key], key[0]
             g = (c, s["lo"], s["hi"])
-            s["combined"] = 6.0 * s["n"] / accuracy + 2 <= max_collect
             if g in slot:
                 continue
             j = slot[g] = len(slot)
             x = xs[c]
             inside = (x >= s["lo"]) & (x <= s["hi"])
-            aggs += [F.count(F.when(x < s["lo"], 1)).alias(f"b{j}"),
-                     F.count(F.when(inside, 1)).alias(f"i{j}"),
-                     F.min(F.when(inside, x)).alias(f"l{j}"),
-                     F.max(F.when(inside, x)).alias(f"h{j}")]
-            if s["combined"]:
-                strict = (x > s["lo"]) & (x < s["hi"])
-                aggs += [F.count(F.when(x == s["lo"], 1)).alias(f"el{j}"),
-                         F.sort_array(F.collect_list(F.when(strict, x))).alias(f"v{j}")]
+            aggs += [F.count(F.when(x < s["lo"], 1)).alias(f"b{j}"), F.count(F.when(inside, 1)).alias(f"i{j}"),
+                     F.min(F.when(inside, x)).alias(f"l{j}"), F.max(F.when(inside, x)).alias(f"h{j}"),
+                     F.count(F.when(x == s["lo"], 1)).alias(f"el{j}"), F.count(F.when(x == s["hi"], 1)).alias(f"eh{j}")]
         row = df.agg(*aggs).collect()[0]
         for key in pending:
             s = state[key]
             j = slot[(key[0], s["lo"], s["hi"])]
             below, inside = row[f"b{j}"], row[f"i{j}"]
-            if below <= key[1] < below + inside:
-                s.update(below=below, inside=inside, bmin=row[f"l{j}"], bmax=row[f"h{j}"])
-                if s["combined"]:
-                    r = key[1] - below
-                    n_lo, mid = row[f"el{j}"], row[f"v{j}"]
-                    s["value"] = (s["lo"] if r < n_lo else mid[r - n_lo] if r - n_lo < len(mid)
-                                  else s["hi"])
-            else:  # approximate bracket missed: restart from the whole column
-                s.update(below=0, inside=s["n"], bmin=s["gmin"], bmax=s["gmax"])
+            if not below <= key[1] < below + inside:  # approximate bracket missed: whole column
+                s.update(below=0, inside=s["n"], bmin=s["gmin"], bmax=s["gmax"], strict=False)
+                continue
+            s.update(below=below, inside=inside, bmin=row[f"l{j}"], bmax=row[f"h{j}"], strict=False)
+            r, n_lo, n_hi = key[1] - below, row[f"el{j}"], row[f"eh{j}"]
+            if r < n_lo:
+                s["value"] = s["lo"]
+            elif r >= inside - n_hi:
+                s["value"] = s["hi"]
+            elif inside - n_lo - n_hi <= max_collect:
+                # collect only the values strictly between the end points
+                s.update(strict=True, below=below + n_lo, inside=inside - n_lo - n_hi)
 
     # pass 3: narrow big brackets with bounded histograms
     for key, s in state.items():
-        if s["value"] is not None:
+        if s["value"] is not None or s["strict"]:
             continue
         c, k = key
         rounds = 0
@@ -155,15 +151,22 @@ def exact_quantiles(df: DataFrame, columns, probs, *, max_collect: int = 50_000,
         if s["bmin"] == s["bmax"]:
             s["value"] = s["bmin"]
 
-    # pass 4: collect the (checked, bounded) values left in each bracket
+    # pass 4: collect the values left in each open bracket (their number was
+    # counted above). Rows outside every open bracket are filtered out first, so
+    # the collecting aggregate only sees those few rows.
     open_keys = [key for key, s in state.items() if s["value"] is None]
     if open_keys:
-        aggs = []
-        for j, (c, k) in enumerate(open_keys):
-            s, x = state[(c, k)], xs[c]
-            aggs.append(F.sort_array(F.collect_list(
-                F.when((x >= s["bmin"]) & (x <= s["bmax"]), x))).alias(f"v{j}"))
-        row = df.agg(*aggs).collect()[0]
+        conds = {}
+        for key in open_keys:
+            s, x = state[key], xs[key[0]]
+            conds[key] = ((x > s["lo"]) & (x < s["hi"])) if s["strict"] else ((x >= s["bmin"]) & (x <= s["bmax"]))
+        keep = None
+        for cnd in conds.values():
+            keep = cnd if keep is None else keep | cnd
+        near = df.where(keep)
+        aggs = [F.sort_array(F.collect_list(F.when(conds[key], xs[key[0]]))).alias(f"v{j}")
+                for j, key in enumerate(open_keys)]
+        row = near.agg(*aggs).collect()[0]
         for j, key in enumerate(open_keys):
             s = state[key]
             s["value"] = row[f"v{j}"][key[1] - s["below"]]
