@@ -54,6 +54,13 @@ def preview_records(df: DataFrame, row_key: str, limit: int = 1000) -> DataFrame
     return json_safe(standardize_missing(df)).orderBy(row_key).limit(limit)
 
 
+def dataset_preview(df: DataFrame, row_key: str, limit: int = 1000, approx: bool = False) -> dict:
+    """Column profile rows, the first ``limit`` records in key order and the total row count."""
+    return {"columns": [r.asDict() for r in column_profile(df, row_key, approx).collect()],
+            "records": [r.asDict() for r in preview_records(df, row_key, limit).collect()],
+            "total_rows": df.count()}
+
+
 # ------------------------------------------------------------------ Q1-Q6
 def missing_table(df: DataFrame) -> DataFrame:
     """``(column, count, percentage, type)`` for columns with nulls."""

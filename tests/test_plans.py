@@ -86,3 +86,20 @@ def test_stream_replay(spark, sf_dir, scratch):
     with pytest.raises(ValueError):
         from sparkprep.operators import RemoveDuplicates
         replay_stream(spark.readStream.schema(df.schema).parquet(src), [RemoveDuplicates().fit(df)])
+
+
+def test_cleaning_details_and_preview(spark, sf_dir):
+    from sparkprep.fixtures import clean_events
+    from sparkprep.operators.profile import dataset_preview
+    from sparkprep.plans.cleaning import CleanSpec, run_cleaning
+    from sparkprep.queries.cleaning import CLEAN_RUN_SPEC
+    res = run_cleaning(clean_events(spark, sf_dir), CleanSpec(**CLEAN_RUN_SPEC))
+    d = {x["operation"]: x for x in res.details()}
+    assert d["remove_outliers"]["method"] == "IQR" and "value" in d["remove_outliers"]["bounds"]
+    fills = {x["column"]: x for x in d["fill_nulls"]["summary"]}
+    assert fills["value"]["strategy"] == "median" and fills["event_type"]["strategy"] == "mode"
+    log = {r["operation"]: r["rows_removed"] for r in res.change_log().collect()}
+    assert log["drop_columns"] == 0 and log["remove_duplicates"] > 0
+    res.release()
+    p = dataset_preview(table(spark, sf_dir, "customer"), "c_custkey", 10)
+    assert len(p["records"]) == 10 and p["total_rows"] > 10 and len(p["columns"]) == 5
