@@ -181,5 +181,16 @@ def exact_quantiles(df: DataFrame, columns, probs, *, max_collect: int = 50_000,
     return out
 
 
+def order_statistic(df: DataFrame, column: str, rank: int, n: int, **kw) -> float:
+    """The value at 0-based position ``rank`` among the ``n`` non-null values
+    (compared as doubles), via the same bounded passes."""
+    if n <= 1:
+        return exact_quantiles(df, [column], [0.0], **kw)[column][0]
+    p = rank / (n - 1)
+    while _positions(n, p)[0] < rank:  # guard float rounding so floor((n-1)p) == rank
+        p = math.nextafter(p, 2.0)
+    return exact_quantiles(df, [column], [p], **kw)[column][0]
+
+
 def median(df: DataFrame, columns) -> dict[str, float | None]:
     return {c: v[0] for c, v in exact_quantiles(df, columns, [0.5]).items()}

@@ -13,10 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import order_statistic
 from ..functions.rank import with_global_index
 
 SEED = 42
 MAX_STRATA = 10_000  # class counts and quotas are kept as literals
+THRESHOLD_CLASSES = 16  # up to this many classes: per-class hash thresholds
+WINDOW = 256
+MAX_WINDOW_ROWS = 100_000
 
 
 def split_bucket(key: Column, seed: int = SEED) -> Column:
@@ -37,12 +41,48 @@ def hash_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = SEED
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = SEED) -> DataFrame:
-    """Inside each class the first ``round(test_size * n_class)`` rows by hash are test rows."""
+    """Inside each class the first ``round(test_size * n_class)`` rows by
+    (hash, key) are test rows. Per class the hash at that rank is found with the
+    bounded order-statistic passes over two columns -- no shuffle or checkpoint
+    of the data -- and rows tied on the 60-bit hash at the threshold (a handful)
+    are split by key."""
     per_class = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     top = per_class.limit(MAX_STRATA + 1).collect()  # one row per class, checked before use
     if len(top) > MAX_STRATA:
         raise ValueError(f"stratified split supports at most {MAX_STRATA} classes")
-    counts = {r[label]: r["n"] for r in top}
+    if len(top) > THRESHOLD_CLASSES:
+        return _stratified_by_rank(df, key, label, test_size, seed, {r[label]: r["n"] for r in top})
+    hashed = df.select(F.col(key).alias("_k"), F.col(label).alias("_y"), split_hash(F.col(key), seed).alias("_h"))
+    rules = []
+    for r in top:
+        c, n = r[label], r["n"]
+        quota = int(test_size * n + 0.5)
+        cls = F.col(label).isNull() if c is None else (F.col(label) == F.lit(c))
+        if quota <= 0:
+            continue
+        if quota >= n:
+            rules.append(cls)
+            continue
+        part = hashed.where(F.col("_y").isNull() if c is None else (F.col("_y") == F.lit(c)))
+        # the quota-th hash, found on doubles (exact to +-64 at 60 bits), then made
+        # exact on integers inside a +-256 window (a handful of rows at most)
+        t = int(order_statistic(part.select(F.col("_h").cast("double").alias("_hd")), "_hd", quota, n))
+        lo_w, hi_w = t - WINDOW, t + WINDOW
+        below = part.where(F.col("_h") < F.lit(lo_w)).count()
+        in_window = part.where((F.col("_h") >= F.lit(lo_w)) & (F.col("_h") <= F.lit(hi_w)))
+        if in_window.count() > MAX_WINDOW_ROWS:
+            raise RuntimeError("hash window unexpectedly large")
+        chosen = [x["_k"] for x in in_window.orderBy("_h", "_k").limit(max(quota - below, 0)).collect()]
+        h = split_hash(F.col(key), seed)
+        rules.append(cls & ((h < F.lit(lo_w)) | (((h >= F.lit(lo_w)) & (h <= F.lit(hi_w))) & F.col(key).isin(chosen))))
+    cond = F.lit(False)
+    for r in rules:
+        cond = cond | r
+    return df.withColumn("is_test", cond)
+
+
+def _stratified_by_rank(df, key, label, test_size, seed, counts):
+    """Many classes: one global ranking over (class, hash, key)."""
     keys = sorted(counts, key=lambda v: (v is None, v))
     start, acc = {}, 0
     for k in keys:

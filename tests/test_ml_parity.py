@@ -52,3 +52,19 @@ def test_hash_split_is_deterministic_and_sized(spark):
     b = hash_split(df, "k", 0.2).where("is_test").count()
     assert a == b and abs(a / 20000 - 0.2) < 0.02
     assert df.select(split_bucket(F.col("k")).alias("b")).agg(F.max("b")).collect()[0][0] < 10000
+
+
+def test_stratified_split_against_brute_force(spark):
+    from pyspark.sql import Window
+    from sparkprep.ml import split as S
+    df = spark.range(120_000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("y"))
+    w = Window.partitionBy("y").orderBy(S.split_hash(F.col("k")), F.col("k"))
+    cnt = Window.partitionBy("y")
+    brute = df.select("k", ((F.row_number().over(w) - 1) <
+                            F.floor(F.count(F.lit(1)).over(cnt) * 0.2 + 0.5)).alias("want"))
+    got = S.stratified_split(df, "k", "y", 0.2)
+    bad = got.join(brute, "k").where(F.col("is_test") != F.col("want")).count()
+    assert bad == 0
+    many = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 40).alias("y"))
+    got2 = S.stratified_split(many, "k", "y", 0.2)   # > 16 classes: global-rank path
+    assert got2.where("is_test").count() == sum(int(0.2 * 75 + 0.5) for _ in range(40))
