@@ -26,7 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _TABLES[key]
 
 
+def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Reuse a derived view's DataFrame (its plan, not its data) per session."""
+    key = (id(spark._jsparkSession), sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = build()
+    return _TABLES[key]
+
+
 def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo(spark, sf_dir, "dirty_events", lambda: _dirty_events(spark, sf_dir))
+
+
+def _dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     eid = F.col("event_id")
     d = ev.select(
@@ -42,7 +54,7 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``dirty_events`` after the missing-marker rule."""
-    return standardize_missing(dirty_events(spark, sf_dir))
+    return _memo(spark, sf_dir, "clean_events", lambda: standardize_missing(dirty_events(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- SQL twins
