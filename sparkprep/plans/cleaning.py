@@ -46,7 +46,7 @@ class CleanResult:
     def details(self) -> list[dict]:
         """Per step the fitted details (columns, strategy/value, bounds,
         method, factor) -- fitted parameters only, no data rows."""
-        return [{"step": i + 1, "operation": name, **(f.meta or {})}
+        return [{"step": i + 1, "step_type": name, **(f.meta or {})}
                 for i, ((name, _), f) in enumerate(zip(self.stages[1:], self.steps))]
 
     def release(self) -> None:

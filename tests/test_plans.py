@@ -94,7 +94,7 @@ def test_cleaning_details_and_preview(spark, sf_dir):
     from sparkprep.plans.cleaning import CleanSpec, run_cleaning
     from sparkprep.queries.cleaning import CLEAN_RUN_SPEC
     res = run_cleaning(clean_events(spark, sf_dir), CleanSpec(**CLEAN_RUN_SPEC))
-    d = {x["operation"]: x for x in res.details()}
+    d = {x["step_type"]: x for x in res.details()}
     assert d["remove_outliers"]["method"] == "IQR" and "value" in d["remove_outliers"]["bounds"]
     fills = {x["column"]: x for x in d["fill_nulls"]["summary"]}
     assert fills["value"]["strategy"] == "median" and fills["event_type"]["strategy"] == "mode"
