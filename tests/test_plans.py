@@ -103,3 +103,26 @@ def test_cleaning_details_and_preview(spark, sf_dir):
     res.release()
     p = dataset_preview(table(spark, sf_dir, "customer"), "c_custkey", 10)
     assert len(p["records"]) == 10 and p["total_rows"] > 10 and len(p["columns"]) == 5
+
+
+def test_json_safe_types(spark):
+    import datetime as dt
+    import decimal
+    from sparkprep.sources.readers import json_safe
+    df = spark.createDataFrame(
+        [(bytearray(b"ok"), decimal.Decimal("1.50"), dt.date(2024, 1, 2), {"b": 1, "a": 2}, [1, 2], float("inf"))],
+        "b binary, d decimal(5,2), day date, m map<string,int>, a array<int>, f double")
+    r = json_safe(df).collect()[0]
+    assert (r["b"], r["d"], r["day"], r["a"], r["f"]) == ("ok", 1.5, "2024-01-02", "[1,2]", None)
+    assert r["m"] in ('{"b":1,"a":2}', '{"a":2,"b":1}')
+
+
+def test_diff_maps_arrays_nan(spark):
+    from sparkprep.operators.diff import deleted_rows, updated_cells
+    a = spark.createDataFrame([(1, {"x": 1, "y": 2}, [1], float("nan")), (2, {"x": 1}, [2], 1.0), (3, None, None, None)],
+                              "k int, m map<string,int>, a array<int>, f double")
+    b = spark.createDataFrame([(1, {"y": 2, "x": 1}, [1], None), (2, {"x": 2}, [2, 3], 1.0)],
+                              "k int, m map<string,int>, a array<int>, f double")
+    cells = sorted((r["row_id"], r["column"]) for r in updated_cells(a, b, "k").collect())
+    assert cells == [(2, "a"), (2, "m")]   # NaN vs NULL and reordered map keys are equal
+    assert [r["k"] for r in deleted_rows(a, b, "k").collect()] == [3]
