@@ -181,15 +181,16 @@ def quality_report(df: DataFrame, exclude: tuple = (), approx: bool = False) ->
 
 
 # ------------------------------------------------------------------ P5
-def column_insights(df: DataFrame) -> DataFrame:
+def column_insights(df: DataFrame, approx: bool = False) -> DataFrame:
     """P5: per column type flags, cardinality, missing count/%, and for numeric
-    (booleans included) min/max/mean/sample std."""
+    (booleans included) min/max/mean/sample std. ``approx=True`` uses
+    HyperLogLog cardinalities (no per-column row expansion on wide tables)."""
     aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
     for i, f in enumerate(df.schema.fields):
         c, dt = F.col(f.name), f.dataType
         num = is_numeric_or_bool(dt)
         x = c.cast("double")
-        aggs += [F.count_distinct(c).alias(f"d{i}"), F.count(F.when(c.isNull(), 1)).alias(f"m{i}")]
+        aggs += [_distinct(c, approx).alias(f"d{i}"), F.count(F.when(c.isNull(), 1)).alias(f"m{i}")]
         if num:
             aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"mu{i}"),
                      F.stddev_samp(x).alias(f"sd{i}")]

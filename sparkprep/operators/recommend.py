@@ -108,9 +108,9 @@ def fill_strategy_extended(name: Column, dtype: Column, null_count: Column) -> t
 
 
 # ---------------------------------------------------------------- R1-R5, R8
-def cleaning_profile(df: DataFrame) -> DataFrame:
+def cleaning_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per column: position, dtype, rows, nulls, missing %, distinct, numeric flag."""
-    t = column_insights(df)
+    t = column_insights(df, approx)
     pos = F.array_position(F.array(*[F.lit(c) for c in df.columns]), F.col("name")).cast("int")
     return t.select(pos.alias("pos"), F.col("name").alias("column"), "dtype", "cardinality", "missing_count",
                     "missing_percentage", (F.col("dtype").rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
@@ -158,10 +158,10 @@ def rows_with_any_null(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.when(anynull, 1)).alias("null_rows"), F.count(F.lit(1)).alias("rows"))
 
 
-def cleaning_suggestions(df: DataFrame, extended: bool = False) -> dict:
+def cleaning_suggestions(df: DataFrame, extended: bool = False, approx: bool = False) -> dict:
     """R1-R8 bundle (build_preprocessing_suggestions)."""
     df = standardize_missing(df)
-    prof = cleaning_profile(df).cache()
+    prof = cleaning_profile(df, approx).cache()
     try:
         rc = rows_with_any_null(df).collect()[0]
         rows, null_rows = rc["rows"], rc["null_rows"]
@@ -280,14 +280,14 @@ def quality_notes(insights: DataFrame) -> DataFrame:
     return agg.select(F.explode(F.when(F.size(found) > 0, found).otherwise(ok)).alias("n")).select("n.*")
 
 
-def insights_with_position(df: DataFrame) -> DataFrame:
+def insights_with_position(df: DataFrame, approx: bool = False) -> DataFrame:
     pos = F.array_position(F.array(*[F.lit(c) for c in df.columns]), F.col("name")).cast("int")
-    return column_insights(df).withColumn("pos", pos)
+    return column_insights(df, approx).withColumn("pos", pos)
 
 
-def analyze_dataset(df: DataFrame, filename: str = "") -> dict:
+def analyze_dataset(df: DataFrame, filename: str = "", approx: bool = False) -> dict:
     """Column insights + step suggestions + order + notes."""
-    ins = insights_with_position(df).cache()
+    ins = insights_with_position(df, approx).cache()
     try:
         recs = step_recommendations(ins, len(df.columns))
         return {"filename": filename, "total_rows": df.count(), "total_columns": len(df.columns),

@@ -126,3 +126,11 @@ def test_diff_maps_arrays_nan(spark):
     cells = sorted((r["row_id"], r["column"]) for r in updated_cells(a, b, "k").collect())
     assert cells == [(2, "a"), (2, "m")]   # NaN vs NULL and reordered map keys are equal
     assert [r["k"] for r in deleted_rows(a, b, "k").collect()] == [3]
+
+
+def test_approx_insights_close(spark, sf_dir):
+    from sparkprep.operators.profile import column_insights
+    df = table(spark, sf_dir, "customer")
+    exact = {r["name"]: r["cardinality"] for r in column_insights(df).collect()}
+    approx = {r["name"]: r["cardinality"] for r in column_insights(df, approx=True).collect()}
+    assert all(abs(approx[k] - v) <= max(2, 0.1 * v) for k, v in exact.items())
