@@ -134,3 +134,12 @@ def test_approx_insights_close(spark, sf_dir):
     exact = {r["name"]: r["cardinality"] for r in column_insights(df).collect()}
     approx = {r["name"]: r["cardinality"] for r in column_insights(df, approx=True).collect()}
     assert all(abs(approx[k] - v) <= max(2, 0.1 * v) for k, v in exact.items())
+
+
+def test_deep_page_matches_offset(spark):
+    from sparkprep.operators import views as V
+    df = spark.range(300_000).select(F.col("id"), ((F.col("id") * 7919) % 1000).alias("v"))
+    order = [F.col("v"), F.col("id")]
+    deep = V.page(df, order, 150_000 // 50, 50, key_cols=["v", "id"]).collect()
+    shallow = df.orderBy(*order).offset(150_000).limit(50).collect()
+    assert [tuple(r) for r in deep] == [tuple(r) for r in shallow]
