@@ -146,3 +146,35 @@ def test_correlation_paths_agree(spark):
         assert (small[k] is None) == (gram[k] is None)
         if small[k] is not None:
             assert abs(small[k] - gram[k]) < 1e-9
+
+
+def test_fill_errors_and_notes(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, None, 3)], "k int, s string, n int")
+    with pytest.raises(TypeError):
+        FillNulls({"s": {"strategy": "mean"}}).fit(df)           # mean of text -> error naming the column
+    with pytest.raises(TypeError):
+        FillNulls({"n": {"strategy": "custom", "value": "abc"}}).fit(df)
+    f = FillNulls({"n": {"strategy": "custom"}, "s": {"strategy": "unknown"}, "zz": {"strategy": "mean"}}).fit(df)
+    assert f.params["values"] == {"n": None, "s": None}       # no value -> column unchanged, noted
+    assert [x.get("note") for x in f.meta["summary"]] == ["no fill value; column unchanged"] * 2
+    assert col(f.transform(df), "n") == [None, 3]
+
+
+def test_drop_columns_and_outlier_skips(spark):
+    from sparkprep.operators import DropColumns, RemoveOutliers
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "b", 100.0)], "k int, s string, x double")
+    f = DropColumns(["s", "nope"]).fit(df)
+    assert f.meta["columns"] == ["s"] and f.transform(df).columns == ["k", "x"]
+    none = RemoveOutliers(["s"]).fit(df)
+    assert none.params["bounds"] == {} and none.transform(df).count() == 2
+    z = RemoveOutliers(["x"], "zscore", 3.0).fit(spark.createDataFrame([(1, 5.0), (2, 5.0)], "k int, x double"))
+    assert z.params["bounds"]["x"]["lower"] is None            # zero spread keeps every row
+
+
+def test_encoding_skips_and_unknown_methods(spark):
+    df = spark.createDataFrame([(1, "a", 2.0)], "k int, s string, x double")
+    f = Encoding(["x", "missing", "s"], "one-hot", {"s": "weird"}).fit(df)
+    assert f.meta["details"] == {"x": "skipped (non-categorical)", "missing": "skipped (column not found)",
+                                 "s": "skipped (unknown method: weird)"}
+    t = Encoding(["s"], "target").fit(df)
+    assert t.meta["details"]["s"] == "target encoding skipped (no target column)"
