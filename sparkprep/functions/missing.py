@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .types import is_collection, is_floating, is_text
+from .types import is_collection, is_floating, is_text, qcol
 
 # Fixed values that must equal the reference's rule (compared after strip()).
 MISSING_WORDS = ("na", "n/a", "none", "null", "nan")  # compared lower-cased
@@ -31,7 +31,7 @@ def is_missing_text(c: Column, words=MISSING_WORDS, shapes=EMPTY_SHAPES) -> Colu
 
 
 def normalized_column(name: str, dt, words=MISSING_WORDS, shapes=EMPTY_SHAPES) -> Column:
-    c = F.col(name)
+    c = qcol(name)
     if is_floating(dt):
         out = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
     elif is_text(dt):

@@ -27,6 +27,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from .types import qcol
 
 
 def _lerp(a: float, b: float, t: float) -> float:
@@ -51,7 +52,7 @@ def exact_quantiles(df: DataFrame, columns, probs, *, max_collect: int = 50_000,
     probs = [float(p) for p in probs]
     if not columns:
         return {}
-    xs = {c: F.col(c).cast("double") for c in columns}
+    xs = {c: qcol(c).cast("double") for c in columns}
     eps = 2.0 / accuracy
     grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
     aggs = []

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .types import qcol
 
 
 def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
@@ -61,7 +62,7 @@ def with_running_total(df: DataFrame, order_cols, value_col: str, out_col: str,
              ranged.groupBy("_pid").agg(F.sum(value_col).alias("s")).collect()}
     offs = F.array(*[F.lit(float(o)) for o in _offsets(sizes, n)])
     w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = F.sum(F.coalesce(F.col(value_col).cast("double"), F.lit(0.0))).over(w)
+    local = F.sum(F.coalesce(qcol(value_col).cast("double"), F.lit(0.0))).over(w)
     return ranged.withColumn(out_col, F.element_at(offs, F.col("_pid") + 1) + local).drop("_pid")
 
 

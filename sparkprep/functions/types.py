@@ -50,3 +50,10 @@ def text_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
 
 def type_name(dt: T.DataType) -> str:
     return dt.simpleString()
+
+
+def qcol(name: str):
+    """Reference a column by its literal name (dots, spaces and backticks in
+    user column names or one-hot values are not parsed as nested fields)."""
+    from pyspark.sql import functions as F
+    return F.col("`" + name.replace("`", "``") + "`")

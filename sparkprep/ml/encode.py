@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 
 from ..functions.rank import dense_codes
 from ..operators.encode import BROADCAST_ROWS, INLINE_DICT, distinct_sets
+from ..functions.types import qcol
 
 MISSING_TEXT = "missing"
 
 
 def fit_train_codes(train: DataFrame, columns) -> dict:
     """``{column: {"codes": {value: code}} | {"table": df, "size": n}}``."""
-    keyed = train.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING_TEXT)).alias(c) for c in columns])
+    keyed = train.select(*[F.coalesce(qcol(c).cast("string"), F.lit(MISSING_TEXT)).alias(c) for c in columns])
     small = distinct_sets(keyed, columns, INLINE_DICT)
     out = {}
     for c in columns:
         if small[c] is not None:
             out[c] = {"codes": {v: i for i, v in enumerate(small[c])}}
         else:
-            t, size = dense_codes(keyed.select(F.col(c).alias("value")), "value", "code", with_count=True)
+            t, size = dense_codes(keyed.select(qcol(c).alias("value")), "value", "code", with_count=True)
             out[c] = {"table": t, "size": size}
     return out
 
@@ -29,7 +30,7 @@ def fit_train_codes(train: DataFrame, columns) -> dict:
 def apply_codes(df: DataFrame, dictionaries: dict) -> DataFrame:
     out = df
     for c, d in dictionaries.items():
-        key = F.coalesce(F.col(c).cast("string"), F.lit(MISSING_TEXT))
+        key = F.coalesce(qcol(c).cast("string"), F.lit(MISSING_TEXT))
         if "codes" in d:
             m = F.create_map(*[x for v, i in d["codes"].items() for x in (F.lit(v), F.lit(i))])
             code = F.element_at(m, key) if d["codes"] else F.lit(None)
@@ -39,6 +40,6 @@ def apply_codes(df: DataFrame, dictionaries: dict) -> DataFrame:
             t = F.broadcast(t) if d["size"] <= BROADCAST_ROWS else t
             cols = out.columns
             out = (out.withColumn("_lk", key).join(t, "_lk", "left")
-                   .select(*[F.coalesce(F.col("_code"), F.lit(-1)).cast("bigint").alias(x) if x == c else F.col(x)
+                   .select(*[F.coalesce(F.col("_code"), F.lit(-1)).cast("bigint").alias(x) if x == c else qcol(x)
                              for x in cols]))
     return out

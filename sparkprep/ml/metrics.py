@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rank import with_running_total
+from ..functions.types import qcol
 
 
 def confusion_table(pred: DataFrame, y: str, yhat: str) -> DataFrame:
     """``(actual, predicted, count)`` over the sorted union of labels, zero-filled."""
-    counts = pred.groupBy(F.col(y).alias("actual"), F.col(yhat).alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
+    counts = pred.groupBy(qcol(y).alias("actual"), qcol(yhat).alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
     labels = sorted({v for r in counts.select("actual", "predicted").distinct().collect() for v in r if v is not None})
     grid = pred.sparkSession.createDataFrame([(a, p) for a in labels for p in labels],  # classes^2 rows
                                              counts.select("actual", "predicted").schema)
@@ -42,9 +43,9 @@ def classification_metrics(confusion: DataFrame) -> DataFrame:
 
 def roc_auc(pred: DataFrame, y: str, score: str, positive=1) -> DataFrame:
     """Exact binary ROC-AUC = (sum of positive average ranks - n1(n1+1)/2) / (n1 n0)."""
-    groups = (pred.where(F.col(score).isNotNull() & F.col(y).isNotNull())
-              .groupBy(F.col(score).cast("double").alias("s"))
-              .agg(F.count(F.when(F.col(y) == F.lit(positive), 1)).alias("pos"), F.count(F.lit(1)).alias("n")))
+    groups = (pred.where(qcol(score).isNotNull() & qcol(y).isNotNull())
+              .groupBy(qcol(score).cast("double").alias("s"))
+              .agg(F.count(F.when(qcol(y) == F.lit(positive), 1)).alias("pos"), F.count(F.lit(1)).alias("n")))
     run = with_running_total(groups, ["s"], "n", "cum")
     avg_rank = F.col("cum") - F.col("n") + (F.col("n") + 1) / 2.0
     agg = run.agg(F.sum(F.col("pos") * avg_rank).alias("rs"), F.sum("pos").alias("n1"),
@@ -54,9 +55,9 @@ def roc_auc(pred: DataFrame, y: str, score: str, positive=1) -> DataFrame:
 
 
 def regression_metrics(pred: DataFrame, y: str, yhat: str, p: int = 1) -> DataFrame:
-    e = F.col(y).cast("double") - F.col(yhat).cast("double")
+    e = qcol(y).cast("double") - qcol(yhat).cast("double")
     s = pred.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
-                 F.var_pop(F.col(y).cast("double")).alias("vy"))
+                 F.var_pop(qcol(y).cast("double")).alias("vy"))
     r2 = 1 - F.col("mse") / F.col("vy")
     adj = F.when(F.col("n") > p + 1, 1 - (1 - r2) * (F.col("n") - 1) / (F.col("n") - p - 1)).otherwise(r2)
     return s.select("mae", "mse", F.sqrt("mse").alias("rmse"), r2.alias("r2_score"), adj.alias("adjusted_r2"))
@@ -65,5 +66,5 @@ def regression_metrics(pred: DataFrame, y: str, yhat: str, p: int = 1) -> DataFr
 def residuals(pred: DataFrame, key, y: str, yhat: str, k: int = 1000) -> DataFrame:
     """First ``k`` residuals in key order (a top-k report)."""
     keys = [key] if isinstance(key, str) else list(key)
-    return (pred.select(*keys, (F.col(y).cast("double") - F.col(yhat).cast("double")).alias("residual"))
+    return (pred.select(*keys, (qcol(y).cast("double") - qcol(yhat).cast("double")).alias("residual"))
             .orderBy(*keys).limit(k))

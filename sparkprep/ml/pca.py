@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..functions.types import qcol
 
 
 def fit_pca(df: DataFrame, columns, k: int) -> dict:
-    x = {c: F.col(c).cast("double") for c in columns}
+    x = {c: qcol(c).cast("double") for c in columns}
     complete = df.select(*[x[c].alias(c) for c in columns]).na.drop()
     means = complete.agg(*[F.avg(c).alias(c) for c in columns]).collect()[0]
-    centred = complete.select(*[(F.col(c) - F.lit(means[c])).alias(c) for c in columns])
+    centred = complete.select(*[(qcol(c) - F.lit(means[c])).alias(c) for c in columns])
     vec = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(centred).select("_v")
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(vec)
     pc = model.pc.toArray()  # d x k, small
@@ -36,6 +37,6 @@ def apply_pca(df: DataFrame, params: dict) -> DataFrame:
     cols, means = params["initial"], params["means"]
     outs = []
     for i, w in enumerate(params["components"]):
-        terms = [(F.col(c).cast("double") - F.lit(m)) * F.lit(wj) for c, m, wj in zip(cols, means, w)]
+        terms = [(qcol(c).cast("double") - F.lit(m)) * F.lit(wj) for c, m, wj in zip(cols, means, w)]
         outs.append(sum(terms[1:], terms[0]).alias(f"pca_component_{i + 1}"))
     return df.select(*[c for c in df.columns if c not in cols], *outs)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encode import apply_codes
+from ..functions.types import qcol
 
 
 class SavedModel:
@@ -53,9 +54,9 @@ def looks_raw(df: DataFrame, features: list[str]) -> bool:
 
 def align_to_schema(df: DataFrame, features: list[str], keep: tuple = ()) -> DataFrame:
     """M26 fallback: missing feature -> 0, non-numeric -> try_cast else 0, extra dropped, order kept."""
-    cols = [F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) if c in df.columns
+    cols = [F.coalesce(qcol(c).try_cast("double"), F.lit(0.0)).alias(c) if c in df.columns
             else F.lit(0.0).alias(c) for c in features]
-    return df.select(*[F.col(k) for k in keep if k in df.columns], *cols)
+    return df.select(*[qcol(k) for k in keep if k in df.columns], *cols)
 
 
 def predict(saved: SavedModel, df: DataFrame, keep: tuple = ()) -> DataFrame:
@@ -63,10 +64,10 @@ def predict(saved: SavedModel, df: DataFrame, keep: tuple = ()) -> DataFrame:
     if missing:
         raise ValueError(f"Missing required columns: {', '.join(missing)}")
     coded = apply_codes(df, saved.dictionaries)
-    ready = coded.select(*[F.col(c) for c in df.columns if c not in saved.features],
-                         *[F.col(c).cast("double").alias(c) for c in saved.features])
+    ready = coded.select(*[qcol(c) for c in df.columns if c not in saved.features],
+                         *[qcol(c).cast("double").alias(c) for c in saved.features])
     out = saved.model.transform(ready)
-    passthrough = [F.col(c) for c in df.columns if c not in saved.features or c in keep]
+    passthrough = [qcol(c) for c in df.columns if c not in saved.features or c in keep]
     if saved.doc["problem_type"] != "classification":
         return out.select(*passthrough, F.col("prediction").alias("predicted_value"))
     classes = saved.doc["classes"]

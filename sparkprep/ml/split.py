@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import order_statistic
 from ..functions.rank import with_global_index
+from ..functions.types import qcol
 
 SEED = 42
 MAX_STRATA = 10_000  # class counts and quotas are kept as literals
@@ -37,7 +38,7 @@ def hash_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = SEED
     """Adds boolean ``is_test``."""
     if not 0.1 <= test_size <= 0.5:
         raise ValueError("test_size must be between 0.1 and 0.5")
-    return df.withColumn("is_test", split_bucket(F.col(key), seed) < int(round(test_size * 10000)))
+    return df.withColumn("is_test", split_bucket(qcol(key), seed) < int(round(test_size * 10000)))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = SEED) -> DataFrame:
@@ -52,12 +53,12 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
         raise ValueError(f"stratified split supports at most {MAX_STRATA} classes")
     if len(top) > THRESHOLD_CLASSES:
         return _stratified_by_rank(df, key, label, test_size, seed, {r[label]: r["n"] for r in top})
-    hashed = df.select(F.col(key).alias("_k"), F.col(label).alias("_y"), split_hash(F.col(key), seed).alias("_h"))
+    hashed = df.select(qcol(key).alias("_k"), qcol(label).alias("_y"), split_hash(qcol(key), seed).alias("_h"))
     rules = []
     for r in top:
         c, n = r[label], r["n"]
         quota = int(test_size * n + 0.5)
-        cls = F.col(label).isNull() if c is None else (F.col(label) == F.lit(c))
+        cls = qcol(label).isNull() if c is None else (qcol(label) == F.lit(c))
         if quota <= 0:
             continue
         if quota >= n:
@@ -73,8 +74,8 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
         if in_window.count() > MAX_WINDOW_ROWS:
             raise RuntimeError("hash window unexpectedly large")
         chosen = [x["_k"] for x in in_window.orderBy("_h", "_k").limit(max(quota - below, 0)).collect()]
-        h = split_hash(F.col(key), seed)
-        rules.append(cls & ((h < F.lit(lo_w)) | (((h >= F.lit(lo_w)) & (h <= F.lit(hi_w))) & F.col(key).isin(chosen))))
+        h = split_hash(qcol(key), seed)
+        rules.append(cls & ((h < F.lit(lo_w)) | (((h >= F.lit(lo_w)) & (h <= F.lit(hi_w))) & qcol(key).isin(chosen))))
     cond = F.lit(False)
     for r in rules:
         cond = cond | r
@@ -89,17 +90,17 @@ def _stratified_by_rank(df, key, label, test_size, seed, counts):
         start[k] = acc
         acc += counts[k]
     quota = {k: int(test_size * counts[k] + 0.5) for k in keys}
-    ranked = with_global_index(df.withColumn("_h", split_hash(F.col(key), seed)), [label, "_h", key], "_gi")
+    ranked = with_global_index(df.withColumn("_h", split_hash(qcol(key), seed)), [label, "_h", key], "_gi")
     starts = F.create_map(*[x for k in keys if k is not None for x in (F.lit(k), F.lit(start[k]))])
     quotas = F.create_map(*[x for k in keys if k is not None for x in (F.lit(k), F.lit(quota[k]))])
-    within = F.col("_gi") - F.element_at(starts, F.col(label))
-    return ranked.withColumn("is_test", within < F.element_at(quotas, F.col(label))).drop("_h", "_gi")
+    within = F.col("_gi") - F.element_at(starts, qcol(label))
+    return ranked.withColumn("is_test", within < F.element_at(quotas, qcol(label))).drop("_h", "_gi")
 
 
 def prepare_split(df: DataFrame, target: str, key: str, test_size: float = 0.2, seed: int = SEED):
     """M1-M4: drop null targets, stratify when < 10 classes and >= 20 rows.
     Returns ``(frame with is_test, warnings, counts)``."""
-    data = df.where(F.col(target).isNotNull())
+    data = df.where(qcol(target).isNotNull())
     stats = data.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(target).alias("k")).collect()[0]
     if stats["k"] < 10 and stats["n"] >= 20:
         out = stratified_split(data, key, target, test_size, seed)

@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import dtypes, is_numeric_or_bool, is_text
+from ..functions.types import dtypes, is_numeric_or_bool, is_text, qcol
 from ..operators.profile import target_analysis
 from ..operators.recommend import problem_type as problem_type_rule
 from .encode import apply_codes, fit_train_codes
@@ -71,12 +71,12 @@ def prepare(df: DataFrame, target: str, key: str, ptype: str, test_size: float,
     if ptype == "classification":
         classes = sorted(r[0] for r in coded.select(target).distinct().collect())  # bounded: class count
         m = F.create_map(*[x for i, v in enumerate(classes) for x in (F.lit(v), F.lit(float(i)))])
-        coded = coded.withColumn("label", F.element_at(m, F.col(target)))
+        coded = coded.withColumn("label", F.element_at(m, qcol(target)))
     else:
-        coded = coded.withColumn("label", F.col(target).cast("double"))
+        coded = coded.withColumn("label", qcol(target).cast("double"))
     feats = nums + cats
     coded = coded.select(key, "is_test", "label", target,
-                         *[F.col(c).cast("double").alias(c) for c in feats])
+                         *[qcol(c).cast("double").alias(c) for c in feats])
     return coded, feats, dictionaries, classes, warnings, counts
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
-from ..functions.types import dtypes, is_numeric
+from ..functions.types import dtypes, is_numeric, qcol
 from ..plans.base import FittedStep, register
 
 WIDEN = 0.001  # relative widening of the range (fixed value of the rule)
@@ -49,7 +49,7 @@ class FittedBinning(FittedStep):
 
     def transform(self, df: DataFrame) -> DataFrame:
         edges = self.params["edges"]
-        return df.select("*", *[bin_code(F.col(c).cast("double"), e).alias(f"{c}_binned")
+        return df.select("*", *[bin_code(qcol(c).cast("double"), e).alias(f"{c}_binned")
                                for c, e in edges.items()])
 
 
@@ -79,8 +79,8 @@ class Binning:
         width_cols = [c for c, m in plan.items() if m == "equal-width"]
         if width_cols:
             row = df.agg(*[e for c in width_cols for e in
-                           (F.min(F.col(c).cast("double")).alias(f"lo_{c}"),
-                            F.max(F.col(c).cast("double")).alias(f"hi_{c}"))]).collect()[0]
+                           (F.min(qcol(c).cast("double")).alias(f"lo_{c}"),
+                            F.max(qcol(c).cast("double")).alias(f"hi_{c}"))]).collect()[0]
             for c in width_cols:
                 lo, hi = row[f"lo_{c}"], row[f"hi_{c}"]
                 edges[c] = [] if lo is None else equal_width_edges(lo, hi, k)

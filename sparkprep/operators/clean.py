@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.quantiles import exact_quantiles
-from ..functions.types import dtypes, is_numeric, is_text, numeric_columns
+from ..functions.types import dtypes, is_numeric, is_text, numeric_columns, qcol
 from ..plans.base import FittedStep, register
 
 ROW_ID = "_orig_idx"
@@ -35,11 +35,13 @@ class FittedDedupe(FittedStep):
             return df.dropDuplicates(subset)
         if set(subset) | {order} >= set(cols) and order not in subset:
             # full-row: keep the smallest row key of each group
-            return df.groupBy(*subset).agg(F.min(order).alias(order)).select(*cols)
+            keys = {c: f"_k{i}" for i, c in enumerate(subset)}
+            grouped = df.groupBy(*[qcol(c).alias(k) for c, k in keys.items()]).agg(F.min(qcol(order)).alias("_o"))
+            return grouped.select(*[F.col("_o").alias(c) if c == order else F.col(keys[c]).alias(c) for c in cols])
         # keep-first: min_by is partially aggregated, so a hot key collapses
         # map-side instead of landing whole in one task
-        first = F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order)).alias("_first")
-        return df.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(subset)]).agg(first) \
+        first = F.min_by(F.struct(*[qcol(c) for c in cols]), qcol(order)).alias("_first")
+        return df.groupBy(*[qcol(c).alias(f"_k{i}") for i, c in enumerate(subset)]).agg(first) \
                  .select("_first.*")
 
 
@@ -61,7 +63,11 @@ class FittedDropNulls(FittedStep):
 
     def transform(self, df: DataFrame) -> DataFrame:
         cols = self.params.get("columns")
-        return df.na.drop(how="any", subset=cols or None)
+        cols = cols or df.columns
+        keep = F.lit(True)
+        for c in cols:
+            keep = keep & qcol(c).isNotNull()
+        return df.where(keep)
 
 
 @dataclass
@@ -80,8 +86,8 @@ def mode_values(df: DataFrame, columns) -> dict:
     ``groupBy(c).count()`` is partially aggregated; top-1 is a TakeOrdered."""
     out = {}
     for c in columns:
-        top = (df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-               .orderBy(F.desc("_n"), F.asc(c)).limit(1).collect())
+        top = (df.where(qcol(c).isNotNull()).groupBy(qcol(c).alias("_v")).agg(F.count("*").alias("_n"))
+               .orderBy(F.desc("_n"), F.asc("_v")).limit(1).collect())
         out[c] = top[0][0] if top else None
     return out
 
@@ -98,11 +104,11 @@ class FittedFill(FittedStep):
             if c in fills and fills[c] is not None:
                 v = F.lit(fills[c])
                 if self.params["strategies"][c] in ("mean", "median"):
-                    exprs.append(F.coalesce(F.col(c).cast("double"), v.cast("double")).alias(c))
+                    exprs.append(F.coalesce(qcol(c).cast("double"), v.cast("double")).alias(c))
                 else:
-                    exprs.append(F.coalesce(F.col(c), v.cast(types[c])).alias(c))
+                    exprs.append(F.coalesce(qcol(c), v.cast(types[c])).alias(c))
             else:
-                exprs.append(F.col(c))
+                exprs.append(qcol(c))
         return df.select(*exprs)
 
 
@@ -121,8 +127,8 @@ class FillNulls:
         means = [c for c, s in plan.items() if s == "mean"]
         values: dict = {}
         if means:
-            row = df.agg(*[F.avg(c).alias(c) for c in means]).collect()[0]
-            values.update({c: row[c] for c in means})
+            row = df.agg(*[F.avg(qcol(c)) for c in means]).collect()[0]
+            values.update(dict(zip(means, row)))
         meds = [c for c, s in plan.items() if s == "median"]
         values.update({c: q[0] for c, q in exact_quantiles(df, meds, [0.5]).items()})
         values.update(mode_values(df, [c for c, s in plan.items() if s == "mode"]))
@@ -186,7 +192,7 @@ def outlier_keep_condition(bounds: dict, types: dict | None = None) -> Column:
     for c, b in bounds.items():
         if b.get("lower") is None or b.get("upper") is None:
             continue
-        x, lo, hi = F.col(c), b["lower"], b["upper"]
+        x, lo, hi = qcol(c), b["lower"], b["upper"]
         if types and isinstance(types.get(c), T.IntegralType) and math.isfinite(lo) and math.isfinite(hi):
             lo, hi = F.lit(math.ceil(lo)).cast(types[c]), F.lit(math.floor(hi)).cast(types[c])
         cond = cond & ((x >= lo) & (x <= hi) | x.isNull())
@@ -225,11 +231,11 @@ def iqr_bounds(df: DataFrame, columns, factor: float = 1.5) -> dict:
 def zscore_bounds(df: DataFrame, columns, factor: float = 3.0) -> dict:
     if not columns:
         return {}
-    row = df.agg(*[e for c in columns for e in
-                   (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).collect()[0]
+    row = df.agg(*[e for i, c in enumerate(columns) for e in
+                   (F.avg(qcol(c)).alias(f"m_{i}"), F.stddev_pop(qcol(c)).alias(f"s_{i}"))]).collect()[0]
     out = {}
-    for c in columns:
-        mu, sd = row[f"m_{c}"], row[f"s_{c}"]
+    for i, c in enumerate(columns):
+        mu, sd = row[f"m_{i}"], row[f"s_{i}"]
         if not sd:  # zero or undefined spread keeps every row
             out[c] = {"lower": None, "upper": None, "mean": mu or 0.0, "std": sd or 0.0}
         else:
@@ -266,7 +272,7 @@ class RemoveOutliers:
 
 def zscore_keep_condition(c: str, mean: float, std: float, factor: float) -> Column:
     """The literal z-score rule ``abs((x-mu)/sigma) <= f or x is null``."""
-    x = F.col(c)
+    x = qcol(c)
     return (F.abs((x - F.lit(mean)) / F.lit(std)) <= factor) | x.isNull()
 
 
@@ -276,4 +282,4 @@ ID_LIKE_COLUMNS = ("_orig_idx", "customer_id", "id", "index", "row_id", "uuid",
 
 def drop_identifier_columns(df: DataFrame) -> DataFrame:
     keep = [c for c in df.columns if c.lower() not in ID_LIKE_COLUMNS]
-    return df.select(*keep) if keep else df
+    return df.select(*[qcol(c) for c in keep]) if keep else df

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import dtypes, is_datetime, is_numeric_or_bool, is_text
+from ..functions.types import dtypes, is_datetime, is_numeric_or_bool, is_text, qcol
 from ..plans.base import FittedStep, register
 
 DATETIME_PARTS = ("year", "month", "day", "hour", "minute", "second")  # fixed suffixes
@@ -16,9 +16,9 @@ AGGREGATIONS = ("sum", "mean", "min", "max", "count")
 
 def as_timestamp(c: str, dt) -> Column:
     if is_datetime(dt):
-        return F.col(c)
+        return qcol(c)
     if is_text(dt):
-        return F.try_to_timestamp(F.col(c))
+        return F.try_to_timestamp(qcol(c))
     return F.lit(None).cast("timestamp")
 
 
@@ -30,7 +30,7 @@ def group_aggregate_table(df: DataFrame, group: str, values, how: str) -> DataFr
     """Per-group statistic of every value column; partially aggregated."""
     aggs = []
     for i, v in enumerate(values):
-        x = F.col(v)
+        x = qcol(v)
         if how == "sum":
             aggs.append(F.coalesce(F.sum(x), F.lit(0)).alias(f"_g{i}"))
         elif how == "mean":
@@ -41,7 +41,7 @@ def group_aggregate_table(df: DataFrame, group: str, values, how: str) -> DataFr
             aggs.append(F.max(x).alias(f"_g{i}"))
         else:
             aggs.append(F.count(x).alias(f"_g{i}"))
-    return df.where(F.col(group).isNotNull()).groupBy(group).agg(*aggs)
+    return df.where(qcol(group).isNotNull()).groupBy(qcol(group).alias("_gk")).agg(*aggs)
 
 
 def row_combine(n: int, how: str) -> Column:
@@ -69,12 +69,12 @@ class FittedCreation(FittedStep):
         if method == "polynomial":
             out = df
             for c in p["columns"]:
-                x = F.col(c).cast("double")
+                x = qcol(c).cast("double")
                 powers, cur = [], x
                 for d in range(2, p["degree"] + 1):
                     cur = cur * x  # repeated products, as the reference's expansion
                     powers.append(cur.alias(f"{c}^{d}"))
-                out = out.select(*[x.alias(c) if k == c else F.col(k) for k in out.columns], *powers)
+                out = out.select(*[x.alias(c) if k == c else qcol(k) for k in out.columns], *powers)
             return out
         if method == "datetime_decomposition":
             extra = []
@@ -85,9 +85,9 @@ class FittedCreation(FittedStep):
         # aggregations: group statistic per value column, joined back on the key
         group, values, how, name = p["group"], p["values"], p["aggregation"], p["new_column"]
         table = group_aggregate_table(df, group, values, how)
-        joined = df.join(table, on=group, how="left") if name not in df.columns else \
-            df.drop(name).join(table, on=group, how="left")
-        keep = [c for c in df.columns if c != name]
+        base = df.drop(name) if name in df.columns else df
+        joined = base.join(table, qcol(group) == F.col("_gk"), "left")
+        keep = [qcol(c) for c in df.columns if c != name]
         return joined.select(*keep, row_combine(len(values), how).alias(name))
 
 
@@ -110,7 +110,7 @@ class FeatureCreation:
             if self.degree is None:
                 raise ValueError("Degree must be provided for polynomial features")
             numeric = [c for c in present if is_numeric_or_bool(types[c])]
-            counts = df.agg(*[F.count(c).alias(c) for c in numeric]).collect()[0] if numeric else {}
+            counts = dict(zip(numeric, df.agg(*[F.count(qcol(c)) for c in numeric]).collect()[0])) if numeric else {}
             cols = []
             for c in present:
                 if c not in numeric:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from ..functions.types import qcol
 
 
 def deleted_rows(original: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
@@ -34,8 +35,8 @@ def updated_cells(original: DataFrame, cleaned: DataFrame, key: str) -> DataFram
     shared = [c for c in original.columns if c in c_types and c != key]
     if not shared:
         return original.sparkSession.createDataFrame([], f"row_id {original.schema[key].dataType.simpleString()}, column string")
-    a = original.select(F.col(key).alias("_k"), *[F.col(c).alias(f"a{i}") for i, c in enumerate(shared)])
-    b = cleaned.select(F.col(key).alias("_k"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(shared)])
+    a = original.select(qcol(key).alias("_k"), *[qcol(c).alias(f"a{i}") for i, c in enumerate(shared)])
+    b = cleaned.select(qcol(key).alias("_k"), *[qcol(c).alias(f"b{i}") for i, c in enumerate(shared)])
     j = a.join(b, on="_k", how="inner")
     flags = []
     for i, c in enumerate(shared):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rank import dense_codes
-from ..functions.types import dtypes, is_numeric_or_bool, is_text
+from ..functions.types import dtypes, is_numeric_or_bool, is_text, qcol
 from ..plans.base import FittedStep, register
 from ..session import cut_lineage
 
@@ -42,11 +42,11 @@ def distinct_sets(df: DataFrame, columns, limit: int) -> dict[str, list | None]:
     on columns the screen shows to be small."""
     if not columns:
         return {}
-    screen = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).collect()[0]
+    screen = dict(zip(columns, df.agg(*[F.approx_count_distinct(qcol(c), 0.02) for c in columns]).collect()[0]))
     small = [c for c in columns if screen[c] <= limit * 1.5 + 10]
     out = {c: None for c in columns}
     if small:
-        row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in small]).collect()[0]
+        row = dict(zip(small, df.agg(*[F.array_sort(F.collect_set(qcol(c))) for c in small]).collect()[0]))
         for c in small:
             out[c] = row[c] if len(row[c]) <= limit else None
     return out
@@ -61,7 +61,7 @@ class FittedEncoding(FittedStep):
         onehot, label, target = p["onehot"], p["label"], p["target"]
         out = df
         for c, info in label.items():
-            key = F.coalesce(F.col(c), F.lit(NULL_TEXT))
+            key = F.coalesce(qcol(c), F.lit(NULL_TEXT))
             if "codes" in info:
                 m = F.create_map(*[x for v, code in info["codes"].items() for x in (F.lit(v), F.lit(code))])
                 out = out.withColumn(c, F.element_at(m, key).cast("bigint")) if info["codes"] else \
@@ -70,22 +70,23 @@ class FittedEncoding(FittedStep):
                 t = self.tables[f"label_{c}"].withColumnRenamed("value", "_lk").withColumnRenamed("code", "_code")
                 cols = out.columns
                 out = lookup_join(out.withColumn("_lk", key), t, "_lk", info["size"]) \
-                    .select(*[F.col("_code").cast("bigint").alias(c) if x == c else F.col(x) for x in cols])
+                    .select(*[F.col("_code").cast("bigint").alias(c) if x == c else qcol(x) for x in cols])
         for c, info in target.items():
             name = f"{c}_target_encoded"
             if "means" in info:
                 m = F.create_map(*[x for v, mean in info["means"] for x in (F.lit(v), F.lit(mean))])
-                out = out.withColumn(name, F.element_at(m, F.col(c)).cast("double")) if info["means"] \
+                out = out.withColumn(name, F.element_at(m, qcol(c)).cast("double")) if info["means"] \
                     else out.withColumn(name, F.lit(None).cast("double"))
             else:
-                t = self.tables[f"target_{c}"].withColumnRenamed("value", c).withColumnRenamed("mean", name)
-                out = lookup_join(out, t, c, info["size"])
+                t = self.tables[f"target_{c}"].select(F.col("value").alias("_tv"), F.col("mean").alias(name))
+                t = F.broadcast(t) if info["size"] <= BROADCAST_ROWS else t
+                out = out.join(t, qcol(c) == F.col("_tv"), "left").drop("_tv")
             out = out.drop(c)
         encoded = [f"{c}_target_encoded" for c in target]
-        keep = [F.col(c) for c in out.columns if c not in onehot and c not in encoded]
-        dummies = [F.coalesce((F.col(c) == F.lit(v)).cast("tinyint"), F.lit(0).cast("tinyint"))
+        keep = [qcol(c) for c in out.columns if c not in onehot and c not in encoded]
+        dummies = [F.coalesce((qcol(c) == F.lit(v)).cast("tinyint"), F.lit(0).cast("tinyint"))
                    .alias(f"{c}_{v}") for c, values in onehot.items() for v in values]
-        return out.select(*keep, *dummies, *[F.col(c) for c in encoded])
+        return out.select(*keep, *dummies, *[qcol(c) for c in encoded])
 
 
 @dataclass
@@ -120,13 +121,13 @@ class Encoding:
                 details[c] = "one-hot encoded"
         label, tables = {}, {}
         label_cols = [c for c in self.columns if c in by_method["label"]]
-        small = distinct_sets(df.select(*[F.coalesce(F.col(c), F.lit(NULL_TEXT)).alias(c)
+        small = distinct_sets(df.select(*[F.coalesce(qcol(c), F.lit(NULL_TEXT)).alias(c)
                                           for c in label_cols]), label_cols, INLINE_DICT) if label_cols else {}
         for c in label_cols:
             if small[c] is not None:
                 label[c] = {"codes": {v: i for i, v in enumerate(small[c])}}
             else:
-                values = df.select(F.coalesce(F.col(c), F.lit(NULL_TEXT)).alias("value"))
+                values = df.select(F.coalesce(qcol(c), F.lit(NULL_TEXT)).alias("value"))
                 t, size = dense_codes(values, "value", "code", with_count=True)
                 label[c] = {"size": size}
                 tables[f"label_{c}"] = t
@@ -140,8 +141,8 @@ class Encoding:
             else:
                 for c in by_method["target"]:
                     # one aggregation, written to the shared checkpoint folder, then counted there
-                    means = cut_lineage(df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value"))
-                                        .agg(F.avg(F.col(tc).cast("double")).alias("mean")))
+                    means = cut_lineage(df.where(qcol(c).isNotNull()).groupBy(qcol(c).alias("value"))
+                                        .agg(F.avg(qcol(tc).cast("double")).alias("mean")))
                     n = means.count()
                     if n <= INLINE_DICT:
                         target[c] = {"means": [[r["value"], r["mean"]] for r in means.orderBy("value").collect()]}

@@ -16,6 +16,7 @@ from ..functions.quantiles import exact_quantiles
 from ..functions.types import (dtypes, is_datetime, is_floating, is_integral, is_numeric,
                                is_numeric_or_bool, is_text, type_name)
 from ..functions.missing import standardize_missing
+from ..functions.types import qcol
 
 
 def _distinct(c: Column, approx: bool) -> Column:
@@ -38,8 +39,8 @@ def column_profile(df: DataFrame, row_key: str | None = None, approx: bool = Fal
     ``sample`` is the first non-null value in ``row_key`` order, as text."""
     aggs, rows = [], []
     for i, f in enumerate(df.schema.fields):
-        c = F.col(f.name)
-        sample = F.min_by(c, F.when(c.isNotNull(), F.col(row_key))) if row_key \
+        c = qcol(f.name)
+        sample = F.min_by(c, F.when(c.isNotNull(), qcol(row_key))) if row_key \
             else F.first(c, ignorenulls=True)
         aggs += [F.count(F.when(c.isNull(), 1)).alias(f"n{i}"), _distinct(c, approx).alias(f"d{i}"),
                  sample.cast("string").alias(f"s{i}")]
@@ -67,7 +68,7 @@ def missing_table(df: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     aggs, rows = [n.alias("_rows")], []
     for i, name in enumerate(df.columns):
-        aggs.append(F.count(F.when(F.col(name).isNull(), 1)).alias(f"m{i}"))
+        aggs.append(F.count(F.when(qcol(name).isNull(), 1)).alias(f"m{i}"))
         rows.append([_q(name), f"m{i}", f"_rows"])
     t = _stack(df.agg(*aggs), rows, ["column", "count", "rows"])
     pct = F.when(F.col("rows") > 0, F.col("count") * 100.0 / F.col("rows")).otherwise(F.lit(0.0))
@@ -88,7 +89,7 @@ def type_table(df: DataFrame, approx: bool = False) -> DataFrame:
     """Q3: ``(column, type, unique_values, is_categorical)``."""
     aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
     for i, f in enumerate(df.schema.fields):
-        aggs.append(_distinct(F.col(f.name), approx).alias(f"d{i}"))
+        aggs.append(_distinct(qcol(f.name), approx).alias(f"d{i}"))
         rows.append([_q(f.name), _q(type_name(f.dataType)), f"d{i}", "_rows",
                      "true" if is_text(f.dataType) else "false"])
     t = _stack(df.agg(*aggs), rows, ["column", "type", "unique_values", "rows", "is_text"])
@@ -102,7 +103,7 @@ def outlier_fences(df: DataFrame, exclude: tuple = (), factor: float = 1.5) -> d
     if not cols:
         return {}
     row = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).collect()[0]
+                 *[F.count(F.when(qcol(c).isNull(), 1)).alias(c) for c in cols]).collect()[0]
     eligible = [c for c in cols if row[c] < row["_rows"] * 0.5]
     out = {}
     for c, (q1, q3) in exact_quantiles(df, eligible, [0.25, 0.75]).items():
@@ -121,7 +122,7 @@ def outlier_table(df: DataFrame, fences: dict) -> DataFrame:
             [], "column string, count bigint, percentage double, lower_bound double, upper_bound double")
     aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
     for i, (c, (lo, hi)) in enumerate(fences.items()):
-        x = F.col(c)
+        x = qcol(c)
         aggs.append(F.count(F.when((x < lo) | (x > hi), 1)).alias(f"o{i}"))
         rows.append([_q(c), f"o{i}", "_rows", f"CAST({lo!r} AS DOUBLE)", f"CAST({hi!r} AS DOUBLE)"])
     t = _stack(df.agg(*aggs), rows, ["column", "count", "rows", "lower_bound", "upper_bound"])
@@ -187,7 +188,7 @@ def column_insights(df: DataFrame, approx: bool = False) -> DataFrame:
     HyperLogLog cardinalities (no per-column row expansion on wide tables)."""
     aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
     for i, f in enumerate(df.schema.fields):
-        c, dt = F.col(f.name), f.dataType
+        c, dt = qcol(f.name), f.dataType
         num = is_numeric_or_bool(dt)
         x = c.cast("double")
         aggs += [_distinct(c, approx).alias(f"d{i}"), F.count(F.when(c.isNull(), 1)).alias(f"m{i}")]
@@ -211,8 +212,8 @@ def column_insights(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def first_values(df: DataFrame, column: str, row_key: str, k: int = 10) -> DataFrame:
     """P5: the first ``k`` distinct non-null values in order of appearance."""
-    return (df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(row_key).alias("_first"))
-            .orderBy("_first").limit(k).select(F.col(column).cast("string").alias("value"), "_first"))
+    return (df.where(qcol(column).isNotNull()).groupBy(column).agg(F.min(row_key).alias("_first"))
+            .orderBy("_first").limit(k).select(qcol(column).cast("string").alias("value"), "_first"))
 
 
 # ------------------------------------------------------------------ P6
@@ -222,7 +223,7 @@ def target_analysis(df: DataFrame, target: str) -> DataFrame:
     if target not in types:
         raise ValueError(f"Target column '{target}' not found in dataset")
     dt = types[target]
-    t = F.col(target)
+    t = qcol(target)
     num = is_numeric_or_bool(dt)
     x = t.cast("double")
     if type_name(dt) == "boolean":
@@ -245,16 +246,16 @@ def target_analysis(df: DataFrame, target: str) -> DataFrame:
         "total_samples", "unique_values",
         F.try_divide(F.col("unique_values").cast("double"), F.col("total_samples")).alias("unique_ratio"),
         "null_count", F.try_divide(F.col("null_count") * 100.0, F.col("_rows")).alias("null_percentage"),
-        *[F.when(numeric_stats, F.col(n)).alias(n) for n in ("min_value", "max_value", "mean_value", "std_value")])
+        *[F.when(numeric_stats, qcol(n)).alias(n) for n in ("min_value", "max_value", "mean_value", "std_value")])
 
 
 def class_distribution(df: DataFrame, target: str, k: int = 10) -> DataFrame:
     """Top-``k`` values by count (ties by value), with share of non-null rows."""
-    present = df.where(F.col(target).isNotNull())
+    present = df.where(qcol(target).isNotNull())
     total = present.count()  # one scalar
     top = (present.groupBy(target).agg(F.count(F.lit(1)).alias("count"))
            .orderBy(F.desc("count"), F.asc(target)).limit(k))
-    return top.select(F.col(target).cast("string").alias("value"), "count",
+    return top.select(qcol(target).cast("string").alias("value"), "count",
                       (F.col("count") * 100.0 / F.lit(max(total, 1))).alias("percentage"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import standardize_missing
-from ..functions.types import is_numeric
+from ..functions.types import is_numeric, qcol
 from .profile import column_insights, duplicate_count, outlier_fences, outlier_table, target_analysis
 
 # ---------------------------------------------------------------- fixed values
@@ -154,7 +154,7 @@ def rows_with_any_null(df: DataFrame) -> DataFrame:
     """Rows with at least one null, and all rows."""
     anynull = F.lit(False)
     for c in df.columns:
-        anynull = anynull | F.col(c).isNull()
+        anynull = anynull | qcol(c).isNull()
     return df.agg(F.count(F.when(anynull, 1)).alias("null_rows"), F.count(F.lit(1)).alias("rows"))
 
 
@@ -272,7 +272,7 @@ def quality_notes(insights: DataFrame) -> DataFrame:
              (3, "🆔 ID/High-ID columns found - consider DROPPING these (not ML features): ", "c"),
              (4, "⚠️ High cardinality categorical (use LABEL encoding, not one-hot): ", "d"),
              (5, "📊 Skewed numeric features (consider scaling/transformation): ", "e")]
-    arr = F.array(*[F.when(F.col(k) != "", F.struct(F.lit(i).alias("rank"), F.concat(F.lit(p), F.col(k)).alias("note")))
+    arr = F.array(*[F.when(qcol(k) != "", F.struct(F.lit(i).alias("rank"), F.concat(F.lit(p), qcol(k)).alias("note")))
                     for i, p, k in notes])
     found = F.filter(arr, lambda x: x.isNotNull())
     ok = F.array(F.struct(F.lit(6).alias("rank"), F.lit("✅ Dataset looks good! No major data quality issues detected.")
@@ -316,7 +316,7 @@ def target_validation(df: DataFrame, target: str) -> DataFrame:
     if target not in df.columns:
         return df.sparkSession.createDataFrame([([f"Target column '{target}' not found in dataset"],)],
                                                "errors array<string>")
-    t = F.col(target)
+    t = qcol(target)
     s = df.agg(F.count(F.when(t.isNull(), 1)).alias("n_null"), F.count(F.lit(1)).alias("n"),
                F.count_distinct(t).alias("d"))
     pct = F.col("n_null") * 100.0 / F.col("n")

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
-from ..functions.types import dtypes, is_numeric
+from ..functions.types import dtypes, is_numeric, qcol
 from ..plans.base import FittedStep, register
 
 METHODS = ("standard", "minmax", "robust", "log")
 
 
 def scaled_expr(c: str, method: str, p: dict):
-    x = F.col(c).cast("double")
+    x = qcol(c).cast("double")
     if method == "log":
         return F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))
     return (x - F.lit(p["center"])) / F.lit(p["scale"])
@@ -31,7 +31,7 @@ class FittedScaling(FittedStep):
 
     def transform(self, df: DataFrame) -> DataFrame:
         cols = self.params["columns"]
-        return df.select(*[scaled_expr(c, cols[c]["method"], cols[c]).alias(c) if c in cols else F.col(c)
+        return df.select(*[scaled_expr(c, cols[c]["method"], cols[c]).alias(c) if c in cols else qcol(c)
                            for c in df.columns])
 
 
@@ -57,7 +57,7 @@ class Scaling:
                     details[c] = f"skipped (unknown method: {m})"
         aggs = []
         for c, m in plan.items():
-            x = F.col(c).cast("double")
+            x = qcol(c).cast("double")
             if m == "standard":
                 aggs += [F.avg(x).alias(f"a_{c}"), F.stddev_pop(x).alias(f"b_{c}")]
             elif m == "minmax":

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import pairwise_corr
-from ..functions.types import dtypes, is_numeric, is_numeric_or_bool
+from ..functions.types import dtypes, is_numeric, is_numeric_or_bool, qcol
 from ..plans.base import FittedStep, register
 
 
@@ -33,7 +33,7 @@ GRAMIAN_MIN_COLUMNS = 40
 
 
 def _pairs_frame(df: DataFrame, pairs) -> DataFrame:
-    x = lambda c: F.col(c).cast("double")
+    x = lambda c: qcol(c).cast("double")
     stats = df.agg(*[F.abs(pairwise_corr(x(a), x(b))).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)])
     stack = ", ".join(f"'{a}', '{b}', `_p{i}`" for i, (a, b) in enumerate(pairs))
     return stats.selectExpr(f"stack({len(pairs)}, {stack}) as (col_a, col_b, abs_corr)")
@@ -46,7 +46,7 @@ def _gramian_frame(df: DataFrame, columns) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
     vec = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])).select("_v")
+        df.select(*[qcol(c).cast("double").alias(c) for c in columns])).select("_v")
     m = Correlation.corr(vec, "_v").collect()[0][0].toArray()
     rows = [(a, b, None if math.isnan(m[i][j]) else abs(float(m[i][j])))
             for i, a in enumerate(columns) for j, b in enumerate(columns) if j > i]
@@ -61,7 +61,7 @@ def correlation_pairs(df: DataFrame, columns, threshold: float) -> DataFrame:
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, abs_corr double, exceeds boolean")
     if len(columns) >= GRAMIAN_MIN_COLUMNS:
-        nulls = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(columns)]).collect()[0]
+        nulls = df.agg(*[F.count(F.when(qcol(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(columns)]).collect()[0]
         out = _gramian_frame(df, columns) if not any(nulls) else None
     else:
         out = None
@@ -82,7 +82,7 @@ def variance_table(df: DataFrame, columns, threshold: float) -> DataFrame:
     """``(column, variance, kept)`` with the population variance."""
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, variance double, kept boolean")
-    stats = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(columns)])
+    stats = df.agg(*[F.var_pop(qcol(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(columns)])
     stack = ", ".join(f"'{c}', `_v{i}`" for i, c in enumerate(columns))
     return (stats.selectExpr(f"stack({len(columns)}, {stack}) as (column, variance)")
             .withColumn("kept", F.coalesce(F.col("variance") > F.lit(float(threshold)), F.lit(False))))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..functions.stats import bias_corrected_skew
-from ..functions.types import dtypes, is_numeric, is_text
+from ..functions.types import dtypes, is_numeric, is_text, qcol
 from .clean import mode_values
 from .encode import distinct_sets
 from .profile import quality_report
@@ -29,10 +29,10 @@ def clip_to_iqr(df: DataFrame, columns, factor: float = 1.5) -> DataFrame:
         if c in qs and qs[c][0] is not None:
             q1, q3 = qs[c]
             lo, hi = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
-            x = F.col(c)
+            x = qcol(c)
             exprs.append(F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x))).alias(c))
         else:
-            exprs.append(F.col(c))
+            exprs.append(qcol(c))
     return df.select(*exprs)
 
 
@@ -52,23 +52,23 @@ def smart_imputation(df: DataFrame, report: dict | None = None, exclude: tuple =
         if info["is_categorical"] or is_text(types[c]):
             if pct < 10:
                 m = mode_values(out, [c])[c]
-                out = out.withColumn(c, F.coalesce(F.col(c), F.lit(m if m is not None else "Unknown")
+                out = out.withColumn(c, F.coalesce(qcol(c), F.lit(m if m is not None else "Unknown")
                                                    .cast(types[c])))
             else:
                 values = distinct_sets(out, [c], MAX_DUMMIES)[c]
                 if values is None:
                     raise ValueError(f"column '{c}' has more than {MAX_DUMMIES} categories for indicators")
-                keep = [F.col(x) for x in out.columns if x != c]
-                flags = [F.coalesce((F.col(c) == F.lit(v)).cast("tinyint"), F.lit(0).cast("tinyint"))
+                keep = [qcol(x) for x in out.columns if x != c]
+                flags = [F.coalesce((qcol(c) == F.lit(v)).cast("tinyint"), F.lit(0).cast("tinyint"))
                          .alias(f"{c}_{v}") for v in values]
-                flags.append(F.col(c).isNull().cast("tinyint").alias(f"{c}_nan"))
+                flags.append(qcol(c).isNull().cast("tinyint").alias(f"{c}_nan"))
                 out = out.select(*keep, *flags)
         else:
             if pct < 10:
                 v = exact_quantiles(out, [c], [0.5])[c][0]
             else:
-                v = out.agg(F.avg(c)).collect()[0][0]
-            out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(v).cast("double")))
+                v = out.agg(F.avg(qcol(c))).collect()[0][0]
+            out = out.withColumn(c, F.coalesce(qcol(c).cast("double"), F.lit(v).cast("double")))
     return out
 
 
@@ -86,7 +86,7 @@ def smart_outliers(df: DataFrame, report: dict | None = None, exclude: tuple = (
             continue
         iqr = q3 - q1
         lo, hi = q1 - 1.5 * iqr, q3 + 1.5 * iqr
-        x = F.col(c)
+        x = qcol(c)
         if pct > 20:
             out = out.withColumn(c, (x.cast("double") - F.lit(med)) / F.lit(iqr if iqr else 1.0))
         elif pct > 5:
@@ -101,19 +101,19 @@ def smart_scaling(df: DataFrame, exclude: tuple = ()) -> DataFrame:
     cols = [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name not in exclude]
     if not cols:
         return df
-    row = df.agg(*[e for c in cols for e in (bias_corrected_skew(F.col(c).cast("double")).alias(f"k_{c}"),
-                                              F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]
+    row = df.agg(*[e for c in cols for e in (bias_corrected_skew(qcol(c).cast("double")).alias(f"k_{c}"),
+                                              F.avg(qcol(c)).alias(f"m_{c}"), F.stddev_pop(qcol(c)).alias(f"s_{c}"))]
                  ).collect()[0]
     robust = [c for c in cols if row[f"k_{c}"] is not None and abs(row[f"k_{c}"]) > 1]
     qs = exact_quantiles(df, robust, [0.25, 0.5, 0.75])
     exprs = []
     for c in df.columns:
-        x = F.col(c).cast("double")
+        x = qcol(c).cast("double")
         if c in robust:
             q1, med, q3 = qs[c]
             exprs.append(((x - F.lit(med)) / F.lit((q3 - q1) or 1.0)).alias(c))
         elif c in cols:
             exprs.append(((x - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"] or 1.0)).alias(c))
         else:
-            exprs.append(F.col(c))
+            exprs.append(qcol(c))
     return df.select(*exprs)

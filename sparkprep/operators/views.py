@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from ..functions.types import qcol
 
 # fixed values of the rules
 HIGH, MEDIUM = 80.0, 60.0
@@ -21,14 +22,14 @@ def contains_filter(df: DataFrame, filters: dict) -> DataFrame:
     for c, v in filters.items():
         if v in (None, ""):
             continue
-        cond = cond & F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).contains(str(v).lower())
+        cond = cond & F.lower(F.coalesce(qcol(c).cast("string"), F.lit(""))).contains(str(v).lower())
     return df.where(cond)
 
 
 def sort_by(df: DataFrame, column: str, ascending: bool = True, tiebreak: list[str] | None = None) -> DataFrame:
     """V2: one sort column (NULLs first ascending, last descending) plus a stable tie-break."""
-    key = F.col(column).asc_nulls_first() if ascending else F.col(column).desc_nulls_last()
-    return df.orderBy(key, *[F.col(t).asc() for t in (tiebreak or [])])
+    key = qcol(column).asc_nulls_first() if ascending else qcol(column).desc_nulls_last()
+    return df.orderBy(key, *[qcol(t).asc() for t in (tiebreak or [])])
 
 
 DEEP_OFFSET = 100_000  # beyond this, a page is a filter on a global row position
@@ -50,8 +51,8 @@ def page(df: DataFrame, order: list, page_no: int, size: int, key_cols: list[str
 def search_predictions(df: DataFrame, term: str, prediction: str, index: str) -> DataFrame:
     """V4: value contains the term, or the 1-based row number contains it."""
     t = str(term).lower()
-    return df.where(F.lower(F.col(prediction).cast("string")).contains(t)
-                    | (F.col(index) + 1).cast("string").contains(t))
+    return df.where(F.lower(qcol(prediction).cast("string")).contains(t)
+                    | (qcol(index) + 1).cast("string").contains(t))
 
 
 def confidence_band(conf: Column) -> Column:
@@ -62,7 +63,7 @@ def confidence_band(conf: Column) -> Column:
 
 def confidence_histogram(df: DataFrame, conf: str) -> DataFrame:
     """V6: counts per band, zero-filled, in display order (one aggregate)."""
-    pct = F.col(conf) * 100
+    pct = qcol(conf) * 100
     aggs = []
     for i, (_, lo, hi) in enumerate(HISTOGRAM):
         cond = pct.isNotNull()
@@ -79,20 +80,20 @@ def prediction_summary(df: DataFrame, prediction: str, conf: str | None, problem
     """V8: classification -> avg/max/min confidence (percent), distinct classes, total;
     regression -> avg/max/min value, total. Empty inputs give 0."""
     if problem_type == "classification":
-        c = F.col(conf)
+        c = qcol(conf)
         return df.agg((F.coalesce(F.avg(c), F.lit(0.0)) * 100).alias("avg_confidence"),
                       (F.coalesce(F.max(c), F.lit(0.0)) * 100).alias("max_confidence"),
                       (F.coalesce(F.min(c), F.lit(0.0)) * 100).alias("min_confidence"),
-                      F.count_distinct(F.col(prediction)).alias("unique_classes"),
+                      F.count_distinct(qcol(prediction)).alias("unique_classes"),
                       F.count(F.lit(1)).alias("total_predictions"))
-    v = F.col(prediction).try_cast("double")
+    v = qcol(prediction).try_cast("double")
     return df.agg(F.coalesce(F.avg(v), F.lit(0.0)).alias("avg_value"), F.coalesce(F.max(v), F.lit(0.0)).alias("max_value"),
                   F.coalesce(F.min(v), F.lit(0.0)).alias("min_value"), F.count(F.lit(1)).alias("total_predictions"))
 
 
 def export_predictions(pred: DataFrame, conf: str = "confidence") -> DataFrame:
     """V9: input columns + prediction, confidence rounded to 4 decimals."""
-    return pred.withColumn(conf, F.round(F.col(conf), 4)) if conf in pred.columns else pred
+    return pred.withColumn(conf, F.round(qcol(conf), 4)) if conf in pred.columns else pred
 
 
 def schema_check(df: DataFrame, expected: list[str]) -> dict:
@@ -139,7 +140,7 @@ def type_counts(models: DataFrame) -> DataFrame:
 
 def top_k(df: DataFrame, metric: str, k: int, tiebreak: str) -> DataFrame:
     """Top-k rows by a metric (ties by a key) -- a TakeOrdered, not a sort of everything."""
-    return df.orderBy(F.col(metric).desc_nulls_last(), F.col(tiebreak)).limit(k)
+    return df.orderBy(qcol(metric).desc_nulls_last(), qcol(tiebreak)).limit(k)
 
 
 def flag_updated_cells(df: DataFrame, updated: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import standardize_missing
+from ..functions.types import qcol
 
 ROW_ID = "_orig_idx"
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "jsonl",
@@ -73,7 +74,7 @@ def json_safe(df: DataFrame) -> DataFrame:
     ISO text."""
     exprs = []
     for f in df.schema.fields:
-        c, dt = F.col(f.name), f.dataType
+        c, dt = qcol(f.name), f.dataType
         if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
             e = F.to_json(c)
         elif isinstance(dt, T.DecimalType):

@@ -178,3 +178,26 @@ def test_encoding_skips_and_unknown_methods(spark):
                                  "s": "skipped (unknown method: weird)"}
     t = Encoding(["s"], "target").fit(df)
     assert t.meta["details"]["s"] == "target encoding skipped (no target column)"
+
+
+def test_dotted_names_and_values(spark):
+    from sparkprep.operators import RemoveDuplicates, RemoveNulls, RemoveOutliers, Scaling
+    from sparkprep.plans.features import FeatureSpec, run_features
+    rows = [(i, f"v{i % 3}.0", float(i), None if i % 4 == 0 else float(i * 2), f"g.{i % 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "`row.id` int, `cat.name` string, `x.val` double, `y val` double, `g.k` string")
+    d = RemoveDuplicates(["g.k"], "row.id").fit(df).transform(df)
+    assert sorted(r["row.id"] for r in d.collect()) == [0, 1]
+    assert RemoveDuplicates(None, "row.id").fit(df).transform(df).count() == 40
+    assert RemoveNulls(["y val"]).fit(df).transform(df).count() == 30
+    assert RemoveOutliers(["x.val"]).fit(df).transform(df).count() == 40
+    spec = FeatureSpec.from_dicts([
+        {"type": "encoding", "columns": ["cat.name"], "method": "one-hot"},
+        {"type": "scaling", "columns": ["cat.name_v1.0", "x.val"], "method": "minmax"},
+        {"type": "binning", "columns": ["y val"], "method": "quantile", "bins": 4},
+        {"type": "feature_creation", "columns": ["g.k", "x.val"], "method": "aggregations",
+         "aggregation_type": "mean", "new_column_name": "g.mean"},
+        {"type": "encoding", "columns": ["g.k"], "method": "target", "target_column": "x.val"}])
+    out = run_features(df, spec, drop_ids=False).output
+    assert {"cat.name_v0.0", "cat.name_v1.0", "y val_binned", "g.mean", "g.k_target_encoded"} <= set(out.columns)
+    r = out.orderBy(F.col("`row.id`")).collect()
+    assert r[1]["cat.name_v1.0"] == 1.0 and abs(r[1]["g.mean"] - 20 / 39) < 1e-12  # mean of scaled x
