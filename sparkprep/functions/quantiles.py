@@ -27,6 +27,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
 from .types import qcol
 
 

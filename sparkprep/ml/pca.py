@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
 from ..functions.types import qcol
 
 
 def fit_pca(df: DataFrame, columns, k: int) -> dict:
     x = {c: qcol(c).cast("double") for c in columns}
     complete = df.select(*[x[c].alias(c) for c in columns]).na.drop()
-    means = complete.agg(*[F.avg(c).alias(c) for c in columns]).collect()[0]
+    means = dict(zip(columns, complete.agg(*[F.avg(qcol(c)) for c in columns]).collect()[0]))
     centred = complete.select(*[(qcol(c) - F.lit(means[c])).alias(c) for c in columns])
     vec = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(centred).select("_v")
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(vec)

@@ -47,16 +47,16 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
     bounded order-statistic passes over two columns -- no shuffle or checkpoint
     of the data -- and rows tied on the 60-bit hash at the threshold (a handful)
     are split by key."""
-    per_class = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    per_class = df.groupBy(qcol(label).alias("_y")).agg(F.count(F.lit(1)).alias("n"))
     top = per_class.limit(MAX_STRATA + 1).collect()  # one row per class, checked before use
     if len(top) > MAX_STRATA:
         raise ValueError(f"stratified split supports at most {MAX_STRATA} classes")
     if len(top) > THRESHOLD_CLASSES:
-        return _stratified_by_rank(df, key, label, test_size, seed, {r[label]: r["n"] for r in top})
+        return _stratified_by_rank(df, key, label, test_size, seed, {r["_y"]: r["n"] for r in top})
     hashed = df.select(qcol(key).alias("_k"), qcol(label).alias("_y"), split_hash(qcol(key), seed).alias("_h"))
     rules = []
     for r in top:
-        c, n = r[label], r["n"]
+        c, n = r["_y"], r["n"]
         quota = int(test_size * n + 0.5)
         cls = qcol(label).isNull() if c is None else (qcol(label) == F.lit(c))
         if quota <= 0:

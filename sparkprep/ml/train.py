@@ -75,7 +75,7 @@ def prepare(df: DataFrame, target: str, key: str, ptype: str, test_size: float,
     else:
         coded = coded.withColumn("label", qcol(target).cast("double"))
     feats = nums + cats
-    coded = coded.select(key, "is_test", "label", target,
+    coded = coded.select(qcol(key), "is_test", "label", qcol(target),
                          *[qcol(c).cast("double").alias(c) for c in feats])
     return coded, feats, dictionaries, classes, warnings, counts
 

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+
 from ..functions.types import qcol
 
 
 def deleted_rows(original: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
     """Keys present before and absent after."""
-    return original.select(key).join(cleaned.select(key), on=key, how="left_anti")
+    a = original.select(qcol(key).alias("_k"))
+    return a.join(cleaned.select(qcol(key).alias("_k")), "_k", "left_anti").select(F.col("_k").alias(key))
 
 
 def comparable(c, dt):

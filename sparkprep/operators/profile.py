@@ -52,7 +52,7 @@ def preview_records(df: DataFrame, row_key: str, limit: int = 1000) -> DataFrame
     """First ``limit`` rows in key order, JSON-safe (no NaN/inf, decimals
     as doubles, dates and timestamps as ISO text, nested values as JSON)."""
     from ..sources.readers import json_safe
-    return json_safe(standardize_missing(df)).orderBy(row_key).limit(limit)
+    return json_safe(standardize_missing(df)).orderBy(qcol(row_key)).limit(limit)
 
 
 def dataset_preview(df: DataFrame, row_key: str, limit: int = 1000, approx: bool = False) -> dict:
@@ -212,8 +212,9 @@ def column_insights(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def first_values(df: DataFrame, column: str, row_key: str, k: int = 10) -> DataFrame:
     """P5: the first ``k`` distinct non-null values in order of appearance."""
-    return (df.where(qcol(column).isNotNull()).groupBy(column).agg(F.min(row_key).alias("_first"))
-            .orderBy("_first").limit(k).select(qcol(column).cast("string").alias("value"), "_first"))
+    return (df.where(qcol(column).isNotNull()).groupBy(qcol(column).alias("_v"))
+            .agg(F.min(qcol(row_key)).alias("_first"))
+            .orderBy("_first").limit(k).select(F.col("_v").cast("string").alias("value"), "_first"))
 
 
 # ------------------------------------------------------------------ P6
@@ -253,9 +254,9 @@ def class_distribution(df: DataFrame, target: str, k: int = 10) -> DataFrame:
     """Top-``k`` values by count (ties by value), with share of non-null rows."""
     present = df.where(qcol(target).isNotNull())
     total = present.count()  # one scalar
-    top = (present.groupBy(target).agg(F.count(F.lit(1)).alias("count"))
-           .orderBy(F.desc("count"), F.asc(target)).limit(k))
-    return top.select(qcol(target).cast("string").alias("value"), "count",
+    top = (present.groupBy(qcol(target).alias("_v")).agg(F.count(F.lit(1)).alias("count"))
+           .orderBy(F.desc("count"), F.asc("_v")).limit(k))
+    return top.select(F.col("_v").cast("string").alias("value"), "count",
                       (F.col("count") * 100.0 / F.lit(max(total, 1))).alias("percentage"))
 
 
