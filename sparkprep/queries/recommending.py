@@ -143,7 +143,39 @@ def q_rows_with_nulls(spark, sf):
     return R.rows_with_any_null(_source(spark, sf, "clean_events"))
 
 
-@query("suggest_cleaning")
+@query("suggest_cleaning", W + """,
+p AS (SELECT 1 AS pos, 'event_id' AS c, count(DISTINCT event_id) AS d, count(*) FILTER (WHERE event_id IS NULL) AS nn, count(*) AS n FROM clean_events
+UNION ALL SELECT 2 AS pos, 'ts' AS c, count(DISTINCT ts) AS d, count(*) FILTER (WHERE ts IS NULL) AS nn, count(*) AS n FROM clean_events
+UNION ALL SELECT 3 AS pos, 'user_id' AS c, count(DISTINCT user_id) AS d, count(*) FILTER (WHERE user_id IS NULL) AS nn, count(*) AS n FROM clean_events
+UNION ALL SELECT 4 AS pos, 'event_type' AS c, count(DISTINCT event_type) AS d, count(*) FILTER (WHERE event_type IS NULL) AS nn, count(*) AS n FROM clean_events
+UNION ALL SELECT 5 AS pos, 'value' AS c, count(DISTINCT value) AS d, count(*) FILTER (WHERE value IS NULL) AS nn, count(*) AS n FROM clean_events
+UNION ALL SELECT 6 AS pos, 'props' AS c, count(DISTINCT props) AS d, count(*) FILTER (WHERE props IS NULL) AS nn, count(*) AS n FROM clean_events),
+f AS (SELECT 1 AS pos, 'event_id' AS c, quantile_cont(event_id, 0.25) AS q1, quantile_cont(event_id, 0.75) AS q3 FROM clean_events
+UNION ALL SELECT 2 AS pos, 'user_id' AS c, quantile_cont(user_id, 0.25) AS q1, quantile_cont(user_id, 0.75) AS q3 FROM clean_events
+UNION ALL SELECT 3 AS pos, 'value' AS c, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM clean_events),
+o AS (SELECT 'event_id' AS c, 100.0 * count(*) FILTER (WHERE event_id < (SELECT q1 - 1.5 * (q3 - q1) FROM f WHERE c = 'event_id') OR event_id > (SELECT q3 + 1.5 * (q3 - q1) FROM f WHERE c = 'event_id')) / count(*) AS pct FROM clean_events
+UNION ALL SELECT 'user_id' AS c, 100.0 * count(*) FILTER (WHERE user_id < (SELECT q1 - 1.5 * (q3 - q1) FROM f WHERE c = 'user_id') OR user_id > (SELECT q3 + 1.5 * (q3 - q1) FROM f WHERE c = 'user_id')) / count(*) AS pct FROM clean_events
+UNION ALL SELECT 'value' AS c, 100.0 * count(*) FILTER (WHERE value < (SELECT q1 - 1.5 * (q3 - q1) FROM f WHERE c = 'value') OR value > (SELECT q3 + 1.5 * (q3 - q1) FROM f WHERE c = 'value')) / count(*) AS pct FROM clean_events),
+dr AS (SELECT pos, c FROM p WHERE 100.0 * nn / n >= 80 OR d / n <= 0.01),
+fl AS (SELECT pos, c FROM p WHERE nn > 0 AND c NOT IN (SELECT c FROM dr)),
+oc AS (SELECT f.pos, o.c FROM o JOIN f USING (c) WHERE pct > 5),
+g AS (SELECT count(*) FILTER (WHERE event_id IS NULL OR ts IS NULL OR user_id IS NULL OR event_type IS NULL OR value IS NULL OR props IS NULL) AS null_rows, count(*) AS rows FROM clean_events),
+dup AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (row_id) FROM clean_events)) AS k
+        FROM clean_events),
+sm AS (SELECT rows > 0 AND null_rows / rows <= 0.03 AS small, null_rows FROM g)
+SELECT 'removeDuplicates' AS section, k > 0 AS enabled, []::VARCHAR[] AS columns,
+       CASE WHEN k > 0 THEN 'Found ' || k || ' duplicate rows' ELSE 'No duplicates' END AS reason FROM dup
+UNION ALL SELECT 'dropColumns', (SELECT count(*) FROM dr) > 0, coalesce((SELECT list(c ORDER BY pos) FROM dr), []),
+       'Columns with heavy missingness or near-constant variance'
+UNION ALL SELECT 'fillNulls', (SELECT count(*) FROM fl) > 0 AND NOT small, coalesce((SELECT list(c ORDER BY pos) FROM fl), []),
+       'Missing values detected; imputation preferred over row removal' FROM sm
+UNION ALL SELECT 'removeNulls', small AND null_rows > 0,
+       CASE WHEN small THEN coalesce((SELECT list(c ORDER BY pos) FROM fl), []) ELSE []::VARCHAR[] END,
+       CASE WHEN small THEN 'Few rows contain nulls; dropping rows has low impact' ELSE 'Row removal would be costly' END
+       FROM sm
+UNION ALL SELECT 'removeOutliers', (SELECT count(*) FROM oc) > 0, coalesce((SELECT list(c ORDER BY pos) FROM oc), []),
+       CASE WHEN (SELECT count(*) FROM oc) > 0 THEN 'Outliers > 5% detected in some numeric columns'
+            ELSE 'No significant outliers' END""")
 def q_suggest_cleaning(spark, sf):
     s = R.cleaning_suggestions(_source(spark, sf, "clean_events"))
     rows = [(k, bool(v["enabled"]), list(v.get("columns", v.get("subset", []))), v["reason"])
