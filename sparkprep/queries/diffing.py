@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..fixtures import clean_events, table
-from ..operators.diff import column_summary, deleted_rows, updated_cells
+from ..operators.diff import deleted_rows, updated_cells
 from ..plans.cleaning import CleanSpec, run_cleaning
 from ..plans.features import FeatureSpec, run_features
 from .cleaning import CLEAN_RUN_SPEC, CLEAN_RUN_SQL
@@ -64,5 +62,3 @@ def q_diff_column_sets(spark, sf):
             + [(c, "kept") for c in s["original_columns"] if c not in s["removed_columns"]])
     return spark.createDataFrame(rows, "column string, status string")
 
-
-__all__ = ["F", "column_summary"]
