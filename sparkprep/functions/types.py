@@ -57,3 +57,10 @@ def qcol(name: str):
     user column names or one-hot values are not parsed as nested fields)."""
     from pyspark.sql import functions as F
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def missing(name: str, dt):
+    """NULL, or NaN for floating columns (pandas' single notion of missing)."""
+    from pyspark.sql import functions as F
+    c = qcol(name)
+    return (c.isNull() | F.isnan(c)) if is_floating(dt) else c.isNull()

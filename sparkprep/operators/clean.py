@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.quantiles import exact_quantiles
-from ..functions.types import dtypes, is_numeric, is_text, numeric_columns, qcol
+from ..functions.types import dtypes, is_numeric, is_text, missing, numeric_columns, qcol
 from ..plans.base import FittedStep, register
 
 ROW_ID = "_orig_idx"
@@ -64,9 +64,10 @@ class FittedDropNulls(FittedStep):
     def transform(self, df: DataFrame) -> DataFrame:
         cols = self.params.get("columns")
         cols = cols or df.columns
+        types = dtypes(df)
         keep = F.lit(True)
         for c in cols:
-            keep = keep & qcol(c).isNotNull()
+            keep = keep & ~missing(c, types[c])
         return df.where(keep)
 
 
@@ -104,9 +105,10 @@ class FittedFill(FittedStep):
             if c in fills and fills[c] is not None:
                 v = F.lit(fills[c])
                 if self.params["strategies"][c] in ("mean", "median"):
-                    exprs.append(F.coalesce(qcol(c).cast("double"), v.cast("double")).alias(c))
+                    exprs.append(F.when(missing(c, types[c]), v.cast("double"))
+                                 .otherwise(qcol(c).cast("double")).alias(c))
                 else:
-                    exprs.append(F.coalesce(qcol(c), v.cast(types[c])).alias(c))
+                    exprs.append(F.when(missing(c, types[c]), v.cast(types[c])).otherwise(qcol(c)).alias(c))
             else:
                 exprs.append(qcol(c))
         return df.select(*exprs)
@@ -195,7 +197,8 @@ def outlier_keep_condition(bounds: dict, types: dict | None = None) -> Column:
         x, lo, hi = qcol(c), b["lower"], b["upper"]
         if types and isinstance(types.get(c), T.IntegralType) and math.isfinite(lo) and math.isfinite(hi):
             lo, hi = F.lit(math.ceil(lo)).cast(types[c]), F.lit(math.floor(hi)).cast(types[c])
-        cond = cond & ((x >= lo) & (x <= hi) | x.isNull())
+        gap = missing(c, types[c]) if types and c in types else x.isNull()
+        cond = cond & ((x >= lo) & (x <= hi) | gap)
     return cond
 
 
@@ -273,7 +276,7 @@ class RemoveOutliers:
 def zscore_keep_condition(c: str, mean: float, std: float, factor: float) -> Column:
     """The literal z-score rule ``abs((x-mu)/sigma) <= f or x is null``."""
     x = qcol(c)
-    return (F.abs((x - F.lit(mean)) / F.lit(std)) <= factor) | x.isNull()
+    return (F.abs((x - F.lit(mean)) / F.lit(std)) <= factor) | x.isNull() | F.isnan(x.cast("double"))
 
 
 # ----------------------------------------------------------------------------- C14

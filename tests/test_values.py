@@ -201,3 +201,15 @@ def test_dotted_names_and_values(spark):
     assert {"cat.name_v0.0", "cat.name_v1.0", "y val_binned", "g.mean", "g.k_target_encoded"} <= set(out.columns)
     r = out.orderBy(F.col("`row.id`")).collect()
     assert r[1]["cat.name_v1.0"] == 1.0 and abs(r[1]["g.mean"] - 20 / 39) < 1e-12  # mean of scaled x
+
+
+def test_nan_is_missing_without_standardisation(spark):
+    from sparkprep.operators import RemoveNulls, RemoveOutliers
+    df = spark.createDataFrame([(0, 1.0), (1, float("nan")), (2, None), (3, 2.0), (4, 1000.0)], "k int, x double")
+    assert col(RemoveNulls(["x"]).fit(df).transform(df), "k") == [0, 3, 4]
+    f = FillNulls({"x": {"strategy": "custom", "value": "7"}}).fit(df)
+    assert col(f.transform(df), "x") == [1.0, 7.0, 7.0, 2.0, 1000.0]
+    vals = [1.0, 2.0, 3.0, 4.0, 5.0, 1000.0, float("nan"), None]
+    o = spark.createDataFrame(list(enumerate(vals)), "k int, x double")
+    kept = col(RemoveOutliers(["x"], "iqr").fit(o.where("k < 6")).transform(o), "k")
+    assert kept == [0, 1, 2, 3, 4, 6, 7]   # NaN/NULL kept as missing, 1000 removed
