@@ -213,3 +213,23 @@ def test_nan_is_missing_without_standardisation(spark):
     o = spark.createDataFrame(list(enumerate(vals)), "k int, x double")
     kept = col(RemoveOutliers(["x"], "iqr").fit(o.where("k < 6")).transform(o), "k")
     assert kept == [0, 1, 2, 3, 4, 6, 7]   # NaN/NULL kept as missing, 1000 removed
+
+
+def test_hot_key_results_match_brute_force(spark):
+    import numpy as np
+    import pandas as pd
+    from sparkprep.operators import RemoveDuplicates
+    rng = np.random.default_rng(21)
+    n = 30_000
+    keys = np.where(np.arange(n) < n // 3, "hot", np.char.add("k", (rng.integers(0, 2000, n)).astype(str)))
+    pdf = pd.DataFrame({"rid": np.arange(n), "g": keys, "v": rng.normal(size=n).round(6)})
+    df = spark.createDataFrame(pdf).repartition(8)
+    first = RemoveDuplicates(["g"], "rid").fit(df).transform(df).toPandas().sort_values("g")
+    want = pdf.sort_values("rid").drop_duplicates("g").sort_values("g")
+    assert first["rid"].tolist() == want["rid"].tolist()
+    agg = FeatureCreation(["g", "v"], "aggregations", aggregation_type="mean", new_column_name="m").fit(df)
+    got = agg.transform(df).toPandas().set_index("rid")["m"].sort_index()
+    exp = pdf.groupby("g")["v"].transform("mean")
+    assert np.allclose(got.values, exp.values)
+    te = Encoding(["g"], "target", target_column="v").fit(df).transform(df).toPandas().set_index("rid").sort_index()
+    assert np.allclose(te["g_target_encoded"].values, exp.values)
