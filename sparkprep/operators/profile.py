@@ -131,23 +131,32 @@ def outlier_table(df: DataFrame, fences: dict) -> DataFrame:
                     .alias("percentage"), "lower_bound", "upper_bound")
 
 
-def quality_score_table(missing: DataFrame, dups: DataFrame, outliers: DataFrame, rows: DataFrame) -> DataFrame:
-    """Q5/Q6: one row with the score and the three recommendation texts."""
-    parts = (missing.select(F.lit("m").alias("k"), F.col("percentage").alias("v"))
-             .unionByName(outliers.select(F.lit("o").alias("k"), F.col("percentage").alias("v")))
-             .unionByName(dups.select(F.lit("d").alias("k"), F.col("duplicate_rows").cast("double").alias("v")))
-             .unionByName(rows.select(F.lit("n").alias("k"), F.col("total_rows").cast("double").alias("v"))))
-    s = parts.agg(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("v"))), F.lit(0.0)).alias(k)
-                    for k in ("m", "o", "d", "n")],
-                  F.count(F.when(F.col("k") == "m", 1)).alias("m_cols"),
-                  F.count(F.when(F.col("k") == "o", 1)).alias("o_cols"))
+def quality_score_table(df: DataFrame, fences: dict, exclude: tuple = ()) -> DataFrame:
+    """Q5/Q6: one row with the score, duplicate count and recommendation texts.
+    Missing counts, outlier counts and the row count come from ONE aggregate
+    over the table; the duplicate count is the only other pass."""
+    cols = [c for c in df.columns if c not in exclude]
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs += [F.count(F.when(qcol(c).isNull(), 1)).alias(f"m{i}") for i, c in enumerate(cols)]
+    aggs += [F.count(F.when((qcol(c) < lo) | (qcol(c) > hi), 1)).alias(f"o{i}")
+             for i, (c, (lo, hi)) in enumerate(fences.items())]
+    n = F.col("_n")
+    pct = lambda k: F.when(n > 0, F.col(k) * 100.0 / n).otherwise(0.0)
+    m_sum = sum((pct(f"m{i}") for i in range(len(cols))), F.lit(0.0))
+    m_cols = sum(((F.col(f"m{i}") > 0).cast("int") for i in range(len(cols))), F.lit(0))
+    o_sum = sum((pct(f"o{i}") for i in range(len(fences))), F.lit(0.0))
+    main = df.agg(*aggs).select(F.lit("s").alias("k"), m_sum.alias("m"), m_cols.alias("mc"), o_sum.alias("o"),
+                                n.cast("double").alias("n"), F.lit(0.0).alias("d"))
+    dups = duplicate_count(df, exclude).select(F.lit("d").alias("k"), *[F.lit(0.0).alias(x) for x in ("m", "mc", "o", "n")],
+                                               F.col("duplicate_rows").cast("double").alias("d"))
+    s = main.unionByName(dups).agg(*[F.sum(x).alias(x) for x in ("m", "mc", "o", "n", "d")])
     dup_pct = F.when(F.col("n") > 0, F.col("d") * 100.0 / F.col("n")).otherwise(0.0)
     score = F.greatest(F.lit(0.0), 100 - F.col("m") * 0.5 - dup_pct - F.col("o") * 0.3)
     recs = F.filter(F.array(
-        F.when(F.col("m_cols") > 0, F.lit("Missing values detected - applying smart imputation")),
+        F.when(F.col("mc") > 0, F.lit("Missing values detected - applying smart imputation")),
         F.when(F.col("d") > 0, F.concat(F.lit("Found "), F.col("d").cast("bigint").cast("string"),
                                         F.lit(" duplicate rows - removing duplicates"))),
-        F.when(F.col("o_cols") > 0, F.lit("Outliers detected - applying robust outlier handling"))),
+        F.when(F.lit(len(fences) > 0), F.lit("Outliers detected - applying robust outlier handling"))),
         lambda x: x.isNotNull())
     return s.select(score.alias("quality_score"), F.col("d").cast("bigint").alias("duplicate_rows"),
                     recs.alias("recommendations"))

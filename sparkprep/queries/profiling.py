@@ -110,8 +110,7 @@ SELECT round(greatest(0, 100 - mp * 0.5 - dups * 100.0 / m.n - op * 0.3), 6) AS
 FROM m, d, s""")
 def q_quality_score(spark, sf):
     df = _ev(spark, sf)
-    rows = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    t = quality_score_table(missing_table(df), duplicate_count(df), outlier_table(df, outlier_fences(df)), rows)
+    t = quality_score_table(df, outlier_fences(df))
     return t.withColumn("quality_score", r6(F.col("quality_score")))
 
 
