@@ -167,3 +167,20 @@ def q_model_registry(spark, sf):
     res = run_training(_labeled_docs(spark, sf), "quality", "doc_id", ["logistic_regression"])
     save_training(res, base)
     return list_models(spark, base).select("problem_type", "target_column", "best_model")
+
+
+@query("holdout_linear_metrics", f"""
+WITH s AS (SELECT l_extendedprice AS y, l_quantity AS x,
+                  {MD5_BUCKET.format(k="concat_ws('-', l_orderkey, l_linenumber)")} < 2000 AS is_test FROM lineitem),
+c AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s WHERE NOT is_test),
+t AS (SELECT y, a + b * x AS yhat FROM s, c WHERE is_test)
+SELECT round(avg(abs(y - yhat)), 2) AS mae, round(sqrt(avg((y - yhat) * (y - yhat))), 2) AS rmse,
+       round(1 - avg((y - yhat) * (y - yhat)) / var_pop(y), 6) AS r2_score FROM t""")
+def q_holdout_linear_metrics(spark, sf):
+    """M1, M2, M10, M14, M18 end to end: split -> fit -> evaluate, with one feature."""
+    li = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_key"),
+                                             "l_quantity", "l_extendedprice")
+    res = run_training(li, "l_extendedprice", "row_key", ["linear_regression"], problem_type="regression")
+    m = res.results[0]["metrics"]
+    return spark.createDataFrame([(round(m["mae"], 2), round(m["rmse"], 2), round(m["r2_score"], 6))],
+                                 "mae double, rmse double, r2_score double")
