@@ -143,3 +143,23 @@ def test_deep_page_matches_offset(spark):
     deep = V.page(df, order, 150_000 // 50, 50, key_cols=["v", "id"]).collect()
     shallow = df.orderBy(*order).offset(150_000).limit(50).collect()
     assert [tuple(r) for r in deep] == [tuple(r) for r in shallow]
+
+
+def test_leaderboard_helpers(spark):
+    from sparkprep.operators import views as V
+    models = spark.createDataFrame([
+        ("m1", "a.csv", "y", "classification", "logistic_regression", 0.9, "2024-01-02"),
+        ("m2", "a.csv", "y", "classification", "random_forest", 0.95, "2024-01-03"),
+        ("m3", None, "z", "regression", "lasso", 0.5, "2024-01-01"),
+        ("m4", "b.csv", "y", "classification", "svm_rbf", None, None)],
+        "model_id string, filename string, target_column string, problem_type string, best_model string, "
+        "score double, created_at string")
+    lb = V.leaderboard(models, "classification", None, "accuracy").collect()
+    assert [r["model_id"] for r in lb] == ["m2", "m1", "m4"]
+    assert [r["family"] for r in lb] == ["Ensemble Methods", "Linear Models", "Support Vector"]
+    assert [r["model_id"] for r in V.leaderboard(models, sort="date").collect()][:1] == ["m2"]
+    g = {(r["file"], r["target"]): r["models"] for r in V.group_models(models).collect()}
+    assert g[("a.csv", "y")] == ["m1", "m2"] and g[("Unknown", "z")] == ["m3"]
+    t = V.type_counts(models).collect()[0]
+    assert (t["total"], t["classification"], t["regression"]) == (4, 3, 1)
+    assert [r["model_id"] for r in V.top_k(models, "score", 3, "model_id").collect()] == ["m2", "m1", "m3"]
