@@ -38,7 +38,9 @@ def hash_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = SEED
     """Adds boolean ``is_test``."""
     if not 0.1 <= test_size <= 0.5:
         raise ValueError("test_size must be between 0.1 and 0.5")
-    return df.withColumn("is_test", split_bucket(qcol(key), seed) < int(round(test_size * 10000)))
+    # a NULL key has no hash: such rows stay on the training side instead of vanishing
+    return df.withColumn("is_test", F.coalesce(split_bucket(qcol(key), seed) < int(round(test_size * 10000)),
+                                               F.lit(False)))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = SEED) -> DataFrame:
