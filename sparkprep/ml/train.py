@@ -3,7 +3,8 @@
 One prepared frame (split flag, train-only categorical codes, label index)
 is persisted for all models and released at the end. Each model is a
 ``Pipeline(imputer -> assembler -> estimator)`` fitted on the training rows;
-a failing model is recorded and does not stop the run.
+the models are fitted concurrently from driver threads (their jobs share the
+executors); a failing model is recorded and does not stop the run.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -124,7 +126,8 @@ def select_best(results: list[dict], order: list[str]) -> tuple[str | None, list
 
 
 def run_training(df: DataFrame, target: str, key: str, models: list[str] | None = None,
-                 test_size: float = 0.2, seed: int = 42, problem_type: str | None = None) -> TrainingResult:
+                 test_size: float = 0.2, seed: int = 42, problem_type: str | None = None,
+                 parallelism: int = 4) -> TrainingResult:
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' not found in dataset")
     ptype = problem_type or detect_problem_type(df, target)
@@ -136,20 +139,25 @@ def run_training(df: DataFrame, target: str, key: str, models: list[str] | None
         train, test = coded.where(~F.col("is_test")), coded.where(F.col("is_test"))
         ctx = {"n_train": counts["train_rows"], "n_classes": len(classes or []),
                "sigma_y": train.agg(F.stddev_pop("label")).collect()[0][0] or 0.0}
-        results, fitted = [], {}
-        for name in chosen:
+        def fit_one(name):
             t0 = time.time()
             try:
                 model = _pipeline(feats, registry[name](ctx)).fit(train)
                 metrics = evaluate(model.transform(test), ptype, ctx["n_classes"])
                 score = metrics.get("accuracy") if ptype == "classification" else metrics.get("r2_score")
-                results.append({"model": name, "status": "completed", "score": score, "metrics": metrics,
-                                "training_time": time.time() - t0,
-                                "feature_importance": feature_importance(model, feats)})
-                fitted[name] = model
+                return model, {"model": name, "status": "completed", "score": score, "metrics": metrics,
+                               "training_time": time.time() - t0,
+                               "feature_importance": feature_importance(model, feats)}
             except Exception as e:  # noqa: BLE001 - recorded, the run goes on
-                results.append({"model": name, "status": "failed", "error": str(e)[:6000],
-                                "training_time": time.time() - t0})
+                return None, {"model": name, "status": "failed", "error": str(e)[:6000],
+                              "training_time": time.time() - t0}
+
+        # model-level parallelism: each fit's jobs are submitted from its own
+        # driver thread and share the executors (results kept in registry order)
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(chosen)))) as pool:
+            done = list(pool.map(fit_one, chosen))
+        results = [r for _, r in done]
+        fitted = {r["model"]: m for m, r in done if m is not None}
         best, warn = select_best(results, chosen)
         return TrainingResult(ptype, target, feats, results, best, warnings + warn, fitted, dictionaries, classes)
     finally:
