@@ -183,6 +183,20 @@ def exact_quantiles(df: DataFrame, columns, probs, *, max_collect: int = 50_000,
     return out
 
 
+def quantiles(df: DataFrame, columns, probs, exact: bool = True, accuracy: int = 10_000) -> dict[str, list]:
+    """Exact by default; ``exact=False`` is one ``percentile_approx`` pass (rank
+    error <= n/accuracy) for inputs where an approximate cut is acceptable."""
+    if exact:
+        return exact_quantiles(df, columns, probs)
+    columns = list(dict.fromkeys(columns))
+    if not columns:
+        return {}
+    row = df.agg(*[F.percentile_approx(qcol(c).cast("double"), [float(p) for p in probs], accuracy).alias(f"q{i}")
+                   for i, c in enumerate(columns)]).collect()[0]
+    return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
+            for i, c in enumerate(columns)}
+
+
 def order_statistic(df: DataFrame, column: str, rank: int, n: int, **kw) -> float:
     """The value at 0-based position ``rank`` among the ``n`` non-null values
     (compared as doubles), via the same bounded passes."""

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import quantiles
 from ..functions.types import dtypes, is_numeric, qcol
 from ..plans.base import FittedStep, register
 
@@ -59,6 +59,7 @@ class Binning:
     method: str = "equal-width"
     bins: int = 5
     column_methods: dict = field(default_factory=dict)
+    exact: bool = True
 
     def fit(self, df: DataFrame) -> FittedBinning:
         types = dtypes(df)
@@ -87,7 +88,7 @@ class Binning:
                 details[c] = "equal-width binned"
         q_cols = [c for c, m in plan.items() if m == "quantile"]
         probs = [float(p) for p in np.linspace(0, 1, k + 1)]
-        for c, qs in exact_quantiles(df, q_cols, probs).items():
+        for c, qs in quantiles(df, q_cols, probs, self.exact).items():
             edges[c] = [] if qs[0] is None else quantile_edges(qs)
             details[c] = "quantile binned"
         ordered = {c: edges[c] for c in self.columns if c in edges}

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import quantiles
 from ..functions.types import dtypes, is_numeric, is_text, missing, numeric_columns, qcol
 from ..plans.base import FittedStep, register
 
@@ -118,6 +118,7 @@ class FittedFill(FittedStep):
 class FillNulls:
     """``strategies``: ``{column: {"strategy": mean|median|mode|custom, "value": v}}``."""
     strategies: dict = field(default_factory=dict)
+    exact: bool = True
 
     def fit(self, df: DataFrame) -> FittedFill:
         types = dtypes(df)
@@ -132,7 +133,7 @@ class FillNulls:
             row = df.agg(*[F.avg(qcol(c)) for c in means]).collect()[0]
             values.update(dict(zip(means, row)))
         meds = [c for c, s in plan.items() if s == "median"]
-        values.update({c: q[0] for c, q in exact_quantiles(df, meds, [0.5]).items()})
+        values.update({c: q[0] for c, q in quantiles(df, meds, [0.5], self.exact).items()})
         values.update(mode_values(df, [c for c, s in plan.items() if s == "mode"]))
         for c, s in plan.items():
             if s == "custom":
@@ -219,8 +220,8 @@ class FittedOutliers(FittedStep):
         return df.where(outlier_keep_condition(bounds, dtypes(df)))
 
 
-def iqr_bounds(df: DataFrame, columns, factor: float = 1.5) -> dict:
-    qs = exact_quantiles(df, columns, [0.25, 0.75])
+def iqr_bounds(df: DataFrame, columns, factor: float = 1.5, exact: bool = True) -> dict:
+    qs = quantiles(df, columns, [0.25, 0.75], exact)
     out = {}
     for c, (q1, q3) in qs.items():
         if q1 is None:
@@ -253,6 +254,7 @@ class RemoveOutliers:
     method: str = "iqr"
     factor: float = 1.5
     exclude: tuple = (ROW_ID,)
+    exact: bool = True
 
     def fit(self, df: DataFrame) -> FittedOutliers:
         method = (self.method or "iqr").lower()
@@ -261,7 +263,7 @@ class RemoveOutliers:
         if not cols:
             return FittedOutliers({"bounds": {}}, {"summary": ["Remove Outliers: no numeric columns to process"]})
         if method == "iqr":
-            bounds = iqr_bounds(df, cols, float(self.factor))
+            bounds = iqr_bounds(df, cols, float(self.factor), self.exact)
         elif method == "zscore":
             bounds = zscore_bounds(df, cols, float(self.factor))
         else:

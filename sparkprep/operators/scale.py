@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import quantiles
 from ..functions.types import dtypes, is_numeric, qcol
 from ..plans.base import FittedStep, register
 
@@ -40,6 +40,7 @@ class Scaling:
     columns: list[str] = field(default_factory=list)
     method: str = "standard"
     column_methods: dict = field(default_factory=dict)
+    exact: bool = True
 
     def fit(self, df: DataFrame) -> FittedScaling:
         types = dtypes(df)
@@ -63,7 +64,7 @@ class Scaling:
             elif m == "minmax":
                 aggs += [F.min(x).alias(f"a_{c}"), F.max(x).alias(f"b_{c}")]
         row = df.agg(*aggs).collect()[0] if aggs else None
-        qs = exact_quantiles(df, [c for c, m in plan.items() if m == "robust"], [0.25, 0.5, 0.75])
+        qs = quantiles(df, [c for c, m in plan.items() if m == "robust"], [0.25, 0.5, 0.75], self.exact)
         params = {}
         for c, m in plan.items():
             if m == "standard":

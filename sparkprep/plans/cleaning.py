@@ -31,6 +31,7 @@ class CleanSpec:
     outlier_method: str = "iqr"
     outlier_factor: float = 1.5
     row_key: str = "_orig_idx"
+    exact: bool = True          # False: one-pass approximate quantiles for median fill / IQR
 
 
 @dataclass
@@ -61,12 +62,12 @@ def run_cleaning(df: DataFrame, spec: CleanSpec, persist: bool = True) -> CleanR
     if spec.remove_nulls:
         planned.append(("remove_nulls", RemoveNulls(spec.null_columns)))
     if spec.fill_nulls:
-        planned.append(("fill_nulls", FillNulls(spec.fill_nulls)))
+        planned.append(("fill_nulls", FillNulls(spec.fill_nulls, spec.exact)))
     if spec.drop_columns:
         planned.append(("drop_columns", DropColumns(spec.drop_columns)))
     if spec.remove_outliers:
         planned.append(("remove_outliers", RemoveOutliers(spec.outlier_columns, spec.outlier_method,
-                                                          spec.outlier_factor, (spec.row_key,))))
+                                                          spec.outlier_factor, (spec.row_key,), spec.exact)))
     cur, steps, stages, persisted = df, [], [("input", df)], []
     needs_stats = {"fill_nulls", "remove_outliers"}
     for i, (name, step) in enumerate(planned):

@@ -59,3 +59,19 @@ def test_running_total(spark):
     for i in range(2000):
         acc += i % 7
         assert got[i] == pytest.approx(acc)
+
+
+def test_approximate_mode_within_rank_error(spark):
+    from sparkprep.functions.quantiles import quantiles
+    from sparkprep.operators import Binning, RemoveOutliers
+    rng = np.random.default_rng(4)
+    vals = rng.normal(size=20_000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    approx = quantiles(df, ["x"], [0.1, 0.5, 0.9], exact=False, accuracy=1000)["x"]
+    srt = np.sort(vals)
+    for p, q in zip([0.1, 0.5, 0.9], approx):
+        rank = np.searchsorted(srt, q)
+        assert abs(rank - p * len(vals)) <= len(vals) / 1000 + 1
+    assert quantiles(df, ["x"], [0.5])["x"] == exact_quantiles(df, ["x"], [0.5])["x"]
+    assert RemoveOutliers(["x"], exact=False).fit(df).params["bounds"]["x"]["lower"] is not None
+    assert len(Binning(["x"], "quantile", 4, exact=False).fit(df).params["edges"]["x"]) == 5
