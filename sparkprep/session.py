@@ -15,6 +15,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.ui.enabled": "false",
 }
 
@@ -58,3 +59,24 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """On-disk size of a table (file listing only, no data read)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
+def size_shuffle_partitions(spark: SparkSession, paths, target_bytes: int = 256 << 20,
+                            expansion: float = 3.0, minimum: int = 8) -> int:
+    """Set ``spark.sql.shuffle.partitions`` so each shuffle partition holds about
+    ``target_bytes`` of decoded data (Parquet expands ~``expansion`` x in memory).
+    AQE then coalesces partitions that turn out small; it cannot split ones that
+    are too big, so the initial count is sized from the input (100 TB ->
+    ~1.2 M partitions at the defaults)."""
+    total = sum(input_bytes(spark, p) for p in paths)
+    n = max(minimum, int(total * expansion / target_bytes) + 1)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n

@@ -163,3 +163,16 @@ def test_leaderboard_helpers(spark):
     t = V.type_counts(models).collect()[0]
     assert (t["total"], t["classification"], t["regression"]) == (4, 3, 1)
     assert [r["model_id"] for r in V.top_k(models, "score", 3, "model_id").collect()] == ["m2", "m1", "m3"]
+
+
+def test_size_shuffle_partitions(spark, sf_dir):
+    from sparkprep.session import input_bytes, size_shuffle_partitions
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        size = input_bytes(spark, f"{sf_dir}/lineitem.parquet")
+        assert size > 0
+        n = size_shuffle_partitions(spark, [f"{sf_dir}/lineitem.parquet"], target_bytes=64 << 10)
+        assert n == max(8, int(size * 3.0 / (64 << 10)) + 1)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(n)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
