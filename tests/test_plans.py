@@ -176,3 +176,16 @@ def test_size_shuffle_partitions(spark, sf_dir):
         assert spark.conf.get("spark.sql.shuffle.partitions") == str(n)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_with_row_id(spark, sf_dir, scratch):
+    from sparkprep.sources.readers import with_row_id
+    pq = with_row_id(spark.read.parquet(f"{sf_dir}/region.parquet"))
+    rows = pq.orderBy("_orig_idx").collect()
+    assert [r["_orig_idx"]["row"] for r in rows] == list(range(len(rows)))   # file order kept
+    p = os.path.join(scratch, "r.csv")
+    with open(p, "w") as fh:
+        fh.write("a\n1\n2\n3\n")
+    csv = with_row_id(spark.read.csv(p, header=True))
+    ids = [r["_orig_idx"] for r in csv.collect()]
+    assert len(set(ids)) == 3
