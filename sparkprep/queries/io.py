@@ -14,6 +14,11 @@ from ..sources.sinks import export_csv, write_json_arrays, write_stage, write_ve
 from . import query
 
 CUSTOMER_SQL = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+# text sources: Spark's schema inference gives INT for values that fit, JSON gives BIGINT for integers
+CUSTOMER_CSV_SQL = ("SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment "
+                    "FROM customer")
+CUSTOMER_JSON_SQL = ("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment "
+                     "FROM customer")
 
 
 def _scratch(spark, what: str) -> str:
@@ -25,14 +30,14 @@ def q_parquet_read(spark, sf):
     return load_table(spark, f"{sf}/customer.parquet")
 
 
-@query("csv_roundtrip", CUSTOMER_SQL)
+@query("csv_roundtrip", CUSTOMER_CSV_SQL)
 def q_csv_roundtrip(spark, sf):
     path = _scratch(spark, "export") + "/customer.csv"
     export_csv(table(spark, sf, "customer").withColumn("_orig_idx", F.col("c_custkey")), path)
     return load_table(spark, path)
 
 
-@query("tsv_ingest", CUSTOMER_SQL)
+@query("tsv_ingest", CUSTOMER_CSV_SQL)
 def q_tsv_ingest(spark, sf):
     path = _scratch(spark, "tsv") + "/customer.tsv"
     table(spark, sf, "customer").write.option("header", True).option("sep", "\t").csv(path)
@@ -41,7 +46,7 @@ def q_tsv_ingest(spark, sf):
     return spark.read.parquet(target)
 
 
-@query("json_array_ingest", CUSTOMER_SQL)
+@query("json_array_ingest", CUSTOMER_JSON_SQL)
 def q_json_array_ingest(spark, sf):
     path = _scratch(spark, "jsonarr") + "/customer.json"
     write_json_arrays(table(spark, sf, "customer"), path)
@@ -57,7 +62,7 @@ def q_jsonl_ingest(spark, sf):
     return spark.read.parquet(target).select("event_id", "user_id", "event_type", "value", "props")
 
 
-@query("unknown_extension_as_csv", CUSTOMER_SQL)
+@query("unknown_extension_as_csv", CUSTOMER_CSV_SQL)
 def q_unknown_extension_as_csv(spark, sf):
     path = _scratch(spark, "raw") + "/customer.dat"
     table(spark, sf, "customer").write.option("header", True).csv(path)

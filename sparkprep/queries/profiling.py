@@ -122,7 +122,8 @@ def _insight_sql() -> str:
         stats = (f"round(min({c}), 6), round(max({c}), 6), round(avg({c}), 6), round(stddev_samp({c}), 6)" if num
                  else "NULL, NULL, NULL, NULL")
         parts.append(f"""SELECT '{c}' AS name, '{t}' AS dtype, count(DISTINCT {c}) AS cardinality,
-  count(*) FILTER (WHERE {c} IS NULL) AS missing_count, 0.0 AS missing_percentage, {str(num).lower()} AS is_numeric,
+  count(*) FILTER (WHERE {c} IS NULL) AS missing_count,
+  CAST(100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*) AS DOUBLE) AS missing_percentage, {str(num).lower()} AS is_numeric,
   {str(not num).lower()} AS is_categorical, false AS is_datetime, {str(not num).lower()} AS is_text,
   {stats} FROM customer""")
     return "SELECT name, dtype, cardinality, missing_count, missing_percentage, is_numeric, is_categorical, " \
@@ -150,7 +151,8 @@ def q_first_values(spark, sf):
 SELECT 'l_extendedprice' AS column_name, 'double' AS dtype, true AS is_numeric, false AS is_categorical,
   false AS is_boolean, count(l_extendedprice) AS total_samples, count(DISTINCT l_extendedprice) AS unique_values,
   round(count(DISTINCT l_extendedprice) / count(l_extendedprice), 6) AS unique_ratio,
-  count(*) FILTER (WHERE l_extendedprice IS NULL) AS null_count, 0.0 AS null_percentage,
+  count(*) FILTER (WHERE l_extendedprice IS NULL) AS null_count,
+  round(CAST(100.0 * count(*) FILTER (WHERE l_extendedprice IS NULL) / count(*) AS DOUBLE), 6) AS null_percentage,
   round(min(l_extendedprice), 6) AS min_value, round(max(l_extendedprice), 6) AS max_value,
   round(avg(l_extendedprice), 6) AS mean_value, round(stddev_samp(l_extendedprice), 6) AS std_value
 FROM lineitem""")
@@ -163,7 +165,9 @@ def q_target_analysis(spark, sf):
 @query("target_analysis_binary", """
 SELECT 'quality' AS column_name, 'int' AS dtype, true AS is_numeric, false AS is_categorical, true AS is_boolean,
   count(quality) AS total_samples, count(DISTINCT quality) AS unique_values,
-  round(count(DISTINCT quality) / count(quality), 6) AS unique_ratio, 0 AS null_count, 0.0 AS null_percentage,
+  round(count(DISTINCT quality) / count(quality), 6) AS unique_ratio,
+  count(*) FILTER (WHERE quality IS NULL) AS null_count,
+  round(CAST(100.0 * count(*) FILTER (WHERE quality IS NULL) / count(*) AS DOUBLE), 6) AS null_percentage,
   CAST(NULL AS DOUBLE) AS min_value, CAST(NULL AS DOUBLE) AS max_value, CAST(NULL AS DOUBLE) AS mean_value,
   CAST(NULL AS DOUBLE) AS std_value FROM labels""")
 def q_target_analysis_binary(spark, sf):

@@ -15,6 +15,10 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "tinyint": "TINYINT", "smallint": "SMALLINT", "float": "FLOAT", "array<string>": "VARCHAR[]",
+                 "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -88,7 +92,14 @@ def check(spark, sf_dir, names=None):
             results[name] = ("COUNT", f"spark={len(rows)} sql={len(drows)}")
         else:
             a, b = canon(cols, rows), canon(dcols, drows)
-            if a == b:
+            stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                      for f in df.schema.fields}
+            dtypes = dict(zip(dcols, [str(t) for t in cur.description and [d[1] for d in cur.description]]))
+            dtypes = {c: str(t) for c, t in zip(dcols, con.sql(sql[name]).types)} if a == b else dtypes
+            wrong = {c: (stypes[c], dtypes.get(c)) for c in stypes if stypes[c] != dtypes.get(c)}
+            if a == b and wrong:
+                results[name] = ("TYPES", repr(wrong)[:400])
+            elif a == b:
                 results[name] = ("OK", f"{len(rows)} rows {time.time() - t0:.1f}s")
             else:
                 diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
