@@ -92,11 +92,12 @@ def check(spark, sf_dir, names=None):
             results[name] = ("COUNT", f"spark={len(rows)} sql={len(drows)}")
         else:
             a, b = canon(cols, rows), canon(dcols, drows)
-            stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
-                      for f in df.schema.fields}
-            dtypes = dict(zip(dcols, [str(t) for t in cur.description and [d[1] for d in cur.description]]))
-            dtypes = {c: str(t) for c, t in zip(dcols, con.sql(sql[name]).types)} if a == b else dtypes
-            wrong = {c: (stypes[c], dtypes.get(c)) for c in stypes if stypes[c] != dtypes.get(c)}
+            wrong = {}
+            if a == b:  # values agree: also compare column types
+                stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                          for f in df.schema.fields}
+                dtypes = {c: str(t) for c, t in zip(dcols, con.sql(sql[name]).types)}
+                wrong = {c: (stypes[c], dtypes.get(c)) for c in stypes if stypes[c] != dtypes.get(c)}
             if a == b and wrong:
                 results[name] = ("TYPES", repr(wrong)[:400])
             elif a == b:
