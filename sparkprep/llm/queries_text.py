@@ -1 +1,46 @@
+"""Queries of the operators that work on whole texts inside tasks."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import decontaminate, setsketch
+from .common import table
+from .queries import query
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {docs}),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item_id, least(13, len(w)) AS m, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+ms AS (SELECT DISTINCT m FROM bw),
+dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, ms WHERE len(w) >= m)),
+hits AS (SELECT DISTINCT doc_id, m, i, item_id FROM dw JOIN bw USING (m, g)),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT doc_id, i, unnest(range(m)) AS j FROM (SELECT DISTINCT doc_id, m, i FROM hits)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id),
+verdicts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN its USING (doc_id))
+SELECT * FROM verdicts
+"""
+
+
+@query("op4_benchmark_overlap", OP4_SQL.replace("{docs}", "documents"))
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep={"doc_id": "doc_id"})
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"))
+
+
+#: Shingles of the contract of this query; the operator's own default is five words.
+OP8_WORDS = 2
+
+
+@query("op8_setsketch_groups")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = setsketch.near_duplicates(table(spark, sf_dir, "documents"), k=OP8_WORDS)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("root_id").alias("component_id"),
+                      F.col("id").eqNullSafe(F.col("root_id")).alias("kept"))
