@@ -43,13 +43,23 @@ ALNUM[ord("a"):ord("z") + 1] = True
 ALNUM[0x80:] = True
 
 
+class Made(dict):
+    """Things made once in a process; it travels to other processes empty."""
+
+    def __reduce__(self):
+        return Made, ()
+
+
+POWERS = Made()
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.__dict__.get("made")
+    have = POWERS.get("made")
     if have is None or len(have[0]) < n:
         size = max(n, CHUNK_BYTES + 4096)
         up, down = np.full(size, BASE, dtype=np.uint64), np.full(size, BASE_INVERSE, dtype=np.uint64)
         up[0] = down[0] = 1
-        have = _powers.__dict__["made"] = (np.cumprod(up), np.cumprod(down))
+        have = POWERS["made"] = (np.cumprod(up), np.cumprod(down))
     return have[0][:n], have[1][:n]
 
 
