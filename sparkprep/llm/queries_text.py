@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, setsketch, style_tree, suffix_dedup, token_secrets
+from . import backoff_lm, decontaminate, setsketch, style_tree, suffix_dedup, token_secrets
 from .common import table
 from .queries import query
 
@@ -51,6 +51,27 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                         text(F.col("spans")).alias("spans"), of("random").alias("n_random"))
 
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, i, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+uni AS (SELECT x, count(*) AS c FROM t GROUP BY x),
+bi AS (SELECT h, x, count(*) AS c2 FROM t WHERE h IS NOT NULL GROUP BY h, x),
+n AS (SELECT count(*) AS total FROM t),
+s AS (
+  SELECT doc_id, CASE WHEN c2 >= 2 THEN ln(c2 / hc.c) WHEN h IS NOT NULL THEN ln(0.4 * u.c / total) ELSE ln(u.c / total) END AS v,
+    h IS NOT NULL AND c2 < 2 AS backed
+  FROM t JOIN uni u USING (x) LEFT JOIN bi USING (h, x) LEFT JOIN uni hc ON hc.x = t.h, n)
+SELECT doc_id, len(w)::BIGINT AS n_tokens, coalesce(n_backoff, 0)::BIGINT AS n_backoff, round(score, 6) AS score
+FROM d LEFT JOIN (SELECT doc_id, sum(backed::INT) AS n_backoff, avg(v) AS score FROM s GROUP BY doc_id) USING (doc_id)
+"""
+
+
+@query("op6_backoff_scores", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = backoff_lm.score(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", "n_backoff", F.round("score", 6).alias("score"))
+
+
 @query("op7_suffix_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
