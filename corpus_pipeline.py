@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkprep.llm import host_rules, line_spread, mixing
+from sparkprep.llm import decontaminate, host_rules, line_spread, mixing, setsketch
 from sparkprep.llm.common import table
 from sparkprep.session import ensure_checkpoint_dir
 
@@ -26,12 +26,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_spread.remove_boilerplate(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return setsketch.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark windows to the contamination limit go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by seeded epochs up to the budget of their leaf."""
     return mixing.mix_sources(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("source mixing", mix)]
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup),
+          ("decontamination", decontamination), ("source mixing", mix)]
 
 #: Near-duplicate components are no plain SQL; the tests compare with brute force.
 ORACLE_SQL = None

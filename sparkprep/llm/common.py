@@ -43,6 +43,12 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def wrapped(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``row`` (all columns), ``id`` and ``sig`` (hash of the text): what is joined to it
+    can't clash with the columns of ``docs``; ``select("row.*")`` gives them back."""
+    return docs.select(F.struct(*[q(c) for c in docs.columns]).alias("row"), q(id_col).alias("id"), F.xxhash64(q(text)).alias("sig"))
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters that are not white space; null gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")

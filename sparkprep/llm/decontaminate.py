@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, q, small_batches
+from .common import cut, q, small_batches, wrapped
 from .textbytes import ALNUM, Words, chunks
 
 WINDOW = 13
@@ -172,6 +172,7 @@ def is_contaminated(percent: int = PERCENT):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents that aren't contaminated, with all their columns. Rows are matched by id and text hash."""
-    marked = docs.withColumn("_sig", F.xxhash64(q(text)))
-    bad = overlaps(marked, items, text, keep={"_bid": id_col, "_bsig": "_sig"}, **how).where(is_contaminated()).select("_bid", "_bsig").distinct()
-    return marked.join(bad, q(id_col).eqNullSafe(F.col("_bid")) & (F.col("_sig") == F.col("_bsig")), "left_anti").drop("_sig")
+    slim = docs.select(q(id_col).alias("id"), q(text).alias("text"), F.xxhash64(q(text)).alias("sig"))
+    bad = overlaps(slim, items, "text", keep={"bad_id": "id", "bad_sig": "sig"}, **how).where(is_contaminated()).select("bad_id", "bad_sig").distinct()
+    rows = wrapped(docs, id_col, text)
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("sig") == F.col("bad_sig")), "left_anti").select("row.*")

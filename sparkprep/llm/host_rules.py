@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, q, words
+from .common import SPACE, cut, q, words, wrapped
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -126,8 +126,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The documents that pass, with all their columns. Rows are matched by id and text hash."""
-    marked = docs.withColumn("_sig", F.xxhash64(q(text)))
-    bad = judge(marked, id_col, text, host, {"_sig": "_sig"}).where("NOT kept").select(
-        q(id_col).alias("_id"), F.col("_sig").alias("_badsig")).distinct()
-    return marked.join(bad, q(id_col).eqNullSafe(F.col("_id")) & (F.col("_sig") == F.col("_badsig")),
-                       "left_anti").drop("_sig")
+    slim = docs.select(q(id_col).alias("id"), q(text).alias("text"), q(host).alias("source"), F.xxhash64(q(text)).alias("sig"))
+    bad = judge(slim, "id", "text", "source", {"sig": "sig"}).where("NOT kept").select(
+        F.col("id").alias("bad_id"), F.col("sig").alias("bad_sig")).distinct()
+    rows = wrapped(docs, id_col, text)
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("sig") == F.col("bad_sig")), "left_anti").select("row.*")

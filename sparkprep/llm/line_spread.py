@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, q
+from .common import SPACE, cut, q, wrapped
 
 MIN_SITES = 10
 #: log2 of the registers; estimates of small sets are exact.
@@ -63,14 +63,12 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
                        min_sites: int = MIN_SITES, removed: str | None = None) -> DataFrame:
     """``docs`` with the boilerplate lines taken out of ``text``; ``removed`` names an
     extra column for the number of removed lines."""
-    gone = boilerplate(docs, id_col, text, site, min_sites).select(
-        F.col("id").alias("_bid"), F.col("sig").alias("_bsig"), F.col("gone").alias("_gone"))
-    marked = docs.withColumn("_sig", F.xxhash64(q(text)))
-    joined = marked.join(gone, q(id_col).eqNullSafe(F.col("_bid")) & (F.col("_sig") == F.col("_bsig")), "left")
-    joined = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(q(text), "\n")))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    new = F.when(F.col("_gone").isNull(), q(text)).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
-    cols = [new.alias(c) if c == text else q(c) for c in docs.columns]
-    extra = [F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(removed)] if removed else []
-    return joined.select(*cols, *extra)
+    gone = boilerplate(docs, id_col, text, site, min_sites).select(F.col("id").alias("of"), F.col("sig").alias("of_sig"), "gone")
+    joined = wrapped(docs, id_col, text).join(
+        gone, F.col("id").eqNullSafe(F.col("of")) & (F.col("sig") == F.col("of_sig")), "left")
+    own = F.col("row")[text]
+    joined = joined.select("row", "gone", F.when(F.col("gone").isNotNull(), F.split(own, "\n")).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    new = F.when(F.col("gone").isNull(), own).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    cols = [(new if c == text else F.col("row")[c]).alias(c) for c in docs.columns]
+    return joined.select(*cols, *([F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(removed)] if removed else []))

@@ -148,18 +148,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lev
     ``n_tokens`` and ``epoch`` (1 ...). A document taken in several epochs comes once for each."""
     levels = levels or {"domain": domain_of(q("source")), "lang": q("lang"), "source": q("source")}
     names = list(levels)
-    there = ["_c_" + n for n in names]
     picked = choose(docs, id_col, text, levels, **how).select(
-        *[F.col(n).alias(t) for n, t in zip(names, there, strict=True)], F.col("_id").alias("_cid"),
-        F.col("_sig").alias("_csig"), F.col("n_tokens").alias("_ctokens"), F.col("epoch").alias("_cepoch"))
-    mine = ["_m_" + n for n in names]
-    marked = docs.withColumns({m: levels[n] for n, m in zip(names, mine, strict=True)})
-    marked = marked.withColumn("_sig", F.xxhash64(q(text)))
-    on = q(id_col).eqNullSafe(F.col("_cid")) & (F.col("_sig") == F.col("_csig")) & _same(mine, there)
-    old = [c for c in docs.columns if c not in ("n_tokens", "epoch")]
-    return marked.join(picked, on).select(
-        *[q(c) for c in old], *[F.col(m).alias(n) for n, m in zip(names, mine, strict=True) if n not in old],
-        F.col("_ctokens").alias("n_tokens"), F.col("_cepoch").alias("epoch"))
+        F.struct(*names).alias("leaf"), F.col("_id").alias("of"), F.col("_sig").alias("of_sig"), "n_tokens", "epoch")
+    rows = docs.select(F.struct(*[q(c) for c in docs.columns]).alias("row"), q(id_col).alias("id"), F.xxhash64(q(text)).alias("sig"),
+                       F.struct(*[c.alias(n) for n, c in levels.items()]).alias("mine"))
+    on = F.col("id").eqNullSafe(F.col("of")) & (F.col("sig") == F.col("of_sig")) & F.col("mine").eqNullSafe(F.col("leaf"))
+    old = [c for c in docs.columns if c.lower() not in ("n_tokens", "epoch")]
+    new = [n for n in names if n.lower() not in {c.lower() for c in old}]
+    return rows.join(picked, on).select(*[F.col("row")[c].alias(c) for c in old], *[F.col("mine")[n].alias(n) for n in new], "n_tokens", "epoch")
 
 
 def _prefix(rows: DataFrame, names: list[str]) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, q, small_batches
+from .common import cut, q, small_batches, wrapped
 from .components import connected_components
 from .textbytes import chunks, encode, mix, shingle_sets
 
@@ -229,12 +229,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents with all their columns, of each group of near-duplicates only the one of
     the smallest id (of repeated rows, one). Documents without words all stay."""
-    roots = near_duplicates(docs, id_col, text, **how).select(
-        F.col("id").alias("_rid"), F.col("sig").alias("_rsig"),
-        (F.col("n_shingles") == 0).alias("_none"), "root_id", "root_sig").distinct()
-    kept = roots.where(F.col("_none") | (F.col("_rid").eqNullSafe(F.col("root_id")) & (F.col("_rsig") == F.col("root_sig"))))
-    marked = docs.withColumn("_sig", F.xxhash64(q(text)))
-    joined = marked.join(kept.select("_rid", "_rsig", "_none"), q(id_col).eqNullSafe(F.col("_rid")) & (F.col("_sig") == F.col("_rsig")))
-    empty = joined.where("_none")
-    once = joined.where("NOT _none").dropDuplicates([id_col, "_sig"])
-    return empty.unionByName(once).select(*[q(c) for c in docs.columns])
+    found = near_duplicates(docs, id_col, text, **how)
+    kept = found.where((F.col("n_shingles") == 0) | (F.col("id").eqNullSafe(F.col("root_id")) & (F.col("sig") == F.col("root_sig"))))
+    kept = kept.groupBy(F.col("id").alias("of"), F.col("sig").alias("of_sig")).agg(
+        (F.count("*") == 1).alias("alone"), (F.max("n_shingles") == 0).alias("none"))
+    joined = wrapped(docs, id_col, text).join(kept, F.col("id").eqNullSafe(F.col("of")) & (F.col("sig") == F.col("of_sig")))
+    again = joined.where("NOT (alone OR none)").dropDuplicates(["of", "of_sig"])
+    return joined.where("alone OR none").unionByName(again).select("row.*")
