@@ -11,8 +11,8 @@ from ..session import ensure_checkpoint_dir
 
 #: White space of the word rule used by most operators, as a regex class body.
 SPACE = r"\x20\x09-\x0D"
-#: Rows per Arrow batch handed to a Python worker: texts can be long.
-ARROW_ROWS = "512"
+#: Bytes per Arrow batch handed to a Python worker: texts can be long.
+ARROW_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small enough for a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def cut(df: DataFrame) -> DataFrame:

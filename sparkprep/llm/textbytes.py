@@ -50,26 +50,15 @@ class Made(dict):
         return Made, ()
 
 
-POWERS = Made()
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = POWERS.get("made")
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 4096)
-        up, down = np.full(size, BASE, dtype=np.uint64), np.full(size, BASE_INVERSE, dtype=np.uint64)
-        up[0] = down[0] = 1
-        have = POWERS["made"] = (np.cumprod(up), np.cumprod(down))
-    return have[0][:n], have[1][:n]
-
-
 class Prefix:
     """Hashes of any substring of a byte array."""
 
     def __init__(self, data: np.ndarray, values: np.ndarray = VALUES):
-        up, self.down = _powers(len(data) + 1)
+        up, down = np.full(len(data) + 1, BASE, dtype=np.uint64), np.full(len(data) + 1, BASE_INVERSE, dtype=np.uint64)
+        up[0] = down[0] = 1
+        self.down = np.cumprod(down, out=down)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(values[data] * up[:-1], out=self.sums[1:])
+        np.cumsum(values[data] * np.cumprod(up, out=up)[:-1], out=self.sums[1:])
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start]
@@ -93,6 +82,15 @@ def chunks(texts: list[str | None], limit: int = CHUNK_BYTES):
         yield at, len(texts), held
 
 
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each word on (across texts; callers cut)."""
+    n = max(len(words) - k + 1, 0)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0xD6E8FEB86659FD93) + words[j:j + n]
+    return mix(out + np.uint64(k))
+
+
 class Words:
     """Words of several texts: byte spans in ``data``, hashes, and where each text's words begin."""
 
@@ -114,12 +112,7 @@ class Words:
         return np.diff(self.first)
 
     def grams(self, k: int) -> np.ndarray:
-        """Hash of the k words from each word on (across texts; callers cut)."""
-        n = max(len(self.hash) - k + 1, 0)
-        out = np.zeros(n, dtype=np.uint64)
-        for j in range(k):
-            out = out * np.uint64(0xD6E8FEB86659FD93) + self.hash[j:j + n]
-        return mix(out + np.uint64(k))
+        return gram_hashes(self.hash, k)
 
     def text(self, i: int, j: int) -> str:
         """Words i to j - 1 with one space between."""
@@ -127,6 +120,16 @@ class Words:
                         for s, e in zip(self.start[i:j], self.end[i:j], strict=True))
 
 
+def word_hashes(texts: list[str | None], keep: np.ndarray, limit: int = CHUNK_BYTES >> 1) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and where each text's words begin."""
+    parts, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
+    for _, _, held in chunks(texts, limit):
+        w = Words(held, keep)
+        parts.append(w.hash)
+        counts.append(w.count())
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
+
+
 def shingle_sets(texts: list[bytes], k: int, keep: np.ndarray = NON_SPACE, lower: bool = True) -> list[np.ndarray]:
     """Sorted distinct k-word shingle hashes of each text. A text of fewer words has
     its whole sequence as one shingle; one without words has none."""
