@@ -26,25 +26,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, q, small_batches
-from .textbytes import NON_SPACE, Words, encode
+from .textbytes import NON_SPACE, gram_hashes, word_hashes
 
 ORDER = 2
 ALPHA = 0.4
 MIN_COUNT = 2
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 8 << 20
+#: Counts from here on don't fit the byte that most counts travel in, and come apart.
+LARGE = 255
 
 
 class Grams:
     """Distinct n-grams of a block, and for each order the place of every token's n-gram among them (-1: none)."""
 
     def __init__(self, texts: list[str | None], order: int):
-        w = Words([encode(t) for t in texts], NON_SPACE)
-        self.first = w.first
-        total = len(w.hash)
-        self.history = np.arange(total) - np.repeat(w.first[:-1], np.diff(w.first))
+        words, self.first = word_hashes(texts, NON_SPACE)
+        total = len(words)
+        self.history = np.arange(total) - np.repeat(self.first[:-1], np.diff(self.first))
         ends = [np.flatnonzero(self.history >= k - 1) for k in range(1, order + 1)]
-        every = [w.grams(k)[e - k + 1] for k, e in enumerate(ends, 1)]
+        every = [gram_hashes(words, k)[e - k + 1] for k, e in enumerate(ends, 1)]
         self.hash, places, self.n = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
         self.at = np.full((order, total), -1, dtype=np.int64)
         done = 0
@@ -97,15 +98,17 @@ def _count(key, table):
     counts = np.bincount(place, weights=n, minlength=len(distinct)).astype(np.int64)[place]
     parts = np.split(counts, np.cumsum([len(a) for a in asked])[:-1])
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
-                     "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
+                     "small": pa.array([np.minimum(p, LARGE).astype(np.uint8).tobytes() for p in parts], pa.binary()),
+                     "large": pa.array([p[p >= LARGE].tobytes() for p in parts], pa.binary())})
 
 
 def _score(order: int, min_count: int):
     def run(docs, counted):
         g = Grams(docs.column("text").to_pylist(), order)
         by = np.argsort(counted.column("bucket").to_numpy())
-        packed = counted.column("counts").to_pylist()
-        counts = np.frombuffer(b"".join(packed[i] for i in by), dtype=np.int64)
+        small, large = (counted.column(c).to_pylist() for c in ("small", "large"))
+        counts = np.frombuffer(b"".join(small[i] for i in by), dtype=np.uint8).astype(np.int64)
+        counts[counts == LARGE] = np.frombuffer(b"".join(large[i] for i in by), dtype=np.int64)
         total, single, backed = g.scores(counts, min_count)
         return pa.table({"row": docs.column("row"), "n_tokens": pa.array(np.diff(g.first).astype(np.int64)), "logs": pa.array(total),
                          "n_single": pa.array(single.astype(np.int64)), "n_backoff": pa.array(backed.astype(np.int64))})
@@ -125,7 +128,7 @@ def score(docs: DataFrame, text: str = "text", keep: dict[str, str] | None = Non
     dealt = docs.select(row.alias("row"), q(text).cast("string").alias("text"),
                         F.pmod(F.xxhash64(*[q(c) for c in keep.values()], q(text)), F.lit(parts)).alias("block"))
     asked = dealt.groupBy("block").applyInArrow(_ask(order, parts), "bucket long, block long, grams binary, n binary")
-    counted = asked.groupBy("bucket").applyInArrow(_count, "block long, bucket long, counts binary")
+    counted = asked.groupBy("bucket").applyInArrow(_count, "block long, bucket long, small binary, large binary")
     shape = dealt.schema["row"].dataType.simpleString()
     scored = cut(dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(
         _score(order, min_count), f"row {shape}, n_tokens long, logs double, n_single long, n_backoff long"))
