@@ -3,33 +3,35 @@ without holding a whole column in one task.
 
 Spark's exact ``percentile`` keeps a value->count map for the whole column in
 the final aggregation task; on a continuous column at scale that map is the
-column. Instead:
-
-1. one aggregate pass: count, min, max and a ``percentile_approx`` bracket
-   around every wanted rank (rank error <= n/accuracy);
-2. one count pass verifies every bracket (rows below, inside, and equal to
-   each end point); a rank that falls on an end point -- e.g. a value that
-   holds a third of all rows -- is resolved from counts alone;
-3. brackets that still hold too many rows are narrowed by a bounded histogram
-   (``groupBy(bucket)`` over the bracket, filters pushed to the scan) with the
-   exact count/min/max of each bucket;
-4. one pass collects the few values left in each bracket (size counted first;
-   rows outside every bracket are filtered before the collecting aggregate)
-   and the order statistics are read off exactly.
-
-Only fixed-size results reach the driver: counts, at most ``buckets`` rows per
-histogram and at most ``max_collect`` values per bracket.
+column. Instead, for all columns and ranks together:
+
+1. one aggregate: count, min, max and a ``percentile_approx`` bracket around
+   every wanted rank (rank error <= n/accuracy);
+2. one aggregate checks the brackets: rows below, inside, and equal to each
+   end point. A rank that falls on an end point -- e.g. a value that holds a
+   third of all rows -- is known from the counts alone;
+3. rounds of histograms over what is left: each row in an open bracket sends its bucket
+   in that bracket, and one ``groupBy(bracket, bucket)`` counts them with
+   each bucket's min and max. A rank whose bucket holds one distinct value is
+   known; the others go on within their bucket. The ends of a bracket always
+   fall into different buckets, so every round narrows it.
+
+Only fixed-size results reach the driver: one aggregate row, and at most
+``buckets`` histogram rows in total per round. The number of scans doesn't depend
+on the number of columns. NULL and NaN are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .types import qcol
 
+BUCKETS = 65_536
+
 
 def _lerp(a: float, b: float, t: float) -> float:
     # numpy's linear interpolation (used by pandas Series.quantile)
@@ -44,143 +46,118 @@ def _positions(n: int, p: float) -> tuple[int, int, float]:
     return k0, k1, h - k0
 
 
-def exact_quantiles(df: DataFrame, columns, probs, *, max_collect: int = 50_000,
-                    buckets: int = 2048, accuracy: int = 10_000,
-                    max_rounds: int = 30) -> dict[str, list]:
+def _value(column: str) -> Column:
+    """As double; NaN is NULL."""
+    x = qcol(column).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _bucket(x: Column, lo: float, hi: float, buckets: int) -> Column:
+    """0 for the lower end, ``buckets - 1`` for the upper one, in order between."""
+    width = (hi / 2 - lo / 2) / buckets
+    inner = F.lit(1)
+    if 0 < width < math.inf:
+        at = F.floor((x / 2 - lo / 2) / width)
+        inner = F.least(F.greatest(at, F.lit(0)), F.lit(buckets - 1)).cast("int")
+    return F.when(x <= lo, F.lit(0)).when(x >= hi, F.lit(buckets - 1)).otherwise(inner)
+
+
+class _Rank:
+    """Rank ``k`` (0-based) of column ``c``: ``below`` rows come before the bracket [lo, hi]."""
+
+    def __init__(self, c: str, k: int, lo: float, hi: float):
+        self.c, self.k, self.lo, self.hi, self.below, self.value = c, k, lo, hi, 0, None
+
+    def bracket(self) -> tuple[str, float, float]:
+        return self.c, self.lo, self.hi
+
+
+def _check(values: DataFrame, names: dict[str, str], ranks: list[_Rank], whole: dict[str, tuple[float, float]]) -> None:
+    """Step 2. A bracket that doesn't hold its rank is widened to the whole column."""
+    brackets = list(dict.fromkeys(r.bracket() for r in ranks))
+    if not brackets:
+        return
+    aggs = []
+    for j, (c, lo, hi) in enumerate(brackets):
+        x = F.col(names[c])
+        aggs += [F.count_if(x < lo).alias(f"b{j}"), F.count_if((x >= lo) & (x <= hi)).alias(f"i{j}"),
+                 F.count_if(x == lo).alias(f"l{j}"), F.count_if(x == hi).alias(f"h{j}")]
+    row = values.agg(*aggs).collect()[0]
+    for r in ranks:
+        j = brackets.index(r.bracket())
+        below, inside = row[f"b{j}"], row[f"i{j}"]
+        at = r.k - below
+        if not 0 <= at < inside:
+            r.lo, r.hi = whole[r.c]
+        elif at < row[f"l{j}"]:
+            r.value = r.lo
+        elif at >= inside - row[f"h{j}"]:
+            r.value = r.hi
+        else:
+            r.below = below
+
+
+def _narrow(values: DataFrame, names: dict[str, str], ranks: list[_Rank], buckets: int) -> None:
+    """One round of step 3 for the open ranks."""
+    brackets = list(dict.fromkeys(r.bracket() for r in ranks))
+    each = max(2, buckets // len(brackets))
+    entries, hit = [], F.lit(False)
+    for j, (c, lo, hi) in enumerate(brackets):
+        x = F.col(names[c])
+        inside = (x >= lo) & (x <= hi)
+        hit = hit | inside
+        entries.append(F.when(inside, F.struct(F.lit(j).alias("j"), _bucket(x, lo, hi, each).alias("b"), x.alias("x"))))
+    sent = values.where(hit).select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+    table = sent.groupBy("e.j", "e.b").agg(F.count("*").alias("n"), F.min("e.x").alias("l"), F.max("e.x").alias("h")).collect()
+    by: dict[int, list] = {}
+    for row in sorted(table, key=lambda t: (t["j"], t["b"])):
+        by.setdefault(row["j"], []).append(row)
+    for r in ranks:
+        before = r.below
+        for row in by[brackets.index(r.bracket())]:
+            if before + row["n"] > r.k:
+                r.below, r.lo, r.hi = before, row["l"], row["h"]
+                if r.lo == r.hi:
+                    r.value = r.lo
+                break
+            before += row["n"]
+
+
+def exact_quantiles(df: DataFrame, columns, probs, *, buckets: int = BUCKETS, accuracy: int = 10_000) -> dict[str, list]:
     """Return ``{column: [quantile for p in probs]}``; ``None`` entries for
-    all-null columns. Values are compared as doubles; NULLs are ignored."""
+    all-null columns. Values are compared as doubles; NULL and NaN are ignored."""
     columns = list(dict.fromkeys(columns))
     probs = [float(p) for p in probs]
     if not columns:
         return {}
-    xs = {c: qcol(c).cast("double") for c in columns}
+    names = {c: f"x{i}" for i, c in enumerate(columns)}
+    values = df.select(*[_value(c).alias(x) for c, x in names.items()])
     eps = 2.0 / accuracy
     grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
     aggs = []
-    for i, c in enumerate(columns):
-        aggs += [F.count(xs[c]).alias(f"n{i}"), F.min(xs[c]).alias(f"mn{i}"),
-                 F.max(xs[c]).alias(f"mx{i}"),
-                 F.percentile_approx(xs[c], grid, accuracy).alias(f"ap{i}")]
-    first = df.agg(*aggs).collect()[0]
-
-    # targets: (column, rank) -> state
-    state: dict[tuple[str, int], dict] = {}
+    for x in names.values():
+        aggs += [F.count(x).alias("n" + x), F.min(x).alias("lo" + x), F.max(x).alias("hi" + x), F.percentile_approx(x, grid, accuracy).alias("ap" + x)]
+    first = values.agg(*aggs).collect()[0]
+    ranks: dict[tuple[str, int], _Rank] = {}
+    whole: dict[str, tuple[float, float]] = {}
     plan: dict[str, list] = {}
-    for i, c in enumerate(columns):
-        n = first[f"n{i}"]
+    for c, x in names.items():
+        n = first["n" + x]
         if not n:
-            plan[c] = None
-            continue
-        approx = dict(zip(grid, first[f"ap{i}"]))
-        plan[c] = []
-        for p in probs:
-            k0, k1, t = _positions(n, p)
-            plan[c].append((k0, k1, t))
-            for k in (k0, k1):
-                if (c, k) in state:
-                    continue
-                if n <= max_collect:
-                    lo, hi = first[f"mn{i}"], first[f"mx{i}"]
-                else:
-                    lo = approx[min(1.0, max(0.0, p - eps))] if p - eps > 0 else first[f"mn{i}"]
-                    hi = approx[min(1.0, max(0.0, p + eps))] if p + eps < 1 else first[f"mx{i}"]
-                state[(c, k)] = {"lo": lo, "hi": hi, "n": n, "gmin": first[f"mn{i}"],
-                                 "gmax": first[f"mx{i}"], "below": None, "inside": None,
-                                 "value": None, "small": n <= max_collect}
-
-    # pass 2: one codegen-friendly count pass verifies every bracket: rows below,
-    # inside, min/max inside, and rows equal to each end point. A rank that lands
-    # on an end point (e.g. a value holding a third of the rows) resolves here.
-    pending = [key for key, s in state.items() if not s["small"]]
-    for key in [k for k, s in state.items() if s["small"]]:
-        s = state[key]
-        s.update(below=0, inside=s["n"], bmin=s["gmin"], bmax=s["gmax"], strict=False)
-    if pending:
-        aggs, slot = [], {}
-        for key in pending:  # one set of aggregates per distinct (column, bracket)
-            s, c = state[key], key[0]
-            g = (c, s["lo"], s["hi"])
-            if g in slot:
-                continue
-            j = slot[g] = len(slot)
-            x = xs[c]
-            inside = (x >= s["lo"]) & (x <= s["hi"])
-            aggs += [F.count(F.when(x < s["lo"], 1)).alias(f"b{j}"), F.count(F.when(inside, 1)).alias(f"i{j}"),
-                     F.min(F.when(inside, x)).alias(f"l{j}"), F.max(F.when(inside, x)).alias(f"h{j}"),
-                     F.count(F.when(x == s["lo"], 1)).alias(f"el{j}"), F.count(F.when(x == s["hi"], 1)).alias(f"eh{j}")]
-        row = df.agg(*aggs).collect()[0]
-        for key in pending:
-            s = state[key]
-            j = slot[(key[0], s["lo"], s["hi"])]
-            below, inside = row[f"b{j}"], row[f"i{j}"]
-            if not below <= key[1] < below + inside:  # approximate bracket missed: whole column
-                s.update(below=0, inside=s["n"], bmin=s["gmin"], bmax=s["gmax"], strict=False)
-                continue
-            s.update(below=below, inside=inside, bmin=row[f"l{j}"], bmax=row[f"h{j}"], strict=False)
-            r, n_lo, n_hi = key[1] - below, row[f"el{j}"], row[f"eh{j}"]
-            if r < n_lo:
-                s["value"] = s["lo"]
-            elif r >= inside - n_hi:
-                s["value"] = s["hi"]
-            elif inside - n_lo - n_hi <= max_collect:
-                # collect only the values strictly between the end points
-                s.update(strict=True, below=below + n_lo, inside=inside - n_lo - n_hi)
-
-    # pass 3: narrow big brackets with bounded histograms
-    for key, s in state.items():
-        if s["value"] is not None or s["strict"]:
             continue
-        c, k = key
-        rounds = 0
-        while s["bmin"] != s["bmax"] and s["inside"] > max_collect and rounds < max_rounds:
-            rounds += 1
-            lo, hi = s["bmin"], s["bmax"]
-            width = (hi - lo) / buckets
-            x = xs[c]
-            b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(buckets - 1))
-            hist = (df.select(x.alias("x")).where((F.col("x") >= lo) & (F.col("x") <= hi))
-                    .groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("l"),
-                                              F.max("x").alias("h"))
-                    .orderBy("b").collect())  # at most `buckets` rows
-            acc = s["below"]
-            for r in hist:
-                if acc + r["n"] > k:
-                    s.update(below=acc, inside=r["n"], bmin=r["l"], bmax=r["h"])
-                    break
-                acc += r["n"]
-            if width == 0 or len(hist) == 1 and hist[0]["l"] == lo and hist[0]["h"] == hi:
-                break  # cannot split further by value; fall back to collecting
-        if s["bmin"] == s["bmax"]:
-            s["value"] = s["bmin"]
-
-    # pass 4: collect the values left in each open bracket (their number was
-    # counted above). Rows outside every open bracket are filtered out first, so
-    # the collecting aggregate only sees those few rows.
-    open_keys = [key for key, s in state.items() if s["value"] is None]
-    if open_keys:
-        conds = {}
-        for key in open_keys:
-            s, x = state[key], xs[key[0]]
-            conds[key] = ((x > s["lo"]) & (x < s["hi"])) if s["strict"] else ((x >= s["bmin"]) & (x <= s["bmax"]))
-        keep = None
-        for cnd in conds.values():
-            keep = cnd if keep is None else keep | cnd
-        near = df.where(keep)
-        aggs = [F.sort_array(F.collect_list(F.when(conds[key], xs[key[0]]))).alias(f"v{j}")
-                for j, key in enumerate(open_keys)]
-        row = near.agg(*aggs).collect()[0]
-        for j, key in enumerate(open_keys):
-            s = state[key]
-            s["value"] = row[f"v{j}"][key[1] - s["below"]]
-
-    out: dict[str, list] = {}
-    for c in columns:
-        if plan[c] is None:
-            out[c] = [None] * len(probs)
-            continue
-        out[c] = [_lerp(state[(c, k0)]["value"], state[(c, k1)]["value"], t)
-                  for k0, k1, t in plan[c]]
-    return out
+        whole[c] = first["lo" + x], first["hi" + x]
+        approx = dict(zip(grid, first["ap" + x], strict=True))
+        plan[c] = [_positions(n, p) for p in probs]
+        for p, (k0, k1, _) in zip(probs, plan[c], strict=True):
+            lo = approx[p - eps] if p - eps > 0 else whole[c][0]
+            hi = approx[p + eps] if p + eps < 1 else whole[c][1]
+            for k in (k0, k1):  # neighbours share a bracket
+                ranks.setdefault((c, k), _Rank(c, k, lo, hi))
+    _check(values, names, list(ranks.values()), whole)
+    while open_ := [r for r in ranks.values() if r.value is None]:
+        _narrow(values, names, open_, buckets)
+    return {c: [_lerp(ranks[c, k0].value, ranks[c, k1].value, t) for k0, k1, t in plan[c]] if c in plan else [None] * len(probs)
+            for c in columns}
 
 
 def quantiles(df: DataFrame, columns, probs, exact: bool = True, accuracy: int = 10_000) -> dict[str, list]:
@@ -191,22 +168,11 @@ def quantiles(df: DataFrame, columns, probs, exact: bool = True, accuracy: int =
     columns = list(dict.fromkeys(columns))
     if not columns:
         return {}
-    row = df.agg(*[F.percentile_approx(qcol(c).cast("double"), [float(p) for p in probs], accuracy).alias(f"q{i}")
+    row = df.agg(*[F.percentile_approx(_value(c), [float(p) for p in probs], accuracy).alias(f"q{i}")
                    for i, c in enumerate(columns)]).collect()[0]
     return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
             for i, c in enumerate(columns)}
 
 
-def order_statistic(df: DataFrame, column: str, rank: int, n: int, **kw) -> float:
-    """The value at 0-based position ``rank`` among the ``n`` non-null values
-    (compared as doubles), via the same bounded passes."""
-    if n <= 1:
-        return exact_quantiles(df, [column], [0.0], **kw)[column][0]
-    p = rank / (n - 1)
-    while _positions(n, p)[0] < rank:  # guard float rounding so floor((n-1)p) == rank
-        p = math.nextafter(p, 2.0)
-    return exact_quantiles(df, [column], [p], **kw)[column][0]
-
-
 def median(df: DataFrame, columns) -> dict[str, float | None]:
     return {c: v[0] for c, v in exact_quantiles(df, columns, [0.5]).items()}

@@ -24,7 +24,3 @@ def pairwise_corr(x: Column, y: Column) -> Column:
     xs, ys = F.when(both, x), F.when(both, y)
     return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
 
-
-def safe_divisor(c: Column) -> Column:
-    """Scale divisor: 0 or NULL becomes 1 (sklearn's handling of zero scale)."""
-    return F.when(c.isNull() | (c == 0), F.lit(1.0)).otherwise(c)

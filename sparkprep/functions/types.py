@@ -59,6 +59,18 @@ def qcol(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def text_literal(value: str) -> str:
+    """``value`` as a SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def present(name: str, dt):
+    """The column with NaN as NULL: what a fit sees (pandas skips both)."""
+    from pyspark.sql import functions as F
+    c = qcol(name)
+    return F.when(~F.isnan(c), c) if is_floating(dt) else c
+
+
 def missing(name: str, dt):
     """NULL, or NaN for floating columns (pandas' single notion of missing)."""
     from pyspark.sql import functions as F

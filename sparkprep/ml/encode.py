@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rank import dense_codes
-from ..operators.encode import BROADCAST_ROWS, INLINE_DICT, distinct_sets
+from ..operators.encode import INLINE_DICT, distinct_sets
 from ..functions.types import qcol
 
 MISSING_TEXT = "missing"
@@ -32,14 +32,11 @@ def apply_codes(df: DataFrame, dictionaries: dict) -> DataFrame:
     for c, d in dictionaries.items():
         key = F.coalesce(qcol(c).cast("string"), F.lit(MISSING_TEXT))
         if "codes" in d:
-            m = F.create_map(*[x for v, i in d["codes"].items() for x in (F.lit(v), F.lit(i))])
-            code = F.element_at(m, key) if d["codes"] else F.lit(None)
-            out = out.withColumn(c, F.coalesce(code.cast("bigint"), F.lit(-1).cast("bigint")))
+            t = df.sparkSession.createDataFrame(list(d["codes"].items()), "_lk string, _code long")
         else:
             t = d["table"].select(F.col("value").alias("_lk"), F.col("code").alias("_code"))
-            t = F.broadcast(t) if d["size"] <= BROADCAST_ROWS else t
-            cols = out.columns
-            out = (out.withColumn("_lk", key).join(t, "_lk", "left")
-                   .select(*[F.coalesce(F.col("_code"), F.lit(-1)).cast("bigint").alias(x) if x == c else qcol(x)
-                             for x in cols]))
+        cols = out.columns
+        out = (out.withColumn("_lk", key).join(t, "_lk", "left")
+               .select(*[F.coalesce(F.col("_code"), F.lit(-1)).cast("bigint").alias(x) if x == c else qcol(x)
+                         for x in cols]))
     return out

@@ -3,25 +3,22 @@
 The split is a pure function of the row key and the seed (no shuffle, no
 sampling state): ``bucket = int(md5(key || seed)[0:8], 16) % 10000`` and a row
 is in the test set when ``bucket < test_size * 10000``. The stratified split
-ranks rows inside each class by a 60-bit hash using the global-index helper
-(range partitioning on ``(class, hash, key)``), so a dominant class is spread
-over many tasks instead of one window partition.
+finds each class's threshold of a 60-bit hash from counts, so a dominant class
+is never gathered.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import order_statistic
-from ..functions.rank import with_global_index
 from ..functions.types import qcol
+from ..session import cut_lineage
 
 SEED = 42
-MAX_STRATA = 10_000  # class counts and quotas are kept as literals
-THRESHOLD_CLASSES = 16  # up to this many classes: per-class hash thresholds
-WINDOW = 256
-MAX_WINDOW_ROWS = 100_000
+HASH_BITS = 60
+STEP_BITS = 12  # hash bits per refinement of a class threshold
 
 
 def split_bucket(key: Column, seed: int = SEED) -> Column:
@@ -44,59 +41,37 @@ def hash_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = SEED
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = SEED) -> DataFrame:
-    """Inside each class the first ``round(test_size * n_class)`` rows by
-    (hash, key) are test rows. Per class the hash at that rank is found with the
-    bounded order-statistic passes over two columns -- no shuffle or checkpoint
-    of the data -- and rows tied on the 60-bit hash at the threshold (a handful)
-    are split by key."""
-    per_class = df.groupBy(qcol(label).alias("_y")).agg(F.count(F.lit(1)).alias("n"))
-    top = per_class.limit(MAX_STRATA + 1).collect()  # one row per class, checked before use
-    if len(top) > MAX_STRATA:
-        raise ValueError(f"stratified split supports at most {MAX_STRATA} classes")
-    if len(top) > THRESHOLD_CLASSES:
-        return _stratified_by_rank(df, key, label, test_size, seed, {r["_y"]: r["n"] for r in top})
+    """Inside each class (NULL is one) the first ``round(test_size * n_class)`` rows
+    by (hash, key) are test rows. Rows that share a key stay together, and rows
+    with a NULL key are never test rows.
+
+    Only counts move: rows per class and leading hash bits (combined before the
+    shuffle) give the hash range in which each class reaches its quota, a second round
+    narrows that range, and the few rows in it give the class's last
+    test row. The thresholds -- one row per class -- are joined back."""
     hashed = df.select(qcol(key).alias("_k"), qcol(label).alias("_y"), split_hash(qcol(key), seed).alias("_h"))
-    rules = []
-    for r in top:
-        c, n = r["_y"], r["n"]
-        quota = int(test_size * n + 0.5)
-        cls = qcol(label).isNull() if c is None else (qcol(label) == F.lit(c))
-        if quota <= 0:
-            continue
-        if quota >= n:
-            rules.append(cls)
-            continue
-        part = hashed.where(F.col("_y").isNull() if c is None else (F.col("_y") == F.lit(c)))
-        # the quota-th hash, found on doubles (exact to +-64 at 60 bits), then made
-        # exact on integers inside a +-256 window (a handful of rows at most)
-        t = int(order_statistic(part.select(F.col("_h").cast("double").alias("_hd")), "_hd", quota, n))
-        lo_w, hi_w = t - WINDOW, t + WINDOW
-        below = part.where(F.col("_h") < F.lit(lo_w)).count()
-        in_window = part.where((F.col("_h") >= F.lit(lo_w)) & (F.col("_h") <= F.lit(hi_w)))
-        if in_window.count() > MAX_WINDOW_ROWS:
-            raise RuntimeError("hash window unexpectedly large")
-        chosen = [x["_k"] for x in in_window.orderBy("_h", "_k").limit(max(quota - below, 0)).collect()]
-        h = split_hash(qcol(key), seed)
-        rules.append(cls & ((h < F.lit(lo_w)) | (((h >= F.lit(lo_w)) & (h <= F.lit(hi_w))) & qcol(key).isin(chosen))))
-    cond = F.lit(False)
-    for r in rules:
-        cond = cond | r
-    return df.withColumn("is_test", cond)
-
-
-def _stratified_by_rank(df, key, label, test_size, seed, counts):
-    """Many classes: one global ranking over (class, hash, key)."""
-    keys = sorted(counts, key=lambda v: (v is None, v))
-    start, acc = {}, 0
-    for k in keys:
-        start[k] = acc
-        acc += counts[k]
-    quota = {k: int(test_size * counts[k] + 0.5) for k in keys}
-    ranked = with_global_index(df.withColumn("_h", split_hash(qcol(key), seed)), [label, "_h", key], "_gi")
-    starts = F.create_map(*[x for k in keys if k is not None for x in (F.lit(k), F.lit(start[k]))])
-    quotas = F.create_map(*[x for k in keys if k is not None for x in (F.lit(k), F.lit(quota[k]))])
-    within = F.col("_gi") - F.element_at(starts, qcol(label))
-    return ranked.withColumn("is_test", within < F.element_at(quotas, qcol(label))).drop("_h", "_gi")
+    quota = F.least(F.floor(F.count(F.lit(1)) * test_size + 0.5), F.count("_h"))
+    open_ = hashed.groupBy("_y").agg(quota.alias("_rest")).where("_rest > 0").select(F.col("_y").alias("_c"), "_rest")
+    rows = hashed.where("_h IS NOT NULL").join(open_, F.col("_y").eqNullSafe(F.col("_c"))).drop("_c")
+    for step in (1, 2):
+        group = F.shiftright("_h", HASH_BITS - step * STEP_BITS)
+        found = _crossing(rows.groupBy("_y", group.alias("_g")).agg(F.count(F.lit(1)).alias("_n"), F.max("_rest").alias("_rest")), ["_g"])
+        found = found.select(F.col("_y").alias("_c"), F.col("_g").alias("_cg"), F.col("_left").alias("_rest"))
+        rows = rows.drop("_rest").join(found, F.col("_y").eqNullSafe(F.col("_c")) & (group == F.col("_cg"))).drop("_c", "_cg")
+    last = _crossing(rows.groupBy("_y", "_h", "_k").agg(F.count(F.lit(1)).alias("_n"), F.max("_rest").alias("_rest")), ["_h", "_k"])
+    last = cut_lineage(last.select(F.col("_y").alias("_c"), F.struct("_h", "_k").alias("_last")))
+    place = F.struct(split_hash(qcol(key), seed).alias("_h"), qcol(key).alias("_k"))
+    joined = df.withColumn("_place", place).join(last, qcol(label).eqNullSafe(F.col("_c")), "left")
+    is_test = F.coalesce((F.col("_place")["_h"].isNotNull()) & (F.col("_place") <= F.col("_last")), F.lit(False))
+    return joined.withColumn("is_test", is_test).drop("_place", "_last", "_c")
+
+
+def _crossing(counted: DataFrame, order: list[str]) -> DataFrame:
+    """Per class the group in which the running count reaches ``_rest``; ``_left`` is
+    what is wanted from that group. A class has a bounded number of groups here."""
+    run = W.partitionBy("_y").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = counted.withColumn("_upto", F.sum("_n").over(run))
+    return upto.where("_upto >= _rest AND _upto - _n < _rest").withColumn("_left", F.col("_rest") - F.col("_upto") + F.col("_n"))
 
 
 def prepare_split(df: DataFrame, target: str, key: str, test_size: float = 0.2, seed: int = SEED):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.quantiles import quantiles
-from ..functions.types import dtypes, is_numeric, is_text, missing, numeric_columns, qcol
+from ..functions.types import dtypes, is_numeric, is_text, missing, numeric_columns, present, qcol
 from ..plans.base import FittedStep, register
 
 ROW_ID = "_orig_idx"
@@ -86,8 +86,9 @@ def mode_values(df: DataFrame, columns) -> dict:
     """Most frequent non-null value per column, smallest value on ties.
     ``groupBy(c).count()`` is partially aggregated; top-1 is a TakeOrdered."""
     out = {}
+    types = dtypes(df)
     for c in columns:
-        top = (df.where(qcol(c).isNotNull()).groupBy(qcol(c).alias("_v")).agg(F.count("*").alias("_n"))
+        top = (df.select(present(c, types[c]).alias("_v")).where("_v IS NOT NULL").groupBy("_v").agg(F.count("*").alias("_n"))
                .orderBy(F.desc("_n"), F.asc("_v")).limit(1).collect())
         out[c] = top[0][0] if top else None
     return out
@@ -130,7 +131,7 @@ class FillNulls:
         means = [c for c, s in plan.items() if s == "mean"]
         values: dict = {}
         if means:
-            row = df.agg(*[F.avg(qcol(c)) for c in means]).collect()[0]
+            row = df.agg(*[F.avg(present(c, types[c])) for c in means]).collect()[0]
             values.update(dict(zip(means, row)))
         meds = [c for c, s in plan.items() if s == "median"]
         values.update({c: q[0] for c, q in quantiles(df, meds, [0.5], self.exact).items()})
@@ -235,8 +236,9 @@ def iqr_bounds(df: DataFrame, columns, factor: float = 1.5, exact: bool = True)
 def zscore_bounds(df: DataFrame, columns, factor: float = 3.0) -> dict:
     if not columns:
         return {}
+    types = dtypes(df)
     row = df.agg(*[e for i, c in enumerate(columns) for e in
-                   (F.avg(qcol(c)).alias(f"m_{i}"), F.stddev_pop(qcol(c)).alias(f"s_{i}"))]).collect()[0]
+                   (F.avg(present(c, types[c])).alias(f"m_{i}"), F.stddev_pop(present(c, types[c])).alias(f"s_{i}"))]).collect()[0]
     out = {}
     for i, c in enumerate(columns):
         mu, sd = row[f"m_{i}"], row[f"s_{i}"]

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.types import qcol
+from ..functions.types import is_numeric_or_bool, qcol
 
 
 def deleted_rows(original: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
-    """Keys present before and absent after."""
+    """Keys present before and absent after, in order."""
     a = original.select(qcol(key).alias("_k"))
-    return a.join(cleaned.select(qcol(key).alias("_k")), "_k", "left_anti").select(F.col("_k").alias(key))
+    return a.join(cleaned.select(qcol(key).alias("_k")), "_k", "left_anti").orderBy("_k").select(F.col("_k").alias(key))
 
 
 def comparable(c, dt):
@@ -43,7 +43,10 @@ def updated_cells(original: DataFrame, cleaned: DataFrame, key: str) -> DataFram
     flags = []
     for i, c in enumerate(shared):
         x, y = comparable(F.col(f"a{i}"), o_types[c]), comparable(F.col(f"b{i}"), c_types[c])
-        if o_types[c] != c_types[c]:
+        if is_numeric_or_bool(o_types[c]) and is_numeric_or_bool(c_types[c]):
+            if o_types[c] != c_types[c]:  # 5 equals 5.0
+                x, y = x.cast("double"), y.cast("double")
+        elif o_types[c] != c_types[c]:
             x, y = x.cast("string"), y.cast("string")
         flags.append(F.when(~x.eqNullSafe(y), F.lit(c)))
     changed = j.select(F.col("_k").alias("row_id"), F.explode(F.filter(F.array(*flags), lambda v: v.isNotNull()))

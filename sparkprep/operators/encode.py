@@ -5,9 +5,9 @@
   collected, so an id column never reaches the driver. Indicator columns are
   one projection of ``tinyint`` literals comparisons.
 * label: the dictionary is the sorted distinct text (NULL -> ``'nan'``) with a
-  global dense rank; small dictionaries are inlined as a map literal, large
-  ones stay a checkpointed table joined back (broadcast only below a checked
-  row count, otherwise a shuffle join that AQE can split on skew).
+  global dense rank; small dictionaries are kept with the step, large ones stay
+  a checkpointed table; either is joined back (broadcast if its size in bytes
+  allows, otherwise a shuffle join that AQE can split on skew).
 * target: per-category mean from a partially aggregated ``groupBy``, joined
   back the same way (no window that would put a hot category in one task).
 """
@@ -25,23 +25,24 @@ from ..plans.base import FittedStep, register
 from ..session import cut_lineage
 
 MAX_ONEHOT = 100          # more distinct values -> label encoding (fixed rule)
-INLINE_DICT = 1000        # dictionaries up to this size become literals
-BROADCAST_ROWS = 2_000_000
+INLINE_DICT = 1000        # dictionaries up to this size are kept with the fitted step
 NULL_TEXT = "nan"         # text a missing value gets before label encoding
 
 
-def lookup_join(df: DataFrame, table: DataFrame, key: str, rows: int) -> DataFrame:
-    """Left join on a fitted lookup table whose row count was measured at fit."""
-    side = F.broadcast(table) if rows <= BROADCAST_ROWS else table
-    return df.join(side, on=key, how="left")
+def lookup_join(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join on a fitted lookup table; its size in bytes decides between
+    broadcast and shuffle (small tables are local relations of known size)."""
+    return df.join(table, on=key, how="left")
 
 
-def distinct_sets(df: DataFrame, columns, limit: int) -> dict[str, list | None]:
+def distinct_sets(df: DataFrame, columns, limit: int | None) -> dict[str, list | None]:
     """Sorted distinct non-null values per column, or None when there are more
-    than ``limit``. Two bounded jobs: an HLL screen, then ``collect_set`` only
+    than ``limit`` (None: no limit). Two bounded jobs: an HLL screen, then ``collect_set`` only
     on columns the screen shows to be small."""
     if not columns:
         return {}
+    if limit is None:
+        return dict(zip(columns, df.agg(*[F.array_sort(F.collect_set(qcol(c))) for c in columns]).collect()[0]))
     screen = dict(zip(columns, df.agg(*[F.approx_count_distinct(qcol(c), 0.02) for c in columns]).collect()[0]))
     small = [c for c in columns if screen[c] <= limit * 1.5 + 10]
     out = {c: None for c in columns}
@@ -63,25 +64,19 @@ class FittedEncoding(FittedStep):
         for c, info in label.items():
             key = F.coalesce(qcol(c), F.lit(NULL_TEXT))
             if "codes" in info:
-                m = F.create_map(*[x for v, code in info["codes"].items() for x in (F.lit(v), F.lit(code))])
-                out = out.withColumn(c, F.element_at(m, key).cast("bigint")) if info["codes"] else \
-                    out.withColumn(c, F.lit(None).cast("bigint"))
+                t = df.sparkSession.createDataFrame(list(info["codes"].items()), "_lk string, _code long")
             else:
                 t = self.tables[f"label_{c}"].withColumnRenamed("value", "_lk").withColumnRenamed("code", "_code")
-                cols = out.columns
-                out = lookup_join(out.withColumn("_lk", key), t, "_lk", info["size"]) \
-                    .select(*[F.col("_code").cast("bigint").alias(c) if x == c else qcol(x) for x in cols])
+            cols = out.columns
+            out = lookup_join(out.withColumn("_lk", key), t, "_lk") \
+                .select(*[F.col("_code").cast("bigint").alias(c) if x == c else qcol(x) for x in cols])
         for c, info in target.items():
             name = f"{c}_target_encoded"
             if "means" in info:
-                m = F.create_map(*[x for v, mean in info["means"] for x in (F.lit(v), F.lit(mean))])
-                out = out.withColumn(name, F.element_at(m, qcol(c)).cast("double")) if info["means"] \
-                    else out.withColumn(name, F.lit(None).cast("double"))
+                t = df.sparkSession.createDataFrame([tuple(m) for m in info["means"]], "_tv string, _mean double")
             else:
-                t = self.tables[f"target_{c}"].select(F.col("value").alias("_tv"), F.col("mean").alias(name))
-                t = F.broadcast(t) if info["size"] <= BROADCAST_ROWS else t
-                out = out.join(t, qcol(c) == F.col("_tv"), "left").drop("_tv")
-            out = out.drop(c)
+                t = self.tables[f"target_{c}"].select(F.col("value").alias("_tv"), F.col("mean").alias("_mean"))
+            out = out.join(t, qcol(c) == F.col("_tv"), "left").drop("_tv", c).withColumnRenamed("_mean", name)
         encoded = [f"{c}_target_encoded" for c in target]
         keep = [qcol(c) for c in out.columns if c not in onehot and c not in encoded]
         dummies = [F.coalesce((qcol(c) == F.lit(v)).cast("tinyint"), F.lit(0).cast("tinyint"))

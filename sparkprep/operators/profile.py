@@ -268,14 +268,3 @@ def class_distribution(df: DataFrame, target: str, k: int = 10) -> DataFrame:
     return top.select(F.col("_v").cast("string").alias("value"), "count",
                       (F.col("count") * 100.0 / F.lit(max(total, 1))).alias("percentage"))
 
-
-def median_of(df: DataFrame, column: str):
-    return exact_quantiles(df, [column], [0.5])[column][0]
-
-
-def is_float_type(dt) -> bool:
-    return is_floating(dt)
-
-
-def is_int_type(dt) -> bool:
-    return is_integral(dt)

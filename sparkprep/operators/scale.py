@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
-from ..functions.types import dtypes, is_numeric, qcol
+from ..functions.types import dtypes, is_numeric, present, qcol
 from ..plans.base import FittedStep, register
 
 METHODS = ("standard", "minmax", "robust", "log")
@@ -58,7 +58,7 @@ class Scaling:
                     details[c] = f"skipped (unknown method: {m})"
         aggs = []
         for c, m in plan.items():
-            x = qcol(c).cast("double")
+            x = present(c, types[c]).cast("double")
             if m == "standard":
                 aggs += [F.avg(x).alias(f"a_{c}"), F.stddev_pop(x).alias(f"b_{c}")]
             elif m == "minmax":

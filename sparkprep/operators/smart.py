@@ -13,14 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..functions.stats import bias_corrected_skew
-from ..functions.types import dtypes, is_numeric, is_text, qcol
+from ..functions.types import dtypes, is_numeric, is_text, present, qcol
 from .clean import mode_values
 from .encode import distinct_sets
 from .profile import quality_report
 
-MAX_DUMMIES = 1000  # bound on indicator columns created for one categorical column
-
-
 def clip_to_iqr(df: DataFrame, columns, factor: float = 1.5) -> DataFrame:
     """C17: winsorise to the IQR fences; NULL stays NULL."""
     qs = exact_quantiles(df, columns, [0.25, 0.75])
@@ -36,10 +33,13 @@ def clip_to_iqr(df: DataFrame, columns, factor: float = 1.5) -> DataFrame:
     return df.select(*exprs)
 
 
-def smart_imputation(df: DataFrame, report: dict | None = None, exclude: tuple = ()) -> DataFrame:
+def smart_imputation(df: DataFrame, report: dict | None = None, exclude: tuple = (),
+                     max_dummies: int | None = None) -> DataFrame:
     """>50 % missing -> drop; categorical <10 % -> mode else indicator columns
     (with a ``<col>_nan`` flag); numeric <10 % -> median else the column mean
-    (a one-column nearest-neighbour imputer has no distance for a missing row)."""
+    (a one-column nearest-neighbour imputer has no distance for a missing row).
+    Each category becomes a column, so the schema holds them all; ``max_dummies``
+    raises beyond that many (no limit by default)."""
     report = report or quality_report(df, exclude=exclude)
     types = dtypes(df)
     out = df
@@ -55,9 +55,9 @@ def smart_imputation(df: DataFrame, report: dict | None = None, exclude: tuple =
                 out = out.withColumn(c, F.coalesce(qcol(c), F.lit(m if m is not None else "Unknown")
                                                    .cast(types[c])))
             else:
-                values = distinct_sets(out, [c], MAX_DUMMIES)[c]
+                values = distinct_sets(out, [c], max_dummies)[c]
                 if values is None:
-                    raise ValueError(f"column '{c}' has more than {MAX_DUMMIES} categories for indicators")
+                    raise ValueError(f"column '{c}' has more than {max_dummies} categories for indicators")
                 keep = [qcol(x) for x in out.columns if x != c]
                 flags = [F.coalesce((qcol(c) == F.lit(v)).cast("tinyint"), F.lit(0).cast("tinyint"))
                          .alias(f"{c}_{v}") for v in values]
@@ -67,7 +67,7 @@ def smart_imputation(df: DataFrame, report: dict | None = None, exclude: tuple =
             if pct < 10:
                 v = exact_quantiles(out, [c], [0.5])[c][0]
             else:
-                v = out.agg(F.avg(qcol(c))).collect()[0][0]
+                v = out.agg(F.avg(present(c, types[c]))).collect()[0][0]
             out = out.withColumn(c, F.coalesce(qcol(c).cast("double"), F.lit(v).cast("double")))
     return out
 
@@ -101,8 +101,9 @@ def smart_scaling(df: DataFrame, exclude: tuple = ()) -> DataFrame:
     cols = [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name not in exclude]
     if not cols:
         return df
-    row = df.agg(*[e for c in cols for e in (bias_corrected_skew(qcol(c).cast("double")).alias(f"k_{c}"),
-                                              F.avg(qcol(c)).alias(f"m_{c}"), F.stddev_pop(qcol(c)).alias(f"s_{c}"))]
+    types = dtypes(df)
+    row = df.agg(*[e for c in cols for e in (bias_corrected_skew(present(c, types[c]).cast("double")).alias(f"k_{c}"),
+                                              F.avg(present(c, types[c])).alias(f"m_{c}"), F.stddev_pop(present(c, types[c])).alias(f"s_{c}"))]
                  ).collect()[0]
     robust = [c for c in cols if row[f"k_{c}"] is not None and abs(row[f"k_{c}"]) > 1]
     qs = exact_quantiles(df, robust, [0.25, 0.5, 0.75])

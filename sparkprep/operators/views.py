@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rank import with_global_index
 from ..functions.types import qcol
 
 # fixed values of the rules
@@ -33,19 +34,11 @@ def sort_by(df: DataFrame, column: str, ascending: bool = True, tiebreak: list[s
     return df.orderBy(key, *[qcol(t).asc() for t in (tiebreak or [])])
 
 
-DEEP_OFFSET = 100_000  # beyond this, a page is a filter on a global row position
-
-
-def page(df: DataFrame, order: list, page_no: int, size: int, key_cols: list[str] | None = None) -> DataFrame:
-    """V3/V5: 0-based page of ``size`` rows in a total order. Shallow pages are
-    a top-k (``offset + limit``); deep pages number the rows once with the
-    range-partitioned global index (``key_cols``: plain sort columns that make
-    the order total) and filter the position, so no task holds ``offset`` rows."""
+def page(df: DataFrame, order: list, page_no: int, size: int) -> DataFrame:
+    """V3/V5: 0-based page of ``size`` rows in a total order (names or sort expressions).
+    Rows are numbered by range partitions, so no task holds the rows before the page."""
     start = page_no * size
-    if start < DEEP_OFFSET or not key_cols:
-        return df.orderBy(*order).offset(start).limit(size)
-    from ..functions.rank import with_global_index
-    numbered = with_global_index(df, key_cols, "_pos")
+    numbered = with_global_index(df, order, "_pos")
     return numbered.where((F.col("_pos") >= start) & (F.col("_pos") < start + size)).orderBy("_pos").drop("_pos")
 
 

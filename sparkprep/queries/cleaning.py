@@ -65,6 +65,18 @@ def q_fill_mean(spark, sf):
     return out.select("row_id", "event_id", r6(F.col("value")).alias("value"))
 
 
+@query("fill_mean_nan", """
+WITH h AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'nan'::DOUBLE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events),
+p AS (SELECT avg(value) AS mean FROM h WHERE NOT isnan(value))
+SELECT event_id, round(CASE WHEN value IS NULL OR isnan(value) THEN mean ELSE value END, 6) AS value FROM h, p""")
+def q_fill_mean_nan(spark, sf):
+    """NaN counts as missing in the fit as well, without C1 before it."""
+    h = table(spark, sf, "events").selectExpr(
+        "event_id", "CASE WHEN event_id % 9 = 0 THEN double('NaN') WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value")
+    out = FillNulls({"value": {"strategy": "mean"}}).fit(h).transform(h)
+    return out.select("event_id", r6(F.col("value")).alias("value"))
+
+
 @query("fill_median", W + """
 SELECT row_id, event_id, round(coalesce(value, (SELECT quantile_cont(value, 0.5) FROM clean_events)), 6) AS value
 FROM clean_events""")
@@ -191,9 +203,14 @@ def q_drop_id_columns(spark, sf):
 
 @query("smart_impute", W + """,
 s AS (SELECT avg(value) AS mean FROM clean_events)
-PIVOT (SELECT row_id, event_id, round(coalesce(value, mean), 6) AS value,
-              'event_type_' || coalesce(event_type, 'nan') AS k FROM clean_events, s)
-ON k USING CAST(count(*) AS TINYINT) GROUP BY row_id, event_id, value""")
+SELECT row_id, event_id, round(coalesce(value, mean), 6) AS value,
+  CAST(event_type IS NOT DISTINCT FROM 'click' AS TINYINT) AS event_type_click,
+  CAST(event_type IS NOT DISTINCT FROM 'error' AS TINYINT) AS event_type_error,
+  CAST(event_type IS NOT DISTINCT FROM 'purchase' AS TINYINT) AS event_type_purchase,
+  CAST(event_type IS NOT DISTINCT FROM 'signup' AS TINYINT) AS event_type_signup,
+  CAST(event_type IS NOT DISTINCT FROM 'view' AS TINYINT) AS event_type_view,
+  CAST(event_type IS NULL AS TINYINT) AS event_type_nan
+FROM clean_events, s""")
 def q_smart_impute(spark, sf):
     df = clean_events(spark, sf).select("row_id", "event_id", "event_type", "value")
     out = smart_imputation(df, exclude=("row_id", "event_id"))

@@ -46,14 +46,34 @@ def q_diff_updated_cells_scaled(spark, sf):
     return updated_cells(df, Scaling(["c_acctbal"], "standard").fit(df).transform(df), "c_custkey")
 
 
+@query("diff_filled_int", """
+WITH h AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS k, o_orderstatus FROM orders),
+m AS (SELECT quantile_cont(k, 0.5) AS med FROM h)
+SELECT o_orderkey AS row_id, 'k' AS "column" FROM h, m WHERE k IS NULL AND med IS NOT NULL""")
+def q_diff_filled_int(spark, sf):
+    """Median fill turns an integer column into doubles; only the filled cells differ."""
+    from ..operators import FillNulls
+    o = table(spark, sf, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS k", "o_orderstatus")
+    filled = FillNulls({"k": {"strategy": "median"}}).fit(o).transform(o)
+    return updated_cells(o, filled, "o_orderkey")
+
+
+@query("diff_nested", """
+SELECT vec_id AS row_id, unnest(CASE WHEN vec_id % 3 = 0 THEN ['embedding', 'label'] ELSE ['embedding'] END) AS "column"
+FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 7 = 0""")
+def q_diff_nested(spark, sf):
+    """D3: arrays are compared by value."""
+    from pyspark.sql import functions as F
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    after = e.withColumn("embedding", F.when((F.col("vec_id") % 3 == 0) | (F.col("vec_id") % 7 == 0), F.slice("embedding", 2, 3)).otherwise(F.col("embedding")))
+    return updated_cells(e, after.withColumn("label", F.when(F.col("vec_id") % 3 == 0, F.lit(-1)).otherwise(F.col("label"))), "vec_id")
+
+
 @query("diff_column_sets", """
-WITH a AS (SELECT column_name FROM (DESCRIBE SELECT c_nationkey, c_acctbal, c_mktsegment, c_custkey FROM customer)),
-b AS (SELECT column_name FROM (DESCRIBE PIVOT (SELECT c_custkey, c_nationkey, c_acctbal, 0 AS c_acctbal_binned,
-        'c_mktsegment_' || c_mktsegment AS k FROM customer) ON k USING count(*)
-        GROUP BY c_custkey, c_nationkey, c_acctbal, c_acctbal_binned))
-SELECT column_name AS "column", 'added' AS status FROM b WHERE column_name NOT IN (SELECT column_name FROM a)
-UNION ALL SELECT column_name, 'removed' FROM a WHERE column_name NOT IN (SELECT column_name FROM b)
-UNION ALL SELECT column_name, 'kept' FROM a WHERE column_name IN (SELECT column_name FROM b)""")
+SELECT DISTINCT 'c_mktsegment_' || c_mktsegment AS "column", 'added' AS status FROM customer WHERE c_mktsegment IS NOT NULL
+UNION ALL SELECT 'c_acctbal_binned', 'added'
+UNION ALL SELECT 'c_mktsegment', 'removed'
+UNION ALL SELECT unnest(['c_custkey', 'c_nationkey', 'c_acctbal']), 'kept'""")
 def q_diff_column_sets(spark, sf):
     df = table(spark, sf, "customer").drop("c_name")
     res = run_features(df, FeatureSpec.from_dicts(FEATURE_RUN_SPEC))

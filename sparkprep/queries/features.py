@@ -68,18 +68,28 @@ def q_scale_mixed(spark, sf):
                       r6(F.col("l_tax")).alias("l_tax"))
 
 
-@query("onehot", """
-PIVOT (SELECT c_custkey, c_acctbal, 'c_mktsegment_' || c_mktsegment AS k FROM customer)
-ON k USING CAST(count(*) AS TINYINT) GROUP BY c_custkey, c_acctbal""")
+SEGMENTS_SQL = """CAST(c_mktsegment IS NOT DISTINCT FROM 'AUTOMOBILE' AS TINYINT) AS "c_mktsegment_AUTOMOBILE",
+  CAST(c_mktsegment IS NOT DISTINCT FROM 'BUILDING' AS TINYINT) AS "c_mktsegment_BUILDING",
+  CAST(c_mktsegment IS NOT DISTINCT FROM 'FURNITURE' AS TINYINT) AS "c_mktsegment_FURNITURE",
+  CAST(c_mktsegment IS NOT DISTINCT FROM 'HOUSEHOLD' AS TINYINT) AS "c_mktsegment_HOUSEHOLD",
+  CAST(c_mktsegment IS NOT DISTINCT FROM 'MACHINERY' AS TINYINT) AS "c_mktsegment_MACHINERY"
+"""
+
+
+@query("onehot", f"SELECT c_custkey, c_acctbal,\n  {SEGMENTS_SQL}\nFROM customer")
 def q_onehot(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     return Encoding(["c_mktsegment"], "one-hot").fit(df).transform(df)
 
 
 @query("onehot_nulls", W + """
-PIVOT (SELECT row_id, CASE WHEN event_type IS NULL THEN '_none' ELSE 'event_type_' || event_type END AS k
-       FROM clean_events)
-ON k USING CAST(count(*) AS TINYINT) GROUP BY row_id""")
+SELECT row_id, CAST(event_type IS NOT DISTINCT FROM 'click' AS TINYINT) AS event_type_click,
+  CAST(event_type IS NOT DISTINCT FROM 'error' AS TINYINT) AS event_type_error,
+  CAST(event_type IS NOT DISTINCT FROM 'purchase' AS TINYINT) AS event_type_purchase,
+  CAST(event_type IS NOT DISTINCT FROM 'signup' AS TINYINT) AS event_type_signup,
+  CAST(event_type IS NOT DISTINCT FROM 'view' AS TINYINT) AS event_type_view,
+  CAST(event_type IS NULL AS TINYINT) AS _none
+FROM clean_events""")
 def q_onehot_nulls(spark, sf):
     df = clean_events(spark, sf).select("row_id", "event_type")
     out = Encoding(["event_type"], "one-hot").fit(df).transform(df)
@@ -268,8 +278,10 @@ def q_variance_threshold(spark, sf):
     return variance_table(df, cols, 0.01).select("column", r6(F.col("variance")).alias("variance"), "kept")
 
 
+# the threshold decides in SQL as well: a column that fails it would leave no row
 @query("variance_select", """
-SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem""")
+WITH v AS (SELECT var_pop(l_quantity) > 0.01 AS q, var_pop(l_discount) > 0.01 AS d, var_pop(l_tax) > 0.01 AS t FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem, v WHERE q AND NOT d AND NOT t""")
 def q_variance_select(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
     step = FeatureSelection(["l_quantity", "l_discount", "l_tax"], "variance_threshold", threshold=0.01)
@@ -299,8 +311,9 @@ sc AS (SELECT c_custkey, c_nationkey, c_mktsegment, (c_acctbal - m) / sd AS c_ac
 q AS (SELECT list_sort(list_distinct(quantile_cont(c_acctbal, [0.0, 0.25, 0.5, 0.75, 1.0]))) AS es FROM sc),
 b AS (SELECT c_custkey, c_nationkey, c_mktsegment, round(c_acctbal, 6) AS c_acctbal,
         CASE WHEN c_acctbal = es[1] THEN 0 ELSE CAST(len(list_filter(es, lambda v: v < c_acctbal)) - 1 AS INTEGER) END
-        AS c_acctbal_binned, 'c_mktsegment_' || c_mktsegment AS k FROM sc, q)
-PIVOT b ON k USING CAST(count(*) AS TINYINT) GROUP BY c_custkey, c_nationkey, c_acctbal, c_acctbal_binned""")
+        AS c_acctbal_binned FROM sc, q)
+SELECT c_custkey, c_nationkey, c_acctbal, c_acctbal_binned,
+  """ + SEGMENTS_SQL + " FROM b")
 def q_feature_run(spark, sf):
     df = table(spark, sf, "customer").drop("c_name")
     res = run_features(df, FeatureSpec.from_dicts(FEATURE_RUN_SPEC))

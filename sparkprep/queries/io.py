@@ -53,13 +53,33 @@ def q_json_array_ingest(spark, sf):
     return load_table(spark, path).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
-@query("jsonl_ingest", "SELECT event_id, user_id, event_type, value, props FROM events")
+@query("jsonl_ingest", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def q_jsonl_ingest(spark, sf):
     path = _scratch(spark, "jsonl") + "/events.jsonl"
-    table(spark, sf, "events").drop("ts").write.json(path)
+    table(spark, sf, "events").write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
     target = _scratch(spark, "ingest") + "/events.parquet"
-    ingest_to_parquet(spark, path, target)
-    return spark.read.parquet(target).select("event_id", "user_id", "event_type", "value", "props")
+    ingest_to_parquet(spark, path, target)  # JSON has no timestamps: the text is the value
+    return spark.read.parquet(target).select(
+        "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
+
+
+@query("parquet_ingest_types", "SELECT event_id, ts, value FROM events")
+def q_parquet_ingest_types(spark, sf):
+    """Timestamps stay timestamps."""
+    target = _scratch(spark, "ingest") + "/events.parquet"
+    ingest_to_parquet(spark, f"{sf}/events.parquet", target)
+    return spark.read.parquet(target).select("event_id", "ts", "value")
+
+
+@query("embeddings_to_parquet", """
+SELECT vec_id, len(embedding)::INTEGER AS n, round(embedding[1]::DOUBLE, 4) AS first, label FROM embeddings""")
+def q_embeddings_to_parquet(spark, sf):
+    """An array column becomes JSON text and can be read back."""
+    from ..sources.readers import storable
+    path = _scratch(spark, "embeddings") + "/embeddings.parquet"
+    write_verified(storable(table(spark, sf, "embeddings")), path)
+    back = F.from_json("embedding", "array<float>")
+    return spark.read.parquet(path).select("vec_id", F.size(back).alias("n"), F.round(F.get(back, F.lit(0)).cast("double"), 4).alias("first"), "label")
 
 
 @query("unknown_extension_as_csv", CUSTOMER_CSV_SQL)

@@ -40,6 +40,17 @@ def q_stratified_split(spark, sf):
     return stratified_split(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "quality", 0.2)
 
 
+@query("stratified_split_many", f"""
+WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS k, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_partkey % 400 END AS y FROM lineitem)
+SELECT k, y, row_number() OVER (PARTITION BY y ORDER BY {MD5_HASH.format(k='k')}, k) - 1
+  < CAST(floor(0.2 * count(*) OVER (PARTITION BY y) + 0.5) AS BIGINT) AS is_test FROM l""")
+def q_stratified_split_many(spark, sf):
+    """Hundreds of classes, NULL among them."""
+    l = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS k", "CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_partkey % 400 END AS y")
+    return stratified_split(l, "k", "y", 0.2)
+
+
 @query("train_only_encode", f"""
 WITH s AS (SELECT doc_id, lang, source, {MD5_BUCKET.format(k='doc_id')} < 2000 AS is_test FROM documents),
 l AS (SELECT lang AS v, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS BIGINT) AS code

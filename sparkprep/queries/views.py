@@ -33,6 +33,17 @@ def q_table_filter_sort_page(spark, sf):
         .select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
 
 
+@query("page_deep_desc", """
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber
+OFFSET (SELECT count(*) // 100 - 3 FROM lineitem) * 50 LIMIT 50""")
+def q_page_deep_desc(spark, sf):
+    """A page in the middle of the table, in descending order."""
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    order = [F.col("l_extendedprice").desc_nulls_last(), F.col("l_orderkey"), F.col("l_linenumber")]
+    return V.page(df, order, df.count() // 100 - 3, 50)
+
+
 @query("table_sort", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice ASC NULLS FIRST, o_orderkey""")
 def q_table_sort(spark, sf):
     return V.sort_by(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", True,

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import standardize_missing
 from ..functions.types import qcol
+from .sinks import write_verified
 
 ROW_ID = "_orig_idx"
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "jsonl",
@@ -45,33 +47,39 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, standardi
 
 def with_row_id(df: DataFrame, name: str = ROW_ID) -> DataFrame:
     """Stable row position key. Parquet: (file, row index) from the hidden
-    ``_metadata`` column packed into one sortable long per file order; other
+    ``_metadata`` column as one sortable struct; other
     sources: ``monotonically_increasing_id`` (stable for a fixed file split)."""
     try:
         meta = df.select("_metadata.file_path", "_metadata.row_index")
         meta.schema  # noqa: B018 - forces analysis
         return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"),
                                             F.col("_metadata.row_index").alias("row")))
-    except Exception:
+    except AnalysisException:  # no such column: not a file source
         return df.withColumn(name, F.monotonically_increasing_id())
 
 
 def ingest_to_parquet(spark: SparkSession, src: str, target: str, fmt: str | None = None) -> int:
     """Any supported file -> Parquet; an unknown extension is tried as CSV.
-    Returns the row count verified by re-reading the written table (S12)."""
+    Returns the row count of the written table, which is checked against the source (S12)."""
     try:
         fmt = fmt or detect_format(src)
     except ValueError:
         fmt = "csv"
-    df = json_safe(read_format(spark, src, fmt))
-    df.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target).count()
+    return write_verified(storable(read_format(spark, src, fmt)), target)["rows"]
+
+
+def storable(df: DataFrame) -> DataFrame:
+    """collections/structs -> JSON text, decimals -> double, binary ->
+    UTF-8 text (invalid bytes replaced), +-inf/NaN -> NULL; dates and timestamps stay."""
+    return _plain(df, text_dates=False)
 
 
 def json_safe(df: DataFrame) -> DataFrame:
-    """collections/structs -> JSON text, decimals -> double, binary ->
-    UTF-8 text (invalid bytes replaced), +-inf/NaN -> NULL, dates/timestamps ->
-    ISO text."""
+    """As ``storable``, and dates/timestamps -> ISO text."""
+    return _plain(df, text_dates=True)
+
+
+def _plain(df: DataFrame, text_dates: bool) -> DataFrame:
     exprs = []
     for f in df.schema.fields:
         c, dt = qcol(f.name), f.dataType
@@ -84,9 +92,9 @@ def json_safe(df: DataFrame) -> DataFrame:
             e = F.coalesce(e, F.make_valid_utf8(c.cast("string")))
         elif isinstance(dt, (T.FloatType, T.DoubleType)):
             e = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-        elif isinstance(dt, T.DateType):
+        elif text_dates and isinstance(dt, T.DateType):
             e = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        elif text_dates and isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
             e = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
         else:
             e = c

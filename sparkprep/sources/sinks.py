@@ -17,12 +17,14 @@ def stage_name(source: str, stage: str) -> str:
 
 
 def write_verified(df: DataFrame, path: str) -> dict:
-    """Write Parquet, then re-read the written table and count it
-    (a footer-only count). No ``Observation`` here: in Spark 4.1 a session that
+    """Write Parquet, count the written table (footers only) and the
+    source, and raise if they differ. No ``Observation`` here: in Spark 4.1 a session that
     has used one can no longer serialize fitted models that keep a training
     summary (logistic regression), which breaks later scoring jobs."""
     df.write.mode("overwrite").parquet(path)
-    rows = df.sparkSession.read.parquet(path).count()
+    rows, source = df.sparkSession.read.parquet(path).count(), df.count()
+    if rows != source:
+        raise OSError(f"{path} holds {rows} rows, the source has {source}")
     return {"path": path, "rows": rows}
 
 

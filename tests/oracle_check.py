@@ -80,7 +80,8 @@ def check(spark, sf_dir, names=None):
             results[name] = ("ROWS_ONLY", f"{len(rows)} rows {time.time() - t0:.1f}s")
             continue
         try:
-            cur = con.execute(sql[name])
+            con.execute(f"CREATE OR REPLACE TEMP VIEW oracle_{name} AS {sql[name]}")
+            cur = con.execute(f"SELECT * FROM oracle_{name}")
             dcols = [d[0] for d in cur.description]
             drows = cur.fetchall()
         except Exception as ex:  # noqa: BLE001
@@ -96,7 +97,7 @@ def check(spark, sf_dir, names=None):
             if a == b:  # values agree: also compare column types
                 stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
                           for f in df.schema.fields}
-                dtypes = {c: str(t) for c, t in zip(dcols, con.sql(sql[name]).types)}
+                dtypes = {c: str(t) for c, t in zip(dcols, con.sql(f"SELECT * FROM oracle_{name}").types)}
                 wrong = {c: (stypes[c], dtypes.get(c)) for c in stypes if stypes[c] != dtypes.get(c)}
             if a == b and wrong:
                 results[name] = ("TYPES", repr(wrong)[:400])

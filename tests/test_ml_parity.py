@@ -66,5 +66,5 @@ def test_stratified_split_against_brute_force(spark):
     bad = got.join(brute, "k").where(F.col("is_test") != F.col("want")).count()
     assert bad == 0
     many = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 40).alias("y"))
-    got2 = S.stratified_split(many, "k", "y", 0.2)   # > 16 classes: global-rank path
+    got2 = S.stratified_split(many, "k", "y", 0.2)
     assert got2.where("is_test").count() == sum(int(0.2 * 75 + 0.5) for _ in range(40))

@@ -140,9 +140,11 @@ def test_deep_page_matches_offset(spark):
     from sparkprep.operators import views as V
     df = spark.range(300_000).select(F.col("id"), ((F.col("id") * 7919) % 1000).alias("v"))
     order = [F.col("v"), F.col("id")]
-    deep = V.page(df, order, 150_000 // 50, 50, key_cols=["v", "id"]).collect()
+    deep = V.page(df, order, 150_000 // 50, 50).collect()
     shallow = df.orderBy(*order).offset(150_000).limit(50).collect()
     assert [tuple(r) for r in deep] == [tuple(r) for r in shallow]
+    down = [F.col("v").desc(), F.col("id")]
+    assert [tuple(r) for r in V.page(df, down, 2500, 50).collect()] == [tuple(r) for r in df.orderBy(*down).offset(125_000).limit(50).collect()]
 
 
 def test_leaderboard_helpers(spark):

@@ -11,29 +11,51 @@ from sparkprep.functions.rank import dense_codes, with_global_index, with_runnin
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
 
-def _check(spark, values, max_collect, accuracy=10_000):
-    df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    got = exact_quantiles(df, ["x"], PROBS, max_collect=max_collect, buckets=16, accuracy=accuracy)["x"]
+def _check(spark, values, buckets=16, accuracy=10_000):
+    df = spark.createDataFrame([(float(v),) for v in values], "some_value double")
+    got = exact_quantiles(df, ["some_value"], PROBS, buckets=buckets, accuracy=accuracy)["some_value"]
     want = np.quantile(np.asarray(values, dtype=float), PROBS)
     assert np.allclose(got, want, rtol=0, atol=1e-9)
 
 
-def test_histogram_path_with_hot_value(spark):
+def test_histograms_with_hot_value(spark):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(0, 10, 4000), np.full(2000, 3.25), rng.exponential(5, 1000)])
-    _check(spark, vals.tolist(), max_collect=50, accuracy=100)   # histogram narrowing
-    _check(spark, vals.tolist(), max_collect=50)                 # one-pass bracket collect
+    _check(spark, vals.tolist(), accuracy=100)
+    _check(spark, vals.tolist(), buckets=65_536)
 
 
-def test_small_path(spark):
-    _check(spark, [5, 1, 4, 4, 2, 9], max_collect=10_000)
+def test_extreme_values(spark):
+    _check(spark, [5, 1, 4, 4, 2, 9])
+    _check(spark, [1.7e308, -1.7e308, 0.0, 5e-324, 1.0, -1e300, 3.0, 2.0], accuracy=10)
+    _check(spark, [5e-324, 0.0, 1e-323, 1.5e-323, 5e-324], accuracy=10)
+
+
+def test_several_columns_ties_and_nan_in_few_jobs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(rng.normal()), int(rng.integers(0, 9)), float("nan") if i % 5 == 0 else float(i), None if i % 3 else 2.5, f"{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "`a.b` double, n long, with_nan double, mostly_null double, x string")
+    numeric = ["a.b", "n", "with_nan", "mostly_null"]
+    got = exact_quantiles(df, numeric, PROBS, buckets=64, accuracy=50)
+    for i, c in enumerate(numeric):
+        vals = [r[i] for r in rows if r[i] is not None and not np.isnan(r[i])]
+        assert np.allclose(got[c], np.quantile(np.asarray(vals, dtype=float), PROBS), rtol=0, atol=1e-9)
+    sc = spark.sparkContext
+
+    def jobs(columns):
+        sc.setJobGroup(f"q{len(columns)}", "")
+        exact_quantiles(df, columns, [0.25, 0.75])
+        n = len(sc.statusTracker().getJobIdsForGroup(f"q{len(columns)}"))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return n
+    assert jobs(numeric) <= jobs(["a.b"]) + 2
 
 
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=300))
 def test_property(spark, values):
-    _check(spark, values, max_collect=20)
-    _check(spark, values, max_collect=5, accuracy=50)
+    _check(spark, values)
+    _check(spark, values, accuracy=50)
 
 
 def test_all_null_column(spark):

@@ -130,22 +130,22 @@ def test_variance_threshold_moves_kept_to_end(spark):
     assert f.transform(df).columns == ["s", "a", "b"]
 
 
-def test_correlation_paths_agree(spark):
+def test_correlation_against_numpy(spark):
     import numpy as np
     from sparkprep.operators import select as S
     rng = np.random.default_rng(11)
     base = rng.normal(size=(300, 3))
     data = np.column_stack([base, base[:, 0] * 2 + rng.normal(scale=0.01, size=300), np.ones(300)])
-    cols = [f"c{i}" for i in range(data.shape[1])]
-    df = spark.createDataFrame([tuple(float(v) for v in r) for r in data], ", ".join(f"{c} double" for c in cols))
-    small = {(r["col_a"], r["col_b"]): r["abs_corr"] for r in S._pairs_frame(df, [(a, b) for i, a in enumerate(cols)
-                                                                                 for b in cols[i + 1:]]).collect()}
-    gram = {(r["col_a"], r["col_b"]): r["abs_corr"] for r in S._gramian_frame(df, cols).collect()}
-    assert small.keys() == gram.keys()
-    for k in small:
-        assert (small[k] is None) == (gram[k] is None)
-        if small[k] is not None:
-            assert abs(small[k] - gram[k]) < 1e-9
+    data[::10, 1] = np.nan
+    cols = ["a", "it's", "c.d", "e", "one"]
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in data], ", ".join(f"`{c}` double" for c in cols))
+    got = {(r["col_a"], r["col_b"]): r["abs_corr"] for r in S.correlation_pairs(df, cols, 0.5).collect()}
+    for i, a in enumerate(cols):
+        for j in range(i + 1, len(cols)):
+            both = ~np.isnan(data[:, i]) & ~np.isnan(data[:, j])
+            want = None if cols[j] == "one" else abs(np.corrcoef(data[both, i], data[both, j])[0, 1])
+            assert got[a, cols[j]] == (want if want is None else pytest.approx(want))
+    assert S.variance_table(df, ["it's"], 0.1).collect()[0]["variance"] == pytest.approx(np.nanvar(data[:, 1]))
 
 
 def test_fill_errors_and_notes(spark):
