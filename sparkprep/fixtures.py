@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.missing import EMPTY_SHAPES, MISSING_WORDS, STRIP_CHARS, standardize_missing
+from .functions.missing import standardize_missing
 
 
 _TABLES: dict = {}
@@ -26,19 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _TABLES[key]
 
 
-def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Reuse a derived view's DataFrame (its plan, not its data) per session."""
-    key = (id(spark._jsparkSession), sf_dir, name)
-    if key not in _TABLES:
-        _TABLES[key] = build()
-    return _TABLES[key]
-
-
 def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "dirty_events", lambda: _dirty_events(spark, sf_dir))
-
-
-def _dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     eid = F.col("event_id")
     d = ev.select(
@@ -54,19 +42,19 @@ def _dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``dirty_events`` after the missing-marker rule."""
-    return _memo(spark, sf_dir, "clean_events", lambda: standardize_missing(dirty_events(spark, sf_dir)))
+    return standardize_missing(dirty_events(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- SQL twins
-def _sql_chars() -> str:
-    return "(" + " || ".join(f"chr({ord(ch)})" for ch in STRIP_CHARS) + ")"
+#: The rule, written out on its own for the oracle.
+SQL_STRIP = "(" + " || ".join(f"chr({n})" for n in (
+    9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)) + ")"
 
 
 def sql_missing_text(col: str) -> str:
-    s = f"trim({col}, {_sql_chars()})"
-    words = ", ".join(f"'{w}'" for w in MISSING_WORDS)
-    shapes = ", ".join("'" + w.replace("'", "''") + "'" for w in EMPTY_SHAPES)
-    return f"({s} = '' OR lower({s}) IN ({words}) OR {s} IN ({shapes}))"
+    s = f"trim({col}, {SQL_STRIP})"
+    return (f"({s} = '' OR lower({s}) IN ('na', 'n/a', 'none', 'null', 'nan') "
+            f"OR {s} IN ('[]', '{{}}', '[ ]', '{{ }}', '()', '( )', '\"\"', ))")
 
 
 def sql_clean_text(col: str) -> str:

@@ -59,7 +59,14 @@ def align_to_schema(df: DataFrame, features: list[str], keep: tuple = ()) -> Dat
     return df.select(*[qcol(k) for k in keep if k in df.columns], *cols)
 
 
-def predict(saved: SavedModel, df: DataFrame, keep: tuple = ()) -> DataFrame:
+def predict(saved: SavedModel, df: DataFrame, keep: tuple = (), align: bool = False) -> DataFrame:
+    """Score rows. Missing features raise; with ``align=True`` rows that look raw for the
+    features of the model (M25) are brought to its schema first (M26)."""
+    if align and looks_raw(df, saved.features):
+        others = [c for c in df.columns if c not in saved.features]
+        texts = [c for c in saved.features if c in saved.dictionaries]
+        fixed = align_to_schema(df, [c for c in saved.features if c not in texts], tuple(others) + tuple(c for c in texts if c in df.columns))
+        df = fixed.withColumns({c: F.lit(None).cast("string") for c in texts if c not in df.columns})
     missing = missing_features(df, saved.features)
     if missing:
         raise ValueError(f"Missing required columns: {', '.join(missing)}")

@@ -44,6 +44,7 @@ class TrainingResult:
     models: dict = field(default_factory=dict)          # name -> PipelineModel
     dictionaries: dict = field(default_factory=dict)    # categorical codes (train only)
     classes: list | None = None                         # label index -> class
+    counts: dict = field(default_factory=dict)          # rows, train_rows, test_rows
 
     def results_frame(self, spark) -> DataFrame:
         rows = [(r["model"], r["status"], r.get("score"), json.dumps(r.get("metrics", {})), r.get("training_time"),
@@ -159,13 +160,20 @@ def run_training(df: DataFrame, target: str, key: str, models: list[str] | None
         results = [r for _, r in done]
         fitted = {r["model"]: m for m, r in done if m is not None}
         best, warn = select_best(results, chosen)
-        return TrainingResult(ptype, target, feats, results, best, warnings + warn, fitted, dictionaries, classes)
+        return TrainingResult(ptype, target, feats, results, best, warnings + warn, fitted, dictionaries, classes, counts)
     finally:
         coded.unpersist()
 
 
-def save_training(result: TrainingResult, base_dir: str, model_name: str | None = None) -> str:
-    """``<base>/<id>/model`` (PipelineModel), codes as tables, results JSON."""
+def _best(result: TrainingResult) -> dict:
+    best = next((r for r in result.results if r["model"] == result.best_model), {})
+    return {"score": best.get("score"), "metrics": {k: float(v) for k, v in best.get("metrics", {}).items() if isinstance(v, (int, float))}}
+
+
+def save_training(result: TrainingResult, base_dir: str, model_name: str | None = None,
+                  filename: str | None = None) -> str:
+    """``<base>/<id>/model`` (PipelineModel), codes as tables, results JSON with the
+    file trained on, its size, and the best model's score and metrics."""
     model_id = uuid.uuid4().hex[:12]
     name = model_name or result.best_model
     root = f"{base_dir.rstrip('/')}/{model_id}"
@@ -180,6 +188,8 @@ def save_training(result: TrainingResult, base_dir: str, model_name: str | None
     doc = {"model_id": model_id, "model_name": name, "problem_type": result.problem_type,
            "target_column": result.target, "features": result.features, "classes": result.classes,
            "codes": codes, "best_model": result.best_model,
+           "filename": filename, "dataset_info": {**result.counts, "features": len(result.features)},
+           **_best(result),
            "results": [{k: v for k, v in r.items() if k != "feature_importance"} for r in result.results],
            "created_at": time.strftime("%Y-%m-%dT%H:%M:%S")}
     from pyspark.sql import SparkSession

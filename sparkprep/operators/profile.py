@@ -13,24 +13,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
-from ..functions.types import (dtypes, is_datetime, is_floating, is_integral, is_numeric,
-                               is_numeric_or_bool, is_text, type_name)
+from ..functions.types import dtypes, is_datetime, is_numeric, is_numeric_or_bool, is_text, text_literal, type_name
 from ..functions.missing import standardize_missing
 from ..functions.types import qcol
 
 
-def _distinct(c: Column, approx: bool) -> Column:
-    return F.approx_count_distinct(c) if approx else F.count_distinct(c)
-
-
 def _stack(stats: DataFrame, rows: list[list[str]], names: list[str]) -> DataFrame:
     """Unpivot one aggregate row into ``len(rows)`` rows; each entry is a SQL expression."""
     body = ", ".join(", ".join(r) for r in rows)
     return stats.selectExpr(f"stack({len(rows)}, {body}) as ({', '.join(names)})")
 
 
-def _q(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+_q = text_literal
+
+
+def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
+    """``(pos, distinct)`` of each column by position. Each column is grouped on its own: a scan
+    that reads one column and combines before the shuffle. (Several distinct counts in one
+    aggregate would send every row once per column.)"""
+    if approx:
+        one = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(df.columns)])
+        return _stack(one, [[str(i), f"d{i}"] for i in range(len(df.columns))], ["pos", "distinct"])
+    out = None
+    for i, c in enumerate(df.columns):
+        one = df.select(qcol(c).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.lit(1)).agg(F.count("*").alias("distinct"))
+        one = one.select(F.lit(i).alias("pos"), "distinct")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _with_distinct(df: DataFrame, stats: DataFrame, name: str, approx: bool) -> DataFrame:
+    """``stats`` (one row per column, with ``pos``) and the distinct counts, in column order."""
+    counts = F.broadcast(distinct_counts(df, approx).withColumnRenamed("distinct", name))  # one row per column
+    return stats.join(counts, "pos").orderBy("pos").drop("pos")
 
 
 # ------------------------------------------------------------------ P1 / P2
@@ -42,10 +57,9 @@ def column_profile(df: DataFrame, row_key: str | None = None, approx: bool = Fal
         c = qcol(f.name)
         sample = F.min_by(c, F.when(c.isNotNull(), qcol(row_key))) if row_key \
             else F.first(c, ignorenulls=True)
-        aggs += [F.count(F.when(c.isNull(), 1)).alias(f"n{i}"), _distinct(c, approx).alias(f"d{i}"),
-                 sample.cast("string").alias(f"s{i}")]
-        rows.append([_q(f.name), _q(type_name(f.dataType)), f"n{i}", f"s{i}", f"d{i}"])
-    return _stack(df.agg(*aggs), rows, ["column", "dtype", "null_count", "sample", "distinct_count"])
+        aggs += [F.count(F.when(c.isNull(), 1)).alias(f"n{i}"), sample.cast("string").alias(f"s{i}")]
+        rows.append([str(i), _q(f.name), _q(type_name(f.dataType)), f"n{i}", f"s{i}"])
+    return _with_distinct(df, _stack(df.agg(*aggs), rows, ["pos", "column", "dtype", "null_count", "sample"]), "distinct_count", approx)
 
 
 def preview_records(df: DataFrame, row_key: str, limit: int = 1000) -> DataFrame:
@@ -89,10 +103,8 @@ def type_table(df: DataFrame, approx: bool = False) -> DataFrame:
     """Q3: ``(column, type, unique_values, is_categorical)``."""
     aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
     for i, f in enumerate(df.schema.fields):
-        aggs.append(_distinct(qcol(f.name), approx).alias(f"d{i}"))
-        rows.append([_q(f.name), _q(type_name(f.dataType)), f"d{i}", "_rows",
-                     "true" if is_text(f.dataType) else "false"])
-    t = _stack(df.agg(*aggs), rows, ["column", "type", "unique_values", "rows", "is_text"])
+        rows.append([str(i), _q(f.name), _q(type_name(f.dataType)), "_rows", "true" if is_text(f.dataType) else "false"])
+    t = _with_distinct(df, _stack(df.agg(*aggs), rows, ["pos", "column", "type", "rows", "is_text"]), "unique_values", approx)
     return t.select("column", "type", "unique_values",
                     (F.col("is_text") | (F.col("unique_values") < F.col("rows") * 0.1)).alias("is_categorical"))
 
@@ -194,13 +206,13 @@ def quality_report(df: DataFrame, exclude: tuple = (), approx: bool = False) ->
 def column_insights(df: DataFrame, approx: bool = False) -> DataFrame:
     """P5: per column type flags, cardinality, missing count/%, and for numeric
     (booleans included) min/max/mean/sample std. ``approx=True`` uses
-    HyperLogLog cardinalities (no per-column row expansion on wide tables)."""
+    HyperLogLog cardinalities."""
     aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
     for i, f in enumerate(df.schema.fields):
         c, dt = qcol(f.name), f.dataType
         num = is_numeric_or_bool(dt)
         x = c.cast("double")
-        aggs += [_distinct(c, approx).alias(f"d{i}"), F.count(F.when(c.isNull(), 1)).alias(f"m{i}")]
+        aggs.append(F.count(F.when(c.isNull(), 1)).alias(f"m{i}"))
         if num:
             aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"mu{i}"),
                      F.stddev_samp(x).alias(f"sd{i}")]
@@ -209,10 +221,11 @@ def column_insights(df: DataFrame, approx: bool = False) -> DataFrame:
             stats = ["CAST(NULL AS DOUBLE)"] * 4
         flags = ["true" if num else "false", "true" if is_text(dt) else "false",
                  "true" if is_datetime(dt) else "false", "true" if is_text(dt) else "false"]
-        rows.append([_q(f.name), _q(type_name(dt)), f"d{i}", f"m{i}", "_rows", *flags, *stats])
-    t = _stack(df.agg(*aggs), rows, ["name", "dtype", "cardinality", "missing_count", "rows", "is_numeric",
+        rows.append([str(i), _q(f.name), _q(type_name(dt)), f"m{i}", "_rows", *flags, *stats])
+    t = _stack(df.agg(*aggs), rows, ["pos", "name", "dtype", "missing_count", "rows", "is_numeric",
                                      "is_categorical", "is_datetime", "is_text", "min_value", "max_value",
                                      "mean_value", "std_value"])
+    t = _with_distinct(df, t, "cardinality", approx)
     pct = F.when(F.col("rows") > 0, F.col("missing_count") * 100.0 / F.col("rows")).otherwise(0.0)
     return t.select("name", "dtype", "cardinality", "missing_count", pct.alias("missing_percentage"),
                     "is_numeric", "is_categorical", "is_datetime", "is_text",
@@ -227,6 +240,9 @@ def first_values(df: DataFrame, column: str, row_key: str, k: int = 10) -> DataF
 
 
 # ------------------------------------------------------------------ P6
+NUMERIC_STATS = ("min_value", "max_value", "mean_value", "std_value", "median_value")
+
+
 def target_analysis(df: DataFrame, target: str) -> DataFrame:
     """One row of target statistics (numeric stats only for numeric, non-0/1 targets)."""
     types = dtypes(df)
@@ -246,9 +262,9 @@ def target_analysis(df: DataFrame, target: str) -> DataFrame:
                    F.count(F.when(t.isNull(), 1)).alias("null_count"), F.count(F.lit(1)).alias("_rows"),
                    zero_one.alias("is_boolean"),
                    *([F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg(x).alias("mean_value"),
-                      F.stddev_samp(x).alias("std_value")] if num else
-                     [F.lit(None).cast("double").alias(n) for n in ("min_value", "max_value", "mean_value",
-                                                                    "std_value")]))
+                      F.stddev_samp(x).alias("std_value"),
+                      F.lit(exact_quantiles(df, [target], [0.5])[target][0]).cast("double").alias("median_value")] if num else
+                     [F.lit(None).cast("double").alias(n) for n in NUMERIC_STATS]))
     numeric_stats = F.lit(num) & ~F.col("is_boolean")
     return stats.select(
         F.lit(target).alias("column_name"), F.lit(type_name(dt)).alias("dtype"),
@@ -256,7 +272,20 @@ def target_analysis(df: DataFrame, target: str) -> DataFrame:
         "total_samples", "unique_values",
         F.try_divide(F.col("unique_values").cast("double"), F.col("total_samples")).alias("unique_ratio"),
         "null_count", F.try_divide(F.col("null_count") * 100.0, F.col("_rows")).alias("null_percentage"),
-        *[F.when(numeric_stats, qcol(n)).alias(n) for n in ("min_value", "max_value", "mean_value", "std_value")])
+        *[F.when(numeric_stats, qcol(n)).alias(n) for n in NUMERIC_STATS])
+
+
+CLASS_TABLE_VALUES = 20  # fixed value: numeric targets with up to this many values have a class table
+
+
+def target_classes(df: DataFrame, target: str, k: int = 10) -> DataFrame:
+    """Class table of a text target or of a numeric one with few values: the ``k`` most
+    frequent values and their counts; empty for any other target."""
+    counts = df.where(qcol(target).isNotNull()).groupBy(qcol(target).alias("_v")).agg(F.count(F.lit(1)).alias("count"))
+    few = counts.agg((F.count("*") <= CLASS_TABLE_VALUES).alias("_few"))  # one row
+    shown = F.lit(is_text(dtypes(df)[target])) | (F.lit(is_numeric_or_bool(dtypes(df)[target])) & F.col("_few"))
+    return (counts.join(F.broadcast(few)).where(shown).orderBy(F.desc("count"), F.asc("_v")).limit(k)
+            .select(F.col("_v").cast("string").alias("value"), "count"))
 
 
 def class_distribution(df: DataFrame, target: str, k: int = 10) -> DataFrame:

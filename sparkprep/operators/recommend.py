@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import standardize_missing
 from ..functions.types import is_numeric, qcol
-from .profile import column_insights, duplicate_count, outlier_fences, outlier_table, target_analysis
+from .profile import column_insights, duplicate_count, outlier_fences, outlier_table, target_analysis, target_classes
 
 # ---------------------------------------------------------------- fixed values
 NEAR_CONSTANT_SHARE = 0.01
@@ -373,13 +373,14 @@ def model_recommendations(ptype: DataFrame, n_samples: Column, n_features: Colum
 
 
 def training_recommendations(df: DataFrame, target: str) -> dict:
-    """Target analysis + problem type + model list."""
+    """Target analysis with its class table + problem type + model list."""
     ta = target_analysis(df, target)
     pt = problem_type(ta).join(ta.select("column_name", "total_samples"), "column_name")
     n_features = len(df.columns) - 1
     models = model_recommendations(pt, F.col("total_samples"), F.lit(n_features))
     row = pt.collect()[0]
-    return {"target_analysis": ta.collect()[0].asDict(), "problem_type": row["problem_type"],
+    classes = {r["value"]: r["count"] for r in target_classes(df, target).collect()}  # at most ten
+    return {"target_analysis": {**ta.collect()[0].asDict(), **({"class_distribution": classes} if classes else {})}, "problem_type": row["problem_type"],
             "recommended_models": [r.asDict() for r in models.orderBy("rank").collect()],
             "n_samples": row["total_samples"], "n_features": n_features}
 

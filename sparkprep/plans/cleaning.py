@@ -51,6 +51,7 @@ class CleanResult:
                 for i, ((name, _), f) in enumerate(zip(self.stages[1:], self.steps))]
 
     def release(self) -> None:
+        """Give back what was persisted; the output is recomputed when it is read again."""
         for d in self.persisted:
             d.unpersist()
 

@@ -179,6 +179,7 @@ o AS (SELECT f.* FROM f, b WHERE value IS NULL OR value BETWEEN q1 - 1.5 * (q3 -
 @query("clean_run", CLEAN_RUN_SQL + "\nSELECT row_id, event_id, user_id, event_type, round(value, 6) AS value FROM o")
 def q_clean_run(spark, sf):
     res = run_cleaning(clean_events(spark, sf), CleanSpec(**CLEAN_RUN_SPEC))
+    res.release()
     return res.output.select("row_id", "event_id", "user_id", "event_type", r6(F.col("value")).alias("value"))
 
 
@@ -192,7 +193,9 @@ c AS (SELECT 0 AS step, 'input' AS operation, (SELECT count(*) FROM clean_events
 SELECT step, operation, rows_before, rows_after, rows_before - rows_after AS rows_removed, columns_after FROM (
   SELECT *, lag(rows_after) OVER (ORDER BY step) AS rows_before FROM c) WHERE step > 0""")
 def q_change_log(spark, sf):
-    return run_cleaning(clean_events(spark, sf), CleanSpec(**CLEAN_RUN_SPEC)).change_log()
+    res = run_cleaning(clean_events(spark, sf), CleanSpec(**CLEAN_RUN_SPEC))
+    res.release()
+    return res.change_log()
 
 
 @query("drop_id_columns", "SELECT c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")

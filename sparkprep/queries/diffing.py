@@ -13,7 +13,9 @@ from . import query
 
 def _cleaned(spark, sf):
     original = clean_events(spark, sf)
-    return original, run_cleaning(original, CleanSpec(**CLEAN_RUN_SPEC)).output
+    res = run_cleaning(original, CleanSpec(**CLEAN_RUN_SPEC))
+    res.release()
+    return original, res.output
 
 
 @query("diff_deleted_rows", CLEAN_RUN_SQL + """

@@ -298,6 +298,53 @@ def q_pca(spark, sf):
                       r6(F.col("pca_component_2")).alias("pca_component_2"))
 
 
+@query("pca_two_columns", """
+WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_tax * 100) AS my, var_pop(l_quantity) AS a, var_pop(l_tax * 100) AS c,
+                  covar_pop(l_quantity, l_tax * 100) AS b FROM lineitem),
+e AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS l1 FROM m),
+v AS (SELECT *, (l1 - c) / sqrt((l1 - c) * (l1 - c) + b * b) AS vx, b / sqrt((l1 - c) * (l1 - c) + b * b) AS vy FROM e)
+SELECT l_orderkey, l_linenumber, round(abs((l_quantity - mx) * vx + (l_tax * 100 - my) * vy), 4) AS first,
+  round(l1 / (a + c), 6) AS share FROM lineitem, v""")
+def q_pca_two_columns(spark, sf):
+    """The first of two components, up to its sign, and its share of the variance."""
+    df = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity", "l_tax * 100 AS tax")
+    step = FeatureSelection(["l_quantity", "tax"], "pca", n_components=1).fit(df)
+    share = step.params["explained_variance_ratio"][0]
+    return step.transform(df).select("l_orderkey", "l_linenumber", F.round(F.abs("pca_component_1"), 4).alias("first"),
+                                     F.round(F.lit(float(share)), 6).alias("share"))
+
+
+@query("onehot_large", """
+SELECT l_orderkey, l_linenumber,
+  CAST(l_returnflag IS NOT DISTINCT FROM 'A' AS TINYINT) AS "l_returnflag_A",
+  CAST(l_returnflag IS NOT DISTINCT FROM 'N' AS TINYINT) AS "l_returnflag_N",
+  CAST(l_returnflag IS NOT DISTINCT FROM 'R' AS TINYINT) AS "l_returnflag_R",
+  CAST(l_linestatus IS NOT DISTINCT FROM 'F' AS TINYINT) AS "l_linestatus_F",
+  CAST(l_linestatus IS NOT DISTINCT FROM 'O' AS TINYINT) AS "l_linestatus_O" FROM lineitem""")
+def q_onehot_large(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return Encoding(["l_returnflag", "l_linestatus"], "one-hot").fit(df).transform(df)
+
+
+@query("label_encode_large", """
+SELECT l_orderkey, l_linenumber, CAST(dense_rank() OVER (ORDER BY CAST(l_partkey AS VARCHAR)) - 1 AS BIGINT) AS part,
+  CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS BIGINT) AS l_returnflag FROM lineitem""")
+def q_label_encode_large(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("part"), "l_returnflag")
+    return Encoding(["part", "l_returnflag"], "label").fit(df).transform(df)
+
+
+@query("dedupe_large", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS rn FROM lineitem)
+WHERE rn = 1""")
+def q_dedupe_large(spark, sf):
+    from ..operators import RemoveDuplicates
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                                             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"))
+    return RemoveDuplicates(["l_partkey", "l_suppkey"], "row_id").fit(df).transform(df).drop("row_id")
+
+
 FEATURE_RUN_SPEC = [
     {"type": "encoding", "columns": ["c_mktsegment"], "method": "one-hot"},
     {"type": "scaling", "columns": ["c_acctbal"], "method": "standard"},

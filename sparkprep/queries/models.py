@@ -13,6 +13,7 @@ from ..fixtures import table
 from ..ml.encode import apply_codes, fit_train_codes
 from ..ml.metrics import classification_metrics, confusion_table, regression_metrics, residuals, roc_auc
 from ..ml.predict import load_model, predict
+from ..ml.registry import regression_models
 from ..ml.split import hash_split, stratified_split
 from ..ml.train import run_training, save_training
 from ..session import ensure_checkpoint_dir
@@ -76,6 +77,35 @@ def q_linreg_one_feature(spark, sf):
                                  F.round(F.lit(float(m.intercept)), 4).alias("intercept"))
 
 
+def _one_feature(spark, sf, name):
+    """Slope and intercept of a registered model over one feature of the whole table."""
+    li = table(spark, sf, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("label"))
+    vec = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li)
+    s = li.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("sd")).first()
+    m = regression_models()[name]({"n_train": s["n"], "sigma_y": s["sd"]}).fit(vec)
+    return spark.range(1).select(F.round(F.lit(float(m.coefficients[0])), 4).alias("slope"),
+                                 F.round(F.lit(float(m.intercept)), 4).alias("intercept"))
+
+
+MOMENTS_SQL = """
+WITH m AS (SELECT count(*) AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, var_pop(l_quantity) AS vx,
+                  covar_pop(l_extendedprice, l_quantity) AS cxy FROM lineitem)"""
+
+
+@query("ridge_one_feature", MOMENTS_SQL + """,
+s AS (SELECT *, n * cxy / (n * vx + 1) AS slope FROM m)
+SELECT round(slope, 4) AS slope, round(my - slope * mx, 4) AS intercept FROM s""")
+def q_ridge_one_feature(spark, sf):
+    return _one_feature(spark, sf, "ridge")
+
+
+@query("lasso_one_feature", MOMENTS_SQL + """,
+s AS (SELECT *, sign(cxy) * greatest(abs(cxy) - 1, 0) / vx AS slope FROM m)
+SELECT round(slope, 4) AS slope, round(my - slope * mx, 4) AS intercept FROM s""")
+def q_lasso_one_feature(spark, sf):
+    return _one_feature(spark, sf, "lasso")
+
+
 CONF_SQL = """
 WITH lab AS (SELECT quality AS v FROM labels UNION SELECT toxic FROM labels),
 g AS (SELECT a.v AS actual, p.v AS predicted FROM lab a, lab p),

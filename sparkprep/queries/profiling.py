@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import clean_events, clean_events_sql, table
 from ..operators.profile import (class_distribution, column_insights, column_profile, duplicate_count,
                                  first_values, missing_table, outlier_fences, outlier_table, preview_records,
-                                 quality_score_table, target_analysis, type_table)
+                                 quality_score_table, target_analysis, target_classes, type_table)
 from . import query, r6
 
 W = "WITH " + clean_events_sql()
@@ -154,7 +154,8 @@ SELECT 'l_extendedprice' AS column_name, 'double' AS dtype, true AS is_numeric,
   count(*) FILTER (WHERE l_extendedprice IS NULL) AS null_count,
   round(CAST(100.0 * count(*) FILTER (WHERE l_extendedprice IS NULL) / count(*) AS DOUBLE), 6) AS null_percentage,
   round(min(l_extendedprice), 6) AS min_value, round(max(l_extendedprice), 6) AS max_value,
-  round(avg(l_extendedprice), 6) AS mean_value, round(stddev_samp(l_extendedprice), 6) AS std_value
+  round(avg(l_extendedprice), 6) AS mean_value, round(stddev_samp(l_extendedprice), 6) AS std_value,
+  round(quantile_cont(l_extendedprice, 0.5), 6) AS median_value
 FROM lineitem""")
 def q_target_analysis(spark, sf):
     t = target_analysis(table(spark, sf, "lineitem"), "l_extendedprice")
@@ -169,13 +170,25 @@ SELECT 'quality' AS column_name, 'int' AS dtype, true AS is_numeric, false AS is
   count(*) FILTER (WHERE quality IS NULL) AS null_count,
   round(CAST(100.0 * count(*) FILTER (WHERE quality IS NULL) / count(*) AS DOUBLE), 6) AS null_percentage,
   CAST(NULL AS DOUBLE) AS min_value, CAST(NULL AS DOUBLE) AS max_value, CAST(NULL AS DOUBLE) AS mean_value,
-  CAST(NULL AS DOUBLE) AS std_value FROM labels""")
+  CAST(NULL AS DOUBLE) AS std_value, CAST(NULL AS DOUBLE) AS median_value FROM labels""")
 def q_target_analysis_binary(spark, sf):
     t = target_analysis(table(spark, sf, "labels"), "quality")
     return t.select(*[r6(F.col(c)).alias(c) if c.endswith(("_value", "_ratio", "_percentage")) else F.col(c)
                       for c in t.columns])
 
 
+@query("target_classes", """
+SELECT 'lang' AS target, lang AS value, count(*) AS count FROM documents GROUP BY lang
+UNION ALL (SELECT 'source', source, count(*) AS c FROM documents GROUP BY source ORDER BY c DESC, source LIMIT 10)""")
+def q_target_classes(spark, sf):
+    d = table(spark, sf, "documents")
+    out = None
+    for c in ("lang", "source", "n_chars"):  # the last has too many values for a class table
+        t = target_classes(d, c).select(F.lit(c).alias("target"), "value", "count")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 @query("class_distribution", """
 SELECT event_type AS value, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM events), 6) AS percentage
 FROM events GROUP BY event_type ORDER BY count DESC, event_type LIMIT 10""")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..fixtures import clean_events, table
 from ..operators import views as V
+from ..ml.train import run_training, save_training
 from ..operators.diff import updated_cells
 from ..plans.cleaning import CleanSpec, run_cleaning
+from ..session import ensure_checkpoint_dir
+from ..sources.registry import list_models
 from .cleaning import CLEAN_RUN_SPEC, CLEAN_RUN_SQL
 from . import query, r6
 
@@ -121,23 +126,43 @@ SELECT row_id, list_sort(list_filter([CASE WHEN a3 IS DISTINCT FROM event_type T
   CASE WHEN a4 IS DISTINCT FROM value THEN 'value' END], lambda x: x IS NOT NULL)) AS updated_columns FROM j""")
 def q_updated_cell_flags(spark, sf):
     original = clean_events(spark, sf)
-    cleaned = run_cleaning(original, CleanSpec(**CLEAN_RUN_SPEC)).output
+    res = run_cleaning(original, CleanSpec(**CLEAN_RUN_SPEC))
+    res.release()
+    cleaned = res.output
     return V.flag_updated_cells(cleaned.select("row_id"), updated_cells(original, cleaned, "row_id"), "row_id")
 
 
-@query("leaderboard")
-def q_leaderboard(spark, sf):
-    import uuid
-    from ..ml.train import run_training, save_training
-    from ..session import ensure_checkpoint_dir
-    from ..sources.registry import list_models
+def _trained(spark, sf):
+    """Two models over the labelled documents, saved and listed."""
     base = f"{ensure_checkpoint_dir(spark)}/leaderboard-{uuid.uuid4().hex[:8]}"
     docs = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source") \
         .join(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id")
     for target in ("quality", "toxic"):
-        res = run_training(docs.drop("toxic" if target == "quality" else "quality"), target, "doc_id",
-                           ["logistic_regression"])
-        save_training(res, base)
-    models = list_models(spark, base).withColumn("score", F.lit(None).cast("double"))
-    return V.leaderboard(models, "classification", "Linear Models", "date").select("problem_type", "target_column",
-                                                                                   "best_model")
+        res = run_training(docs.drop("toxic" if target == "quality" else "quality"), target, "doc_id", ["logistic_regression"])
+        save_training(res, base, filename="documents.parquet")
+    return list_models(spark, base)
+
+
+@query("leaderboard")
+def q_leaderboard(spark, sf):
+    best = V.leaderboard(_trained(spark, sf), "classification", "Linear Models", "accuracy")
+    return best.select("problem_type", "target_column", "best_model", "filename", r6(F.col("score")).alias("score"))
+
+
+@query("model_groups", """
+SELECT 'documents.parquet' AS file, unnest(['quality', 'toxic']) AS target, 1::BIGINT AS n""")
+def q_model_groups(spark, sf):
+    return V.group_models(_trained(spark, sf)).select("file", "target", "n")
+
+
+@query("top_models")
+def q_top_models(spark, sf):
+    return V.top_k(_trained(spark, sf), "score", 3, "target_column").select("target_column", "best_model", r6(F.col("score")).alias("score"))
+
+
+@query("schema_check", """
+SELECT unnest(['c_phone', 'c_comment']) AS "column", 'missing' AS status
+UNION ALL SELECT unnest(['c_nationkey', 'c_mktsegment']), 'extra'""")
+def q_schema_check(spark, sf):
+    found = V.schema_check(table(spark, sf, "customer"), ["c_custkey", "c_name", "c_acctbal", "c_phone", "c_comment"])
+    return spark.createDataFrame([(c, k) for k, cs in found.items() for c in cs], "column string, status string")

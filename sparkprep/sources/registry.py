@@ -6,12 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def list_models(spark: SparkSession, results_dir: str) -> DataFrame:
-    df = spark.read.json(f"{results_dir.rstrip('/')}/*/*_results.json", multiLine=False)
-    return df.select("model_id", F.col("_metadata.file_name").alias("file"), "problem_type", "target_column",
-                     "best_model", "created_at", *[c for c in ("metrics", "filename") if c in df.columns])
+#: What the list shows of a document; ``score`` and ``metrics`` are the best model's.
+LISTED = ("model_id string, problem_type string, target_column string, best_model string, created_at string, "
+          "filename string, score double, metrics map<string,double>")
 
 
-def model_details(spark: SparkSession, results_dir: str, model_id: str) -> DataFrame:
-    return list_models(spark, results_dir).where(F.col("model_id") == model_id)
+def list_models(spark: SparkSession, results_dir: str) -> DataFrame:
+    df = spark.read.schema(LISTED).json(f"{results_dir.rstrip('/')}/*/*_results.json")
+    return df.withColumn("file", F.col("_metadata.file_name"))
