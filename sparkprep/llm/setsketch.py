@@ -8,9 +8,10 @@ merge by maximum and equal registers grow with similarity.
 1. Documents with equal sets form a class, represented by its smallest row.
 2. Bands of registers are hashed. In each band bucket the classes are compared
    with a centre (the class that shares most places in buckets), never all with
-   all. Buckets whose other members are in one component are done; the others go
-   on with more centres, over members of other components than the centre's.
-3. For a pair the similarity is estimated by maximum likelihood from all
+   all. Buckets whose other members are in one component are done. In the others, members
+   outside of the centre's component are compared with the rest exactly, on packed
+   sets, block by block inside tasks; only links become rows.
+3. For a pair with a centre the similarity is estimated by maximum likelihood from all
    registers jointly; pairs far below the threshold (over six standard errors)
    are dropped, the others are verified on the full sets.
 4. Components of the verified links.
@@ -47,6 +48,8 @@ TOP = 255
 #: Pairs estimated lower than the threshold by more than this are dropped: 6.5 standard errors of 200 registers.
 MARGIN = 0.2
 LAST = 9223372036854775807
+#: Bytes of packed sets in a block of members that are compared within a task.
+BLOCK_BYTES = 2 << 20
 #: Up to this many (id, hash) rows are broadcast to pick the texts to verify: about 40 MB.
 BROADCAST_ROWS = 1_000_000
 
@@ -159,6 +162,41 @@ def _verify_kernel(k: int, percent: int):
     return run
 
 
+def _set_kernel(k: int):
+    """Sorted shingle hashes of texts, packed."""
+    def run(batches):
+        for batch in batches:
+            sets = [s.tobytes() for _, _, held in chunks(batch.column("t").to_pylist()) for s in shingle_sets(held, k)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
+    return run
+
+
+def _block_kernel(percent: int):
+    """Links between the sets of two blocks. The shingles of one block are sorted once, with the
+    sets that have them; a set of the other counts what it shares with each by looking up its shingles."""
+    def run(batches):
+        for batch in batches:
+            for few, many in zip(batch.column("few").to_pylist(), batch.column("many").to_pylist(), strict=True):
+                sets = [np.frombuffer(x["set"], dtype=np.uint64) for x in many]
+                sizes = np.array([len(x) for x in sets])
+                every = np.concatenate(sets)
+                order = np.argsort(every, kind="stable")
+                every, of = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
+                links = []
+                for x in few:
+                    one = np.frombuffer(x["set"], dtype=np.uint64)
+                    lo, hi = np.searchsorted(every, one), np.searchsorted(every, one, side="right")
+                    n = hi - lo
+                    at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                    both = np.bincount(of[at], minlength=len(sets))
+                    found = np.flatnonzero(100 * both >= percent * (len(one) + sizes - both))
+                    links += [(x["node"], many[i]["node"]) for i in found if many[i]["node"] != x["node"]]
+                if links:
+                    kind = batch.schema.field("few").type.value_type.field("node").type
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*links, strict=True)], ["u", "v"])
+    return run
+
+
 PAIR = "a struct<id:bigint,sig:bigint>, b struct<id:bigint,sig:bigint>"
 
 
@@ -168,15 +206,50 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     side = lambda x: classes.select(F.col("node").alias(x), F.col("regs").alias("r" + x), F.col("n_shingles").alias("n" + x))
     near = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb")
                .mapInArrow(_estimate_kernel(percent / 100 - margin), PAIR))
-    needed = cut(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
-    if needed.count() <= BROADCAST_ROWS:  # else the texts are shuffled for this
-        needed = F.broadcast(needed)
-    texts = docs.select(F.struct(F.coalesce(q(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(q(text)).alias("sig")).alias("node"),
-                        q(text).cast("string").alias("t")).join(needed, "node", "left_semi").dropDuplicates(["node"])
+    texts = texts_of(docs, near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))), id_col, text)
     of = lambda x: texts.select(F.col("node").alias(x), F.col("t").alias("t" + x))
     return near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify_kernel(k, percent), PAIR)
 
 
+def unsettled(held: DataFrame) -> DataFrame:
+    """The places of buckets whose members are in more than one component."""
+    mixed = held.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    return held.join(mixed, "bucket", "left_semi")
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``(node, t)``: the texts of the given nodes, one row each."""
+    needed = cut(nodes.select("node").distinct())
+    if needed.count() <= BROADCAST_ROWS:  # else the texts are shuffled for this
+        needed = F.broadcast(needed)
+    return docs.select(F.struct(F.coalesce(q(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(q(text)).alias("sig")).alias("node"),
+                       q(text).cast("string").alias("t")).join(needed, "node", "left_semi").dropDuplicates(["node"])
+
+
+def blocks(members: DataFrame, name: str) -> DataFrame:
+    """``members`` (family, node, set) as ``(family, <name>)``: lists of (node, set) of about BLOCK_BYTES each."""
+    size = members.groupBy("family").agg(F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES).alias("parts"))
+    dealt = members.join(cut(size), "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    return dealt.groupBy("family", "part").agg(F.collect_list(F.struct("node", "set")).alias(name)).drop("part")
+
+
+def links_within(held: DataFrame, centres: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
+    """Every link ``(u, v)`` between members of one bucket of ``held`` (bucket, node, root) that are
+    in different components.
+
+    A family is all buckets whose centre is in one component: one of two such members
+    is not in that component, so these are compared with all members of the family, block by
+    block. Pairs are counted inside a task; only links become rows.
+    """
+    placed = cut(held.join(centres, "bucket").select("family", "node", "root").distinct())
+    sets = cut(texts_of(docs, placed, id_col, text).mapInArrow(_set_kernel(k), "node struct<id:bigint,sig:bigint>, set binary"))
+    members = placed.join(sets, "node").select("family", "node", "root", "set")
+    few = blocks(members.where("root <> family").select("family", "node", "set"), "few")
+    many = blocks(members.select("family", "node", "set"), "many")
+    return few.join(many, "family").select("few", "many").mapInArrow(
+        _block_kernel(percent), "u struct<id:bigint,sig:bigint>, v struct<id:bigint,sig:bigint>")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS,
                     percent: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``sig`` (hash of the text), ``n_shingles``,
@@ -190,33 +263,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     held = cut(every.join(shared, "bucket").select("bucket", "node", "n"))
     degree = held.groupBy("node").agg(F.sum("n").alias("degree"))
     held = cut(held.drop("n").join(degree, "node").select("bucket", "node", "degree"))
-    component = None
-    centres = 1
-    while True:
-        # the centres of a bucket: the best placed of each of so many parts
-        part = F.pmod(F.xxhash64("node"), F.lit(centres))
-        chosen = held.groupBy("bucket", part.alias("part")).agg(
-            F.min(F.struct((-F.col("degree")).alias("d"), F.col("node").alias("centre")))["centre"].alias("centre")).drop("part")
-        compared = held.join(chosen, "bucket").where("node <> centre")
-        if component is not None:
-            root = lambda x: component.select(F.col("node").alias(x), F.col("root").alias(x + "_root"))
-            compared = compared.join(root("node"), "node", "left").join(root("centre"), "centre", "left").where(
-                F.coalesce("node_root", "node") != F.coalesce("centre_root", "centre"))
-        over = F.col("node") > F.col("centre")
-        pairs = cut(compared.select(F.when(over, F.col("centre")).otherwise(F.col("node")).alias("a"),
-                                    F.when(over, F.col("node")).otherwise(F.col("centre")).alias("b")).distinct())
-        links = verified(pairs, classes, docs, id_col, text, k, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if component is not None:
-            links = links.unionByName(component.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        component = cut(connected_components(links))
-        # centres are done; a bucket goes on while its other members are in several components
-        left = cut(held.join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti").join(
-            component, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        open_ = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        held = cut(left.drop("root").join(open_, "bucket", "left_semi"))
-        if held.isEmpty():
-            break
-        centres *= 8
+    # the centre of a bucket is its member that shares most places
+    best = F.min(F.struct((-F.col("degree")).alias("d"), "node"))["node"].alias("centre")
+    chosen = cut(held.groupBy("bucket").agg(best))
+    over = F.col("node") > F.col("centre")
+    pairs = held.join(chosen, "bucket").where("node <> centre").select(
+        F.when(over, F.col("centre")).otherwise(F.col("node")).alias("a"),
+        F.when(over, F.col("node")).otherwise(F.col("centre")).alias("b")).distinct()
+    links = cut(verified(cut(pairs), classes, docs, id_col, text, k, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    component = cut(connected_components(links))
+    # a bucket goes on if its members beside the centre are in several components
+    left = held.join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
+    left = cut(unsettled(left.join(component, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))))
+    if not left.isEmpty():
+        centres = chosen.join(component, F.col("centre") == F.col("node"), "left").select("bucket", F.coalesce("root", "centre").alias("family"))
+        more = links_within(left, cut(centres), docs, id_col, text, k, percent)
+        component = cut(connected_components(more.unionByName(component.select(F.col("node").alias("u"), F.col("root").alias("v")))))
     root = component.select(F.col("node").alias("_n"), "root")
     named = classes.select("h1", "h2", F.col("n_shingles").alias("n"), "node").join(root, F.col("node") == F.col("_n"), "left").select(
         "h1", "h2", "n", F.coalesce("root", "node").alias("root"))
