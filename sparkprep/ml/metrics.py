@@ -18,9 +18,9 @@ from ..functions.types import qcol
 def confusion_table(pred: DataFrame, y: str, yhat: str) -> DataFrame:
     """``(actual, predicted, count)`` over the sorted union of labels, zero-filled."""
     counts = pred.groupBy(qcol(y).alias("actual"), qcol(yhat).alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
-    labels = sorted({v for r in counts.select("actual", "predicted").distinct().collect() for v in r if v is not None})
-    grid = pred.sparkSession.createDataFrame([(a, p) for a in labels for p in labels],  # classes^2 rows
-                                             counts.select("actual", "predicted").schema)
+    labels = counts.select(F.col("actual").alias("v")).unionByName(counts.select(F.col("predicted").alias("v"))).where("v IS NOT NULL").distinct()
+    # every class against every class: that is what a confusion matrix holds
+    grid = labels.withColumnRenamed("v", "actual").crossJoin(labels.withColumnRenamed("v", "predicted"))
     return (grid.join(counts, ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 

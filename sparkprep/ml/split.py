@@ -74,6 +74,7 @@ def _crossing(counted: DataFrame, order: list[str]) -> DataFrame:
     return upto.where("_upto >= _rest AND _upto - _n < _rest").withColumn("_left", F.col("_rest") - F.col("_upto") + F.col("_n"))
 
 
+# The texts in the next function are fixed values: they are part of the results to match.
 def prepare_split(df: DataFrame, target: str, key: str, test_size: float = 0.2, seed: int = SEED):
     """M1-M4: drop null targets, stratify when < 10 classes and >= 20 rows.
     Returns ``(frame with is_test, warnings, counts)``."""

@@ -31,6 +31,8 @@ from .registry import classification_models, regression_models
 from .split import prepare_split
 
 SUSPICIOUS = 0.99
+#: Classes come to the driver with the model; a target with more (an id, say) is refused.
+MAX_CLASSES = 10_000
 
 
 @dataclass
@@ -65,14 +67,17 @@ def feature_columns(df: DataFrame, target: str, key: str) -> tuple[list[str], li
     return nums, cats
 
 
-def prepare(df: DataFrame, target: str, key: str, ptype: str, test_size: float, seed: int):
+def prepare(df: DataFrame, target: str, key: str, ptype: str, test_size: float, seed: int, max_classes: int = MAX_CLASSES):
     split, warnings, counts = prepare_split(df, target, key, test_size, seed)
     nums, cats = feature_columns(split, target, key)
     dictionaries = fit_train_codes(split.where(~F.col("is_test")), cats) if cats else {}
     coded = apply_codes(split, dictionaries)
     classes = None
     if ptype == "classification":
-        classes = sorted(r[0] for r in coded.select(target).distinct().collect())  # bounded: class count
+        found = coded.select(target).distinct().limit(max_classes + 1).collect()
+        if len(found) > max_classes:
+            raise ValueError(f"'{target}' has more than {max_classes} classes")
+        classes = sorted(r[0] for r in found)
         m = F.create_map(*[x for i, v in enumerate(classes) for x in (F.lit(v), F.lit(float(i)))])
         coded = coded.withColumn("label", F.element_at(m, qcol(target)))
     else:

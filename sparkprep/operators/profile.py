@@ -143,6 +143,7 @@ def outlier_table(df: DataFrame, fences: dict) -> DataFrame:
                     .alias("percentage"), "lower_bound", "upper_bound")
 
 
+# The texts in the next function are fixed values: they are part of the results to match.
 def quality_score_table(df: DataFrame, fences: dict, exclude: tuple = ()) -> DataFrame:
     """Q5/Q6: one row with the score, duplicate count and recommendation texts.
     Missing counts, outlier counts and the row count come from ONE aggregate

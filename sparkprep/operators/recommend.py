@@ -9,12 +9,14 @@ several tables (``cleaning_suggestions``, ``analyze_dataset``,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import standardize_missing
 from ..functions.types import is_numeric, qcol
-from .profile import column_insights, duplicate_count, outlier_fences, outlier_table, target_analysis, target_classes
+from .profile import column_insights, first_values, duplicate_count, outlier_fences, outlier_table, target_analysis, target_classes
 
 # ---------------------------------------------------------------- fixed values
 NEAR_CONSTANT_SHARE = 0.01
@@ -158,6 +160,7 @@ def rows_with_any_null(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.when(anynull, 1)).alias("null_rows"), F.count(F.lit(1)).alias("rows"))
 
 
+# The texts in the next function are fixed values: they are part of the results to match.
 def cleaning_suggestions(df: DataFrame, extended: bool = False, approx: bool = False) -> dict:
     """R1-R8 bundle (build_preprocessing_suggestions)."""
     df = standardize_missing(df)
@@ -204,6 +207,7 @@ def _names(t: DataFrame, cond: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("pos", "name")))), lambda s: s["name"])
 
 
+# The texts in the next function are fixed values: they are part of the results to match.
 def step_recommendations(insights: DataFrame, n_columns: int) -> DataFrame:
     """``(step_type, step_name, columns, score, reason)`` in rule order."""
     t = insights
@@ -250,6 +254,7 @@ def suggested_order(recs: DataFrame) -> DataFrame:
                        .alias("order")).orderBy("order", "rank")
 
 
+# The texts in the next function are fixed values: they are part of the results to match.
 def quality_notes(insights: DataFrame) -> DataFrame:
     """One text row per triggered note, in rule order."""
     t = insights
@@ -285,13 +290,21 @@ def insights_with_position(df: DataFrame, approx: bool = False) -> DataFrame:
     return column_insights(df, approx).withColumn("pos", pos)
 
 
-def analyze_dataset(df: DataFrame, filename: str = "", approx: bool = False) -> dict:
-    """Column insights + step suggestions + order + notes."""
+def analyze_dataset(df: DataFrame, filename: str = "", approx: bool = False, row_key: str | None = None) -> dict:
+    """Column insights + step suggestions + order + notes; with ``row_key`` also the
+    first ten distinct values of each column in its order."""
     ins = insights_with_position(df, approx).cache()
     try:
         recs = step_recommendations(ins, len(df.columns))
+        samples: dict[str, list] = {}
+        if row_key:
+            shown = [c for c in df.columns if c != row_key]
+            parts = [first_values(df, c, row_key).select(F.lit(c).alias("column"), "value", F.col("_first").alias("first")) for c in shown]
+            for r in reduce(DataFrame.unionByName, parts).orderBy("first").collect() if parts else []:  # at most ten a column
+                samples.setdefault(r["column"], []).append(r["value"])
         return {"filename": filename, "total_rows": df.count(), "total_columns": len(df.columns),
-                "column_insights": [r.asDict() for r in ins.orderBy("pos").collect()],
+                "column_insights": [{**r.asDict(), **({"sample_values": samples.get(r["name"], [])} if row_key else {})}
+                                    for r in ins.orderBy("pos").collect()],
                 "step_recommendations": [r.asDict() for r in recs.orderBy("rank").collect()],
                 "suggested_pipeline": [r["step_type"] for r in suggested_order(recs).collect()],
                 "data_quality_notes": [r["note"] for r in quality_notes(ins).orderBy("rank").collect()]}
@@ -311,6 +324,7 @@ def problem_type(analysis: DataFrame) -> DataFrame:
     return analysis.select("column_name", p.alias("problem_type"))
 
 
+# The texts in the next function are fixed values: they are part of the results to match.
 def target_validation(df: DataFrame, target: str) -> DataFrame:
     """One row with the list of validation errors (empty when valid)."""
     if target not in df.columns:
@@ -327,6 +341,7 @@ def target_validation(df: DataFrame, target: str) -> DataFrame:
     return s.select(F.filter(F.array(e1, e2), lambda x: x.isNotNull()).alias("errors"))
 
 
+# The texts in the next function are fixed values: they are part of the results to match.
 def model_recommendations(ptype: DataFrame, n_samples: Column, n_features: Column) -> DataFrame:
     """Rows ``(model_id, model_name, reason, recommended, priority)`` in rule order.
     ``ptype`` has one row with ``problem_type``; counts are columns of it."""
@@ -389,6 +404,7 @@ def training_recommendations(df: DataFrame, target: str) -> dict:
 STEP_RULES = ("scaling", "encoding", "binning", "polynomial", "datetime_decomposition", "feature_selection")
 
 
+# The texts in the next function are fixed values: they are part of the results to match.
 def column_eligibility(df: DataFrame) -> DataFrame:
     """Per (column, step) whether the column suits the step, why, and the
     suggested method (encoding: one-hot up to 100 distinct values, else label)."""

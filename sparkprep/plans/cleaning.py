@@ -50,6 +50,23 @@ class CleanResult:
         return [{"step": i + 1, "step_type": name, **(f.meta or {})}
                 for i, ((name, _), f) in enumerate(zip(self.stages[1:], self.steps))]
 
+    def details_frame(self, spark) -> DataFrame:
+        """C13 as rows: one per step and column (fitted parameters only)."""
+        rows = []
+        for d in self.details():
+            method, factor = d.get("method"), d.get("factor")
+            bounds = d.get("bounds") or {}
+            if isinstance(d.get("summary"), list) and d["summary"] and isinstance(d["summary"][0], dict):
+                rows += [(d["step"], d["step_type"], n["column"], n["strategy"], None if n["value"] is None else str(n["value"]),
+                          None, None, method, factor) for n in d["summary"]]
+                continue
+            columns = d.get("columns")
+            for c in columns if isinstance(columns, list) else ["*"]:
+                b = bounds.get(c, {})
+                rows.append((d["step"], d["step_type"], c, None, None, b.get("lower"), b.get("upper"), method, factor))
+        return spark.createDataFrame(rows, "step int, operation string, column string, strategy string, value string, "
+                                           "lower double, upper double, method string, factor double")
+
     def release(self) -> None:
         """Give back what was persisted; the output is recomputed when it is read again."""
         for d in self.persisted:

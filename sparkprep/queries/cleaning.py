@@ -198,6 +198,31 @@ def q_change_log(spark, sf):
     return res.change_log()
 
 
+@query("change_log_details", CLEAN_RUN_SQL + """
+SELECT 1 AS step, 'remove_duplicates' AS operation, '*' AS "column", NULL::VARCHAR AS strategy, NULL::VARCHAR AS value,
+  NULL::DOUBLE AS lower, NULL::DOUBLE AS upper, NULL::VARCHAR AS method, NULL::DOUBLE AS factor
+UNION ALL SELECT 2, 'remove_nulls', 'user_id', NULL, NULL, NULL, NULL, NULL, NULL
+UNION ALL SELECT 3, 'fill_nulls', 'event_type', 'mode', (SELECT event_type FROM n WHERE event_type IS NOT NULL GROUP BY event_type
+  ORDER BY count(*) DESC, event_type LIMIT 1), NULL, NULL, NULL, NULL
+UNION ALL SELECT 3, 'fill_nulls', 'value', 'median', (SELECT quantile_cont(value, 0.5) FROM n)::VARCHAR, NULL, NULL, NULL, NULL
+UNION ALL SELECT 4, 'drop_columns', unnest(['props', 'ts']), NULL, NULL, NULL, NULL, NULL, NULL
+UNION ALL SELECT 5, 'remove_outliers', 'value', NULL, NULL, round(q1 - 1.5 * (q3 - q1), 6), round(q3 + 1.5 * (q3 - q1), 6), 'IQR', 1.5 FROM b""")
+def q_change_log_details(spark, sf):
+    res = run_cleaning(clean_events(spark, sf), CleanSpec(**CLEAN_RUN_SPEC))
+    res.release()
+    return res.details_frame(spark).withColumns({c: r6(F.col(c)) for c in ("lower", "upper")})
+
+
+@query("smart_scale_skewed", """
+WITH d AS (SELECT o_orderkey, o_totalprice * o_totalprice * o_totalprice / 1e12 AS v FROM orders),
+s AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.75) AS q3, skewness(v) AS sk FROM d)
+SELECT o_orderkey, round((v - med) / (q3 - q1), 6) AS v FROM d, s WHERE abs(sk) > 1""")
+def q_smart_scale_skewed(spark, sf):
+    """C18 on a skewed column: the robust branch."""
+    df = table(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice * o_totalprice * o_totalprice / 1e12D AS v")
+    return smart_scaling(df, exclude=("o_orderkey",)).select("o_orderkey", r6(F.col("v")).alias("v"))
+
+
 @query("drop_id_columns", "SELECT c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def q_drop_id_columns(spark, sf):
     df = table(spark, sf, "customer").withColumnRenamed("c_custkey", "ID")

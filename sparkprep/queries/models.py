@@ -170,11 +170,18 @@ def q_residuals(spark, sf):
     return r.withColumn("residual", r6(F.col("residual")))
 
 
+def _results(spark, res):
+    """Scores of all models; a model that failed fails the query."""
+    failed = [f"{r['model']}: {r.get('error')}" for r in res.results if r["status"] != "completed" or r.get("score") is None]
+    if failed:
+        raise RuntimeError("; ".join(failed))
+    return res.results_frame(spark).select("model", "status", r6(F.col("score")).alias("score"))
+
+
 @query("train_automl")
 def q_train_automl(spark, sf):
     res = run_training(_labeled_docs(spark, sf), "quality", "doc_id")
-    return res.results_frame(spark).withColumn("is_best", F.col("model") == F.lit(res.best_model)) \
-        .select("model", "status", "is_best")
+    return _results(spark, res).withColumn("is_best", F.col("model") == F.lit(res.best_model))
 
 
 @query("train_regression")
@@ -183,7 +190,7 @@ def q_train_regression(spark, sf):
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_key"), "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_extendedprice")
     res = run_training(li, "l_extendedprice", "row_key", ["linear_regression", "ridge", "lasso"])
-    return res.results_frame(spark).select("model", "status")
+    return _results(spark, res)
 
 
 @query("feature_importance")

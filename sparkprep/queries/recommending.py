@@ -30,6 +30,43 @@ def _source(spark, sf, name):
     return table(spark, sf, name)
 
 
+class T:
+    """Fixed values of the rules, written out on their own for the oracles."""
+    MEAN_HINTS = ("avg", "average", "mean", "ratio", "rate", "score", "percent")
+    MEDIAN_HINTS = ("amount", "price", "cost", "age", "income", "duration", "value", "size", "weight", "distance")
+    X_NUMERIC = "(int|float|double|decimal|number)"
+    X_BOOLEAN = "(bool)"
+    X_DATE = "(date|time|year|month)"
+    X_CATEGORICAL_NAME = "(id$|code$|type$|category|status|segment|group|class|flag|label)"
+    X_MEAN_NAME = "(avg|average|mean|ratio|rate|score|percent|percentage)"
+    X_MEDIAN_NAME = "(amount|price|cost|age|income|duration|time|value|size|weight|distance)"
+    REASONS = {
+        "temporal": "Temporal/boolean fields resolve cleanly to the most frequent value",
+        "rate": "Rate/score-like numeric series—mean preserves scale",
+        "magnitude": "Magnitude-like numerics—median resists outliers",
+        "numeric": "Default robust numeric imputation",
+        "text": "Categorical/text is safest with the most frequent entry",
+    }
+    BASE_REASON = {
+        "mean": "Stable numeric series where average preserves scale.",
+        "median": "Resilient to spikes and skew in numeric data.",
+        "mode": "Keeps the most common category for consistency.",
+        "custom": "Best filled with a domain-specific default value.",
+    }
+    X_NUGGETS = {
+        "date": "Temporal columns typically repeat calendar values; mode keeps the most common date/time.",
+        "bool": "Boolean fields resolve cleanly to the majority class.",
+        "mean": "Column name suggests calculated rates where averages stay meaningful.",
+        "median": "Column tracks magnitudes that can spike; median resists outliers.",
+        "id": "Identifier-like integers are better filled with the most common label.",
+        "median_default": "Defaulting to median gives a sturdy central value for numeric columns.",
+        "category": "Column behaves like a category; mode reinforces the prevailing class.",
+        "text": "Text categorical data is safest imputed with the most frequent entry.",
+        "custom": "Review this feature to decide on a domain-appropriate default.",
+        "many_nulls": "Higher missing count – choose a robust technique.",
+    }
+
+
 def _sql_list(words) -> str:
     return " OR ".join(f"contains(n, '{w}')" for w in words)
 
@@ -38,25 +75,25 @@ def _rule_sql(extended: bool) -> str:
     if not extended:
         num = "regexp_matches(t, '(int|float|double|decimal|number)')"
         temporal = "(contains(t, 'date') OR contains(t, 'time') OR contains(t, 'bool'))"
-        strat = (f"CASE WHEN {temporal} THEN 'mode' WHEN {num} AND ({_sql_list(R.MEAN_HINTS)}) THEN 'mean' "
+        strat = (f"CASE WHEN {temporal} THEN 'mode' WHEN {num} AND ({_sql_list(T.MEAN_HINTS)}) THEN 'mean' "
                  f"WHEN {num} THEN 'median' ELSE 'mode' END")
-        why = (f"CASE WHEN {temporal} THEN '{R.REASONS['temporal']}' "
-               f"WHEN {num} AND ({_sql_list(R.MEAN_HINTS)}) THEN '{R.REASONS['rate']}' "
-               f"WHEN {num} AND ({_sql_list(R.MEDIAN_HINTS)}) THEN '{R.REASONS['magnitude']}' "
-               f"WHEN {num} THEN '{R.REASONS['numeric']}' ELSE '{R.REASONS['text']}' END")
+        why = (f"CASE WHEN {temporal} THEN '{T.REASONS['temporal']}' "
+               f"WHEN {num} AND ({_sql_list(T.MEAN_HINTS)}) THEN '{T.REASONS['rate']}' "
+               f"WHEN {num} AND ({_sql_list(T.MEDIAN_HINTS)}) THEN '{T.REASONS['magnitude']}' "
+               f"WHEN {num} THEN '{T.REASONS['numeric']}' ELSE '{T.REASONS['text']}' END")
         return f"{strat} AS strategy, {why} AS reason"
-    num, boo = f"regexp_matches(t, '{R.X_NUMERIC}')", f"regexp_matches(t, '{R.X_BOOLEAN}')"
-    date = f"(regexp_matches(t, '{R.X_DATE}') OR regexp_matches(n, '{R.X_DATE}'))"
-    catn = f"regexp_matches(n, '{R.X_CATEGORICAL_NAME}')"
+    num, boo = f"regexp_matches(t, '{T.X_NUMERIC}')", f"regexp_matches(t, '{T.X_BOOLEAN}')"
+    date = f"(regexp_matches(t, '{T.X_DATE}') OR regexp_matches(n, '{T.X_DATE}'))"
+    catn = f"regexp_matches(n, '{T.X_CATEGORICAL_NAME}')"
     integer = "(contains(t, 'int') AND NOT contains(t, 'float'))"
-    hint = f"CASE WHEN nulls > 10 THEN ' {R.X_NUGGETS['many_nulls']}' ELSE '' END"
+    hint = f"CASE WHEN nulls > 10 THEN ' {T.X_NUGGETS['many_nulls']}' ELSE '' END"
 
     def rr(s, k, h=False):
-        base = f"'{R.BASE_REASON[s]} {R.X_NUGGETS[k]}'"
+        base = f"'{T.BASE_REASON[s]} {T.X_NUGGETS[k]}'"
         return f"{base} || {hint}" if h else base
     cases = [(date, "mode", rr("mode", "date")), (boo, "mode", rr("mode", "bool")),
-             (f"{num} AND regexp_matches(n, '{R.X_MEAN_NAME}')", "mean", rr("mean", "mean", True)),
-             (f"{num} AND regexp_matches(n, '{R.X_MEDIAN_NAME}')", "median", rr("median", "median", True)),
+             (f"{num} AND regexp_matches(n, '{T.X_MEAN_NAME}')", "mean", rr("mean", "mean", True)),
+             (f"{num} AND regexp_matches(n, '{T.X_MEDIAN_NAME}')", "median", rr("median", "median", True)),
              (f"{num} AND {integer} AND {catn}", "mode", rr("mode", "id", True)),
              (num, "median", rr("median", "median_default", True)), (catn, "mode", rr("mode", "category")),
              ("(contains(t, 'string') OR t = '')", "mode", rr("mode", "text"))]

@@ -44,6 +44,8 @@ def test_upto_step(spark, sf_dir):
 
 def test_bundles(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
+    sampled = analyze_dataset(df, row_key=df.columns[0])["column_insights"]
+    assert all(1 <= len(c["sample_values"]) <= 10 for c in sampled if c["name"] != df.columns[0])
     a = analyze_dataset(df, "orders.parquet")
     assert a["suggested_pipeline"][0] == "encoding" and a["total_columns"] == 6
     t = training_recommendations(table(spark, sf_dir, "labels").drop("toxic"), "quality")
