@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, q, small_batches, wrapped
 from .components import connected_components
-from .textbytes import chunks, encode, mix, shingle_sets
+from .textbytes import chunks, mix, shingle_sets
 
 WORDS = 5
 SIMILARITY = 80  # percent
