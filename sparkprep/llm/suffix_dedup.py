@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, q, small_batches
@@ -191,14 +192,13 @@ def neighbours(rows: DataFrame, partitions: int, once: bool = False) -> DataFram
     """Per document ``(id, sig, same, near)``: its runs that have an equal one anywhere, and
     those beside one that agrees in the first key only."""
     ranged = rows.repartitionByRange(partitions, "k1", "k2", "id", "sig", "run")
-    marked = cut(ranged.mapInArrow(_neighbour_kernel(once), ROWS + ", same boolean, near boolean, edge boolean, part int"))
+    marked = ranged.mapInArrow(_neighbour_kernel(once), ROWS + ", same boolean, near boolean, edge boolean, part int")
     # two rows for each range: equal keys at the ends of different ranges are neighbours across their boundary
-    ends = marked.where("edge").select("k1", "k2", "part").distinct()
-    per_key = ends.groupBy("k1", "k2").agg((F.count("*") > 1).alias("also_same"))
-    per_first = ends.groupBy(F.col("k1").alias("f1")).agg((F.min("k2") < F.max("k2")).alias("also_near"))
-    across = marked.where("edge").join(per_key, ["k1", "k2"]).join(per_first, F.col("k1") == F.col("f1")).select(
-        "id", "sig", "run", F.col("also_same").alias("same"), F.col("also_near").alias("near"))
-    flagged = marked.select("id", "sig", "run", "same", "near").unionByName(across).where("same OR near")
+    first, both = W.partitionBy("k1"), W.partitionBy("k1", "k2")
+    across = marked.where("edge").withColumn("near", F.min("k2").over(first) < F.max("k2").over(first)).withColumn(
+        "same", F.min("part").over(both) < F.max("part").over(both))
+    kept = ["id", "sig", "run", "same", "near"]
+    flagged = marked.select(kept).unionByName(across.select(kept)).where("same OR near")
     pick = lambda c: F.collect_set(F.when(F.col(c), F.col("run"))).alias(c)
     return flagged.groupBy("id", "sig").agg(pick("same"), pick("near"))
 
@@ -239,14 +239,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     key = [F.coalesce(q(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(q(text)).alias("sig")]
-    slim = docs.select(*key, q(text).cast("string").alias("text"))
+    # one form of the documents for both joins, so that their texts are shuffled once
+    named = docs.select(*key, F.struct(*[q(o).alias(n) for n, o in (keep or {id_col: id_col}).items()]).alias("row"), q(text).cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length(q(text)))).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // RANGE_BYTES) + 1)
-    found = cut(neighbours(slim.mapInArrow(_anchor_kernel(length), ROWS), partitions))
+    found = cut(neighbours(named.select("id", "sig", "text").mapInArrow(_anchor_kernel(length), ROWS), partitions))
     edges = found.where(F.size("near") > 0).select("id", "sig", "near")
-    starts = slim.join(edges, ["id", "sig"]).select("id", "sig", "text", "near").mapInArrow(_edge_kernel(length), ROWS)
+    starts = named.join(edges, ["id", "sig"]).select("id", "sig", "text", "near", "row").mapInArrow(_edge_kernel(length), ROWS)
     more = neighbours(starts, partitions, once=True).select("id", "sig", F.col("same").alias("more"))
-    named = docs.select(*key, F.struct(*[q(o).alias(n) for n, o in (keep or {id_col: id_col}).items()]).alias("row"), q(text).cast("string").alias("text"))
     both = named.join(found.select("id", "sig", "same"), ["id", "sig"], "left").join(more, ["id", "sig"], "left")
     shape = named.schema["row"].dataType.simpleString()
     out = both.select("row", "text", "same", "more").mapInArrow(
