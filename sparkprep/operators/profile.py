@@ -109,20 +109,25 @@ def type_table(df: DataFrame, approx: bool = False) -> DataFrame:
                     (F.col("is_text") | (F.col("unique_values") < F.col("rows") * 0.1)).alias("is_categorical"))
 
 
-def outlier_fences(df: DataFrame, exclude: tuple = (), factor: float = 1.5) -> dict:
-    """Q4 fit: IQR fences of numeric columns that are less than half null."""
+def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
+    """Rows, and nulls per column, from one aggregate."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(qcol(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]).collect()[0]
+    return row["n"], {c: row[f"m{i}"] for i, c in enumerate(df.columns)}
+
+
+def outlier_fences(df: DataFrame, exclude: tuple = (), factor: float = 1.5,
+                   nulls: tuple[int, dict[str, int]] | None = None) -> dict:
+    """Q4 fit: IQR fences of numeric columns that are less than half null.
+    ``nulls``: what ``null_counts`` gave, if it is known."""
     cols = [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name not in exclude]
     if not cols:
         return {}
-    row = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count(F.when(qcol(c).isNull(), 1)).alias(c) for c in cols]).collect()[0]
-    eligible = [c for c in cols if row[c] < row["_rows"] * 0.5]
+    n, missing = nulls or null_counts(df.select(*[qcol(c) for c in cols]))
+    eligible = [c for c in cols if missing[c] < n * 0.5]
     out = {}
     for c, (q1, q3) in exact_quantiles(df, eligible, [0.25, 0.75]).items():
-        if q1 is None:
-            continue
-        iqr = q3 - q1
-        out[c] = (q1 - factor * iqr, q3 + factor * iqr)
+        if q1 is not None:
+            out[c] = (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
     return out
 
 
@@ -179,13 +184,14 @@ def quality_report(df: DataFrame, exclude: tuple = (), approx: bool = False) ->
     """Q1-Q6 as a dict, from per-column rows (never data rows)."""
     df = standardize_missing(df)
     body = df.drop(*[c for c in exclude if c in df.columns])
-    n = body.count()
-    missing = {r["column"]: {"count": r["count"], "percentage": r["percentage"], "type": r["type"]}
-               for r in missing_table(body).collect()}
+    n, nulls = null_counts(body)
+    share = {c: k * 100.0 / n for c, k in nulls.items() if k}
+    missing = {c: {"count": nulls[c], "percentage": p, "type": "critical" if p > 50 else "moderate" if p > 10 else "minor"}
+               for c, p in share.items()}
     dups = duplicate_count(body).collect()[0]["duplicate_rows"]
     types = {r["column"]: {"type": r["type"], "unique_values": r["unique_values"],
                            "is_categorical": r["is_categorical"]} for r in type_table(body, approx).collect()}
-    fences = outlier_fences(body)
+    fences = outlier_fences(body, nulls=(n, nulls))
     outliers = {r["column"]: {"count": r["count"], "percentage": r["percentage"],
                               "lower_bound": r["lower_bound"], "upper_bound": r["upper_bound"]}
                 for r in outlier_table(body, fences).collect()}
