@@ -30,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, limit: int) -> DataFrame:
+    """A checkpointed ``df``, to be broadcast if it is counted to have ``limit`` rows at most;
+    a larger one is joined by shuffling both sides, where a hot key may be split."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def free_name(name: str, taken: Iterable[str]) -> str:
     """``name``, with underscores in front until no column (in any case) has it."""
     low = {t.lower() for t in taken}

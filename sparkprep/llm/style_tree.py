@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, q, small_batches
+from .common import cut, q, small, small_batches
 from .url_filters import host_of
 
 #: Kinds of elements.
@@ -59,6 +59,8 @@ SCOPE = frozenset("article section div table ul ol dl td th body html nav aside
 #: an importance of at most this, to be removed for its repetition.
 MIN_PAGES = 5
 MAX_IMPORTANCE = 0.3
+#: Up to this many hosts with dull branches are broadcast: some 20 MB, at a few paths each.
+BROADCAST_HOSTS = 50_000
 
 #: Paths that are never dull: the trunk, and running text in an article.
 RUNNING = (r"(^|/)(html|body|main|article)(\.[^/]*)?$|(^|/)(article|main)(\.[^/]*)?/(.*/)?"
@@ -249,8 +251,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: dict[s
     nothing would be left keeps all that isn't furniture.
     """
     tree = site_tree(pages, url, html)
-    dull = cut(tree.where((F.col("pages") >= min_pages) & (F.col("importance") <= max_importance)
-                          & ~F.col("path").rlike(RUNNING)).groupBy("host").agg(F.collect_set("path").alias("dull")))
+    dull = small(cut(tree.where((F.col("pages") >= min_pages) & (F.col("importance") <= max_importance)
+                          & ~F.col("path").rlike(RUNNING)).groupBy("host").agg(F.collect_set("path").alias("dull"))), BROADCAST_HOSTS)
     keep = keep or {"page_id": "page_id", url: url}
     slim = pages.select(F.struct(*[q(o).alias(n) for n, o in keep.items()]).alias("row"), q(html).cast("string").alias("html"),
                         F.coalesce(host_of(q(url)), F.lit("")).alias("_host"))
