@@ -9,6 +9,7 @@ intermediate is persisted so the fits do not recompute the shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -101,18 +102,19 @@ def run_cleaning(df: DataFrame, spec: CleanSpec, persist: bool = True) -> CleanR
     return CleanResult(steps, stages, cur, persisted)
 
 
+KEEPS_ROWS = ("fill_nulls", "drop_columns")
+
+
 def change_log(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     """``(step, operation, rows_before, rows_after, rows_removed, columns_after)``
-    as a lazy DataFrame: one count per stage, unioned; the lag runs over one row
-    per step."""
-    parts = [d.agg(F.count(F.lit(1)).alias("rows_after"))
-             .select(F.lit(i).alias("step"), F.lit(name).alias("operation"), "rows_after",
-                     F.lit(len(d.columns)).alias("columns_after"))
-             for i, (name, d) in enumerate(stages)]
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
+    as a lazy DataFrame. Only steps that may remove rows are counted; the others
+    have the rows of the step before. The windows run over one row per step."""
+    parts = []
+    for i, (name, d) in enumerate(stages):
+        counted = d.agg(F.count(F.lit(1)).alias("n")) if name not in KEEPS_ROWS else d.sparkSession.range(1).select(F.lit(None).cast("long").alias("n"))
+        parts.append(counted.select(F.lit(i).alias("step"), F.lit(name).alias("operation"), "n", F.lit(len(d.columns)).alias("columns_after")))
     w = Window.orderBy("step")  # one row per step: bounded by the step count
+    allp = reduce(DataFrame.unionByName, parts).withColumn("rows_after", F.last("n", ignorenulls=True).over(w)).drop("n")
     return (allp.withColumn("rows_before", F.lag("rows_after").over(w))
             .where(F.col("step") > 0)
             .select("step", "operation", "rows_before", "rows_after",
