@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, q, wrapped
+from .common import SPACE, cut, q, small, wrapped
 
 MIN_SITES = 10
 #: log2 of the registers; estimates of small sets are exact.
@@ -25,6 +25,8 @@ LG_K = 12
 #: Estimates within this share of the threshold are counted exactly: over ten
 #: standard errors of the sketch.
 NEAR = 0.2
+#: Up to this many line hashes are broadcast: about 30 MB.
+BROADCAST_LINES = 500_000
 
 
 def lines(docs: DataFrame, id_col: str, text: str, site: str) -> DataFrame:
@@ -39,7 +41,7 @@ def spread(found: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, near:
     """``(h1, h2, first)`` of the lines on ``min_sites`` sites or more; ``first`` is (id, sig, pos)."""
     place = F.struct("id", "sig", "pos")
     # lines that occur fewer than min_sites times can't be on that many sites
-    often = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")
+    often = small(cut(found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")), BROADCAST_LINES)
     often = cut(found.join(often, ["h1", "h2"]).groupBy("h1", "h2", "site").agg(F.min(place).alias("first")))
     est = often.groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min("first").alias("first"))
@@ -54,7 +56,7 @@ def boilerplate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sit
                 min_sites: int = MIN_SITES) -> DataFrame:
     """``(id, sig, gone)``: the positions of the lines to remove, for documents with any."""
     found = lines(docs, id_col, text, site)
-    common = spread(found, min_sites)
+    common = small(cut(spread(found, min_sites)), BROADCAST_LINES)
     hit = found.join(common, ["h1", "h2"]).where(~F.struct("id", "sig", "pos").eqNullSafe(F.col("first")))
     return hit.groupBy("id", "sig").agg(F.collect_set("pos").alias("gone"))
 
