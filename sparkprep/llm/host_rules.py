@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, q, words, wrapped
+from .common import SPACE, cut, q, small, words, wrapped
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -26,6 +26,8 @@ MAX_DUP_LINE_PERCENT = 30
 #: A host is rejected if the shrunk rate of any rule is above this.
 HOST_RATE = 0.5
 SYMBOLS = "#*$%&|<>"
+#: Up to this many host verdicts are broadcast: about 20 MB.
+BROADCAST_HOSTS = 300_000
 RULES = ("short", "repetitive", "symbols", "dup_lines")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -116,9 +118,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str
     """
     measured = cut(measure(docs, text, {id_col: id_col, "host": host, **(keys or {})}))
     rules = failures()
-    hosts = host_verdicts(measured, "host", rate, rules)
+    hosts = small(cut(host_verdicts(measured, "host", rate, rules).select("host", "host_failed")), BROADCAST_HOSTS)
     base = rules["short"] | rules["repetitive"]
-    out = measured.join(hosts.select("host", "host_failed"), "host", "left")
+    out = measured.join(hosts, "host", "left")
     host_failed = F.coalesce("host_failed", F.lit(False))
     return out.select(q(id_col), *(keys or {}), *COUNTS, base.alias("base_failed"), "host",
                       host_failed.alias("host_failed"), (~base & ~host_failed).alias("kept"))
