@@ -19,12 +19,15 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, q
+from .common import cut, q, small
 from .components import connected_components
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
+#: Up to this many hosts with rules are broadcast: some 20 MB for short lists of rules.
+BROADCAST_HOSTS = 50_000
+
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame(rules, "verdict string, rule_host string, rule_path string")
@@ -89,7 +92,7 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     per = hosts.select("host", F.explode(ups).alias("up")).join(rules, F.col("up") == F.col("rule_host"))
     # the best rule comes last
     order = F.struct(F.length("r").alias("n"), (F.col("v") == "allow").alias("a"), "r", "p", "v")
-    per = per.groupBy(F.col("host").alias("_rh")).agg(F.sort_array(F.collect_set(order), asc=False).alias("_rules"))
+    per = small(cut(per.groupBy(F.col("host").alias("_rh")).agg(F.sort_array(F.collect_set(order), asc=False).alias("_rules"))), BROADCAST_HOSTS)
     found = F.get(F.filter("_rules", lambda x: F.startswith(F.col("path"), x["p"])), F.lit(0))
     return urls.join(per, F.col("host") == F.col("_rh"), "left").withColumn("_hit", found).withColumns(
         {"rule": F.col("_hit")["r"], "rule_verdict": F.col("_hit")["v"]}).drop("_rh", "_rules", "_hit")
