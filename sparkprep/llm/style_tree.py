@@ -49,6 +49,9 @@ CLASS_WORDS = frozenset("ad ads advert adverts advertisement advertising banner
                         "cookies disclaimer disqus footer login masthead menu modal nav navbar navigation newsletter "
                         "notice notices overlay pager pagination popup promo promoted promotion related replies reply share sharing "
                         "sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Of an article, only these make it a reader's; and these begin class names that describe a layout.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies".split())
+LAYOUT = frozenset("has with without no is".split())
 #: Elements that end an open one of the first list when they begin.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
           "option": ("option",)}
@@ -86,11 +89,18 @@ def _is_furniture(tag: str, attrs: dict[str, str], inside: bool) -> bool:
         return True
     if attrs.get("role", "").strip().lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return True
-    if tag in ("html", "body", "main", "article"):
+    if tag in ("html", "body", "main"):
         return False
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-    found = set(WORD.findall(named))
-    return not CLASS_WORDS.isdisjoint(found) or ("header" in found and not inside)
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        found = WORD.findall(token)
+        if not found or found[0] in LAYOUT:  # "has-sidebar" tells of the page, not of this element
+            continue
+        if tag == "article":
+            if not COMMENT_WORDS.isdisjoint(found):
+                return True
+        elif not CLASS_WORDS.isdisjoint(found) or (found[-1] == "header" and not inside):
+            return True
+    return False
 
 
 class Page:

@@ -44,6 +44,8 @@ def test_main_text_of_one_page():
               "<span class=ad>AD</span>\n two</p><div>free<p>para</p>tail</div><ul><li>a<li>b</ul><form>f</form><aside>x</aside><script>var a='</p>'"
               "</script><style>p{}</style><!-- no --><section class=comments><p>hey</p></section></article></main><footer>f</footer>")
     assert style_tree.main_text(source) == "T & U\n\none two\n\nfree\n\npara\n\ntail\n\na\n\nb"
+    layout = "<body class='nav-open'><div class='has-sidebar header-fixed'><div class='site-header'>H</div><p>kept</p><article class='comment'>no</article></div>"
+    assert style_tree.main_text(layout) == "kept"
     assert style_tree.main_text(None) == style_tree.main_text("") == style_tree.main_text("<p></p>") == ""
     assert style_tree.main_text("plain & simple < text") == "plain & simple < text"
     assert style_tree.main_text("<body><p>cut <b>off") == "cut off"
