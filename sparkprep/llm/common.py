@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Queries made in here remove their shuffle files when they end: many small jobs in
+    a row leave nothing behind but their checkpoints. Not for persisted frames."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def small(df: DataFrame, limit: int) -> DataFrame:
     """A checkpointed ``df``, to be broadcast if it is counted to have ``limit`` rows at most;
     a larger one is joined by shuffling both sides, where a hot key may be split."""

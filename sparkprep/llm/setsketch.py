@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, q, small_batches, wrapped
+from .common import cut, q, small, small_batches, tidy_shuffles, wrapped
 from .components import connected_components
 from .textbytes import chunks, mix, shingle_sets
 
@@ -50,7 +50,7 @@ MARGIN = 0.2
 LAST = 9223372036854775807
 #: Bytes of packed sets in a block of members that are compared within a task.
 BLOCK_BYTES = 2 << 20
-#: Up to this many (id, hash) rows are broadcast to pick the texts to verify: about 40 MB.
+#: Up to this many rows of an (id, hash) pair and a number are broadcast: about 40 MB.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -219,9 +219,7 @@ def unsettled(held: DataFrame) -> DataFrame:
 
 def texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
     """``(node, t)``: the texts of the given nodes, one row each."""
-    needed = cut(nodes.select("node").distinct())
-    if needed.count() <= BROADCAST_ROWS:  # else the texts are shuffled for this
-        needed = F.broadcast(needed)
+    needed = small(cut(nodes.select("node").distinct()), BROADCAST_ROWS)
     return docs.select(F.struct(F.coalesce(q(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(q(text)).alias("sig")).alias("node"),
                        q(text).cast("string").alias("t")).join(needed, "node", "left_semi").dropDuplicates(["node"])
 
@@ -229,7 +227,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataF
 def blocks(members: DataFrame, name: str) -> DataFrame:
     """``members`` (family, node, set) as ``(family, <name>)``: lists of (node, set) of about BLOCK_BYTES each."""
     size = members.groupBy("family").agg(F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES).alias("parts"))
-    dealt = members.join(cut(size), "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = members.join(small(cut(size), BROADCAST_ROWS), "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     return dealt.groupBy("family", "part").agg(F.collect_list(F.struct("node", "set")).alias(name)).drop("part")
 
 
@@ -254,6 +252,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     percent: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``sig`` (hash of the text), ``n_shingles``,
     and ``root_id``, ``root_sig``: the smallest row that it reaches."""
+    with tidy_shuffles(docs.sparkSession):
+        return _groups(docs, id_col, text, k, percent, bands, rows)
+
+
+def _groups(docs: DataFrame, id_col: str, text: str, k: int, percent: int, bands: int, rows: int) -> DataFrame:
     sketches = cut(sketch(docs, id_col, text, k, bands, rows))
     classes = cut(sketches.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(
         F.min(F.struct("id", "sig")).alias("node"), F.any_value("regs").alias("regs")))
