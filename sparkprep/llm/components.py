@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
+
+#: Up to this many (node, minimum) rows are broadcast: about 2 MB, as every round sends some.
+BROADCAST_NODES = 20_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,11 +34,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"))
+        low = small(cut(low.select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"))), BROADCAST_NODES)
         large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        large = cut(large)
+        least = small(cut(large.groupBy("u").agg(F.min("v").alias("m"))), BROADCAST_NODES)
+        kept = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(kept.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         after = _state(e)
         if after == before:
             break
