@@ -125,10 +125,12 @@ def score(docs: DataFrame, text: str = "text", keep: dict[str, str] | None = Non
     total = docs.agg(F.sum(F.octet_length(q(text)))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BLOCK_BYTES) + 1)
     row = F.struct(*[q(o).alias(n) for n, o in keep.items()])
+    # as many partitions as blocks, whatever the session's setting: a task holds one block or so
     dealt = docs.select(row.alias("row"), q(text).cast("string").alias("text"),
-                        F.pmod(F.xxhash64(*[q(c) for c in keep.values()], q(text)), F.lit(parts)).alias("block"))
+                        F.pmod(F.xxhash64(*[q(c) for c in keep.values()], q(text)), F.lit(parts)).alias("block")).repartition(parts, "block")
     asked = dealt.groupBy("block").applyInArrow(_ask(order, parts), "bucket long, block long, grams binary, n binary")
-    counted = asked.groupBy("bucket").applyInArrow(_count, "block long, bucket long, small binary, large binary")
+    counted = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(
+        _count, "block long, bucket long, small binary, large binary").repartition(parts, "block")
     shape = dealt.schema["row"].dataType.simpleString()
     scored = cut(dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(
         _score(order, min_count), f"row {shape}, n_tokens long, logs double, n_single long, n_backoff long"))
