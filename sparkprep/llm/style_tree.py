@@ -10,13 +10,15 @@ node:
 
 both as a share of the largest entropy that so many pages can have. A node
 whose text is the same on most pages (low importance), in a host with enough
-pages, is removed with everything below it, and so is what is furniture by its kind
+pages, is removed with everything below it from the pages that show a text
+repeated there; pages with a text of their own keep it, and so does a page with
+running text of an article below the node. Removed as well is what is furniture by its kind
 on any site: the fixed lists of tags, roles and class words below. What is left
 inside ``<article>`` or ``<main>`` is the main text, or else all that is left of the body.
 
 Only hashes travel to the merge, one row per page and node; per host and node they are
 combined before the shuffle, and verdicts come back to the pages as
-short lists of paths.
+short lists of paths with the hashes of their repeated texts.
 
 Defined cases: null html or html without text gives the empty string; a null or
 odd url is the host of the empty name; repeated rows are extracted row by row;
@@ -58,8 +60,10 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 #: Elements that a closing of the inner ones doesn't cross.
 SCOPE = frozenset("article section div table ul ol dl td th body html nav aside header footer form main blockquote".split())
 
-#: A node needs this many pages, this share of the host's pages with the same text, and
-#: an importance of at most this, to be removed for its repetition.
+#: A node needs this many pages and an importance of at most this to be removed for its
+#: repetition. Importance is the mean over pages of log(pages / pages with the same text), as a
+#: share of log(pages); a text is a repeated one where its own share is at most this, too, so a
+#: node has pages^0.3 repeated texts at most.
 MIN_PAGES = 5
 MAX_IMPORTANCE = 0.3
 #: Up to this many hosts with dull branches are broadcast: some 20 MB, at a few paths each.
@@ -69,6 +73,8 @@ BROADCAST_HOSTS = 50_000
 RUNNING = (r"(^|/)(html|body|main|article)(\.[^/]*)?$|(^|/)(article|main)(\.[^/]*)?/(.*/)?"
            r"(p|h[1-6]|blockquote|pre|ul|ol|li|dl|dt|dd|figure|figcaption|table|tbody|tr|td|th)(\.[^/]*)?$")
 
+IS_RUNNING = re.compile(RUNNING)
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)"
                    r"|<([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -218,13 +224,21 @@ def _node_kernel(batches):
                 ["host", "path", "layout", "content"])
 
 
-def site_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(host, path, pages, presentation, content, importance)`` of each node: both
-    entropies as shares of log(pages), and the larger of them."""
+def _counted(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """``n`` pages of each ``(host, path, layout, content)``."""
     small_batches(pages.sparkSession)
     nodes = pages.select(F.coalesce(host_of(q(url)), F.lit("")).alias("host"), q(html).cast("string").alias("html")).mapInArrow(
         _node_kernel, "host string, path string, layout long, content long")
-    counted = nodes.groupBy("host", "path", "layout", "content").agg(F.count("*").alias("n"))
+    return nodes.groupBy("host", "path", "layout", "content").agg(F.count("*").alias("n"))
+
+
+def site_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``(host, path, pages, presentation, content, importance)`` of each node: both
+    entropies as shares of log(pages), and the larger of them."""
+    return _tree(_counted(pages, url, html))
+
+
+def _tree(counted: DataFrame) -> DataFrame:
     entropy = lambda c: counted.groupBy("host", "path", c).agg(F.sum("n").alias("n")).groupBy("host", "path").agg(
         F.sum("n").alias("pages"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias(c))
     both = entropy("layout").join(entropy("content").drop("pages"), ["host", "path"])
@@ -237,16 +251,34 @@ def _extract_kernel(batches):
     for batch in batches:
         texts = []
         for source, dull in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            texts.append(main_text(source, frozenset(tuple(p.split("/")) for p in dull or ())))
+            texts.append(main_text(source, {tuple(p.split("/")): frozenset(c) for p, c in dull or ()}))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
 
-def main_text(source: str | None, dull: frozenset[tuple[str, ...]] = frozenset()) -> str:
-    """Main text of a page, without furniture and without the branches in ``dull``."""
+def _removed(page: Page, dull: dict[tuple[str, ...], frozenset[int]]) -> set[tuple[str, ...]]:
+    """Branches that go from this page: its text there is a repeated one, and no running
+    text that isn't furniture lies below."""
+    below: dict[tuple[str, ...], list[str]] = {}
+    running: set[tuple[str, ...]] = set()
+    for path, text, furniture, _ in page.blocks:
+        found = [path[:n] for n in range(1, len(path) + 1) if path[:n] in dull]
+        for p in found:
+            below.setdefault(p, []).append(text)
+        if found and not furniture and IS_RUNNING.search("/".join(path)):
+            running.update(found)
+    return {p for p, t in below.items() if p not in running and _hash("\n".join(t)) in dull[p]}
+
+
+def main_text(source: str | None, dull: dict[tuple[str, ...], frozenset[int]] | None = None) -> str:
+    """Main text of a page, without furniture and without the branches of ``dull`` whose
+    text on this page has one of the hashes given there."""
     if not source:
         return ""
-    own = [b for b in Page(source).blocks if not b[2]]
-    left = [b for b in own if not any(b[0][:n] in dull for n in range(1, len(b[0]) + 1))] or own
+    page = Page(source)
+    own = [b for b in page.blocks if not b[2]]
+    gone = _removed(page, dull) if dull else set()
+    left = [b for b in own if not any(b[0][:n] in gone for n in range(1, len(b[0]) + 1))] if gone else own
+    left = left or own
     inner = [b for b in left if b[3]]
     return "\n\n".join(b[1] for b in inner or left)
 
@@ -255,14 +287,18 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: dict[s
             min_pages: int = MIN_PAGES, max_importance: float = MAX_IMPORTANCE) -> DataFrame:
     """One row per row of ``pages``: the columns of ``keep`` (new name -> name) and ``text``.
 
-    Dull branches are collected per host as paths, of which a template has few. The
+    Dull branches are collected per host as paths, of which a template has few, each with
+    the hashes of its repeated texts: a page with another text there keeps it. The
     running text of an article (paragraphs, headings, lists, tables) is never
-    removed for repetition: pages may be copies of each other. A page of which
+    removed for repetition, at any depth: pages may be copies of each other. A page of which
     nothing would be left keeps all that isn't furniture.
     """
-    tree = site_tree(pages, url, html)
-    dull = small(cut(tree.where((F.col("pages") >= min_pages) & (F.col("importance") <= max_importance)
-                          & ~F.col("path").rlike(RUNNING)).groupBy("host").agg(F.collect_set("path").alias("dull"))), BROADCAST_HOSTS)
+    counted = _counted(pages, url, html)
+    branches = _tree(counted).where((F.col("pages") >= min_pages) & (F.col("importance") <= max_importance) & ~F.col("path").rlike(RUNNING))
+    repeated = (F.log("pages") - F.log("n")) <= max_importance * F.log("pages")
+    texts = branches.select("host", "path", "pages").join(counted.groupBy("host", "path", "content").agg(F.sum("n").alias("n")), ["host", "path"]).where(repeated)
+    lists = texts.groupBy("host", "path").agg(F.collect_list("content").alias("contents"))
+    dull = small(cut(lists.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "contents"))).alias("dull"))), BROADCAST_HOSTS)
     keep = keep or {"page_id": "page_id", url: url}
     slim = pages.select(F.struct(*[q(o).alias(n) for n, o in keep.items()]).alias("row"), q(html).cast("string").alias("html"),
                         F.coalesce(host_of(q(url)), F.lit("")).alias("_host"))

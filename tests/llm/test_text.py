@@ -67,6 +67,24 @@ def test_site_tree_removes_what_a_host_repeats(spark):
     assert style_tree.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrap", ["<article><div class=body>{}</div></article>", "<main><section>{}</section></main>", "<div><article>{}</article></div>"])
+def test_articles_of_copies_and_unique_pages_stay(spark, wrap):
+    page = lambda text, box="Box": "<html><body><div class=top>Name</div>" + wrap.replace("{}", f"<h1>T</h1><p>{text}</p><div class=box>{box}</div>") + "<div>Imprint</div></body>"
+    rows = [(i, "http://a.com/c", page("Copied text")) for i in range(80)] + [(100 + i, f"http://a.com/{i}", page(f"Text {i}")) for i in range(19)]
+    rows += [(500, "http://a.com/own", page("Text", "A box of its own"))] + [(600 + i, "http://five.com/", page("Five")) for i in range(5)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "T\n\nCopied text" and got[103] == "T\n\nText 3" and got[602] == "T\n\nFive"
+    assert got[500] == "T\n\nText\n\nA box of its own"
+
+
+def test_unique_pages_without_an_article_stay_among_copies(spark):
+    page = lambda i, text: f"<html><body><div class=top>Name</div><div class=day>Day {i}</div><div class=content><p>{text}</p><p>End</p></div></body>"
+    rows = [(i, "http://a.com/", page(i, "Not found")) for i in range(80)] + [(100 + i, "http://a.com/", page(i, f"Text {i}")) for i in range(20)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Day 3"  # with no article, what most pages share is furniture
+    assert got[103] == "Day 3\n\nText 3\n\nEnd"
+
+
 def test_pages_of_the_given_tables(spark):
     import html
     import re
