@@ -5,7 +5,9 @@ of key characters with fewer than ``MAX_RATIO`` characters per token (tiktoken
 ranks from a vocabulary file) are flagged, unless they are known digests (hex
 of a digest's length, also with an algorithm's name), identifiers (UUIDs,
 version numbers, dates, numbers, words joined by separators, paths), or overlap
-a pattern's span.
+a pattern's span. Where a run isn't flagged as a whole, its parts between equals signs and
+then its pieces between any separators are tested by themselves. Letters without a
+digit have to be of both cases and stay below ``MAX_LETTER_RATIO``; letters of one case count as words.
 
 Defined cases: a null or empty text has no spans; repeated rows are searched
 row by row; spans of one start are ordered by kind; an empty table gives an
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,11 +38,18 @@ KINDS = ("assign", "access", "hex", "random")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: ... with this many characters per token at most.
 MAX_RATIO = 2.2
+#: The same for letters without a digit: 99 % of random ones lie below, names in mixed case above.
+MAX_LETTER_RATIO = 1.8
 #: Hex lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 NAMED_DIGEST = re.compile(r"(md5|sha1|sha224|sha256|sha384|sha512)[-_=](?=[0-9A-Za-z+/=])", re.I)
+#: The name before a piece that is a digest.
+DIGEST_NAME = re.compile(r"(?:^|[^0-9A-Za-z])(?:md5|sha1|sha224|sha256|sha384|sha512)[-_=]\Z", re.I)
 SEPARATOR = re.compile("[-_/+=]+")
+#: Parts and pieces of a run that are tested by themselves; a named digest has none.
+PART = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+INNER = re.compile(r"(?<![0-9A-Za-z])(?:md5|sha1|sha224|sha256|sha384|sha512)[-_][0-9A-Za-z+/]+|([0-9A-Za-z]{20,})", re.I)
 #: A word, a number, or a short mixture of both, between separators.
 PIECE = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+|[A-Za-z0-9]{1,4}")
 #: Runs are encoded in slices of this length, so that time grows with the length only.
@@ -69,12 +79,49 @@ def is_known(run: str) -> bool:
 
 
 def is_random(run: str, enc, max_ratio: float = MAX_RATIO) -> bool:
-    """Letters and digits mixed, few characters per token."""
-    if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) or is_known(run):
+    """Letters and digits or letters of both cases mixed, few characters per token."""
+    if re.search("[0-9]", run):
+        mixed = re.search("[A-Za-z]", run)
+    else:
+        mixed, max_ratio = re.search("[A-Z]", run) and re.search("[a-z]", run), min(max_ratio, MAX_LETTER_RATIO)
+    if not mixed or is_known(run):
         return False
     return len(run) <= max_ratio * sum(len(enc.encode_ordinary(run[i:i + SLICE])) for i in range(0, len(run), SLICE))
 
 
+def _outside(spans: list[tuple[int, int, int]]):
+    """Whether a span overlaps none of these."""
+    starts, ends = [], []
+    for s, _, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return lambda a, b: not ((i := bisect_left(starts, b)) and ends[i - 1] > a)
+
+
+def random_spans(run: str, free, enc, max_ratio: float = MAX_RATIO) -> list[tuple[int, int]]:
+    """The run if it is random, else what is random of its parts and their pieces; ``free``
+    tells whether a place of the run is outside of the patterns' spans."""
+    test = lambda a, b: free(a, b) and is_random(run[a:b], enc, max_ratio)
+    whole = (0, len(run))
+    if test(*whole):
+        return [whole]
+    if UUID.fullmatch(run) or NAMED_DIGEST.match(run):
+        return []
+    out = []
+    for p in PART.finditer(run):
+        part = p.span()
+        if UUID.fullmatch(p[0]) or NAMED_DIGEST.match(p[0]) or DIGEST_NAME.search(run[max(0, part[0] - 8):part[0]]):
+            continue
+        if part != whole and test(*part):
+            out.append(part)
+        else:
+            out += [m.span(1) for m in INNER.finditer(run, *part) if m[1] and m.span(1) != part and test(*m.span(1))]
+    return out
+
+
 def find(text: str, enc, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
     """(start, kind number, end) in order."""
     low = text.lower() if text.isascii() else None
@@ -84,11 +131,10 @@ def find(text: str, enc, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, i
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LENGTH]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = list(out)
+    outside = _outside(out)
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if not any(s < b and a < e for s, _, e in base) and is_random(m.group(), enc, max_ratio):
-            out.append((a, 3, b))
+        at = m.start()
+        out += [(at + a, 3, at + b) for a, b in random_spans(m[0], lambda a, b, at=at: outside(at + a, at + b), enc, max_ratio)]
     return sorted(out)
 
 

@@ -137,6 +137,37 @@ def test_spans_of_a_text(text, expected):
     assert [(token_secrets.KINDS[k], s, e) for s, k, e in token_secrets.find(text, enc)] == expected
 
 
+@pytest.mark.parametrize("text, found", [
+    ("{}", "qZxKvBwTjQpLmXrHgYdNcVfS"),
+    ("connection/string/AccountKey={}", "qZ7Kv9wTjQ2LmXrHg4dNcVfS"),
+    ("access_credential_for_production_database_service={}", "qZ7Kv9wT/jQ2LmXr+Hg4dNcVfS"),
+    ("access_credential_for_the_production_database_service/{}/and/more/words/of/the/long/name", "qZ7Kv9wTjQ2LmXrHg4dNcVfS"),
+    ("qZ7Kv9wTjQ2LmXrHg4dNcVfS/password=abcdef", None),
+    ("getElementByIdentifierName AbstractSingletonProxyFactoryBean Donaudampfschifffahrtsgesellschaft internationalization", ""),
+    ("internationalization_information/" * 9 + "sha256-" + "Qx7" * 14, ""),
+    ("internationalization_information/" * 9 + "id=550e8400-e29b-41d4-a716-446655440000", ""),
+    ("internationalization_information/" * 9 + "D41D8CD98F00B204E9800998ECF8427E", ""),
+])
+def test_random_pieces_and_letters(text, found):
+    enc = token_secrets.encoder(token_secrets.VOCABULARY)
+    text = text.replace("{}", found or "")
+    spans = [(s, e) for s, k, e in token_secrets.find(text, enc) if k == 3]
+    if found is None:  # beside a pattern's span
+        assert spans == [(0, 24)]
+    else:
+        assert len(spans) == bool(found) and all(found in text[s:e] for s, e in spans)
+
+
+def test_random_keys_behind_long_names_are_found():
+    import string
+
+    rng, enc = random.Random(4), token_secrets.encoder(token_secrets.VOCABULARY)
+    for name, signs in (("", string.ascii_letters), ("connection/string/AccountKey=", string.ascii_letters + string.digits),
+                        ("access_credential_for_production_database_service=", string.ascii_letters + string.digits)):
+        lost = sum(not token_secrets.find(name + "".join(rng.choices(signs, k=24)), enc) for _ in range(500))
+        assert lost <= 10, name
+
+
 def test_secret_query_digests(spark):
     docs = frame(spark, [*EDGES, "é token=abcdef secret: " + "0a" * 16, "A1b2C3d4" * 5000])
     got = {r.doc_id: r.spans for r in token_secrets.secret_spans(docs).collect()}
