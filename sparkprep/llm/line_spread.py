@@ -1,8 +1,8 @@
 """Cross-site boilerplate lines.
 
 Every line is known by two 64-bit hashes. HyperLogLog sketches of the sites per
-line merge by aggregation; lines whose estimate lies near the threshold get an
-exact distinct count. A line found on ``min_sites`` sites or more is removed
+line merge by aggregation, without rows for pairs of line and site; only lines whose
+estimate lies near the threshold get such rows, and an exact distinct count. A line found on ``min_sites`` sites or more is removed
 everywhere but at its first place (smallest id, then position), so that no text
 leaves the corpus altogether.
 
@@ -42,14 +42,12 @@ def spread(found: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, near:
     place = F.struct("id", "sig", "pos")
     # lines that occur fewer than min_sites times can't be on that many sites
     often = small(cut(found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")), BROADCAST_LINES)
-    often = cut(found.join(often, ["h1", "h2"]).groupBy("h1", "h2", "site").agg(F.min(place).alias("first")))
-    est = often.groupBy("h1", "h2").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min("first").alias("first"))
+    est = cut(found.join(often, ["h1", "h2"]).groupBy("h1", "h2").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min(place).alias("first")))
     sure = est.where(F.col("sites") >= min_sites * (1 + near)).select("h1", "h2", "first")
-    close = est.where((F.col("sites") >= min_sites * (1 - near)) & (F.col("sites") < min_sites * (1 + near)))
-    exact = often.join(close.select("h1", "h2", F.col("first").alias("f")), ["h1", "h2"]).groupBy("h1", "h2").agg(
-        F.count("site").alias("sites"), F.first("f").alias("first"))
-    return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("h1", "h2", "first"))
+    close = small(est.where((F.col("sites") >= min_sites * (1 - near)) & (F.col("sites") < min_sites * (1 + near))).drop("sites"), BROADCAST_LINES)
+    exact = found.join(close.select("h1", "h2"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= min_sites)
+    return sure.unionByName(close.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
 
 
 def boilerplate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", site: str = "source",

@@ -117,6 +117,17 @@ def test_spread_of_hot_line_is_exact_at_the_threshold(spark):
     assert out[0] == 0 and all(out[i] == 1 for i in range(1, 3000)) and not any(v for i, v in out.items() if i >= 5000)
 
 
+def test_sketches_take_lines_without_pairs_of_line_and_site(spark, monkeypatch):
+    rows = [(i, "on ten", "en", f"s{i % 10}", 0) for i in range(300)] + [(500 + i, "on nine", "en", f"s{i % 9}", 0) for i in range(300)]
+    rows += [(1000 + i, "wide", "en", f"w{i % 200}", 0) for i in range(400)] + [(2000 + i, "narrow", "en", "one", 0) for i in range(50)]
+    made = []
+    cut = line_spread.cut
+    monkeypatch.setattr(line_spread, "cut", lambda df: made.append(df.columns) or cut(df))
+    found = line_spread.lines(spark.createDataFrame(rows, DOCS), "doc_id", "text", "source")
+    assert sorted(r["first"].id for r in line_spread.spread(found).collect()) == [0, 1000]
+    assert not [c for c in made if "site" in c]
+
+
 def test_budgets_flow_to_siblings_before_ancestors(spark):
     leaves = spark.createDataFrame([("x", "a", 10), ("x", "b", 1000), ("y", "c", 500), ("y", "d", 500)], "top string, leaf string, tokens long")
     got = {r.leaf: r.got for r in mixing.budgets(leaves, ["top", "leaf"], 400, 1, {}).collect()}
