@@ -13,6 +13,8 @@ columns never clash, as only the named ones are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 MAX_SYMBOL_PERCENT = 10
 MAX_DUP_LINE_PERCENT = 30
-#: A host is rejected if the shrunk rate of any rule is above this.
+#: A host is rejected if the shrunk rate of any rule is above this, or if that of documents
+#: that fail some rule is above this share of the way from the corpus rate to 1.
 HOST_RATE = 0.5
 SYMBOLS = "#*$%&|<>"
 #: Up to this many host verdicts are broadcast: about 20 MB.
@@ -82,7 +85,8 @@ def failures(min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT,
 
 def host_verdicts(measured: DataFrame, host: str = "host", rate: float = HOST_RATE,
                   rules: dict[str, Column] | None = None) -> DataFrame:
-    """``host``, ``n_docs``, a shrunk ``rate_<rule>`` for each rule, and ``host_failed``.
+    """``host``, ``n_docs``, a shrunk ``rate_<rule>`` for each rule and ``rate_any`` for
+    documents that fail at least one, and ``host_failed``.
 
     The counts combine before the shuffle, so a hot host is one row per task.
     Prior of a rule with failure share m: the spread of the hosts' rates beyond
@@ -90,7 +94,8 @@ def host_verdicts(measured: DataFrame, host: str = "host", rate: float = HOST_RA
     ``rate = (k + M * m) / (n + M)``. Hosts that don't differ beyond chance
     get the corpus rate.
     """
-    rules = rules or failures()
+    single = rules or failures()
+    rules = single | {"any": reduce(Column.__or__, single.values())}
     per = measured.where(q(host).isNotNull() & (q(host) != "")).groupBy(q(host).alias("host")).agg(
         F.count("*").alias("n_docs"), *[F.sum(r.cast("long")).alias(f"k_{name}") for name, r in rules.items()])
     total = F.sum("n_docs")
@@ -105,7 +110,8 @@ def host_verdicts(measured: DataFrame, host: str = "host", rate: float = HOST_RA
         beyond = F.col(f"q_{name}") - m * m - own * F.col("_hosts") / F.col("_n")
         weight = F.when(beyond > 0, F.greatest(own / beyond - 1, F.lit(1.0))).otherwise(F.col("_n").cast("double"))
         joined = joined.withColumn(f"rate_{name}", (F.col(f"k_{name}") + weight * m) / (n + weight))
-    failed = F.greatest(*[F.col(f"rate_{name}") for name in rules], F.lit(0.0)) > rate
+    failed = F.greatest(*[F.col(f"rate_{name}") for name in single], F.lit(0.0)) > rate
+    failed = failed | (F.col("rate_any") > F.col("m_any") + rate * (1 - F.col("m_any")))
     return joined.select("host", "n_docs", *[f"rate_{name}" for name in rules], failed.alias("host_failed"))
 
 

@@ -85,6 +85,19 @@ def test_bad_host_takes_its_documents_and_shrinkage_protects_small_ones(spark):
     assert host_rules.judge(docs.limit(0)).count() == 0
 
 
+def test_host_that_fails_through_several_rules_is_rejected(spark):
+    good = " ".join(f"word{i}" for i in range(30))
+    bad = ["short"] * 40 + ["a b c d e f g h i j " * 5] * 40 + [" ".join(f"w{i} ###" for i in range(30))] * 15 + [good] * 5
+    rows = [(i, t, "en", "mixed", 0) for i, t in enumerate(bad)] + [(1000 + i, good, "en", f"h{i % 20}", 0) for i in range(2000)]
+    rows += [(5000 + i, t, "en", "half", 0) for i, t in enumerate(bad[:20] + bad[40:60] + [good] * 60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    hosts = {r.host: r for r in host_rules.host_verdicts(host_rules.measure(docs, "text", {"host": "source"})).collect()}
+    assert {h for h, r in hosts.items() if r.host_failed} == {"mixed"}
+    assert max(hosts["mixed"][f"rate_{r}"] for r in host_rules.RULES) < 0.5 < hosts["mixed"].rate_any
+    kept = {r.doc_id for r in host_rules.keep_good(docs).collect()}
+    assert kept.isdisjoint(range(100)) and kept >= set(range(1000, 3000)) | set(range(5040, 5100))
+
+
 def brute_lines(rows, min_sites):
     sites, first = {}, {}
     for i, t, _, s, _ in sorted(rows, key=lambda r: r[0]):
