@@ -17,4 +17,4 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-from . import queries_native, queries_text  # noqa: E402, F401
+from . import queries_native, queries_text, queries_training  # noqa: E402, F401
