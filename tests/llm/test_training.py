@@ -1,6 +1,7 @@
 """Fill-in-the-middle, packing and hard negatives, against brute force."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -10,7 +11,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from helpers import DOCS
 
-from sparkprep.llm import fill_middle
+from pyspark.sql import functions as F
+
+from sparkprep.llm import fill_middle, hard_negatives
 
 ODD = [None, "", " ", "one", "a<P>b", "x<M>", "<S>", "<P", "a <b> < c", "é", "日本 text 7", "A" * 3000, "1 2  3\n\tx", "<" * 40, "P>" * 30]
 
@@ -73,3 +76,75 @@ def test_piece_tables():
                     parts = fill_middle.split(fill_middle.split([(0, 0, len(text))], a), b)
                     output = b"".join(fill_middle.stream(fill_middle.arrange(parts, form), text))
                     assert b"".join(fill_middle.stream(fill_middle.restore(output, form), output)) == text
+
+
+# -- hard negatives
+
+VECTORS = "vec_id long, label int, embedding array<float>, key string, score int, upper int, `group` int, block int"
+
+
+def brute_negatives(rows, is_anchor, k=5, least=80, most=100):
+    live = [(i, lab, [math.floor(256 * x) for x in v]) for i, lab, v in rows
+            if i is not None and lab is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a in {(i, lab, tuple(v)) for i, lab, v in live if is_anchor(i)}:
+        scored = sorted((-sum(x * y for x, y in zip(a[2], v)), i, lab) for i, lab, v in live)
+        positives = [(s, i) for s, i, lab in scored if lab == a[1] and i != a[0]][:k]
+        for p, pid in positives:
+            window = [(s, i) for s, i, lab in scored if lab != a[1] and least * -p <= 100 * -s <= most * -p][:k]
+            out += [(a[0], pid, n + 1, i, -p, -s) for n, (s, i) in enumerate(window)]
+    return sorted(out)
+
+
+def vectors(rng, n, dims, labels, spread=1.0):
+    base = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(6)]
+    rows = []
+    for i in range(n):
+        b = rng.choice(base)
+        rows.append((i, rng.randrange(labels), [x + rng.gauss(0, spread) for x in b]))
+    return rows
+
+
+def vector_frame(spark, rows):
+    return spark.createDataFrame([(*r, "k", 0, 0, 0, 0) for r in rows], VECTORS)
+
+
+def mined(df, **how):
+    return sorted(map(tuple, hard_negatives.mine(df, F.col("vec_id") % 20 == 0, **how).collect()))
+
+
+def as_floats(spark, rows):
+    """The rows with their components rounded as the table holds them."""
+    return [(r.vec_id, r.label, r.embedding) for r in vector_frame(spark, rows).collect()]
+
+
+def test_hard_negatives_against_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = vectors(rng, 400, 8, 3, 0.5)
+    rows += [(1000 + i, i % 3, [1.0] * 8) for i in range(60)]  # ties: one vector, three labels
+    rows += [(2000, 1, None), (2020, None, [1.0] * 8), (None, 1, [1.0] * 8), (2040, 1, [1.0, None]), (2060, 1, [float("nan")] * 8),
+             (2080, 0, [float("inf")] * 8), (2100, 0, []), (2120, 1, [0.5, 0.25]), (2121, 1, [0.5] * 11), (2122, 2, [0.4] * 11), (20, 0, rows[20][2])]
+    rows += [rows[7], rows[8], rows[40]]
+    df = vector_frame(spark, rows)
+    want = brute_negatives(as_floats(spark, rows), lambda i: i % 20 == 0)
+    # a repeated anchor gives one result, and rows with an anchor's id are no positives of it
+    assert len(want) > 200 and mined(df) == want
+    assert mined(df, broadcast_bytes=0) == want
+    monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(hard_negatives, "OPEN_BLOCKS", 2)
+    monkeypatch.setattr(hard_negatives, "SLICE", 7)
+    monkeypatch.setattr(hard_negatives, "PENDING", 10)
+    assert mined(df.repartition(3)) == want
+    assert mined(df.repartition(3), broadcast_bytes=0) == want
+    assert mined(df, least=50, most=90, positives=3, negatives=3) == brute_negatives(as_floats(spark, rows), lambda i: i % 20 == 0, 3, 50, 90)
+
+
+def test_hard_negatives_of_large_numbers_and_empty_tables(spark):
+    rng = random.Random(2)
+    rows = [(i, i % 2, [rng.choice((1.0, 2.0, 3.0)) * 2.0**rng.choice((0, 10, 20)) for _ in range(5)]) for i in range(60)]
+    assert mined(vector_frame(spark, rows)) == brute_negatives(as_floats(spark, rows), lambda i: i % 20 == 0)
+    assert mined(vector_frame(spark, [(i, i % 2, [3e38, 1.0]) for i in range(40)]))  # scores stay within 64 bits
+    assert mined(vector_frame(spark, [])) == []
+    assert mined(vector_frame(spark, [(20, 1, [1.0])])) == []
+    assert mined(vector_frame(spark, [(0, 1, [1.0] * 70_000), (1, 1, [1.0] * 70_000), (2, 2, [0.9] * 70_000), (3, 2, [1.0])])) == [
+        (0, 1, 1, 2, 256 * 256 * 70_000, 256 * 230 * 70_000)]
