@@ -6,6 +6,10 @@ import os
 import random
 import re
 import sys
+import zlib
+from collections import Counter
+
+import numpy as np
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -13,7 +17,7 @@ from helpers import DOCS
 
 from pyspark.sql import functions as F
 
-from sparkprep.llm import fill_middle, hard_negatives
+from sparkprep.llm import fill_middle, hard_negatives, packing
 
 ODD = [None, "", " ", "one", "a<P>b", "x<M>", "<S>", "<P", "a <b> < c", "é", "日本 text 7", "A" * 3000, "1 2  3\n\tx", "<" * 40, "P>" * 30]
 
@@ -148,3 +152,81 @@ def test_hard_negatives_of_large_numbers_and_empty_tables(spark):
     assert mined(vector_frame(spark, [(20, 1, [1.0])])) == []
     assert mined(vector_frame(spark, [(0, 1, [1.0] * 70_000), (1, 1, [1.0] * 70_000), (2, 2, [0.9] * 70_000), (3, 2, [1.0])])) == [
         (0, 1, 1, 2, 256 * 256 * 70_000, 256 * 230 * 70_000)]
+
+
+# -- packing
+
+def token_ids(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return [e.ids + [2] for e in encoder.encode_batch(["" if t is None else t for t in texts], add_special_tokens=False)]
+
+
+def check_packing(rows, ids, capacity):
+    """Every token of every document once, pieces cut as they should be, sequences without gaps; the number of sequences."""
+    assert Counter(r.doc_id for r in rows) == Counter({i: -(-len(x) // capacity) for i, x in ids.items()})
+    for r in rows:
+        x = ids[r.doc_id]
+        first = len(x) % capacity or capacity
+        start = 0 if r.piece == 0 else first + (r.piece - 1) * capacity
+        part = x[start:first + r.piece * capacity]
+        assert (r.start, r.length) == (start, len(part)) and len(part) <= capacity
+        assert r.ids_crc32 == zlib.crc32(np.array(part, dtype="<u4").tobytes())
+    held = {}
+    for r in rows:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in held.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= capacity
+    return len(held)
+
+
+def test_packing_against_direct_encoding(spark):
+    rng = random.Random(5)
+    odd = ODD + ["  two  spaces ", " lead", "trail ", "a\n b", "a \n b", "tab\t x", "nb\u00a0 sp", "\u3000 wide \u3000x", "it's we'll I 'm", "x\x1c y \x85 z",
+                 "a<|endoftext|> b <|endoftext|>", "\u200b x \u200b", "12 345,6 !!  ??", " ", "   ", "\u180e a", "e\u0301 \u0301x"]
+    texts = odd + ["".join(rng.choice("ab 1.\n é日'") for _ in range(rng.randrange(40))) for _ in range(200)]
+    texts += [" ".join(rng.choice(("the", "house", "of", "xqz", "9", "日本")) for _ in range(rng.randrange(2500))) for _ in range(60)]
+    ids = dict(enumerate(token_ids(texts)))
+    df = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    for capacity in (1024, 7):
+        rows = packing.pack(df.repartition(5), capacity=capacity, with_ids=True)
+        got = rows.collect()
+        n = check_packing(got, ids, capacity)
+        assert -(-sum(map(len, ids.values())) // capacity) <= n
+        assert all(r.ids == np.array(ids[r.doc_id][r.start:r.start + r.length], dtype="<u4").tobytes() for r in got)
+        whole = {r.sequence_id: r.ids for r in packing.sequences(rows).collect()}
+        assert len(whole) == n and all(whole[r.sequence_id][4 * r.offset:4 * (r.offset + r.length)] == r.ids for r in got)
+
+
+def test_packing_of_empty_repeated_and_long_documents(spark):
+    assert packing.pack(frame(spark, [])).collect() == []
+    got = packing.pack(frame(spark, [(1, None, None, None, None)] * 3 + [(None, "", None, None, None)])).collect()
+    assert [(r.piece, r.start, r.length, r.sequence_id) for r in got] == [(0, 0, 1, 0)] * 4 and sorted(r.offset for r in got) == [0, 1, 2, 3]
+    text = "some words, \u00e9 and 日 " * 800_000 + "x" * 300_000
+    rows = packing.pack(frame(spark, [(1, text, "en", "s", 0)])).collect()
+    assert check_packing(rows, {1: token_ids([text])[0]}, 1024) == len(rows)
+
+
+def test_packing_plans():
+    rng = random.Random(3)
+    for capacity in (5, 30, 1024):
+        for n in (1, 10, 500):
+            counts = Counter(rng.randrange(1, capacity + 1) for _ in range(n))
+            for first, within in packing.WAYS:
+                chosen = packing.combinations(counts, capacity, first, within)
+                used = Counter()
+                for times, held in chosen:
+                    assert times > 0 and sum(held) <= capacity
+                    used.update({x: k * times for x, k in Counter(held).items()})
+                assert used == counts
+    exact = Counter()
+    for _ in range(400):  # a perfect packing exists, and is found
+        a = rng.randrange(1, 1024)
+        exact.update((a, 1024 - a))
+    assert sum(t for t, _ in packing.plan(exact)) == 400
+    assert sum(t for t, _ in packing.plan({600: 7, 400: 7, 24: 7})) == 7  # closed by two
+    assert sum(t for t, _ in packing.plan({500: 7, 300: 7, 200: 7, 24: 7})) == 7  # by three
+    assert sum(t for t, _ in packing.plan({10**3: 10**9, 24: 10**9 + 5})) == 10**9 + 1
+    assert packing.plan({}) == []
