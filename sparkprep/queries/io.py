@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import table
 from ..session import ensure_checkpoint_dir
-from ..sources.readers import ingest_to_parquet, load_table
+from ..sources.readers import ingest_to_parquet, load_table, read_json
 from ..sources.sinks import export_csv, write_json_arrays, write_stage, write_verified
 from . import query
 
@@ -53,6 +53,14 @@ def q_json_array_ingest(spark, sf):
     return load_table(spark, path).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
+@query("json_array_split", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def q_json_array_split(spark, sf):
+    """Long arrays are read in ranges of bytes, whose borders fall anywhere in a record."""
+    path = _scratch(spark, "jsonsplit") + "/documents.json"
+    write_json_arrays(table(spark, sf, "documents"), path)
+    return read_json(spark, path, range_bytes=1 << 18).select("doc_id", "text", "lang", "source", "n_chars")
+
+
 @query("jsonl_ingest", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def q_jsonl_ingest(spark, sf):
     path = _scratch(spark, "jsonl") + "/events.jsonl"

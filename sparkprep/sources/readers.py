@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.missing import standardize_missing
 from ..functions.types import qcol
+from . import json_arrays
 from .sinks import write_verified
 
 ROW_ID = "_orig_idx"
@@ -33,12 +34,20 @@ def read_format(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     if fmt == "tsv":
         return spark.read.csv(path, header=True, inferSchema=True, sep="\t")
     if fmt == "json":
-        return spark.read.json(path, multiLine=True)  # one JSON array of records
+        return read_json(spark, path)  # arrays of records
     if fmt == "jsonl":
         return spark.read.json(path)
     raise ValueError(f"Unsupported file type: {fmt}")
 
 
+def read_json(spark: SparkSession, path: str, range_bytes: int = json_arrays.RANGE_BYTES) -> DataFrame:
+    """JSON arrays of records: files up to ``range_bytes`` are one task's work each, longer ones are read in ranges."""
+    longest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0  # listed, not read
+    if longest <= range_bytes:
+        return spark.read.json(path, multiLine=True)
+    return json_arrays.read_json_array(spark, path, range_bytes)
+
+
 def load_table(spark: SparkSession, path: str, fmt: str | None = None, standardize: bool = True) -> DataFrame:
     """Read by extension (or explicit format), then the missing-marker rule."""
     df = read_format(spark, path, fmt or detect_format(path))
