@@ -13,12 +13,12 @@ Pieces take their place by their number among the pieces of their length. Tasks
 make; the tasks' counts are summed up per length, so no length is gathered, however
 many pieces have it.
 
-Texts are split for encoding before single spaces between other characters, where no token
-can reach across, and ids of such chunks are remembered up to a fixed number in each task.
+Texts are cut for encoding before single spaces between other characters, where no token
+can reach across; the ids of words between such spaces are remembered up to a fixed number in each worker.
 
 Defined cases: a null or empty text is the closing id alone; repeated rows are packed each; ties don't
 matter, since pieces of one length change places freely; a long text is one task's work, and a
-chunk without any space is encoded whole; an empty table gives no piece; other columns
+word without any space is encoded whole; an empty table gives no piece; other columns
 aren't read, so their names don't matter.
 """
 
@@ -27,69 +27,150 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
 import zlib
+from collections.abc import Iterable, Iterator
 from itertools import pairwise
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, q, small_batches
-from .textbytes import Made
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Tokens of a sequence, and the id that closes a document.
 CAPACITY = 1024
 END = 2
-#: Chunks whose ids a worker remembers (twice as many at most), and their longest length.
-REMEMBERED, CHUNK_LENGTH = 200_000, 64
+#: Words whose ids a worker remembers, and their longest length.
+REMEMBERED, WORD_LENGTH = 1_000_000, 64
+#: Words that are encoded as one text.
+WORDS_TOGETHER = 2000
+#: Characters that are encoded at a time, where a text can be cut.
+TOGETHER = 1 << 14
 #: White space, in a wide sense: what any library may take for it.
-SPACES = r"\s᠎​﻿"
+SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+PYTHON_SPACES = re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), SPACES)
 #: A space that begins a new token whatever stands on either side.
-BORDER = re.compile(f"(?<=[^{SPACES}])(?= [^{SPACES}])")
-#: Texts in which some space isn't such a border.
-UNEVEN = re.compile(rf"(?:\A|[{SPACES}]) | (?:\Z|[{SPACES}])")
+BORDER = re.compile(f"(?<=[^{PYTHON_SPACES}])(?= [^{PYTHON_SPACES}])")
+#: Texts in which some space isn't such a border (for Arrow).
+UNEVEN = rf"(?:\A|[{SPACES}]) | (?:\z|[{SPACES}])"
 #: Exact combinations of up to so many lengths before, and within best fit.
 WAYS = [(3, 0), (2, 0), (1, 0), (0, 3), (0, 2), (0, 0)]
-READ = Made()
+#: What a token begins with that has a space before its characters (byte-level vocabularies).
+SPACED = "Ġ"
+#: Module in which a worker keeps its encoders.
+MEMORY = "_sparkprep_encoders"
 
 
-class Chunks(dict):
-    """Ids of chunks as bytes (little-endian, 32 bits each), encoded when first asked for; chunks
-    that weren't asked for since the memory last filled up are forgotten."""
+class Encoder:
+    """Token ids of whole texts (little-endian, 32 bits), of which words are encoded once and remembered.
+
+    A word that follows a space begins with a token that has the space in it, and has no other such
+    token. So many words are encoded as one text, and their ids told apart by these tokens.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
         from tokenizers import Tokenizer
-        super().__init__()
-        self.older: dict[str, bytes] = {}
-        self.encoder = Tokenizer.from_str(vocabulary)
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            ids = np.array(self.encoder.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= CHUNK_LENGTH:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        if UNEVEN.search(text):
-            return b"".join(map(self.__getitem__, BORDER.split(text)))
-        first, *others = text.split(" ")
-        return self[first] + b"".join([self[" " + word] for word in others])
-
-
-def encoder(key: str, vocabulary: str) -> Chunks:
-    if key not in READ:
-        READ[key] = Chunks(vocabulary)
-    return READ[key]
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        known = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(known.values()) + 1, dtype=bool)
+        self.spaced[[i for token, i in known.items() if token.startswith(SPACED)]] = True
+        self.known = pa.array([], pa.string())
+        self.bank, self.start, self.size = np.zeros(0, dtype="<u4"), *np.zeros((2, 0), dtype=np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def uneven(self, text: str) -> bytes:
+        """Ids of a text, encoded from border to border."""
+        if len(text) <= TOGETHER:
+            return self.encode([text])[0].tobytes()
+        return b"".join(self.encode([part])[0].tobytes() for part in grouped(BORDER.split(text)))
+
+    def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each behind a space, and how many each has."""
+        ids, sizes = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        parts = [words[k:k + WORDS_TOGETHER] for k in range(0, len(words), WORDS_TOGETHER)]
+        for part, found in zip(parts, self.encode([" " + " ".join(part) for part in parts]), strict=True):
+            first = np.flatnonzero(self.spaced[found])
+            if len(first) == len(part):
+                ids.append(found)
+                sizes.append(np.diff(first, append=len(found)))
+            else:  # not a vocabulary of such tokens
+                each = self.encode([" " + word for word in part])
+                ids += each
+                sizes.append(np.array([len(e) for e in each]))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each of the distinct words begin and how many they are; remembers the words
+        of this call first, and of those before as many as there is room for."""
+        at = pc.index_in(words, value_set=self.known.cast(words.type))
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        ids, sizes = self.together(words.filter(pa.array(new)).to_pylist())
+        hit = at.drop_null().to_numpy()
+        bank = np.concatenate((self.bank, ids))
+        start, size = np.empty((2, len(words)), dtype=np.int64)
+        start[~new], size[~new] = self.start[hit], self.size[hit]
+        start[new], size[new] = len(self.bank) + np.cumsum(sizes) - sizes, sizes
+        short = pc.less_equal(pc.utf8_length(words), WORD_LENGTH).to_numpy(zero_copy_only=False)
+        others = np.ones(len(self.known), dtype=bool)
+        others[hit] = False
+        self.known = pa.concat_arrays([words.filter(pa.array(short)), self.known.filter(pa.array(others)).cast(words.type)])[:REMEMBERED]
+        self.size = np.concatenate((size[short], self.size[others]))[:REMEMBERED]
+        kept = np.concatenate((start[short], self.start[others]))[:REMEMBERED]
+        self.bank, self.start = bank[spread(kept, self.size)], np.cumsum(self.size) - self.size
+        return bank, start, size
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; null has none."""
+        texts = pc.fill_null(texts, "")
+        even = pc.invert(pc.match_substring_regex(texts, UNEVEN))
+        rows = pc.split_pattern(texts.filter(even), " ")
+        words, count = rows.flatten(), rows.value_lengths().to_numpy()
+        first = np.zeros(len(words), dtype=bool)
+        first[np.cumsum(count) - count] = True
+        coded = pc.dictionary_encode(words.filter(pa.array(~first)))
+        bank, start, size = self.words(coded.dictionary)
+        index = coded.indices.to_numpy()
+        tokens = bank[spread(start[index], size[index])]
+        place = np.concatenate(([0], np.cumsum(size[index])))[np.concatenate(([0], np.cumsum(count - 1)))]
+        openings = self.encode(words.filter(pa.array(first)).to_pylist())
+        whole = iter([o.tobytes() + tokens[a:b].tobytes() for o, (a, b) in zip(openings, pairwise(place.tolist()), strict=True)])
+        return [next(whole) if e else self.uneven(t.as_py()) for e, t in zip(even.to_pylist(), texts, strict=True)]
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places start, start + 1 ... of each run, one run after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def grouped(parts: Iterable[str]) -> Iterator[str]:
+    """Neighbouring parts joined to texts of about ``TOGETHER`` characters."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= TOGETHER:
+            yield "".join(held)
+            held, size = [], 0
+    if held:
+        yield "".join(held)
+
+
+def encoder(key: str, vocabulary: str) -> Encoder:
+    """The encoder of a worker, which goes from task to task with what it remembers."""
+    memory = sys.modules.setdefault(MEMORY, ModuleType(MEMORY)).__dict__
+    if key not in memory:
+        memory[key] = Encoder(vocabulary)
+    return memory[key]
 
 
 def read_vocabulary(path: str | None) -> str:
@@ -111,12 +192,12 @@ def _encode(row_type: pa.DataType, key: str, shared, end: int, capacity: int, wi
     names = ["row", "piece", "start", "length", "ids_crc32", "chunk", "number"] + ["ids"] * with_ids
 
     def run(batches):
-        chunks = encoder(key, shared.value)
+        coder = encoder(key, shared.value)
         closing, task, seen = np.array([end], dtype="<u4").tobytes(), TaskContext.get().partitionId(), {}
         for batch in batches:
             at, out = [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = memoryview((chunks.ids(text.as_py()) if text.is_valid else b"") + closing)
+            for i, ids in enumerate(coder.batch(batch.column(1))):
+                ids = memoryview(ids + closing)
                 for piece, (a, b) in enumerate(pairwise(borders(len(ids) // 4, capacity))):
                     part = ids[4 * a:4 * b]
                     number = seen[b - a] = seen.get(b - a, -1) + 1
