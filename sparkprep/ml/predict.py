@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encode import apply_codes
+from .train import positional
 from ..functions.types import qcol
+from ..plans.base import FittedStep, load_steps
+from ..plans.features import replay
 
 
 class SavedModel:
-    def __init__(self, model: PipelineModel, doc: dict, dictionaries: dict):
-        self.model, self.doc, self.dictionaries = model, doc, dictionaries
+    def __init__(self, model: PipelineModel, doc: dict, dictionaries: dict, steps: list[FittedStep] | None = None):
+        self.model, self.doc, self.dictionaries, self.steps = model, doc, dictionaries, steps or []
 
     @property
     def features(self) -> list[str]:
@@ -32,7 +35,26 @@ def load_model(spark: SparkSession, root: str) -> SavedModel:
     for c, d in doc["codes"].items():
         dictionaries[c] = ({"codes": d["codes"]} if "codes" in d
                            else {"table": spark.read.parquet(d["path"]), "size": d["size"]})
-    return SavedModel(PipelineModel.load(f"{root.rstrip('/')}/model"), doc, dictionaries)
+    steps = load_steps(spark, doc["steps"]) if doc.get("steps") else []
+    return SavedModel(PipelineModel.load(f"{root.rstrip('/')}/model"), doc, dictionaries, steps)
+
+
+def raw_columns(steps: list[FittedStep]) -> list[str]:
+    """Columns that a table must have for the steps: what they read and no earlier step makes."""
+    made, out = set(), []
+    for step in steps:
+        out += [c for c in step.reads() if c not in made and c not in out]
+        made |= set(step.makes())
+    return out
+
+
+def rebuild(df: DataFrame, saved: SavedModel) -> DataFrame:
+    """The features of raw rows, by replaying the steps that were fitted with the model. Which
+    column a feature comes from is known from the steps' dictionaries; its name is never taken apart."""
+    absent = [c for c in raw_columns(saved.steps) if c not in df.columns]
+    if absent:
+        raise ValueError(f"Missing required columns: {', '.join(absent)}")
+    return replay(df, saved.steps, drop_ids=False)
 
 
 def missing_features(df: DataFrame, features: list[str]) -> list[str]:
@@ -59,10 +81,14 @@ def align_to_schema(df: DataFrame, features: list[str], keep: tuple = ()) -> Dat
     return df.select(*[qcol(k) for k in keep if k in df.columns], *cols)
 
 
-def predict(saved: SavedModel, df: DataFrame, keep: tuple = (), align: bool = False) -> DataFrame:
-    """Score rows. Missing features raise; with ``align=True`` rows that look raw for the
-    features of the model (M25) are brought to its schema first (M26)."""
-    if align and looks_raw(df, saved.features):
+def predict(saved: SavedModel, df: DataFrame, keep: tuple = (), align: bool = False, raw: bool | None = None) -> DataFrame:
+    """Score rows. A model saved with its feature steps takes rows with all of its features as they are, and
+    makes the features of others by replaying the steps (M25, M26); ``raw`` says which of both, where steps
+    change columns in place and names can't tell. Without steps, missing features raise; with
+    ``align=True`` rows that look raw (M25) are brought to the model's schema first, where a feature that isn't there is 0."""
+    if saved.steps and (bool(missing_features(df, saved.features)) if raw is None else raw):
+        df = rebuild(df, saved)
+    elif align and looks_raw(df, saved.features):
         others = [c for c in df.columns if c not in saved.features]
         texts = [c for c in saved.features if c in saved.dictionaries]
         fixed = align_to_schema(df, [c for c in saved.features if c not in texts], tuple(others) + tuple(c for c in texts if c in df.columns))
@@ -70,20 +96,19 @@ def predict(saved: SavedModel, df: DataFrame, keep: tuple = (), align: bool = Fa
     missing = missing_features(df, saved.features)
     if missing:
         raise ValueError(f"Missing required columns: {', '.join(missing)}")
+    kept = [c for c in keep if c in saved.features]
     coded = apply_codes(df, saved.dictionaries)
     ready = coded.select(*[qcol(c) for c in df.columns if c not in saved.features],
-                         *[qcol(c).cast("double").alias(c) for c in saved.features])
+                         *[qcol(c).alias(f"_kept_{i}") for i, c in enumerate(kept)], *positional(saved.features))
     out = saved.model.transform(ready)
-    passthrough = [qcol(c) for c in df.columns if c not in saved.features or c in keep]
+    passthrough = [qcol(c) if c not in saved.features else F.col(f"_kept_{kept.index(c)}").alias(c)
+                   for c in df.columns if c not in saved.features or c in kept]
     if saved.doc["problem_type"] != "classification":
         return out.select(*passthrough, F.col("prediction").alias("predicted_value"))
     classes = saved.doc["classes"]
     cls = F.element_at(F.array(*[F.lit(str(v)) for v in classes]), F.col("prediction").cast("int") + 1)
-    if "probability" in out.columns:
-        probs = vector_to_array("probability")
-        conf = F.array_max(probs)
-        pmap = F.map_from_arrays(F.array(*[F.lit(str(v)) for v in classes]), probs)
-    else:  # one-vs-rest boosting yields no probabilities
-        conf, pmap = F.lit(None).cast("double"), F.lit(None).cast("map<string,double>")
-    return out.select(*passthrough, cls.alias("predicted_class"), conf.alias("confidence"),
+    given = vector_to_array("probability")  # a class that only test rows have may be unknown to the model
+    probs = F.concat(given, F.array_repeat(F.lit(0.0), F.lit(len(classes)) - F.size(given)))
+    pmap = F.map_from_arrays(F.array(*[F.lit(str(v)) for v in classes]), probs)
+    return out.select(*passthrough, cls.alias("predicted_class"), F.array_max(probs).alias("confidence"),
                       pmap.alias("probabilities"))

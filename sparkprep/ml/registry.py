@@ -3,7 +3,7 @@ reproduce the reference's library defaults where Spark has an equivalent.
 
 * logistic regression, C = 1: ``regParam = 1 / n_train``, no standardization;
 * random forest: 100 trees, seed 42;
-* gradient boosting: 100 rounds, depth 3, step 0.1 (multiclass: one-vs-rest);
+* gradient boosting: 100 rounds, depth 3, step 0.1 (more than two classes: softmax boosting, `boosting.py`);
 * ridge, alpha = 1: ``regParam = alpha * sigma_y / n_train`` (normal solver);
 * lasso, alpha = 1: ``regParam = alpha``, ``elasticNetParam = 1``;
 * xgboost / lightgbm: registered only when their Spark packages import.
@@ -11,10 +11,11 @@ reproduce the reference's library defaults where Spark has an equivalent.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
+from .boosting import SoftmaxBoosting
+
 SEED = 42
 TREES = 100
 TREE_DEPTH = 30  # the deepest that Spark grows; the rule has no limit
@@ -37,9 +38,7 @@ def classification_models(tree_depth: int = TREE_DEPTH) -> dict:
                                                               elasticNetParam=0.0, standardization=False),
         "random_forest": lambda ctx: RandomForestClassifier(numTrees=TREES, maxDepth=tree_depth, seed=SEED),
         "gradient_boosting": lambda ctx: (GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED)
-                                          if ctx["n_classes"] <= 2 else
-                                          OneVsRest(classifier=GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1,
-                                                                             seed=SEED))),
+                                          if ctx["n_classes"] <= 2 else SoftmaxBoosting(maxIter=100, maxDepth=3, stepSize=0.1)),
     }
     for k, (c, _) in _optional().items():
         reg[k] = c

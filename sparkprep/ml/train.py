@@ -19,20 +19,20 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.types import dtypes, is_numeric_or_bool, is_text, qcol
 from ..operators.profile import target_analysis
 from ..operators.recommend import problem_type as problem_type_rule
+from ..plans.base import FittedStep, save_steps
 from .encode import apply_codes, fit_train_codes
 from .metrics import classification_metrics, confusion_table, regression_metrics, roc_auc
 from .registry import classification_models, regression_models
 from .split import prepare_split
 
 SUSPICIOUS = 0.99
-#: Classes come to the driver with the model; a target with more (an id, say) is refused.
-MAX_CLASSES = 10_000
 
 
 @dataclass
@@ -67,30 +67,39 @@ def feature_columns(df: DataFrame, target: str, key: str) -> tuple[list[str], li
     return nums, cats
 
 
-def prepare(df: DataFrame, target: str, key: str, ptype: str, test_size: float, seed: int, max_classes: int = MAX_CLASSES):
+def prepare(df: DataFrame, target: str, key: str, ptype: str, test_size: float, seed: int):
     split, warnings, counts = prepare_split(df, target, key, test_size, seed)
     nums, cats = feature_columns(split, target, key)
     dictionaries = fit_train_codes(split.where(~F.col("is_test")), cats) if cats else {}
     coded = apply_codes(split, dictionaries)
     classes = None
     if ptype == "classification":
-        found = coded.select(target).distinct().limit(max_classes + 1).collect()
-        if len(found) > max_classes:
-            raise ValueError(f"'{target}' has more than {max_classes} classes")
-        classes = sorted(r[0] for r in found)
-        m = F.create_map(*[x for i, v in enumerate(classes) for x in (F.lit(v), F.lit(float(i)))])
-        coded = coded.withColumn("label", F.element_at(m, qcol(target)))
+        # as many as the model itself holds: each has its coefficients or trees there
+        classes = sorted(r[0] for r in coded.select(qcol(target)).distinct().collect())
+        coded = with_label(coded, target, classes)
     else:
         coded = coded.withColumn("label", qcol(target).cast("double"))
     feats = nums + cats
     coded = coded.select(qcol(key), "is_test", "label", qcol(target),
-                         *[qcol(c).cast("double").alias(c) for c in feats])
+                         *positional(feats))
     return coded, feats, dictionaries, classes, warnings, counts
 
 
-def _pipeline(feats: list[str], estimator) -> Pipeline:
-    imputed = [f"_imp_{c}" for c in feats]
-    return Pipeline(stages=[Imputer(inputCols=feats, outputCols=imputed, strategy="mean"),
+def with_label(df: DataFrame, target: str, classes: list) -> DataFrame:
+    """``label``, the index of the row's class; the classes are joined as a local table of known size."""
+    shape = T.StructType([T.StructField("_class", dtypes(df)[target]), T.StructField("label", T.DoubleType())])
+    codes = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(classes)], shape)
+    return df.join(codes, qcol(target) == F.col("_class"), "left").drop("_class")
+
+
+def positional(feats: list[str]) -> list[Column]:
+    """The features by their places: model stages don't take every name that a column may have."""
+    return [qcol(c).cast("double").alias(f"_f{i}") for i, c in enumerate(feats)]
+
+
+def _pipeline(n_features: int, estimator) -> Pipeline:
+    given, imputed = ([f"{name}{i}" for i in range(n_features)] for name in ("_f", "_imp"))
+    return Pipeline(stages=[Imputer(inputCols=given, outputCols=imputed, strategy="mean"),
                             VectorAssembler(inputCols=imputed, outputCol="features", handleInvalid="keep"),
                             estimator])
 
@@ -148,7 +157,7 @@ def run_training(df: DataFrame, target: str, key: str, models: list[str] | None
         def fit_one(name):
             t0 = time.time()
             try:
-                model = _pipeline(feats, registry[name](ctx)).fit(train)
+                model = _pipeline(len(feats), registry[name](ctx)).fit(train)
                 metrics = evaluate(model.transform(test), ptype, ctx["n_classes"])
                 score = metrics.get("accuracy") if ptype == "classification" else metrics.get("r2_score")
                 return model, {"model": name, "status": "completed", "score": score, "metrics": metrics,
@@ -176,9 +185,10 @@ def _best(result: TrainingResult) -> dict:
 
 
 def save_training(result: TrainingResult, base_dir: str, model_name: str | None = None,
-                  filename: str | None = None) -> str:
+                  filename: str | None = None, steps: list[FittedStep] | None = None) -> str:
     """``<base>/<id>/model`` (PipelineModel), codes as tables, results JSON with the
-    file trained on, its size, and the best model's score and metrics."""
+    file trained on, its size, and the best model's score and metrics. ``steps`` are the fitted feature
+    steps that made the training table: with them, rows can be scored as they were before (M26)."""
     model_id = uuid.uuid4().hex[:12]
     name = model_name or result.best_model
     root = f"{base_dir.rstrip('/')}/{model_id}"
@@ -190,7 +200,9 @@ def save_training(result: TrainingResult, base_dir: str, model_name: str | None
         else:
             d["table"].write.mode("overwrite").parquet(f"{root}/codes_{c}.parquet")
             codes[c] = {"path": f"{root}/codes_{c}.parquet", "size": d["size"]}
-    doc = {"model_id": model_id, "model_name": name, "problem_type": result.problem_type,
+    if steps:
+        save_steps(steps, f"{root}/steps")
+    doc = {"model_id": model_id, "steps": f"{root}/steps" if steps else None, "model_name": name, "problem_type": result.problem_type,
            "target_column": result.target, "features": result.features, "classes": result.classes,
            "codes": codes, "best_model": result.best_model,
            "filename": filename, "dataset_info": {**result.counts, "features": len(result.features)},

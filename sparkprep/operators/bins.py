@@ -47,6 +47,12 @@ def bin_code(x: Column, edges: list[float]) -> Column:
 class FittedBinning(FittedStep):
     kind = "binning"
 
+    def reads(self) -> list[str]:
+        return list(self.params["edges"])
+
+    def makes(self) -> dict[str, str]:
+        return {f"{c}_binned": c for c in self.params["edges"]}
+
     def transform(self, df: DataFrame) -> DataFrame:
         edges = self.params["edges"]
         return df.select("*", *[bin_code(qcol(c).cast("double"), e).alias(f"{c}_binned")

@@ -62,6 +62,18 @@ def row_combine(n: int, how: str) -> Column:
 class FittedCreation(FittedStep):
     kind = "feature_creation"
 
+    def reads(self) -> list[str]:
+        p = self.params
+        return [p["group"], *p["values"]] if p["method"] == "aggregations" else list(p["columns"])
+
+    def makes(self) -> dict[str, str]:
+        p = self.params
+        if p["method"] == "aggregations":
+            return {p["new_column"]: p["group"]}
+        if p["method"] == "polynomial":
+            return {f"{c}^{d}": c for c in p["columns"] for d in range(2, p["degree"] + 1)}
+        return {f"{c}_{part}": c for c in p["columns"] for part in p.get("parts", DATETIME_PARTS)}
+
     def transform(self, df: DataFrame) -> DataFrame:
         p = self.params
         method = p["method"]

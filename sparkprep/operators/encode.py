@@ -57,6 +57,14 @@ def distinct_sets(df: DataFrame, columns, limit: int | None) -> dict[str, list |
 class FittedEncoding(FittedStep):
     kind = "encoding"
 
+    def reads(self) -> list[str]:
+        return [c for part in ("onehot", "label", "target") for c in self.params[part]]
+
+    def makes(self) -> dict[str, str]:
+        """By the stored dictionary: names of values may hold any character."""
+        dummies = {f"{c}_{v}": c for c, values in self.params["onehot"].items() for v in values}
+        return dummies | {f"{c}_target_encoded": c for c in self.params["target"]}
+
     def transform(self, df: DataFrame) -> DataFrame:
         p = self.params
         onehot, label, target = p["onehot"], p["label"], p["target"]

@@ -29,6 +29,9 @@ def scaled_expr(c: str, method: str, p: dict):
 class FittedScaling(FittedStep):
     kind = "scaling"
 
+    def reads(self) -> list[str]:
+        return list(self.params["columns"])
+
     def transform(self, df: DataFrame) -> DataFrame:
         cols = self.params["columns"]
         return df.select(*[scaled_expr(c, cols[c]["method"], cols[c]).alias(c) if c in cols else qcol(c)

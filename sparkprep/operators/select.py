@@ -73,6 +73,14 @@ def variance_table(df: DataFrame, columns, threshold: float) -> DataFrame:
 class FittedSelection(FittedStep):
     kind = "feature_selection"
 
+    def reads(self) -> list[str]:
+        p = self.params
+        return list(p["kept"] if p["method"] == "variance_threshold" else p["initial"] if p["method"] == "pca" else [])
+
+    def makes(self) -> dict[str, str]:
+        p = self.params
+        return {f"pca_component_{i + 1}": p["initial"][0] for i in range(len(p["components"]))} if p["method"] == "pca" else {}
+
     def transform(self, df: DataFrame) -> DataFrame:
         p = self.params
         if p["method"] == "correlation_filter":

@@ -34,6 +34,14 @@ class FittedStep:
     def to_dict(self) -> dict:
         return {"kind": self.kind, "params": self.params, "meta": self.meta}
 
+    def reads(self) -> list[str]:
+        """Columns that ``transform`` needs."""
+        return []
+
+    def makes(self) -> dict[str, str]:
+        """Columns that ``transform`` adds, and the column that each is made from."""
+        return {}
+
     def save(self, path: str, index: int = 0) -> dict:
         d = self.to_dict()
         d["tables"] = {}

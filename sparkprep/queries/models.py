@@ -6,16 +6,19 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..fixtures import table
+from ..ml.boosting import SoftmaxBoosting
 from ..ml.encode import apply_codes, fit_train_codes
 from ..ml.metrics import classification_metrics, confusion_table, regression_metrics, residuals, roc_auc
 from ..ml.predict import load_model, predict
 from ..ml.registry import regression_models
 from ..ml.split import hash_split, stratified_split
-from ..ml.train import run_training, save_training
+from ..ml.train import run_training, save_training, with_label
+from ..plans.features import FeatureSpec, run_features
 from ..session import ensure_checkpoint_dir
 from ..sources.registry import list_models
 from . import query, r6
@@ -209,6 +212,41 @@ def q_predict_batch(spark, sf):
     return predict(saved, docs).select("doc_id", "predicted_class", F.round("confidence", 4).alias("confidence"))
 
 
+@query("predict_raw_equals_encoded", f"""
+WITH d AS (SELECT doc_id, lang, n_chars, {MD5_BUCKET.format(k='doc_id')} < 2000 AS is_test FROM documents),
+m AS (SELECT lang, avg(n_chars) AS v FROM d WHERE NOT is_test GROUP BY lang)
+SELECT doc_id, round(v, 2) AS from_raw, round(v, 2) AS from_encoded FROM d JOIN m USING (lang)""")
+def q_predict_raw_equals_encoded(spark, sf):
+    """A model on indicators predicts the mean of each category, from rows of either form."""
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("in_"), "lang", F.lit("_x")).alias("spoken_in"), "n_chars")
+    feats = run_features(docs, FeatureSpec.from_dicts([{"type": "encoding", "columns": ["spoken_in"], "method": "one-hot"}]), drop_ids=False)
+    res = run_training(feats.output, "n_chars", "doc_id", ["linear_regression"], problem_type="regression")
+    root = save_training(res, f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex[:8]}", steps=feats.steps)
+    saved = load_model(spark, root)
+    value = lambda name: F.round("predicted_value", 2).alias(name)
+    raw = predict(saved, docs.drop("n_chars")).select("doc_id", value("from_raw"))
+    return raw.join(predict(saved, feats.output.drop("n_chars")).select("doc_id", value("from_encoded")), "doc_id")
+
+
+@query("boosting_one_split", """
+WITH d AS (SELECT lang, CASE WHEN n_chars > 2000 THEN 1.0 ELSE 0.0 END AS is_long FROM documents),
+c AS (SELECT lang, count(*)::DOUBLE / sum(count(*)) OVER () AS p, count(*) OVER () AS k FROM d GROUP BY lang),
+n AS (SELECT is_long, count(*)::DOUBLE AS n FROM d GROUP BY is_long),
+m AS (SELECT is_long, lang, count(*) AS m FROM d GROUP BY is_long, lang),
+s AS (SELECT is_long, lang, ln(p) + 0.1 * (k - 1) / k * (coalesce(m, 0) - n * p) / (n * p * (1 - p)) AS f
+      FROM n CROSS JOIN c LEFT JOIN m USING (is_long, lang))
+SELECT is_long::DOUBLE AS is_long, lang, round(exp(f) / sum(exp(f)) OVER (PARTITION BY is_long), 6) AS probability FROM s""")
+def q_boosting_one_split(spark, sf):
+    """M9: one round of one split over several classes; each leaf takes the Newton step of its class."""
+    docs = table(spark, sf, "documents").select("lang", (F.col("n_chars") > 2000).cast("double").alias("is_long"))
+    classes = sorted(r[0] for r in docs.select("lang").distinct().collect())
+    vec = VectorAssembler(inputCols=["is_long"], outputCol="features").transform(with_label(docs, "lang", classes))
+    model = SoftmaxBoosting(maxIter=1, maxDepth=1, stepSize=0.1).fit(vec)
+    each = model.transform(vec.select("is_long", "features").dropDuplicates(["is_long"]))
+    return each.select("is_long", F.posexplode(vector_to_array("probability")).alias("i", "p")).select(
+        "is_long", F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("i") + 1).alias("lang"), r6(F.col("p")).alias("probability"))
+
+
 @query("model_registry")
 def q_model_registry(spark, sf):
     base = f"{ensure_checkpoint_dir(spark)}/registry-{uuid.uuid4().hex[:8]}"
