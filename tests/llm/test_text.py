@@ -5,6 +5,7 @@ import math
 import os
 import random
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -85,6 +86,95 @@ def test_unique_pages_without_an_article_stay_among_copies(spark):
     assert got[103] == "Day 3\n\nText 3\n\nEnd"
 
 
+@pytest.mark.parametrize("name", ["class=ad-hoc-analysis", "class=social-science", "class=share-price-table", "class=related-work", "id=comments-on-policy"])
+def test_names_that_only_hold_a_word_of_furniture_keep_their_text(name):
+    page = "<body><article><h1>T</h1><div {}><p>text</p></div></article>"
+    assert style_tree.main_text(page.format(name)) == "T\n\ntext"
+    for other in ("class=cookie-notice", "class='x ad-slot-2'", "id=share_buttons", "class=relatedPosts", "id=comments"):
+        assert style_tree.main_text(page.format(other)) == "T"
+
+
+def test_one_article_among_several():
+    page = "<body><main><h1>Head</h1>{}<article><p>The text itself, which is long.</p></article><article class=teaser><p>Read on</p></article></main>"
+    assert style_tree.main_text(page.format("<article><p>First teaser</p></article>")) == "Head\n\nThe text itself, which is long."
+    assert style_tree.main_text("<article><p>one</p></article><article><p>two</p></article>") == "one"
+
+
+def test_pages_take_time_in_proportion_to_their_length():
+    import time
+    for source in ("<div>x" * 100_000, "<p>" + "<b>x" * 100_000 + "</i>" * 100_000, "<div>" * 100_000 + "</section>" * 100_000 + "<li>x" * 100_000,
+                   "<article>" + "<p>some words of a long page</p>" * 200_000):
+        start = time.process_time()
+        assert style_tree.main_text(source, {1: frozenset([2])}) and style_tree.Page(source).below()
+        assert time.process_time() - start < 40  # seconds; in proportion to the square, it would be hours
+
+
+def random_page(rng, depth=0):
+    """(step, text or children): a tree of divs."""
+    if depth == 3 or rng.random() < 0.3:
+        return rng.choice(["div", "div.a", "section"]), f"t{rng.randrange(3)}"
+    return rng.choice(["div", "div.a", "section"]), [random_page(rng, depth + 1) for _ in range(rng.randrange(1, 4))]
+
+
+def as_html(node):
+    step, inner = node
+    tag, _, name = step.partition(".")
+    return f"<{tag} class='{name}'>" + (inner if isinstance(inner, str) else "".join(map(as_html, inner))) + f"</{tag}>"
+
+
+def as_nodes(node, above=""):
+    """path -> (steps of the children, texts below), of all elements with the path."""
+    step, inner = node
+    path = f"{above}/{step}" if above else step
+    out = {path: ([], [])}
+    if isinstance(inner, str):
+        out[path][1].append(inner)
+    else:
+        for child in inner:
+            out[path][0].append(child[0])
+            for p, (steps, texts) in as_nodes(child, path).items():
+                mine = out.setdefault(p, ([], []))
+                mine[0].extend(steps)
+                mine[1].extend(texts)
+                if p == f"{path}/{child[0]}":
+                    out[path][1].extend(texts)
+    return out
+
+
+def test_entropies_and_removed_branches_against_brute_force(spark):
+    rng = random.Random(11)
+    pages = {h: [("body", [random_page(rng) for _ in range(2)] + [("div.own", f"page {i}")] * (i % 3 > 0)) for i in range(30)] for h in ("a.com", "b.com")}
+    fixed = ("div.top", [("div", "Name"), ("div", "Home")])
+    pages["b.com"] = [("body", [fixed, *p[1]]) for p in pages["b.com"]]
+    rows = [(100 * k + i, f"http://{h}/{i}", "<html>" + as_html(p)) for k, (h, ps) in enumerate(pages.items()) for i, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want, shown = {}, {}
+    for h, ps in pages.items():
+        found = [as_nodes(("html", [p])) for p in ps]
+        for path in {p for f in found for p in f}:
+            here = [f[path] for f in found if path in f]
+            n = len(here)
+            counts = [Counter(tuple(steps) for steps, _ in here), Counter(tuple(sorted(texts)) for _, texts in here)]
+            shares = [sum(c / n * math.log(n / c) for c in k.values()) / math.log(n) if n > 1 else 1.0 for k in counts]
+            want[h, path] = (n, *shares)
+            if n >= 5 and max(shares) <= 0.3 and path not in ("html", "html/body"):
+                shown[h, path] = {t for t, c in counts[1].items() if math.log(n / c) <= 0.3 * math.log(n)}
+    got = {(r.host, r.path): (r.pages, r.presentation, r.content) for r in style_tree.site_tree(df).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert ("b.com", "html/body/div.top") in shown
+
+    def left(node, host, all_, above="html"):
+        path = f"{above}/{node[0]}"
+        if tuple(sorted(all_[path][1])) in shown.get((host, path), ()):
+            return []
+        return [node[1]] if isinstance(node[1], str) else [t for c in node[1] for t in left(c, host, all_, path)]
+
+    texts = {r.page_id: r.text for r in style_tree.extract(df).collect()}
+    for k, (h, ps) in enumerate(pages.items()):
+        for i, p in enumerate(ps):
+            assert texts[100 * k + i] == "\n\n".join(left(p, h, as_nodes(("html", [p])))), (h, i)
+
+
 def test_pages_of_the_given_tables(spark):
     import html
     import re
