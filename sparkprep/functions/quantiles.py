@@ -6,18 +6,17 @@ the final aggregation task; on a continuous column at scale that map is the
 column. Instead, for all columns and ranks together:
 
 1. one aggregate: count, min, max and a ``percentile_approx`` bracket around
-   every wanted rank (rank error <= n/accuracy);
-2. one aggregate checks the brackets: rows below, inside, and equal to each
-   end point. A rank that falls on an end point -- e.g. a value that holds a
-   third of all rows -- is known from the counts alone;
-3. rounds of histograms over what is left: each row in an open bracket sends its bucket
-   in that bracket, and one ``groupBy(bracket, bucket)`` counts them with
-   each bucket's min and max. A rank whose bucket holds one distinct value is
-   known; the others go on within their bucket. The ends of a bracket always
-   fall into different buckets, so every round narrows it.
+   every wanted rank (rank error <= n/accuracy). Where sketches of the parts of the table are
+   kept (``sketches.py``), they give the brackets, and this scan is saved;
+2. one aggregate sends what lies in the brackets, as counts per value, to a table in the shared
+   checkpoint folder, and counts the rows below each bracket. A value that holds a third of all
+   rows is one row there from the first combination on;
+3. a table of up to ``buckets`` values gives the ranks at once. A longer one is narrowed by rounds of
+   histograms over it, one ``groupBy(bracket, bucket)`` each, until each
+   rank's bucket holds one value. The input itself is not read again.
 
 Only fixed-size results reach the driver: one aggregate row, and at most
-``buckets`` histogram rows in total per round. The number of scans doesn't depend
+``buckets`` values or histogram rows in total at a time. The number of scans doesn't depend
 on the number of columns. NULL and NaN are ignored.
 """
 
@@ -28,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .sketches import SKETCH_ERROR, estimates
 from .types import qcol
 
 BUCKETS = 65_536
@@ -72,90 +73,116 @@ class _Rank:
         return self.c, self.lo, self.hi
 
 
-def _check(values: DataFrame, names: dict[str, str], ranks: list[_Rank], whole: dict[str, tuple[float, float]]) -> None:
-    """Step 2. A bracket that doesn't hold its rank is widened to the whole column."""
+def _gather(values: DataFrame, names: dict[str, str], ranks: list[_Rank], whole: dict[str, tuple[float, float]],
+            counts: dict[str, int], buckets: int) -> None:
+    """Steps 2 and 3 for ranks that aren't known. A bracket that doesn't hold its rank is widened to the whole column."""
     brackets = list(dict.fromkeys(r.bracket() for r in ranks))
-    if not brackets:
-        return
-    aggs = []
-    for j, (c, lo, hi) in enumerate(brackets):
-        x = F.col(names[c])
-        aggs += [F.count_if(x < lo).alias(f"b{j}"), F.count_if((x >= lo) & (x <= hi)).alias(f"i{j}"),
-                 F.count_if(x == lo).alias(f"l{j}"), F.count_if(x == hi).alias(f"h{j}")]
-    row = values.agg(*aggs).collect()[0]
+    entry = lambda j, x: F.struct(F.lit(j).alias("j"), x.alias("x"))
+    below = F.lit(None).cast("double")
+    entries = [F.when(F.col(names[c]) < lo, entry(j, below)).when(F.col(names[c]) <= hi, entry(j, F.col(names[c])))
+               for j, (c, lo, hi) in enumerate(brackets)]
+    known = list(counts)
+    entries += [F.when(F.col(names[c]).isNotNull(), entry(len(brackets) + i, below)) for i, c in enumerate(known)]
+    sent = values.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+    table = cut_lineage(sent.groupBy("e.j", "e.x").agg(F.count("*").alias("n")))
+    rows = table.limit(buckets + 1).collect()
+    whole_table = len(rows) <= buckets
+    if not whole_table:
+        rows = table.where("x IS NULL").collect()  # a row per bracket
+    under = {r["j"]: r["n"] for r in rows if r["x"] is None}
+    for i, c in enumerate(known):
+        if under.get(len(brackets) + i, 0) != counts[c]:
+            raise ValueError(f"the sketches hold {counts[c]} values of '{c}', the table {under.get(len(brackets) + i, 0)}")
+    by: dict[int, list] = {}
+    for r in sorted((r for r in rows if r["x"] is not None), key=lambda r: (r["j"], r["x"])):
+        by.setdefault(r["j"], []).append((r["x"], r["x"], r["n"]))
+    inside = {j: sum(n for *_, n in found) for j, found in by.items()} if whole_table else {
+        r["j"]: r["n"] for r in table.where("x IS NOT NULL").groupBy("j").agg(F.sum("n").alias("n")).collect()}
+    open_ = []
     for r in ranks:
         j = brackets.index(r.bracket())
-        below, inside = row[f"b{j}"], row[f"i{j}"]
-        at = r.k - below
-        if not 0 <= at < inside:
-            r.lo, r.hi = whole[r.c]
-        elif at < row[f"l{j}"]:
-            r.value = r.lo
-        elif at >= inside - row[f"h{j}"]:
-            r.value = r.hi
+        if 0 <= r.k - under.get(j, 0) < inside.get(j, 0):
+            r.below = under.get(j, 0)
+            open_.append((j, r))
         else:
-            r.below = below
-
-
-def _narrow(values: DataFrame, names: dict[str, str], ranks: list[_Rank], buckets: int) -> None:
-    """One round of step 3 for the open ranks."""
-    brackets = list(dict.fromkeys(r.bracket() for r in ranks))
-    each = max(2, buckets // len(brackets))
-    entries, hit = [], F.lit(False)
-    for j, (c, lo, hi) in enumerate(brackets):
-        x = F.col(names[c])
-        inside = (x >= lo) & (x <= hi)
-        hit = hit | inside
-        entries.append(F.when(inside, F.struct(F.lit(j).alias("j"), _bucket(x, lo, hi, each).alias("b"), x.alias("x"))))
-    sent = values.where(hit).select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
-    table = sent.groupBy("e.j", "e.b").agg(F.count("*").alias("n"), F.min("e.x").alias("l"), F.max("e.x").alias("h")).collect()
+            r.lo, r.hi = whole[r.c]
+    if whole_table:
+        for j, r in open_:
+            _step(r, by[j])
+        return
+    table = table.where("x IS NOT NULL")
+    while left := [(j, r) for j, r in open_ if r.value is None]:
+        _narrow(table, left, buckets)
+
+
+def _step(r: _Rank, found: list[tuple[float, float, int]]) -> None:
+    """To the bucket (lowest, highest value, rows) that holds the rank."""
+    for lo, hi, n in found:
+        if r.below + n > r.k:
+            r.lo, r.hi = lo, hi
+            if lo == hi:
+                r.value = lo
+            return
+        r.below += n
+
+
+def _narrow(table: DataFrame, ranks: list[tuple[int, _Rank]], buckets: int) -> None:
+    """One round of step 3 over the values of the brackets."""
+    parts = list(dict.fromkeys((j, r.lo, r.hi) for j, r in ranks))
+    each = max(2, buckets // len(parts))
+    x = F.col("x")
+    entries = [F.when((F.col("j") == j) & (x >= lo) & (x <= hi), F.struct(F.lit(i).alias("i"), _bucket(x, lo, hi, each).alias("b")))
+               for i, (j, lo, hi) in enumerate(parts)]
+    sent = table.select(F.explode(F.array_compact(F.array(*entries))).alias("e"), "x", "n")
+    found = sent.groupBy("e.i", "e.b").agg(F.sum("n").alias("n"), F.min("x").alias("l"), F.max("x").alias("h")).collect()
     by: dict[int, list] = {}
-    for row in sorted(table, key=lambda t: (t["j"], t["b"])):
-        by.setdefault(row["j"], []).append(row)
-    for r in ranks:
-        before = r.below
-        for row in by[brackets.index(r.bracket())]:
-            if before + row["n"] > r.k:
-                r.below, r.lo, r.hi = before, row["l"], row["h"]
-                if r.lo == r.hi:
-                    r.value = r.lo
-                break
-            before += row["n"]
+    for row in sorted(found, key=lambda t: (t["i"], t["b"])):
+        by.setdefault(row["i"], []).append((row["l"], row["h"], row["n"]))
+    for j, r in ranks:
+        _step(r, by[parts.index((j, r.lo, r.hi))])
 
 
-def exact_quantiles(df: DataFrame, columns, probs, *, buckets: int = BUCKETS, accuracy: int = 10_000) -> dict[str, list]:
+def exact_quantiles(df: DataFrame, columns, probs, *, buckets: int = BUCKETS, accuracy: int = 10_000,
+                    sketches: DataFrame | None = None) -> dict[str, list]:
     """Return ``{column: [quantile for p in probs]}``; ``None`` entries for
-    all-null columns. Values are compared as doubles; NULL and NaN are ignored."""
+    all-null columns. Values are compared as doubles; NULL and NaN are ignored.
+    ``sketches`` of the table (of all its parts, as kept by ``sketches.build``) save the first scan; those of
+    another table raise."""
     columns = list(dict.fromkeys(columns))
     probs = [float(p) for p in probs]
     if not columns:
         return {}
     names = {c: f"x{i}" for i, c in enumerate(columns)}
     values = df.select(*[_value(c).alias(x) for c, x in names.items()])
-    eps = 2.0 / accuracy
+    eps = 2.0 / accuracy if sketches is None else SKETCH_ERROR
     grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
-    aggs = []
-    for x in names.values():
-        aggs += [F.count(x).alias("n" + x), F.min(x).alias("lo" + x), F.max(x).alias("hi" + x), F.percentile_approx(x, grid, accuracy).alias("ap" + x)]
-    first = values.agg(*aggs).collect()[0]
+    if sketches is None:
+        aggs = []
+        for x in names.values():
+            aggs += [F.count(x).alias("n" + x), F.min(x).alias("lo" + x), F.max(x).alias("hi" + x), F.percentile_approx(x, grid, accuracy).alias("ap" + x)]
+        row = values.agg(*aggs).collect()[0]
+        first = {c: (row["n" + x], row["lo" + x], row["hi" + x], row["ap" + x]) for c, x in names.items()}
+    else:
+        first = estimates(sketches.where(F.col("column").isin(columns)), grid)
+        if absent := [c for c in columns if c not in first]:
+            raise ValueError(f"no sketches of {', '.join(absent)}")
     ranks: dict[tuple[str, int], _Rank] = {}
     whole: dict[str, tuple[float, float]] = {}
     plan: dict[str, list] = {}
-    for c, x in names.items():
-        n = first["n" + x]
+    for c, (n, least, most, near) in first.items():
         if not n:
             continue
-        whole[c] = first["lo" + x], first["hi" + x]
-        approx = dict(zip(grid, first["ap" + x], strict=True))
+        whole[c] = least, most
+        approx = dict(zip(grid, near, strict=True))
         plan[c] = [_positions(n, p) for p in probs]
         for p, (k0, k1, _) in zip(probs, plan[c], strict=True):
-            lo = approx[p - eps] if p - eps > 0 else whole[c][0]
-            hi = approx[p + eps] if p + eps < 1 else whole[c][1]
+            lo = approx[p - eps] if p - eps > 0 else least
+            hi = approx[p + eps] if p + eps < 1 else most
             for k in (k0, k1):  # neighbours share a bracket
                 ranks.setdefault((c, k), _Rank(c, k, lo, hi))
-    _check(values, names, list(ranks.values()), whole)
+    counts = {} if sketches is None else {c: first[c][0] for c in whole}
     while open_ := [r for r in ranks.values() if r.value is None]:
-        _narrow(values, names, open_, buckets)
+        _gather(values, names, open_, whole, counts, buckets)
     return {c: [_lerp(ranks[c, k0].value, ranks[c, k1].value, t) for k0, k1, t in plan[c]] if c in plan else [None] * len(probs)
             for c in columns}
 

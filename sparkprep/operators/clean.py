@@ -137,11 +137,9 @@ class FillNulls:
         values.update({c: q[0] for c, q in quantiles(df, meds, [0.5], self.exact).items()})
         values.update(mode_values(df, [c for c, s in plan.items() if s == "mode"]))
         for c, s in plan.items():
-            if s == "custom":
-                raw = self.strategies[c].get("value")
-                values[c] = _custom_value(df, c, raw, types[c])
-            elif s not in ("mean", "median", "mode"):
+            if s not in ("custom", "mean", "median", "mode"):
                 values[c] = None
+        values.update(_custom_values(df, {c: self.strategies[c].get("value") for c, s in plan.items() if s == "custom"}, types))
         values = {c: _jsonable(v) for c, v in values.items()}
         notes = [{"operation": "Fill Nulls", "column": c, "strategy": plan[c], "value": values[c],
                   **({"note": "no fill value; column unchanged"} if values[c] is None else {})}
@@ -149,15 +147,17 @@ class FillNulls:
         return FittedFill({"values": values, "strategies": plan}, {"summary": notes})
 
 
-def _custom_value(df: DataFrame, c: str, raw, dt):
-    if raw is None:
-        return None
-    if is_text(dt):
-        return str(raw)
-    row = df.sparkSession.range(1).select(F.lit(str(raw)).try_cast(dt).alias("v")).collect()[0]
-    if row["v"] is None:
-        raise TypeError(f"custom fill value {raw!r} does not fit column '{c}' of type {dt.simpleString()}")
-    return row["v"]
+def _custom_values(df: DataFrame, given: dict, types: dict) -> dict:
+    """The given values as their columns' types; one row for all of them."""
+    out = {c: None if raw is None else str(raw) for c, raw in given.items()}
+    typed = [c for c, raw in given.items() if raw is not None and not is_text(types[c])]
+    if typed:
+        row = df.sparkSession.range(1).select(*[F.lit(out[c]).try_cast(types[c]) for c in typed]).first()
+        for c, v in zip(typed, row, strict=True):
+            if v is None:
+                raise TypeError(f"custom fill value {given[c]!r} does not fit column '{c}' of type {types[c].simpleString()}")
+            out[c] = v
+    return out
 
 
 def _jsonable(v):

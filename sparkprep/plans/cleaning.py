@@ -3,7 +3,8 @@
 Order: de-duplicate -> drop rows with nulls -> fill -> drop columns -> remove
 outliers. Each step is fitted on the previous step's output. When a later step
 needs statistics and an earlier step shuffles (de-duplication), the
-intermediate is persisted so the fits do not recompute the shuffle.
+intermediate is written to the shared checkpoint folder, once: the fits and every
+reader of the output go on from there.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.clean import DropColumns, FillNulls, RemoveDuplicates, RemoveNulls, RemoveOutliers
+from ..session import cut_lineage
 from .base import FittedStep
 
 
@@ -40,7 +41,6 @@ class CleanResult:
     steps: list[FittedStep]
     stages: list[tuple[str, DataFrame]]     # (step name, output) after every step
     output: DataFrame
-    persisted: list[DataFrame] = field(default_factory=list)
 
     def change_log(self) -> DataFrame:
         return change_log(self.stages)
@@ -68,13 +68,8 @@ class CleanResult:
         return spark.createDataFrame(rows, "step int, operation string, column string, strategy string, value string, "
                                            "lower double, upper double, method string, factor double")
 
-    def release(self) -> None:
-        """Give back what was persisted; the output is recomputed when it is read again."""
-        for d in self.persisted:
-            d.unpersist()
 
-
-def run_cleaning(df: DataFrame, spec: CleanSpec, persist: bool = True) -> CleanResult:
+def run_cleaning(df: DataFrame, spec: CleanSpec) -> CleanResult:
     planned = []
     if spec.remove_duplicates:
         planned.append(("remove_duplicates", RemoveDuplicates(spec.duplicate_subset, spec.row_key)))
@@ -87,7 +82,7 @@ def run_cleaning(df: DataFrame, spec: CleanSpec, persist: bool = True) -> CleanR
     if spec.remove_outliers:
         planned.append(("remove_outliers", RemoveOutliers(spec.outlier_columns, spec.outlier_method,
                                                           spec.outlier_factor, (spec.row_key,), spec.exact)))
-    cur, steps, stages, persisted = df, [], [("input", df)], []
+    cur, steps, stages = df, [], [("input", df)]
     needs_stats = {"fill_nulls", "remove_outliers"}
     for i, (name, step) in enumerate(planned):
         fitted = step.fit(cur)
@@ -95,11 +90,10 @@ def run_cleaning(df: DataFrame, spec: CleanSpec, persist: bool = True) -> CleanR
         steps.append(fitted)
         stages.append((name, cur))
         later = {n for n, _ in planned[i + 1:]}
-        if persist and name == "remove_duplicates" and later & needs_stats:
-            cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
-            persisted.append(cur)
+        if name == "remove_duplicates" and later & needs_stats:
+            cur = cut_lineage(cur)
             stages[-1] = (name, cur)
-    return CleanResult(steps, stages, cur, persisted)
+    return CleanResult(steps, stages, cur)
 
 
 KEEPS_ROWS = ("fill_nulls", "drop_columns")

@@ -179,7 +179,6 @@ o AS (SELECT f.* FROM f, b WHERE value IS NULL OR value BETWEEN q1 - 1.5 * (q3 -
 @query("clean_run", CLEAN_RUN_SQL + "\nSELECT row_id, event_id, user_id, event_type, round(value, 6) AS value FROM o")
 def q_clean_run(spark, sf):
     res = run_cleaning(clean_events(spark, sf), CleanSpec(**CLEAN_RUN_SPEC))
-    res.release()
     return res.output.select("row_id", "event_id", "user_id", "event_type", r6(F.col("value")).alias("value"))
 
 
@@ -194,7 +193,6 @@ SELECT step, operation, rows_before, rows_after, rows_before - rows_after AS row
   SELECT *, lag(rows_after) OVER (ORDER BY step) AS rows_before FROM c) WHERE step > 0""")
 def q_change_log(spark, sf):
     res = run_cleaning(clean_events(spark, sf), CleanSpec(**CLEAN_RUN_SPEC))
-    res.release()
     return res.change_log()
 
 
@@ -209,7 +207,6 @@ UNION ALL SELECT 4, 'drop_columns', unnest(['props', 'ts']), NULL, NULL, NULL, N
 UNION ALL SELECT 5, 'remove_outliers', 'value', NULL, NULL, round(q1 - 1.5 * (q3 - q1), 6), round(q3 + 1.5 * (q3 - q1), 6), 'IQR', 1.5 FROM b""")
 def q_change_log_details(spark, sf):
     res = run_cleaning(clean_events(spark, sf), CleanSpec(**CLEAN_RUN_SPEC))
-    res.release()
     return res.details_frame(spark).withColumns({c: r6(F.col(c)) for c in ("lower", "upper")})
 
 

@@ -14,7 +14,6 @@ from . import query
 def _cleaned(spark, sf):
     original = clean_events(spark, sf)
     res = run_cleaning(original, CleanSpec(**CLEAN_RUN_SPEC))
-    res.release()
     return original, res.output
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..fixtures import clean_events, clean_events_sql, table
+from ..functions import sketches
+from ..functions.quantiles import exact_quantiles
 from ..operators.profile import (class_distribution, column_insights, column_profile, duplicate_count,
                                  first_values, missing_table, outlier_fences, outlier_table, preview_records,
                                  quality_score_table, target_analysis, target_classes, type_table)
+from ..session import ensure_checkpoint_dir
 from . import query, r6
 
 W = "WITH " + clean_events_sql()
@@ -195,3 +200,17 @@ FROM events GROUP BY event_type ORDER BY count DESC, event_type LIMIT 10""")
 def q_class_distribution(spark, sf):
     t = class_distribution(table(spark, sf, "events"), "event_type", 10)
     return t.withColumn("percentage", r6(F.col("percentage")))
+
+
+SKETCHED = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+@query("quantiles_from_daily_sketches", f"""
+SELECT unnest({list(SKETCHED)})::DOUBLE AS p, unnest(quantile_cont(value, {list(SKETCHED)})) AS value FROM events""")
+def q_quantiles_from_daily_sketches(spark, sf):
+    """Sketches of each day are kept and merged to brackets; the exact quantiles take one scan behind them."""
+    events = table(spark, sf, "events").select("ts", "value")
+    path = f"{ensure_checkpoint_dir(spark)}/sketches-{uuid.uuid4().hex[:10]}"
+    sketches.build(events, ["value"], F.to_date("ts")).write.parquet(path)
+    found = exact_quantiles(events, ["value"], SKETCHED, sketches=spark.read.parquet(path))["value"]
+    return spark.createDataFrame(list(zip(SKETCHED, found, strict=True)), "p double, value double")

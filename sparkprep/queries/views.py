@@ -127,7 +127,6 @@ SELECT row_id, list_sort(list_filter([CASE WHEN a3 IS DISTINCT FROM event_type T
 def q_updated_cell_flags(spark, sf):
     original = clean_events(spark, sf)
     res = run_cleaning(original, CleanSpec(**CLEAN_RUN_SPEC))
-    res.release()
     cleaned = res.output
     return V.flag_updated_cells(cleaned.select("row_id"), updated_cells(original, cleaned, "row_id"), "row_id")
 

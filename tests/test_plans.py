@@ -102,7 +102,6 @@ def test_cleaning_details_and_preview(spark, sf_dir):
     assert fills["value"]["strategy"] == "median" and fills["event_type"]["strategy"] == "mode"
     log = {r["operation"]: r["rows_removed"] for r in res.change_log().collect()}
     assert log["drop_columns"] == 0 and log["remove_duplicates"] > 0
-    res.release()
     p = dataset_preview(table(spark, sf_dir, "customer"), "c_custkey", 10)
     assert len(p["records"]) == 10 and p["total_rows"] > 10 and len(p["columns"]) == 5
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkprep.functions.quantiles import exact_quantiles
 from sparkprep.functions.rank import dense_codes, with_global_index, with_running_total
@@ -97,3 +98,28 @@ def test_approximate_mode_within_rank_error(spark):
     assert quantiles(df, ["x"], [0.5])["x"] == exact_quantiles(df, ["x"], [0.5])["x"]
     assert RemoveOutliers(["x"], exact=False).fit(df).params["bounds"]["x"]["lower"] is not None
     assert len(Binning(["x"], "quantile", 4, exact=False).fit(df).params["edges"]["x"]) == 5
+
+
+def test_quantiles_from_sketches_of_parts(spark, scratch):
+    from sparkprep.functions import sketches
+    rng = np.random.default_rng(8)
+    days = [rng.normal(size=n) * 10**k for k, n in enumerate((5000, 1, 30_000, 700))]
+    frames = [spark.createDataFrame([(f"d{k}", float(v), 7.0 if i % 3 else float("nan"), None) for i, v in enumerate(day)],
+                                    "day string, v double, hot double, none double") for k, day in enumerate(days)]
+    for k, part in enumerate(frames):  # a day is sketched when it arrives, and not read again
+        sketches.build(part, ["v", "hot", "none"], F.col("day")).write.mode("append").parquet(f"{scratch}/sketches")
+    kept = spark.read.parquet(f"{scratch}/sketches")
+    assert kept.count() == 12 and {r.column: r.n for r in sketches.merge(kept).collect()}["v"] == 35_701
+    whole = frames[0].unionAll(frames[1]).unionAll(frames[2]).unionAll(frames[3])
+    values = np.concatenate(days)
+    got = exact_quantiles(whole, ["v", "hot", "none"], PROBS, sketches=kept)
+    assert np.allclose(got["v"], np.quantile(values, PROBS), rtol=0, atol=0)
+    assert got["hot"] == [7.0] * len(PROBS) and got["none"] == [None] * len(PROBS)
+    assert exact_quantiles(whole, ["v"], PROBS, sketches=kept, buckets=16) == {"v": got["v"]}
+    near = sketches.estimates(kept, [0.5])["v"][3][0]
+    assert abs((values < near).mean() - 0.5) < sketches.SKETCH_ERROR
+
+    with pytest.raises(ValueError, match="the table"):
+        exact_quantiles(whole.limit(100), ["v"], PROBS, sketches=kept)
+    with pytest.raises(ValueError, match="no sketches"):
+        exact_quantiles(whole.withColumnRenamed("v", "w"), ["w"], PROBS, sketches=kept)
