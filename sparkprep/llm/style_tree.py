@@ -293,8 +293,9 @@ def _signed(number: int) -> int:
 
 
 def _node_kernel(named: bool):
-    """(host, path, never dull, layout, content) of every node above a text block; paths as hashes, or as text if ``named``."""
-    types = (pa.string(), pa.string() if named else pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+    """(host, path, layout, content) of the nodes above a text block: of all, with paths as text, if ``named``, or
+    else of those that can be dull, with paths as hashes."""
+    types = (pa.string(), pa.string() if named else pa.int64(), pa.int64(), pa.int64())
 
     def run(batches):
         for batch in batches:
@@ -302,34 +303,34 @@ def _node_kernel(named: bool):
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if source:
                     page = Page(source)
-                    rows += [(host, page.path(n) if named else page.key[n], page.fixed[n], _hash(" ".join(page.children[n])), _signed(content))
-                             for n, content in enumerate(page.below()) if n and content is not None]
+                    rows += [(host, page.path(n) if named else page.key[n], _hash(" ".join(page.children[n])), _signed(content))
+                             for n, content in enumerate(page.below()) if n and content is not None and (named or not page.fixed[n])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
-                                                 ["host", "path", "fixed", "layout", "content"])
+                                                 ["host", "path", "layout", "content"])
     return run
 
 
 def _counted(pages: DataFrame, url: str, html: str, named: bool = False) -> DataFrame:
-    """``n`` pages of each ``(host, path, fixed, layout, content)``."""
+    """``n`` pages of each ``(host, path, layout, content)``."""
     small_batches(pages.sparkSession)
     nodes = pages.select(F.coalesce(host_of(q(url)), F.lit("")).alias("host"), q(html).cast("string").alias("html")).mapInArrow(
-        _node_kernel(named), f"host string, path {'string' if named else 'long'}, fixed boolean, layout long, content long")
-    return nodes.groupBy("host", "path", "fixed", "layout", "content").agg(F.count("*").alias("n"))
+        _node_kernel(named), f"host string, path {'string' if named else 'long'}, layout long, content long")
+    return nodes.groupBy("host", "path", "layout", "content").agg(F.count("*").alias("n"))
 
 
 def site_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(host, path, pages, presentation, content, importance)`` of each node: both
     entropies as shares of log(pages), and the larger of them."""
-    return _tree(_counted(pages, url, html, named=True)).drop("fixed")
+    return _tree(_counted(pages, url, html, named=True))
 
 
 def _tree(counted: DataFrame) -> DataFrame:
-    entropy = lambda c: counted.groupBy("host", "path", "fixed", c).agg(F.sum("n").alias("n")).groupBy("host", "path", "fixed").agg(
+    entropy = lambda c: counted.groupBy("host", "path", c).agg(F.sum("n").alias("n")).groupBy("host", "path").agg(
         F.sum("n").alias("pages"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias(c))
-    both = entropy("layout").join(entropy("content").drop("pages", "fixed"), ["host", "path"])
+    both = entropy("layout").join(entropy("content").drop("pages"), ["host", "path"])
     share = lambda c: F.when(F.col("pages") > 1, F.col(c) / F.log("pages")).otherwise(1.0)
-    out = both.select("host", "path", "fixed", "pages", share("layout").alias("presentation"), share("content").alias("content"))
+    out = both.select("host", "path", "pages", share("layout").alias("presentation"), share("content").alias("content"))
     return out.withColumn("importance", F.greatest("presentation", "content"))
 
 
@@ -387,7 +388,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: dict[s
     nothing would be left keeps all that isn't furniture.
     """
     counted = _counted(pages, url, html)
-    branches = _tree(counted).where((F.col("pages") >= min_pages) & (F.col("importance") <= max_importance) & ~F.col("fixed"))
+    branches = _tree(counted).where((F.col("pages") >= min_pages) & (F.col("importance") <= max_importance))
     repeated = (F.log("pages") - F.log("n")) <= max_importance * F.log("pages")
     texts = branches.select("host", "path", "pages").join(counted.groupBy("host", "path", "content").agg(F.sum("n").alias("n")), ["host", "path"]).where(repeated)
     lists = texts.groupBy("host", "path").agg(F.collect_list("content").alias("contents"))
