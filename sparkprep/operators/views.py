@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rank import with_global_index
+from ..functions.rank_select import Key, rows_at
 from ..functions.types import qcol
 
 # fixed values of the rules
@@ -34,12 +34,10 @@ def sort_by(df: DataFrame, column: str, ascending: bool = True, tiebreak: list[s
     return df.orderBy(key, *[qcol(t).asc() for t in (tiebreak or [])])
 
 
-def page(df: DataFrame, order: list, page_no: int, size: int) -> DataFrame:
-    """V3/V5: 0-based page of ``size`` rows in a total order (names or sort expressions).
-    Rows are numbered by range partitions, so no task holds the rows before the page."""
-    start = page_no * size
-    numbered = with_global_index(df, order, "_pos")
-    return numbered.where((F.col("_pos") >= start) & (F.col("_pos") < start + size)).orderBy("_pos").drop("_pos")
+def page(df: DataFrame, order: list[Key | str], page_no: int, size: int) -> DataFrame:
+    """V3/V5: 0-based page of ``size`` rows in a total order. The ranges of keys that hold the page are found
+    by counting, and only their rows are sorted."""
+    return rows_at(df, order, page_no * size, size)
 
 
 def search_predictions(df: DataFrame, term: str, prediction: str, index: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..fixtures import clean_events, table
+from ..functions.rank_select import rows_at
 from ..operators import views as V
 from ..ml.train import run_training, save_training
 from ..operators.diff import updated_cells
@@ -34,7 +35,7 @@ ORDER BY c_acctbal DESC NULLS LAST, c_custkey OFFSET 20 LIMIT 20""")
 def q_table_filter_sort_page(spark, sf):
     df = table(spark, sf, "customer")
     f = V.contains_filter(df, {"c_mktsegment": "BUILD", "c_nationkey": "1"})
-    return V.page(f, [F.col("c_acctbal").desc_nulls_last(), F.col("c_custkey")], 1, 20) \
+    return V.page(f, [V.Key("c_acctbal", ascending=False), "c_custkey"], 1, 20) \
         .select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
 
 
@@ -45,10 +46,21 @@ OFFSET (SELECT count(*) // 100 - 3 FROM lineitem) * 50 LIMIT 50""")
 def q_page_deep_desc(spark, sf):
     """A page in the middle of the table, in descending order."""
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    order = [F.col("l_extendedprice").desc_nulls_last(), F.col("l_orderkey"), F.col("l_linenumber")]
+    order = [V.Key("l_extendedprice", ascending=False), "l_orderkey", "l_linenumber"]
     return V.page(df, order, df.count() // 100 - 3, 50)
 
 
+@query("page_by_counts", """
+SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice FROM lineitem
+ORDER BY l_returnflag DESC NULLS LAST, l_linenumber, l_extendedprice, l_orderkey
+OFFSET (SELECT count(*) // 2 FROM lineitem) LIMIT 50""")
+def q_page_by_counts(spark, sf):
+    """V3: the page is found by counting key ranges; each flag and line number holds a large share of the rows."""
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    order = [V.Key("l_returnflag", ascending=False), "l_linenumber", "l_extendedprice", "l_orderkey"]
+    return rows_at(df, order, df.count() // 2, 50, few=500)
+
+
 @query("table_sort", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice ASC NULLS FIRST, o_orderkey""")
 def q_table_sort(spark, sf):
     return V.sort_by(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", True,
@@ -71,7 +83,7 @@ WHERE confidence * 100 >= 60 AND confidence * 100 < 80 ORDER BY confidence DESC,
 def q_prediction_band_page(spark, sf):
     s = _scored(spark, sf)
     s = s.where(V.confidence_band(F.col("confidence")) == "medium")
-    return V.page(s, [F.col("confidence").desc(), F.col("idx")], 1, 10) \
+    return V.page(s, [V.Key("confidence", ascending=False), "idx"], 1, 10) \
         .select("idx", "prediction", r6(F.col("confidence")).alias("confidence"))
 
 

@@ -140,12 +140,12 @@ def test_approx_insights_close(spark, sf_dir):
 def test_deep_page_matches_offset(spark):
     from sparkprep.operators import views as V
     df = spark.range(300_000).select(F.col("id"), ((F.col("id") * 7919) % 1000).alias("v"))
-    order = [F.col("v"), F.col("id")]
+    order = ["v", "id"]
     deep = V.page(df, order, 150_000 // 50, 50).collect()
     shallow = df.orderBy(*order).offset(150_000).limit(50).collect()
     assert [tuple(r) for r in deep] == [tuple(r) for r in shallow]
     down = [F.col("v").desc(), F.col("id")]
-    assert [tuple(r) for r in V.page(df, down, 2500, 50).collect()] == [tuple(r) for r in df.orderBy(*down).offset(125_000).limit(50).collect()]
+    assert [tuple(r) for r in V.page(df, [V.Key("v", ascending=False), "id"], 2500, 50).collect()] == [tuple(r) for r in df.orderBy(*down).offset(125_000).limit(50).collect()]
 
 
 def test_leaderboard_helpers(spark):
@@ -192,3 +192,23 @@ def test_with_row_id(spark, sf_dir, scratch):
     csv = with_row_id(spark.read.csv(p, header=True))
     ids = [r["_orig_idx"] for r in csv.collect()]
     assert len(set(ids)) == 3
+
+
+def test_rows_at_ranks_against_sorting(spark):
+    import random
+
+    from sparkprep.functions.rank_select import Key, rows_at
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, 1.5, 1.5, 1.5, float("nan"), rng.random()]), rng.choice(["same prefix a", "same prefix b", "same prefix", "", None, "é"]),
+             rng.randrange(3), rng.random() < 0.5) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, x double, s string, k int, b boolean").withColumn("t", F.timestamp_seconds(F.col("id") % 50)).cache()
+    for order in ([Key("x"), Key("id")], [Key("s", ascending=False), Key("x", nulls_first=False), Key("id", False)], ["k", "b", "s", "id"],
+                  [Key("t", False), Key("s", True, False), "id"], [Key("x", False, True), "s", "id"]):
+        sort = [(k if isinstance(k, Key) else Key(k)).sort() for k in order]
+        want = [r.id for r in df.orderBy(*sort).collect()]
+        for first in (0, 95, 2000, 5990, 6000, 9000):
+            assert [r.id for r in rows_at(df, order, first, 20, few=100).collect()] == want[first:first + 20], (order, first)
+    hot = spark.range(50_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k")
+    plan = rows_at(hot, ["k", "id"], 30_000, 50, few=1000)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan and "Scan ExistingRDD" not in plan
+    df.unpersist()
