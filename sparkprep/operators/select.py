@@ -1,8 +1,8 @@
 """Correlation filter, variance threshold and PCA.
 
 The correlation filter's statistics are aggregates with a pairwise-complete
-Pearson expression per column pair (small fixed buffers, no data moved),
-batched at 256 pairs per job so wide tables do not build one giant plan. The
+Pearson expression per column pair (small fixed buffers, no data moved) up to 256 pairs; those of
+wider tables are summed up in matrices (``gram.py``). Either takes one scan. The
 decision table is a DataFrame
 (``correlation_pairs``) so it can be checked against SQL. PCA uses
 ``pyspark.ml`` on centred columns.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import pairwise_corr
 from ..functions.types import dtypes, is_numeric, is_numeric_or_bool, present, text_literal
 from ..plans.base import FittedStep, register
+from .gram import correlations
 
 
 def selection_columns(df: DataFrame, columns) -> list[str]:
@@ -27,7 +28,7 @@ def selection_columns(df: DataFrame, columns) -> list[str]:
     return [c for c in columns if c in types and is_numeric_or_bool(types[c])]
 
 
-PAIRS_PER_JOB = 256    # bounds the aggregate expressions per job (3 buffers per pair)
+PAIRS_AS_EXPRESSIONS = 256    # bounds the aggregate expressions of a plan (3 buffers per pair)
 
 
 def _pairs_frame(df: DataFrame, pairs) -> DataFrame:
@@ -38,6 +39,11 @@ def _pairs_frame(df: DataFrame, pairs) -> DataFrame:
     return stats.selectExpr(f"stack({len(pairs)}, {stack}) as (col_a, col_b, abs_corr)")
 
 
+def _matrix_frame(df: DataFrame, columns: list[str]) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in columns])
+    return correlations(df, columns).select(names[F.col("a")].alias("col_a"), names[F.col("b")].alias("col_b"), F.abs("corr").alias("abs_corr"))
+
+
 def correlation_pairs(df: DataFrame, columns, threshold: float) -> DataFrame:
     """Long table ``(col_a, col_b, abs_corr, exceeds)`` for every pair a before b
     (pairwise-complete Pearson; NULL where a column is constant)."""
@@ -45,10 +51,7 @@ def correlation_pairs(df: DataFrame, columns, threshold: float) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, abs_corr double, exceeds boolean")
-    out = None
-    for k in range(0, len(pairs), PAIRS_PER_JOB):
-        part = _pairs_frame(df, pairs[k:k + PAIRS_PER_JOB])
-        out = part if out is None else out.unionByName(part)
+    out = _pairs_frame(df, pairs) if len(pairs) <= PAIRS_AS_EXPRESSIONS else _matrix_frame(df, columns)
     return out.withColumn("exceeds", F.coalesce(F.col("abs_corr") > F.lit(float(threshold)), F.lit(False)))
 
 

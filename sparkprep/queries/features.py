@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import clean_events, clean_events_sql, table
 from ..operators import Binning, Encoding, FeatureCreation, FeatureSelection, Scaling
-from ..operators.select import correlation_decisions, selection_columns, variance_table
+from ..operators.select import correlation_decisions, correlation_pairs, selection_columns, variance_table
 from ..plans.features import FeatureSpec, run_features
 from . import query, r6
 
@@ -268,6 +268,21 @@ def q_corr_filter(spark, sf):
     return correlation_decisions(df, cols, 0.5)
 
 
+WIDE = [f"w{k}" for k in range(1, 27)]
+WIDE_EXPRS = [f"CASE WHEN (l_partkey + l_linenumber) % {k + 2} > 0 THEN (l_orderkey * {k}) % 97 + {k % 3} * l_quantity END AS w{k}" for k in range(1, 27)]
+WIDE_PAIRS = [(a, b) for i, a in enumerate(WIDE) for b in WIDE[i + 1:]]
+
+
+@query("corr_wide", f"""
+WITH w AS (SELECT {', '.join(WIDE_EXPRS)} FROM lineitem),
+c AS (SELECT [{', '.join(f'abs(corr({a}, {b}))' for a, b in WIDE_PAIRS)}] AS r FROM w)
+SELECT unnest({[a for a, _ in WIDE_PAIRS]}) AS col_a, unnest({[b for _, b in WIDE_PAIRS]}) AS col_b, round(unnest(r), 6) AS abs_corr FROM c""")
+def q_corr_wide(spark, sf):
+    """F14 over 325 pairs of columns with nulls, in one scan."""
+    wide = table(spark, sf, "lineitem").selectExpr(*WIDE_EXPRS)
+    return correlation_pairs(wide, WIDE, 0.9).select("col_a", "col_b", r6(F.col("abs_corr")).alias("abs_corr"))
+
+
 @query("variance_threshold", """
 SELECT 'l_quantity' AS "column", round(var_pop(l_quantity), 6) AS variance, var_pop(l_quantity) > 0.01 AS kept FROM lineitem
 UNION ALL SELECT 'l_discount', round(var_pop(l_discount), 6), var_pop(l_discount) > 0.01 FROM lineitem
