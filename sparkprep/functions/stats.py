@@ -19,8 +19,9 @@ def bias_corrected_skew(c: Column) -> Column:
 
 def pairwise_corr(x: Column, y: Column) -> Column:
     """Pearson on rows where both are non-null (pandas ``DataFrame.corr``);
-    NULL instead of an error when either side is constant."""
+    NULL when either side is constant there (its deviations needn't be exactly 0 when partial sums merge)."""
     both = x.isNotNull() & y.isNotNull()
     xs, ys = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
+    varies = (F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys))
+    return F.when(varies, F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys)))
 
