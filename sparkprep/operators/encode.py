@@ -37,12 +37,13 @@ def lookup_join(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 def distinct_sets(df: DataFrame, columns, limit: int | None) -> dict[str, list | None]:
     """Sorted distinct non-null values per column, or None when there are more
-    than ``limit`` (None: no limit). Two bounded jobs: an HLL screen, then ``collect_set`` only
-    on columns the screen shows to be small."""
+    than ``limit``. Two bounded jobs: an HLL screen, then ``collect_set`` only
+    on columns the screen shows to be small. Without a limit (None), each column's values come as rows, not as one
+    array in one task: as many as the columns that are made of them."""
     if not columns:
         return {}
     if limit is None:
-        return dict(zip(columns, df.agg(*[F.array_sort(F.collect_set(qcol(c))) for c in columns]).collect()[0]))
+        return {c: sorted(r[0] for r in df.select(qcol(c)).where(qcol(c).isNotNull()).distinct().collect()) for c in columns}
     screen = dict(zip(columns, df.agg(*[F.approx_count_distinct(qcol(c), 0.02) for c in columns]).collect()[0]))
     small = [c for c in columns if screen[c] <= limit * 1.5 + 10]
     out = {c: None for c in columns}

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rank_select import Key, rows_at
-from ..functions.types import qcol
+from ..functions.types import dtypes, present, qcol
 
 # fixed values of the rules
 HIGH, MEDIUM = 80.0, 60.0
@@ -94,6 +94,19 @@ def schema_check(df: DataFrame, expected: list[str]) -> dict:
             "extra": [c for c in df.columns if c not in expected]}
 
 
+def schema_report(df: DataFrame, expected: list[str]) -> DataFrame:
+    """V10 with the data: ``(column, status, present)`` of every expected or given column; ``present`` counts its
+    non-null values (one aggregate), null where the column is missing."""
+    types = dtypes(df)
+    here = [c for c in df.columns]
+    counted = df.agg(*[F.count(present(c, types[c])).alias(f"n{i}") for i, c in enumerate(here)])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit("expected" if c in expected else "extra").alias("status"), F.col(f"n{i}").alias("present"))
+            for i, c in enumerate(here)]
+    rows += [F.struct(F.lit(c).alias("column"), F.lit("missing").alias("status"), F.lit(None).cast("long").alias("present"))
+             for c in expected if c not in here]
+    return counted.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def model_family(name: Column) -> Column:
     out = None
     for words, fam in FAMILIES:

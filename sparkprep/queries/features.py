@@ -380,3 +380,17 @@ def q_feature_run(spark, sf):
     df = table(spark, sf, "customer").drop("c_name")
     res = run_features(df, FeatureSpec.from_dicts(FEATURE_RUN_SPEC))
     return res.output.withColumn("c_acctbal", r6(F.col("c_acctbal")))
+
+
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("corr_filter_all_numeric", "WITH c AS (" + "\nUNION ALL ".join(
+    f"SELECT '{b}' AS \"column\", " + " OR ".join(f"coalesce(abs(corr({a}, {b})) > 0.5, false)" for a in LINE_NUMBERS[:i]) + " AS dropped FROM lineitem"
+    for i, b in enumerate(LINE_NUMBERS) if i) + """)
+SELECT 'l_orderkey' AS "column" UNION ALL SELECT "column" FROM c WHERE NOT dropped UNION ALL SELECT 'l_returnflag'""")
+def q_corr_filter_all_numeric(spark, sf):
+    """no columns named, so all numeric ones are filtered; others stay."""
+    df = table(spark, sf, "lineitem").select(*LINE_NUMBERS, "l_returnflag")
+    left = FeatureSelection([], "correlation_filter", 0.5).fit(df).transform(df)
+    return spark.createDataFrame([(c,) for c in left.columns], "column string")

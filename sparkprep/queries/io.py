@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..fixtures import table
+from ..operators import FeatureCreation
 from ..session import ensure_checkpoint_dir
-from ..sources.readers import ingest_to_parquet, load_table, read_json
+from ..sources.readers import ingest_to_parquet, load_table, read_json, save_csv_text_as_parquet
 from ..sources.sinks import export_csv, write_json_arrays, write_stage, write_verified
 from . import query
 
@@ -106,6 +107,27 @@ def q_stage_write_verified(spark, sf):
     return spark.read.parquet(info["path"])
 
 
+@query("stage_write_engineered", """
+SELECT c_custkey, c_acctbal, round(c_acctbal * c_acctbal, 4) AS squared, 'feature_engineered_customer.parquet' AS stage FROM customer""")
+def q_stage_write_engineered(spark, sf):
+    """The feature stage, under its name."""
+    df = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    step = FeatureCreation(["c_acctbal"], "polynomial", 2).fit(df)
+    info = write_stage(step.transform(df), _scratch(spark, "stages"), f"{sf}/customer.parquet", "engineered")
+    return spark.read.parquet(info["path"]).select("c_custkey", "c_acctbal", F.round("c_acctbal^2", 4).alias("squared"),
+                                                   F.lit(info["path"].rsplit("/", 1)[1]).alias("stage"))
+
+
+@query("csv_text_to_parquet", CUSTOMER_CSV_SQL)
+def q_csv_text_to_parquet(spark, sf):
+    """A CSV text saved as a Parquet table."""
+    path = _scratch(spark, "text") + "/customer.csv"
+    export_csv(table(spark, sf, "customer"), path)
+    target = _scratch(spark, "saved") + "/customer.parquet"
+    save_csv_text_as_parquet(spark, path, target)
+    return spark.read.parquet(target)
+
+
 @query("nested_to_parquet", """
 SELECT o_orderkey, '{"k":' || CAST(o_orderkey AS VARCHAR) || ',"s":"' || o_orderstatus || '"}' AS nested,
        round(o_totalprice, 2) AS price FROM orders""")

@@ -14,10 +14,11 @@ from ..fixtures import table
 from ..ml.boosting import SoftmaxBoosting
 from ..ml.encode import apply_codes, fit_train_codes
 from ..ml.metrics import classification_metrics, confusion_table, regression_metrics, residuals, roc_auc
-from ..ml.predict import load_model, predict
+from ..ml.predict import extra_columns, load_model, looks_raw, missing_features, predict
 from ..ml.registry import regression_models
-from ..ml.split import hash_split, stratified_split
+from ..ml.split import hash_split, prepare_split, stratified_split
 from ..ml.train import run_training, save_training, with_label
+from ..operators import Encoding
 from ..plans.features import FeatureSpec, run_features
 from ..session import ensure_checkpoint_dir
 from ..sources.registry import list_models
@@ -270,3 +271,54 @@ def q_holdout_linear_metrics(spark, sf):
     m = res.results[0]["metrics"]
     return spark.createDataFrame([(round(m["mae"], 2), round(m["rmse"], 2), round(m["r2_score"], 6))],
                                  "mae double, rmse double, r2_score double")
+
+
+def _warned(source: str, target: str) -> str:
+    """Rows, test rows of the split by class, and the warnings they bring."""
+    return f"""SELECT '{source}' AS source, n, t,
+  CASE WHEN n < 100 THEN 'Very small dataset (' || n || ' samples). Results may not be reliable.' END AS w1,
+  CASE WHEN t < 20 THEN 'Very small test set (' || t || ' samples). Consider using cross-validation.' END AS w2
+FROM (SELECT sum(c)::BIGINT AS n, sum(floor(0.2 * c + 0.5))::BIGINT AS t FROM (SELECT {target}, count(*) AS c FROM {source} WHERE {target} IS NOT NULL GROUP BY 1))"""
+
+
+@query("split_warnings", "WITH w AS (" + _warned("nation", "n_regionkey") + "\nUNION ALL " + _warned("orders", "o_orderpriority") + """)
+SELECT source, n AS rows, t AS test_rows, concat_ws(' ', w1, w2) AS warnings FROM w""")
+def q_split_warnings(spark, sf):
+    """M4: what a split warns of."""
+    rows = []
+    for source, key, target in (("nation", "n_nationkey", "n_regionkey"), ("orders", "o_orderkey", "o_orderpriority")):
+        _, warnings, counts = prepare_split(table(spark, sf, source), target, key)
+        rows.append((source, counts["rows"], counts["test_rows"], " ".join(warnings)))
+    return spark.createDataFrame(rows, "source string, rows long, test_rows long, warnings string")
+
+
+@query("leakage_warning", f"""
+WITH s AS (SELECT l_extendedprice AS y, l_extendedprice * 2 AS x, {MD5_BUCKET.format(k="concat_ws('-', l_orderkey, l_linenumber)")} < 2000 AS is_test FROM lineitem),
+c AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s WHERE NOT is_test),
+r AS (SELECT 1 - avg((y - a - b * x) * (y - a - b * x)) / var_pop(y) AS r2 FROM s, c WHERE is_test)
+SELECT 'linear_regression' AS best_model, round(r2, 4) AS score, r2 >= 0.99 AS warned FROM r""")
+def q_leakage_warning(spark, sf):
+    """A feature that gives the target away is warned of."""
+    li = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_key"),
+                                             (F.col("l_extendedprice") * 2).alias("twice"), "l_extendedprice")
+    res = run_training(li, "l_extendedprice", "row_key", ["linear_regression"], problem_type="regression")
+    warned = any(w.startswith("Suspiciously high score") for w in res.warnings)
+    return spark.createDataFrame([(res.best_model, round(res.results[0]["score"], 4), warned)], "best_model string, score double, warned boolean")
+
+
+@query("raw_detection", """
+WITH n AS (SELECT count(*) AS rows, count(lang) AS spoken FROM documents),
+v AS (SELECT string_agg('in_' || lang, ',' ORDER BY lang) AS made FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))
+SELECT 'raw' AS form, true AS looks_raw, (SELECT made FROM v) AS missing, 'lang' AS extra, rows, spoken FROM n
+UNION ALL SELECT 'encoded', false, '', '', rows, NULL FROM n""")
+def q_raw_detection(spark, sf):
+    """Raw rows are told from encoded ones by the columns that the model's features were made from."""
+    docs = table(spark, sf, "documents").select(F.col("lang").alias("in"), "n_chars")
+    step = Encoding(["in"], "one-hot").fit(docs)
+    features = [*step.makes(), "n_chars"]
+    rows = []
+    for form, df in (("raw", docs), ("encoded", step.transform(docs))):
+        named = ["lang" if c == "in" else c for c in extra_columns(df, features)]
+        counts = df.agg(F.count("*"), F.count("in") if "in" in df.columns else F.lit(None).cast("long")).first()
+        rows.append((form, looks_raw(df, features), ",".join(sorted(missing_features(df, features))), ",".join(named), *counts))
+    return spark.createDataFrame(rows, "form string, looks_raw boolean, missing string, extra string, rows long, spoken long")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..fixtures import clean_events, clean_events_sql, table
 from ..functions import sketches
 from ..functions.quantiles import exact_quantiles
-from ..operators.profile import (class_distribution, column_insights, column_profile, duplicate_count,
+from ..operators.profile import (class_distribution, column_insights, column_profile, dataset_preview, duplicate_count,
                                  first_values, missing_table, outlier_fences, outlier_table, preview_records,
                                  quality_score_table, target_analysis, target_classes, type_table)
 from ..session import ensure_checkpoint_dir
@@ -214,3 +214,16 @@ def q_quantiles_from_daily_sketches(spark, sf):
     sketches.build(events, ["value"], F.to_date("ts")).write.parquet(path)
     found = exact_quantiles(events, ["value"], SKETCHED, sketches=spark.read.parquet(path))["value"]
     return spark.createDataFrame(list(zip(SKETCHED, found, strict=True)), "p double, value double")
+
+
+@query("dataset_preview", f"""
+WITH p AS ({_profile_sql()})
+SELECT *, (SELECT count(*) FROM customer) AS total_rows, least(20, (SELECT count(*) FROM customer)) AS records,
+  (SELECT list(c_custkey ORDER BY c_custkey)[20] FROM customer) AS last_key FROM p""")
+def q_dataset_preview(spark, sf):
+    """The profile, the first records in key order and the number of rows."""
+    p = dataset_preview(table(spark, sf, "customer"), "c_custkey", 20)
+    rows = [(c["column"], c["dtype"], c["null_count"], c["sample"], c["distinct_count"], p["total_rows"], len(p["records"]),
+             p["records"][-1]["c_custkey"]) for c in p["columns"]]
+    return spark.createDataFrame(rows, "column string, dtype string, null_count long, sample string, distinct_count long, total_rows long, "
+                                       "records long, last_key long")

@@ -450,3 +450,33 @@ def q_column_eligibility(spark, sf):
 @query("column_eligibility_orders", "WITH " + _eligibility_sql("orders", "orders"))
 def q_column_eligibility_orders(spark, sf):
     return R.column_eligibility(table(spark, sf, "orders"))
+
+
+FIRST_TEN = """SELECT '{c}' AS "column", list(v ORDER BY first)[:10] AS samples
+FROM (SELECT {c}::VARCHAR AS v, min(c_custkey) AS first FROM customer WHERE {c} IS NOT NULL GROUP BY 1) GROUP BY 1"""
+
+
+@query("dataset_analysis", "WITH s AS (" + "\nUNION ALL ".join(FIRST_TEN.format(c=c) for c in ("c_name", "c_nationkey", "c_mktsegment")) + """),
+n AS (SELECT count(*) AS total_rows FROM customer)
+SELECT 'customer.parquet' AS filename, "column", array_to_string(samples, '|') AS samples, total_rows, 4::BIGINT AS total_columns FROM s, n""")
+def q_dataset_analysis(spark, sf):
+    """The analysis bundle; insights, suggestions, order and notes have queries of their own."""
+    a = R.analyze_dataset(table(spark, sf, "customer").drop("c_acctbal"), "customer.parquet", row_key="c_custkey")
+    rows = [(a["filename"], c["name"], "|".join(map(str, c["sample_values"])), a["total_rows"], a["total_columns"])
+            for c in a["column_insights"] if c["name"] != "c_custkey"]
+    return spark.createDataFrame(rows, "filename string, column string, samples string, total_rows long, total_columns long")
+
+
+@query("training_advice", "WITH m AS (" + _models_sql("labels", "quality", 2, True) + """)
+SELECT m.*, 'classification' AS problem_type, (SELECT count(quality) FROM labels) AS n_samples, 2::BIGINT AS n_features,
+  (SELECT string_agg(quality || ':' || n, ',' ORDER BY n DESC, quality) FROM (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1)) AS classes
+FROM m""")
+def q_training_advice(spark, sf):
+    """Target analysis with its classes, problem type and model list in one."""
+    t = R.training_recommendations(table(spark, sf, "labels"), "quality")
+    found = sorted(t["target_analysis"]["class_distribution"].items(), key=lambda kv: (-kv[1], kv[0]))
+    classes = ",".join(f"{v}:{n}" for v, n in found)
+    rows = [("quality", m["rank"], m["model_id"], m["model_name"], m["reason"], m["recommended"], m["priority"], t["problem_type"],
+             t["n_samples"], t["n_features"], classes) for m in t["recommended_models"]]
+    return spark.createDataFrame(rows, "target string, rank int, model_id string, model_name string, reason string, recommended boolean, "
+                                       "priority string, problem_type string, n_samples long, n_features long, classes string")

@@ -161,9 +161,13 @@ def q_leaderboard(spark, sf):
 
 
 @query("model_groups", """
-SELECT 'documents.parquet' AS file, unnest(['quality', 'toxic']) AS target, 1::BIGINT AS n""")
+WITH j AS (SELECT l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id))
+SELECT 'documents.parquet' AS file, 'quality' AS target, 1::BIGINT AS n, count(quality) AS rows FROM j
+UNION ALL SELECT 'documents.parquet', 'toxic', 1, count(toxic) FROM j""")
 def q_model_groups(spark, sf):
-    return V.group_models(_trained(spark, sf)).select("file", "target", "n")
+    models = _trained(spark, sf)
+    rows = models.groupBy(F.col("target_column").alias("target")).agg(F.max("dataset_info.rows").alias("rows"))
+    return V.group_models(models).join(rows, "target").select("file", "target", "n", "rows")
 
 
 @query("top_models")
@@ -171,9 +175,12 @@ def q_top_models(spark, sf):
     return V.top_k(_trained(spark, sf), "score", 3, "target_column").select("target_column", "best_model", r6(F.col("score")).alias("score"))
 
 
+EXPECTED = ["c_custkey", "c_name", "c_acctbal", "c_phone", "c_comment"]
+
+
 @query("schema_check", """
-SELECT unnest(['c_phone', 'c_comment']) AS "column", 'missing' AS status
-UNION ALL SELECT unnest(['c_nationkey', 'c_mktsegment']), 'extra'""")
+SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment', 'c_phone', 'c_comment']) AS "column",
+  unnest(['expected', 'expected', 'extra', 'expected', 'extra', 'missing', 'missing']) AS status,
+  unnest([count(c_custkey), count(c_name), count(c_nationkey), count(c_acctbal), count(c_mktsegment), NULL, NULL]) AS present FROM customer""")
 def q_schema_check(spark, sf):
-    found = V.schema_check(table(spark, sf, "customer"), ["c_custkey", "c_name", "c_acctbal", "c_phone", "c_comment"])
-    return spark.createDataFrame([(c, k) for k, cs in found.items() for c in cs], "column string, status string")
+    return V.schema_report(table(spark, sf, "customer"), EXPECTED)

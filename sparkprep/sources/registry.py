@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: What the list shows of a document; ``score`` and ``metrics`` are the best model's.
 LISTED = ("model_id string, problem_type string, target_column string, best_model string, created_at string, "
-          "filename string, score double, metrics map<string,double>")
+          "filename string, score double, metrics map<string,double>, dataset_info struct<rows:long,train_rows:long,test_rows:long,features:long>")
 
 
 def list_models(spark: SparkSession, results_dir: str) -> DataFrame:
