@@ -47,23 +47,74 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once; written out in every place, nested expressions would grow without end."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    up = lambda held: F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))
+    resolved = F.aggregate(parts, F.array().cast("array<string>"), lambda held, part: F.when(part == "..", up(held)).when(part == ".", held).otherwise(
+        F.concat(held, F.array(part))))
+    end = F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise("")
+    whole = let(resolved, lambda kept: F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, end).otherwise("")))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), whole).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """Host, path and query: the name by which aliases are compared (no scheme, no fragment)."""
+    """Host, path and query: the name by which aliases are compared (no scheme, no fragment, dot segments resolved)."""
     rest = _rest(url)
     host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), string.ascii_uppercase, string.ascii_lowercase)
-    place = F.regexp_replace(F.regexp_extract(rest, "^[^/?#]*([^#]*)", 1), r"^(?=$|\?)", "/")
-    return F.when(host != "", F.concat(host, place))
+    path = F.regexp_replace(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), "^$", "/")
+    return F.when(host != "", F.concat(host, let(path, without_dots), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)?", 1)))
+
+
+#: What isn't markup of the page: comments, and elements whose content is text.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template|textarea|title)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\z)"
+#: A tag up to its end; a quoted value may hold a ``>``.
+LINK_TAG, META_TAG, BASE_TAG = (rf"(?i)<{name}(?=[\s/])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>" for name in ("link", "meta", "base"))
+ATTRIBUTE = r"[^\s\"'>/=]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+
+
+def decoded(text: Column) -> Column:
+    """Character references of numbers, and those of the markup's own characters."""
+    number = r"^(?:[xX]([0-9A-Fa-f]{1,6})|([0-9]{1,7}));?"
+    code = lambda p: F.coalesce(F.conv(F.nullif(F.regexp_extract(p, number, 1), F.lit("")), 16, 10),
+                                F.regexp_extract(p, number, 2)).try_cast("int")
+    known = lambda c: c.between(32, 0x10FFFF) & ~c.between(0xD800, 0xDFFF)
+    char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+    rest = lambda parts: F.transform(F.slice(parts, 2, 1 << 20), lambda p: let(code(p), lambda c: F.when(
+        known(c), F.concat(char(c), F.regexp_replace(p, number, ""))).otherwise(F.concat(F.lit("&#"), p))))
+    out = let(F.split(text, "&#"), lambda parts: F.concat(F.get(parts, F.lit(0)), F.array_join(rest(parts), "")))
+    for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
+    return out
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's first attribute of a name; null without one."""
+    first = F.get(F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda x: F.lower(x).rlike(rf"^{name}\s*=")), F.lit(0))
+    return F.btrim(decoded(F.regexp_replace(F.regexp_extract(first, r"(?s)^[^=]*=\s*(.*)$", 1), "^[\"']|[\"']$", "")), F.lit(" \t\n\r\f"))
 
 
 def link_targets(html: Column) -> Column:
-    """Raw targets of the canonical and refresh tags, comments aside."""
-    seen = F.when(F.lower(html).rlike("canonical|refresh"), F.regexp_replace(html, "(?s)<!--.*?-->", ""))
-    tags = F.concat(F.regexp_extract_all(seen, F.lit(r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0)),
-                    F.regexp_extract_all(seen, F.lit(r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0)))
-    target = lambda t: F.when(
-        F.lower(F.substring(t, 1, 5)) == "<link", F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'>\s]*)", 1)).otherwise(
-        F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'>\s]*)", 1))
-    return F.transform(tags, lambda t: F.replace(target(t), F.lit("&amp;"), F.lit("&")))
+    """Raw targets of the canonical and refresh tags; comments, scripts and the like aside."""
+    seen = F.when(F.lower(html).rlike("canonical|refresh"), F.regexp_replace(html, HIDDEN, " "))
+    tags = lambda pattern: F.regexp_extract_all(seen, F.lit(pattern), F.lit(0))
+    rel = lambda t: F.split(F.lower(F.coalesce(attribute(t, "rel"), F.lit(""))), r"\s+")
+    links = F.transform(F.filter(tags(LINK_TAG), lambda t: F.array_contains(rel(t), "canonical")), lambda t: attribute(t, "href"))
+    metas = F.transform(F.filter(tags(META_TAG), lambda t: F.lower(attribute(t, "http-equiv")) == "refresh"),
+                        lambda t: F.regexp_extract(attribute(t, "content"), r"(?i)(?:^|[;,\s])url\s*=\s*[\"']?([^\"']*)", 1))
+    return F.filter(F.concat(links, metas), lambda t: t.isNotNull())
+
+
+def base_of(html: Column) -> Column:
+    """Raw target of the first base tag, where the page has links that count; null without one."""
+    seen = F.when(F.lower(html).rlike("canonical|refresh") & F.lower(html).contains("<base"), F.regexp_replace(html, HIDDEN, " "))
+    found = F.transform(F.regexp_extract_all(seen, F.lit(BASE_TAG), F.lit(0)), lambda t: attribute(t, "href"))
+    return F.get(F.filter(found, lambda t: t.isNotNull()), F.lit(0))
 
 
 def resolve(host: Column, path: Column, target: Column) -> Column:
@@ -75,7 +126,7 @@ def resolve(host: Column, path: Column, target: Column) -> Column:
             .when(target.startswith("//"), F.concat(F.lit("http:"), target))
             .when(target.startswith("/"), F.concat(root, target))
             .when(target.startswith("?"), F.concat(root, path, target))
-            .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), F.regexp_replace(target, r"^(\./)+", ""))))
+            .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), target)))
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -101,8 +152,12 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(u, v)`` node names of a page and of what it names as its canonical or redirect place."""
     of = pages.select(node_of(q(url)).alias("u"), host_of(q(url)).alias("host"), path_of(q(url)).alias("path"),
-                      F.explode(link_targets(q(html))).alias("target"))
-    to = of.select("u", F.explode(F.array(resolve(F.col("host"), F.col("path"), F.col("target")))).alias("to"))
+                      base_of(q(html)).alias("base"), F.explode(link_targets(q(html))).alias("target"))
+    base = resolve(F.col("host"), F.col("path"), F.col("base"))
+    place = lambda b: F.struct(F.when(b.isNotNull(), host_of(b)).otherwise(F.col("host")).alias("host"),
+                               F.when(b.isNotNull(), path_of(b)).otherwise(F.col("path")).alias("path"))
+    of = of.select("u", "target", F.explode(F.array(let(base, place))).alias("at"))
+    to = of.select("u", F.explode(F.array(resolve(F.col("at.host"), F.col("at.path"), F.col("target")))).alias("to"))
     return to.select("u", node_of(F.col("to")).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
 
 

@@ -47,6 +47,37 @@ def test_aliases_take_block_but_not_over_an_allow(spark):
                    5: ("example.net/en/", "allow"), 6: (None, "allow"), 7: (None, "allow")}
 
 
+@pytest.mark.parametrize("html, blocked", [
+    ('<link rel="shortlink canonical" href=http://spam.net/p>', True),
+    ("<link rel='CANONICAL' data-href='http://fine.com/' href='http://spam.net/p'>", True),
+    ('<link title="a > b" href="http://spam.net/p" rel=canonical>', True),
+    ("<link rel=canonical href=http&#58;//spam.net/&#x70;>", True),
+    ("<link rel=canonical href=' http://spam.net/x/../p '>", True),
+    ("<link rel=canonical href=http://spam.net/./x/y/.././../p>", True),
+    ('<base href="http://spam.net/q/"><link rel=canonical href=../p>', True),
+    ('<base href="//spam.net"><link rel=canonical href=/p>', True),
+    ('<meta content="5; url=\'http://spam.net/p\'" http-equiv=refresh>', True),
+    ("<!-- open <link rel=canonical href=http://spam.net/p>", False),
+    ("<link rel=canonical-x href=http://spam.net/p>", False),
+    ("<link data-rel=canonical href=http://spam.net/p>", False),
+    ('<link title="rel=canonical" href=http://spam.net/p>', False),
+    ("<link-x rel=canonical href=http://spam.net/p>", False),
+    ("<script>var a = '<link rel=canonical href=http://spam.net/p>'</script>", False),
+    ("<link rel=canonical>", False),
+    ("<link rel=canonical href=http://spam.net/P>", True)])  # the place itself is blocked
+def test_forms_of_alias_links(spark, html, blocked):
+    rows = [(1, "http://fine.com/a/b", "canonical " + html), (2, "http://spam.net/p", None)]
+    got = {r[0]: r[4] for r in judged(spark, rows)}
+    assert got == {1: "block" if blocked else "allow", 2: "block"}
+
+
+def test_alias_links_of_long_pages_and_dots_in_urls(spark):
+    filler = "<p title='x > y'>word &#38; &amp; " * 200_000
+    rows = [(1, "http://fine.com/a", filler + "<link rel=canonical href=/x/../b>"), (2, "http://fine.com/c/../b", "<link rel=canonical href=http://spam.net/>"),
+            (3, "http://fine.com/..", None), (4, "http://fine.com/b/", None)]
+    assert {r[0]: r[4] for r in judged(spark, rows)} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
 def test_empty_pages(spark):
     assert judged(spark, []) == []
 
