@@ -53,14 +53,15 @@ f AS (
   SELECT *, n_words < 20 AS f1, 100 * n_repeat_words > 30 * n_words AS f2, 100 * n_symbols > 10 * word_chars AS f3,
     100 * n_dup_lines > 30 * n_lines AS f4 FROM m),
 k AS (
-  SELECT source, count(*) AS n, unnest([1, 2, 3, 4]) AS rule,
-    unnest([sum(f1::INT), sum(f2::INT), sum(f3::INT), sum(f4::INT)])::DOUBLE AS k
+  SELECT source, count(*) AS n, unnest([1, 2, 3, 4, 5]) AS rule,
+    unnest([sum(f1::INT), sum(f2::INT), sum(f3::INT), sum(f4::INT), sum((f1 OR f2 OR f3 OR f4)::INT)])::DOUBLE AS k
   FROM f WHERE source IS NOT NULL AND source <> '' GROUP BY source),
 prior AS (SELECT rule, sum(n) AS total, count(*) AS hosts, sum(k) / sum(n) AS m, sum(k * k / n) / sum(n) AS q FROM k GROUP BY rule),
 wt AS (
   SELECT *, CASE WHEN q - m * m - m * (1 - m) * hosts / total > 0
     THEN greatest(m * (1 - m) / (q - m * m - m * (1 - m) * hosts / total) - 1, 1.0) ELSE total END AS weight FROM prior),
-h AS (SELECT source, max((k + weight * m) / (n + weight)) > 0.5 AS host_failed FROM k JOIN wt USING (rule) GROUP BY source),
+h AS (SELECT source, bool_or((k + weight * m) / (n + weight) > CASE WHEN rule < 5 THEN 0.5 ELSE m + 0.5 * (1 - m) END) AS host_failed
+  FROM k JOIN wt USING (rule) GROUP BY source),
 verdicts AS (
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, f.source AS host,
     coalesce(host_failed, false) AS host_failed, NOT (f1 OR f2) AND NOT coalesce(host_failed, false) AS kept

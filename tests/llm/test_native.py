@@ -102,6 +102,22 @@ def test_host_rule_counts_against_brute_force(spark):
         assert r.base_failed == (len(w) < 20 or 100 * r.n_repeat_words > 30 * len(w))
 
 
+def test_sql_of_host_rules_where_the_rate_of_any_failure_decides(spark, scratch):
+    import duckdb
+
+    from sparkprep.llm import queries
+    prose = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    short, repeated, symbols = "too short", "a b c d e f g h " * 9, lambda i: " ".join(f"#$%&|<>{i}{j}" for j in range(30))
+    rows = [(i, (short, short, repeated, repeated, symbols(i))[i % 5] if i % 20 else prose(i), "en", "bad", 0) for i in range(200)]
+    rows += [(1000 + i, prose(i) if i % 4 else short, "en", f"good{i % 30}", 0) for i in range(900)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{scratch}/documents.parquet")
+    got = sorted(map(tuple, queries.QUERIES["op2_host_rules"](spark, scratch).select("doc_id", "host_failed", "kept").collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{scratch}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, host_failed, kept FROM ({queries.ORACLES['op2_host_rules']})").fetchall())
+    assert got == want and {i < 1000 for i, failed, _ in got if failed} == {True} and sum(f for _, f, _ in got) == 200
+
+
 def test_bad_host_takes_its_documents_and_shrinkage_protects_small_ones(spark):
     good = " ".join(f"word{i}" for i in range(30))
     rows = [(i, "short", "en", "bad", 0) for i in range(40)] + [(100, good, "en", "bad", 0)]
