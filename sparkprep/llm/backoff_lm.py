@@ -14,7 +14,8 @@ frequent n-gram is one number for each block, and no row or group grows with its
 
 Defined cases: words are runs of bytes other than ASCII white space, with A-Z
 lower-cased; a null or empty text has no tokens and a null score; repeated rows count each,
-and are scored row by row; an empty table gives an empty result. N-grams are known by
+and are scored row by row; a long text makes a block of its own, which one task holds; a count equal to the least one
+isn't backed off; other columns aren't read; an empty table gives an empty result. N-grams are known by
 64-bit hashes and don't cross documents.
 """
 

@@ -11,8 +11,9 @@ are the window's words.
 
 Defined cases: a null or empty text, or an item, without words has none;
 repeated items or windows count under each of their ids; repeated documents are
-judged row by row; without items nothing is hit; an empty table gives an empty
-result. Hits may overlap; a word counts once.
+judged row by row; without items nothing is hit; a long text is read by one task, and where it repeats an item's
+shingle, each place is a candidate of its own (some 26 bytes); only the columns of ``keep`` and the text are read, so
+names don't clash; an empty table gives an empty result. Hits may overlap; a word counts once.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ joined back to its documents.
 
 Defined cases: a null text counts as empty and fails the length rule; a null or
 empty host forms no host (its documents are judged alone); repeated rows are
-measured and returned row by row; an empty table gives an empty result; other
+measured and returned row by row; a long text is measured by one task, which holds an array of its words and their
+windows; a rate equal to its limit doesn't fail; an empty table gives an empty result; other
 columns never clash, as only the named ones are read.
 """
 

@@ -8,7 +8,8 @@ leaves the corpus altogether.
 
 Defined cases: a null text has no lines and stays null; lines without a word
 are never boilerplate; a null site counts as no site; repeated rows (same id
-and text) are one document and get the same result; an empty table gives an
+and text) are one document and get the same result; a long text is as many rows as it has lines; a line on just as many
+sites as the limit is boilerplate; columns of any name are kept as they are; an empty table gives an
 empty result. A document left without any line becomes the empty string.
 """
 

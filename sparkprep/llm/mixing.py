@@ -16,7 +16,7 @@ leaf's budget ends are ordered.
 Defined cases: a null or empty text has no tokens and is never selected; null
 levels are a value of their own; a weight of zero takes nothing; repeated rows
 (same id and text in one leaf) count each and are taken all or none; rows of
-equal order go by id and text hash; an empty table gives an empty result;
+equal order go by id and text hash; a long text's words are counted by one task; an empty table gives an empty result;
 columns named like the added ones are replaced.
 """
 

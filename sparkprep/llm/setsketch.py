@@ -23,7 +23,8 @@ Defined cases: a null or empty text, or one without words, has the empty set
 and is linked with nothing; a text of fewer words than a shingle has one shingle, its
 whole sequence; repeated rows are in one class and get the same result; a null
 id counts as the largest one and its component is null only if all ids of it
-are; an empty table gives an empty result. Ids are integers.
+are; a long text is sketched by one task and its set travels as one row of 8 bytes per shingle; a similarity equal to the
+threshold links; other columns aren't read; an empty table gives an empty result. Ids are integers.
 """
 
 from __future__ import annotations

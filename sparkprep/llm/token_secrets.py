@@ -10,7 +10,8 @@ then its pieces between any separators are tested by themselves. Letters without
 digit have to be of both cases and stay below ``MAX_LETTER_RATIO``; letters of one case count as words.
 
 Defined cases: a null or empty text has no spans; repeated rows are searched
-row by row; spans of one start are ordered by kind; an empty table gives an
+row by row; spans of one start are ordered by kind; a long text is one task's work, and a long run is encoded in slices, so
+that time grows with the length only; only the columns of ``keep`` and the text are read; an empty table gives an
 empty result. Places are code points, ends exclusive.
 """
 

@@ -8,8 +8,9 @@ rule allows explicitly.
 Defined cases: a null url, or one without ``://``, has an empty host and path
 and no aliases; null html has no links; a link to itself, to a fragment or to
 another scheme gives no edge; of equally long rules allow wins, then the
-smaller rule string; repeated rows are judged row by row; an empty table gives
-an empty result.
+smaller rule string; repeated rows are judged row by row; a long page is searched by
+one task, in time in proportion to its length; other columns aren't read, so their names don't matter; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -258,6 +258,64 @@ def test_random_keys_behind_long_names_are_found():
         assert lost <= 10, name
 
 
+def plain_secrets(text):
+    """Base spans by walking over the characters."""
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    key = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    out = []
+
+    def skip(p, chars, most=None):
+        start = p
+        while p < len(text) and text[p] in chars and (most is None or p - start < most):
+            p += 1
+        return p
+
+    def assign(p):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, p):
+                at = skip(skip(p + len(name), "\"'", 1), " ")
+                if at < len(text) and text[at] in ":=":
+                    value = skip(skip(at + 1, " "), "\"'", 1)
+                    end = skip(value, key)
+                    if end > value:
+                        return value, end
+        return None
+
+    p = 0
+    while p < len(text):
+        found = assign(p)
+        if found and found[1] - found[0] >= 6:
+            out.append((p, 0, found[1]))
+        p = found[1] if found else p + 1
+    p = 0
+    while p < len(text):
+        end = skip(p + 4, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") if text.startswith("AKIA", p) else p
+        if end > p + 4:
+            if end - p >= 20:
+                out.append((p, 1, end))
+            p = end
+        else:
+            p += 1
+    p = 0
+    while p < len(text):
+        end = skip(p, "0123456789abcdef")
+        if end - p >= 24:
+            out.append((p, 2, end))
+        p = max(end, p + 1)
+    return sorted(out)
+
+
+def test_base_secrets_against_a_walk_over_the_characters():
+    enc = token_secrets.encoder(token_secrets.VOCABULARY)
+    rng = random.Random(12)
+    pieces = ["password", "passwd", "PassWord", "secret", "Token", "api_key", "apikey", "API_KEY", "AKIA", "AKIAAKIA", ":", "=", " ", "  ", "'", '"', "\n", "é", "ſecret", "toKen",
+              "abcdef", "abc12", "0123456789abcdef", "ABCDEF0123456789", "a.b-c_d/e+f=", "deadbeef", ",", "x"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
+    texts += ["token=" + "a" * 5, "token=" + "a" * 6, "AKIA" + "A" * 15, "AKIA" + "A" * 16, "f" * 23, "f" * 24, "secret = secret = secret=abcdef", "x" * 2_000_000 + " token: " + "k" * 9]
+    for t in texts:
+        assert [s for s in token_secrets.find(t, enc) if s[1] < 3] == plain_secrets(t), t[:200]
+
+
 def test_secret_query_digests(spark):
     docs = frame(spark, [*EDGES, "é token=abcdef secret: " + "0a" * 16, "A1b2C3d4" * 5000])
     got = {r.doc_id: r.spans for r in token_secrets.secret_spans(docs).collect()}
