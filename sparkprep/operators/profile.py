@@ -105,8 +105,10 @@ def duplicate_count(df: DataFrame, exclude: tuple = ()) -> DataFrame:
 
 
 def fingerprint(cols: list) -> Column:
-    """128 bits of a row: equal rows have equal ones."""
-    return F.concat(F.hex(F.xxhash64(*cols)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *cols)))
+    """128 bits of a row: equal rows have equal ones. Hashes pass over NULL, so where it stands is hashed, too
+    (inside of arrays and structs it isn't)."""
+    held = [*cols, *[c.isNull() for c in cols]]
+    return F.concat(F.hex(F.xxhash64(*held)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *held)))
 
 
 def type_table(df: DataFrame, approx: bool = False) -> DataFrame:

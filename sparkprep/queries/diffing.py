@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..fixtures import clean_events, table
-from ..operators.diff import deleted_rows, updated_cells
+from ..operators.diff import DiffTables, deleted_rows, updated_cells
 from ..plans.cleaning import CleanSpec, run_cleaning
 from ..plans.features import FeatureSpec, run_features
 from .cleaning import CLEAN_RUN_SPEC, CLEAN_RUN_SQL
@@ -24,19 +24,34 @@ def q_diff_deleted_rows(spark, sf):
     return deleted_rows(original, cleaned, "row_id")
 
 
-@query("diff_updated_cells", CLEAN_RUN_SQL + """,
+UPDATED_SQL = CLEAN_RUN_SQL + """,
 j AS (SELECT c.row_id, c.event_id AS a1, o.event_id AS b1, c.user_id AS a2, o.user_id AS b2,
              c.event_type AS a3, o.event_type AS b3, c.value AS a4, o.value AS b4
       FROM clean_events c JOIN o ON c.row_id = o.row_id)
 SELECT row_id, 'event_id' AS "column" FROM j WHERE a1 IS DISTINCT FROM b1
 UNION ALL SELECT row_id, 'user_id' FROM j WHERE a2 IS DISTINCT FROM b2
 UNION ALL SELECT row_id, 'event_type' FROM j WHERE a3 IS DISTINCT FROM b3
-UNION ALL SELECT row_id, 'value' FROM j WHERE a4 IS DISTINCT FROM b4""")
+UNION ALL SELECT row_id, 'value' FROM j WHERE a4 IS DISTINCT FROM b4"""
+
+
+@query("diff_updated_cells", UPDATED_SQL)
 def q_diff_updated_cells(spark, sf):
     original, cleaned = _cleaned(spark, sf)
     return updated_cells(original, cleaned, "row_id")
 
 
+@query("diff_bucketed_cells", UPDATED_SQL)
+def q_diff_bucketed_cells(spark, sf):
+    """D2 over tables bucketed by the row id: no shuffle under the joins."""
+    return DiffTables(*_cleaned(spark, sf), "row_id").updated_cells()
+
+
+@query("diff_bucketed_rows", CLEAN_RUN_SQL + """
+SELECT c.row_id FROM clean_events c ANTI JOIN o ON c.row_id = o.row_id""")
+def q_diff_bucketed_rows(spark, sf):
+    return DiffTables(*_cleaned(spark, sf), "row_id").deleted_rows()
+
+
 @query("diff_updated_cells_scaled", """
 WITH s AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS sd FROM customer)
 SELECT c_custkey AS row_id, 'c_acctbal' AS "column" FROM customer, s

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..fixtures import clean_events, clean_events_sql, table
+from ..functions.code_table import CodeTable
 from ..operators import Binning, Encoding, FeatureCreation, FeatureSelection, Scaling
 from ..operators.select import correlation_decisions, correlation_pairs, selection_columns, variance_table
 from ..plans.features import FeatureSpec, run_features
+from ..session import ensure_checkpoint_dir
 from . import query, r6
 
 W = "WITH " + clean_events_sql()
@@ -394,3 +398,20 @@ def q_corr_filter_all_numeric(spark, sf):
     df = table(spark, sf, "lineitem").select(*LINE_NUMBERS, "l_returnflag")
     left = FeatureSelection([], "correlation_filter", 0.5).fit(df).transform(df)
     return spark.createDataFrame([(c,) for c in left.columns], "column string")
+
+
+@query("codes_that_grow", """
+WITH a AS (SELECT DISTINCT o_orderstatus AS v FROM orders), b AS (SELECT DISTINCT o_orderpriority AS v FROM orders UNION SELECT 'F'),
+c AS (SELECT v AS value, row_number() OVER (ORDER BY v) - 1 AS code, 1 AS version FROM a
+      UNION ALL SELECT v, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY v) - 1, 2 FROM b WHERE v NOT IN (SELECT v FROM a))
+SELECT c.value, c.code, c.version::INTEGER AS version, count(o_orderkey) AS old_rows
+FROM c LEFT JOIN orders ON o_orderstatus = c.value AND c.version = 1 GROUP BY ALL""")
+def q_codes_that_grow(spark, sf):
+    """a second column's values join the dictionary of the first; codes given before stay, and so does the old version."""
+    orders = table(spark, sf, "orders")
+    codes = CodeTable(spark, f"{ensure_checkpoint_dir(spark)}/codes-{uuid.uuid4().hex[:10]}")
+    old = codes.extend(orders, "o_orderstatus")
+    codes.extend(orders.select("o_orderpriority").union(spark.createDataFrame([("F",)], "v string")), "o_orderpriority")
+    rows = codes.encode(orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", old).groupBy(F.col("o_orderstatus").alias("code")).agg(
+        F.count("o_orderkey").alias("old_rows"))
+    return codes.rows().join(rows, "code", "left").select("value", "code", "version", F.coalesce("old_rows", F.lit(0)).alias("old_rows"))

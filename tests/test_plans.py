@@ -212,3 +212,48 @@ def test_rows_at_ranks_against_sorting(spark):
     plan = rows_at(hot, ["k", "id"], 30_000, 50, few=1000)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan and "Scan ExistingRDD" not in plan
     df.unpersist()
+
+
+def test_codes_that_grow(spark, scratch):
+    from sparkprep.functions.code_table import CodeTable
+    codes = CodeTable(spark, os.path.join(scratch, "codes"))
+    frame = lambda values: spark.createDataFrame([(v, i) for i, v in enumerate(values)], "c string, code int")
+    assert codes.version() == 0 and codes.extend(frame([]), "c") == 0
+    assert codes.extend(frame(["m", "b", None, "m"]), "c") == 1
+    first = {r.value: r.code for r in codes.rows().collect()}
+    assert first == {"b": 0, "m": 1}
+    assert codes.extend(frame(["m", "b"]), "c") == 1  # nothing new
+    assert codes.extend(frame(["z", "a", "b", "", None]), "c") == 2
+    assert {r.value: r.code for r in codes.rows().collect()} == {**first, "": 2, "a": 3, "z": 4}
+    rows = frame(["a", "b", None, "never"])
+    assert [r.c for r in codes.encode(rows, "c").orderBy("code").collect()] == [3, 0, -1, -1]
+    assert [r.c for r in codes.encode(rows, "c", version=1).orderBy("code").collect()] == [-1, 0, -1, -1]
+
+
+def test_diff_of_bucketed_tables(spark):
+    from sparkprep.operators.diff import DiffTables, deleted_rows, updated_cells
+    rows = [(i, i % 7 if i % 5 else None, f"t{i % 3}" if i % 4 else None, float(i) if i % 6 else float("nan"), [i % 2, None]) for i in range(2000)]
+    before = spark.createDataFrame(rows, "k long, n int, s string, x double, a array<int>")
+    after = before.where("k % 11 <> 0").select("k", F.col("n").cast("double").alias("n"), F.when(F.col("k") % 50 == 0, "new").otherwise(F.col("s")).alias("s"),
+                                               F.when(F.col("k") % 90 == 0, 0.5).otherwise(F.col("x")).alias("x"),
+                                               F.when(F.col("k") % 70 == 0, F.array(F.lit(9))).otherwise(F.col("a")).alias("a"), F.lit(1).alias("extra"))
+    d = DiffTables(before, after, "k", buckets=4)
+    want = sorted(map(tuple, updated_cells(before, after, "k").collect()))
+    assert len(want) > 50 and sorted(map(tuple, d.updated_cells().collect())) == want
+    assert sorted(d.deleted_rows().collect()) == deleted_rows(before, after, "k").collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (d.updated_cells(), d.deleted_rows()):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        slim = d.changed_rows()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in slim and "v0" not in slim
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = spark.createDataFrame([(1, None, 2, [None, 5]), (2, 1, 1, [5])], "k int, p int, q int, a array<int>")
+    back = spark.createDataFrame([(1, 2, None, [5, None]), (2, 1, 1, [5])], moved.schema)
+    assert sorted(map(tuple, DiffTables(moved, back, "k", buckets=2).updated_cells().collect())) == [(1, "a"), (1, "p"), (1, "q")]
+    same = DiffTables(before, before, "k", buckets=3)
+    assert same.updated_cells().count() == 0 and same.deleted_rows().count() == 0
+    keys = DiffTables(before.select("k"), after.select("k"), "k", buckets=2)
+    assert keys.updated_cells().count() == 0
