@@ -73,36 +73,57 @@ class _Rank:
         return self.c, self.lo, self.hi
 
 
+def _disjoint(ranks: list[_Rank]) -> list[tuple[str, float, float]]:
+    """Brackets in order, those that touch joined to one, which their ranks take over."""
+    out: list[tuple[str, float, float]] = []
+    for r in sorted(ranks, key=_Rank.bracket):
+        if out and out[-1][0] == r.c and r.lo <= out[-1][2]:
+            out[-1] = (r.c, out[-1][1], max(out[-1][2], r.hi))
+        else:
+            out.append(r.bracket())
+    for r in ranks:
+        _, r.lo, r.hi = next(b for b in out if b[0] == r.c and b[1] <= r.lo and r.hi <= b[2])
+    return out
+
+
 def _gather(values: DataFrame, names: dict[str, str], ranks: list[_Rank], whole: dict[str, tuple[float, float]],
             counts: dict[str, int], buckets: int) -> None:
     """Steps 2 and 3 for ranks that aren't known. A bracket that doesn't hold its rank is widened to the whole column."""
-    brackets = list(dict.fromkeys(r.bracket() for r in ranks))
+    brackets = _disjoint(ranks)
     entry = lambda j, x: F.struct(F.lit(j).alias("j"), x.alias("x"))
-    below = F.lit(None).cast("double")
-    entries = [F.when(F.col(names[c]) < lo, entry(j, below)).when(F.col(names[c]) <= hi, entry(j, F.col(names[c])))
-               for j, (c, lo, hi) in enumerate(brackets)]
-    known = list(counts)
-    entries += [F.when(F.col(names[c]).isNotNull(), entry(len(brackets) + i, below)) for i, c in enumerate(known)]
+    apart = F.lit(None).cast("double")
+    columns = list(dict.fromkeys(c for c, _, _ in brackets))
+    entries = []  # one per row and column: a bracket, or the gap below it
+    for c in columns:
+        x, place = F.col(names[c]), F
+        for j, (of, lo, hi) in enumerate(brackets):
+            if of == c:
+                place = place.when(x < lo, entry(j, apart)).when(x <= hi, entry(j, x))
+        entries.append(place.when(x.isNotNull(), entry(len(brackets) + columns.index(c), apart)) if counts else place)
     sent = values.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
     table = cut_lineage(sent.groupBy("e.j", "e.x").agg(F.count("*").alias("n")))
     rows = table.limit(buckets + 1).collect()
     whole_table = len(rows) <= buckets
     if not whole_table:
-        rows = table.where("x IS NULL").collect()  # a row per bracket
-    under = {r["j"]: r["n"] for r in rows if r["x"] is None}
-    for i, c in enumerate(known):
-        if under.get(len(brackets) + i, 0) != counts[c]:
-            raise ValueError(f"the sketches hold {counts[c]} values of '{c}', the table {under.get(len(brackets) + i, 0)}")
+        rows = table.where("x IS NULL").collect()  # a row per gap
+    gap = {r["j"]: r["n"] for r in rows if r["x"] is None}
     by: dict[int, list] = {}
     for r in sorted((r for r in rows if r["x"] is not None), key=lambda r: (r["j"], r["x"])):
         by.setdefault(r["j"], []).append((r["x"], r["x"], r["n"]))
     inside = {j: sum(n for *_, n in found) for j, found in by.items()} if whole_table else {
         r["j"]: r["n"] for r in table.where("x IS NOT NULL").groupBy("j").agg(F.sum("n").alias("n")).collect()}
+    under, passed = {}, dict.fromkeys(columns, 0)
+    for j, (c, _, _) in enumerate(brackets):
+        under[j] = passed[c] + gap.get(j, 0)
+        passed[c] = under[j] + inside.get(j, 0)
+    for i, c in enumerate(columns):
+        if counts and (found := passed[c] + gap.get(len(brackets) + i, 0)) != counts[c]:
+            raise ValueError(f"the sketches hold {counts[c]} values of '{c}', the table {found}")
     open_ = []
     for r in ranks:
         j = brackets.index(r.bracket())
-        if 0 <= r.k - under.get(j, 0) < inside.get(j, 0):
-            r.below = under.get(j, 0)
+        if 0 <= r.k - under[j] < inside.get(j, 0):
+            r.below = under[j]
             open_.append((j, r))
         else:
             r.lo, r.hi = whole[r.c]

@@ -34,7 +34,9 @@ PAIRS_AS_EXPRESSIONS = 256    # bounds the aggregate expressions of a plan (3 bu
 def _pairs_frame(df: DataFrame, pairs) -> DataFrame:
     types = dtypes(df)
     x = lambda c: present(c, types[c]).cast("double")
-    stats = df.agg(*[F.abs(pairwise_corr(x(a), x(b))).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)])
+    # merged deviations of a constant column needn't be exactly 0
+    varies = {c: F.min(x(c)) < F.max(x(c)) for c in dict.fromkeys(c for pair in pairs for c in pair)}
+    stats = df.agg(*[F.when(varies[a] & varies[b], F.abs(pairwise_corr(x(a), x(b)))).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)])
     stack = ", ".join(f"{text_literal(a)}, {text_literal(b)}, `_p{i}`" for i, (a, b) in enumerate(pairs))
     return stats.selectExpr(f"stack({len(pairs)}, {stack}) as (col_a, col_b, abs_corr)")
 
