@@ -34,12 +34,16 @@ def clip_to_iqr(df: DataFrame, columns, factor: float = 1.5) -> DataFrame:
 
 
 def smart_imputation(df: DataFrame, report: dict | None = None, exclude: tuple = (),
-                     max_dummies: int | None = None) -> DataFrame:
+                     max_dummies: int | None = None, measures: tuple = ()) -> DataFrame:
     """>50 % missing -> drop; categorical <10 % -> mode else indicator columns
     (with a ``<col>_nan`` flag); numeric <10 % -> median else the column mean
     (a one-column nearest-neighbour imputer has no distance for a missing row).
     Each category becomes a column, so the schema holds them all; ``max_dummies``
-    raises beyond that many (no limit by default)."""
+    raises beyond that many (no limit by default).
+
+    The report calls a numeric column categorical, too, if its distinct values are under a tenth of the
+    rows; any column of fixed precision comes to that as its table grows. ``measures`` names
+    the columns that are numeric whatever that share is."""
     report = report or quality_report(df, exclude=exclude)
     types = dtypes(df)
     out = df
@@ -49,7 +53,7 @@ def smart_imputation(df: DataFrame, report: dict | None = None, exclude: tuple =
         if pct > 50:
             out = out.drop(c)
             continue
-        if info["is_categorical"] or is_text(types[c]):
+        if is_text(types[c]) or (info["is_categorical"] and c not in measures):
             if pct < 10:
                 m = mode_values(out, [c])[c]
                 out = out.withColumn(c, F.coalesce(qcol(c), F.lit(m if m is not None else "Unknown")

@@ -238,7 +238,7 @@ SELECT row_id, event_id, round(coalesce(value, mean), 6) AS value,
 FROM clean_events, s""")
 def q_smart_impute(spark, sf):
     df = clean_events(spark, sf).select("row_id", "event_id", "event_type", "value")
-    out = smart_imputation(df, exclude=("row_id", "event_id"))
+    out = smart_imputation(df, exclude=("row_id", "event_id"), measures=("value",))
     return out.withColumn("value", r6(F.col("value")))
 
 
