@@ -32,7 +32,8 @@ def apply_codes(df: DataFrame, dictionaries: dict) -> DataFrame:
     for c, d in dictionaries.items():
         key = F.coalesce(qcol(c).cast("string"), F.lit(MISSING_TEXT))
         if "codes" in d:
-            t = df.sparkSession.createDataFrame(list(d["codes"].items()), "_lk string, _code long")
+            # up to INLINE_DICT values; a shuffle by them would put all rows of a value into one task
+            t = F.broadcast(df.sparkSession.createDataFrame(list(d["codes"].items()), "_lk string, _code long"))
         else:
             t = d["table"].select(F.col("value").alias("_lk"), F.col("code").alias("_code"))
         cols = out.columns

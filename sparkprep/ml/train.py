@@ -86,10 +86,11 @@ def prepare(df: DataFrame, target: str, key: str, ptype: str, test_size: float,
 
 
 def with_label(df: DataFrame, target: str, classes: list) -> DataFrame:
-    """``label``, the index of the row's class; the classes are joined as a local table of known size."""
+    """``label``, the index of the row's class; the classes are broadcast, as a shuffle by them would put all rows of
+    a class into one task."""
     shape = T.StructType([T.StructField("_class", dtypes(df)[target]), T.StructField("label", T.DoubleType())])
     codes = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(classes)], shape)
-    return df.join(codes, qcol(target) == F.col("_class"), "left").drop("_class")
+    return df.join(F.broadcast(codes), qcol(target) == F.col("_class"), "left").drop("_class")
 
 
 def positional(feats: list[str]) -> list[Column]:

@@ -30,8 +30,8 @@ NULL_TEXT = "nan"         # text a missing value gets before label encoding
 
 
 def lookup_join(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Left join on a fitted lookup table; its size in bytes decides between
-    broadcast and shuffle (small tables are local relations of known size)."""
+    """Left join on a fitted lookup table; inline tables are marked for broadcast, the size
+    of others decides between broadcast and shuffle."""
     return df.join(table, on=key, how="left")
 
 
@@ -74,6 +74,7 @@ class FittedEncoding(FittedStep):
             key = F.coalesce(qcol(c), F.lit(NULL_TEXT))
             if "codes" in info:
                 t = df.sparkSession.createDataFrame(list(info["codes"].items()), "_lk string, _code long")
+                t = F.broadcast(t)  # up to INLINE_DICT values, which aren't to gather the rows
             else:
                 t = self.tables[f"label_{c}"].withColumnRenamed("value", "_lk").withColumnRenamed("code", "_code")
             cols = out.columns
@@ -83,6 +84,7 @@ class FittedEncoding(FittedStep):
             name = f"{c}_target_encoded"
             if "means" in info:
                 t = df.sparkSession.createDataFrame([tuple(m) for m in info["means"]], "_tv string, _mean double")
+                t = F.broadcast(t)
             else:
                 t = self.tables[f"target_{c}"].select(F.col("value").alias("_tv"), F.col("mean").alias("_mean"))
             out = out.join(t, qcol(c) == F.col("_tv"), "left").drop("_tv", c).withColumnRenamed("_mean", name)
