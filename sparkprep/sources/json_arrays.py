@@ -34,6 +34,8 @@ from ..session import ensure_checkpoint_dir
 
 #: Bytes of a range.
 RANGE_BYTES = 64 << 20
+#: Bytes of input that one task reads at least if ranges are shorter; it takes them one after the other.
+TASK_BYTES = 32 << 20
 QUOTE, BACKSLASH, OPENING, CLOSING = b'"', b"\\", b"{[", b"}]"
 #: What may stand around records.
 AROUND = b" \t\r\n,[]"
@@ -186,12 +188,19 @@ def _cut(batches):
         yield rows([(1, raw(rest), here[0], here[1], here[2])])
 
 
+def tasks_for(spark: SparkSession, path: str) -> int:
+    """Tasks of a pass over the files: as many as there are cores, and more once each has ``TASK_BYTES``. Short ranges as
+    tasks of their own would cost more in starts and in files written than in work."""
+    total = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0  # listed, not read
+    return max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+
+
 def write_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> list[str]:
     """The records of the arrays below ``path`` as JSON lines in the shared checkpoint folder; the folders written."""
     target = f"{ensure_checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
     with ranges_of(spark, range_bytes):
         lines = spark.read.option("lineSep", "}").text(path).select(
-            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).coalesce(tasks_for(spark, path))
         sums = lines.mapInArrow(_sum_up, RANGE)
         starts = sums.groupBy("file").applyInPandas(_compose, START)
         starts.write.parquet(f"{target}/ranges")

@@ -89,3 +89,12 @@ def test_scan_against_a_walk_over_characters():
             braces, end, depths, change = json_arrays.scan(np.frombuffer(text, dtype=np.uint8), inside)
             if b"\\" not in text or text.count(b'"') <= 1:
                 assert (list(zip(braces.tolist(), depths.tolist())), end, change) == (ends, within, depth)
+
+
+def test_short_ranges_share_tasks_and_files(spark, scratch):
+    write(scratch, "a.json", json.dumps(records(random.Random(3), 800), ensure_ascii=False))
+    with json_arrays.ranges_of(spark, 1000):
+        ranges = spark.read.option("lineSep", "}").text(scratch).rdd.getNumPartitions()
+    whole = json_arrays.write_records(spark, scratch, 1000)[0].removeprefix("file:")
+    written = [f for f in os.listdir(whole) if f.startswith("part-")]
+    assert len(written) <= spark.sparkContext.defaultParallelism + 8 < ranges
